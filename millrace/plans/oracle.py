@@ -278,7 +278,12 @@ def build(sql: str, fragments: dict[str, str] | None = None) -> str:
 
     for n in _deps(sql, frags):
         visit(n)
+    body = sql.strip()
     if not order:
-        return sql.strip()
+        return body
     ctes = ",\n".join(f"{n} AS ({frags[n].strip()})" for n in order)
-    return f"WITH {ctes}\n{sql.strip()}"
+    m = re.match(r"(?is)^WITH\s+(RECURSIVE\s+)?", body)
+    if m:  # merge the query's own CTE list behind the fragments
+        rec = "RECURSIVE " if m.group(1) else ""
+        return f"WITH {rec}{ctes},\n{body[m.end():]}"
+    return f"WITH {ctes}\n{body}"
