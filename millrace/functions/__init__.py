@@ -3,5 +3,5 @@
 from millrace.functions.scalar import (  # noqa: F401
     event_time, half_up, minute_diff, null_greatest, null_least, safe_div,
     sentinel_null, three_phase_current, unit_hash, uid, status_colour,
-    risk_band, iff, iso_timestamp, ymd, at_hour,
+    risk_band, iff, iso_timestamp, ymd, at_hour, hash_unit,
 )

@@ -100,6 +100,17 @@ def unit_hash(key, salt: int = 0) -> Column:
     return F.pmod(_c(key).cast("long") * 7919 + salt, F.lit(1000)).cast("double") / 1000.0
 
 
+def hash_unit(*cols) -> Column:
+    """Deterministic uniform in [0, 1) from any key columns.
+
+    The first 32 bits of SHA-256 over the '|'-joined key text; replaces random
+    draws (choice, uniform) so results are repeatable, replay-safe and can be
+    recomputed by other engines.
+    """
+    key = F.concat_ws("|", *[_c(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") / 4294967296.0
+
+
 def uid(prefix: str, *cols) -> Column:
     """``PREFIX-`` + 8 upper-case hex chars derived from the key columns."""
     key = F.concat_ws("|", *[_c(c).cast("string") for c in cols])

@@ -21,6 +21,12 @@ _Q = "CAST(trunc(l_quantity) AS INTEGER)"
 _ORDER_ID = "'ORD-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
 
 
+def hash_unit(*cols: str) -> str:
+    """Same value as ``millrace.functions.hash_unit``."""
+    key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"(CAST(('0x' || substr(sha256({key}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
 def half_up(x: str, n: int) -> str:
     s = float(10 ** n)
     return f"(floor(({x}) * {s!r}::DOUBLE + 0.5::DOUBLE) / {s!r}::DOUBLE)"
@@ -105,9 +111,10 @@ FRAGMENTS["dim_production_line"] = """
 SELECT DISTINCT Production_Line, Factory FROM dim_machine"""
 
 FRAGMENTS["dim_factory"] = """
-SELECT 'Plant ' || CAST(r_regionkey AS VARCHAR) AS Factory, r_name AS Type,
-       NULL::VARCHAR AS Location
-FROM region"""
+SELECT 'Plant ' || CAST(r.r_regionkey AS VARCHAR) AS Factory, t.p_type AS Type, r.r_name AS Location
+FROM region r LEFT JOIN (
+    SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS idx
+    FROM (SELECT DISTINCT p_type FROM part)) t ON r.r_regionkey = t.idx"""
 
 FRAGMENTS["dim_product"] = """
 SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS Product, p_type AS Factory_Type FROM part"""

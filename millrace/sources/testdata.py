@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.schemas import SCHEMAS
@@ -207,9 +207,15 @@ class DriverTables:
 
     @cached_property
     def dim_factory(self) -> DataFrame:
+        """One factory per region; its Type is the region-key-th product type
+        (in sorted order), so factory/product matching has real pairs."""
         r = self.raw("region")
-        return conform(r.select(F.concat(F.lit("Plant "), _s(F.col("r_regionkey"))).alias("Factory"),
-                                F.col("r_name").alias("Type")), "dim_factory")
+        types = (self.raw("part").select("p_type").distinct()
+                 .withColumn("_idx", F.row_number().over(Window.orderBy("p_type")) - 1))
+        df = r.join(types, r.r_regionkey == types._idx, "left").select(
+            F.concat(F.lit("Plant "), _s(F.col("r_regionkey"))).alias("Factory"),
+            F.col("p_type").alias("Type"), F.col("r_name").alias("Location"))
+        return conform(df, "dim_factory")
 
     @cached_property
     def dim_product(self) -> DataFrame:
