@@ -277,20 +277,28 @@ def factory_efficiency(silver_prod: DataFrame, prod: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- E2
 
 
-def rolling_sensor_averages(daily: DataFrame, days: int = 7) -> DataFrame:
-    """Trailing ``days``-day averages per machine over daily aggregates.
+def rolling_sensor_averages(silver_sensor: DataFrame, days: int = 7) -> DataFrame:
+    """Trailing ``days``-day averages of the readings per machine.
 
-    A range frame over the day number: one row per machine-day, so the window
-    partition is bounded by the calendar.
+    Daily sums and counts are aggregated first (one row per machine-day); a
+    range frame over the day number then adds them up, so the average is the
+    exact mean of all readings in the window and the window partition is
+    bounded by the calendar, not by the row count.
     """
-    dn = F.unix_date("Event_Date")
-    w = Window.partitionBy("Machine_ID").orderBy(dn).rangeBetween(-(days - 1), 0)
-    return daily.select(
-        "Machine_ID", "Event_Date",
-        F.avg("Avg_Temp").over(w).alias("Rolling_Avg_Temp"),
-        F.avg("Avg_Vibration").over(w).alias("Rolling_Avg_Vibration"),
-        F.avg("Avg_Power").over(w).alias("Rolling_Avg_Power"),
-        F.count(F.lit(1)).over(w).alias("Days_In_Window"))
+    d = (silver_sensor.groupBy("Machine_ID", "Event_Date")
+         .agg(*[f(c).alias(f"_{n}{c}") for c in ("Temp_Celsius", "Vibration_Hz", "Power_kW")
+                for n, f in (("s", F.sum), ("c", F.count))]))
+    w = (Window.partitionBy("Machine_ID").orderBy(F.unix_date("Event_Date"))
+         .rangeBetween(-(days - 1), 0))
+
+    def avg(c):
+        return safe_div(F.sum(f"_s{c}").over(w).cast("double"), F.sum(f"_c{c}").over(w))
+
+    return d.select("Machine_ID", "Event_Date",
+                    avg("Temp_Celsius").alias("Rolling_Avg_Temp"),
+                    avg("Vibration_Hz").alias("Rolling_Avg_Vibration"),
+                    avg("Power_kW").alias("Rolling_Avg_Power"),
+                    F.count(F.lit(1)).over(w).alias("Days_In_Window"))
 
 
 # ---------------------------------------------------------------------- E3
