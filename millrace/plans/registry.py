@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.plans import oracle
 from millrace.plans.medallion import Medallion
+from millrace.session import ship_package
 
 
 @dataclass
@@ -32,6 +33,7 @@ _MEDALLIONS: dict[tuple, Medallion] = {}
 
 def medallion(spark: SparkSession, sf_dir: str) -> Medallion:
     key = (id(spark), sf_dir)
+    ship_package(spark)
     if key not in _MEDALLIONS:
         _MEDALLIONS[key] = Medallion(spark, sf_dir)
     return _MEDALLIONS[key]
