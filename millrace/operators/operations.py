@@ -163,7 +163,7 @@ def shipments_from_production(prod: DataFrame, shortage_days: DataFrame, custome
     The customer is slot floor(u x n) of customers numbered by key (0..n-1).
     """
     sd = shortage_days.select(F.col("Date").alias("_sd"), F.col("Any_Shortage"))
-    n_cust = customers.select(F.count(F.lit(1))).scalar()
+    n_cust = customers.select(F.count(F.lit(1))).first()[0]
     p = prod.where(F.col("Quantity_Produced") > 0).withColumn("_disp", F.to_date("Start_Time"))
     j = p.join(sd, p["_disp"] == sd["_sd"], "left")
     short = F.coalesce(F.col("Any_Shortage"), F.lit(False))

@@ -179,11 +179,11 @@ def active_alerts(rules: DataFrame, baselines: DataFrame) -> DataFrame:
                      F.when(F.col("v").isNotNull(), F.concat(F.lit("Vib: "), F.col("v").cast("string")))))
                  .alias("Alert")))
     lines = r.unionByName(b)
-    n = lines.select(F.count(F.lit(1))).scalar()
+    n = lines.select(F.count(F.lit(1))).first()[0]
     none = (rules.sparkSession.range(1)
             .select(F.lit("none").alias("Alert_Type"), F.lit(None).cast("string").alias("Machine"),
                     F.lit(ALERT_NONE).alias("Alert"))
-            .where(n == 0))
+            .where(F.lit(n == 0)))
     return lines.unionByName(none)
 
 

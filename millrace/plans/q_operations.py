@@ -292,7 +292,7 @@ SELECT b.Part, d.Prod_Date AS "Date", CAST(sum(d.Actual_Qty * b.q) AS BIGINT) AS
 FROM daily_production d JOIN bom b ON d.Product_ID = b.Product GROUP BY 1, 2""", "E3")
 def _bom(m):
     part = m.bronze.raw("part")
-    n = part.select(F.count(F.lit(1))).scalar()
+    n = part.select(F.count(F.lit(1))).first()[0]
     k = F.col("p_partkey")
     bom = part.select(
         F.concat(F.lit("P-"), k.cast("string")).alias("Product"),

@@ -181,7 +181,7 @@ LEFT JOIN supplier s ON p.p_partkey % (SELECT count(*) FROM supplier) = s.s_supp
 def _inventory_snapshot(m):
     part = m.bronze.raw("part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     sup = m.bronze.raw("supplier").select("s_suppkey", "s_name")
-    n_sup = sup.select(F.count(F.lit(1))).scalar()
+    n_sup = sup.select(F.count(F.lit(1))).first()[0]
     led = _ledger(m)
     return (led.join(part, led.Part_Key == part.p_partkey, "inner")
             .join(sup, (part.p_partkey % n_sup) == sup.s_suppkey, "left")

@@ -262,7 +262,7 @@ class DriverTables:
     def dim_part(self) -> DataFrame:
         p = self.raw("part")
         s = self.raw("supplier").select("s_suppkey", "s_name")
-        n_sup = s.select(F.count(F.lit(1))).scalar()
+        n_sup = s.select(F.count(F.lit(1))).first()[0]
         df = (p.join(s, (p.p_partkey % n_sup) == s.s_suppkey, "left")
                .select(F.concat(F.col("p_name"), F.lit("#"), _s(F.col("p_partkey"))).alias("Part"),
                        F.col("s_name").alias("Supplier"),
