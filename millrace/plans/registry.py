@@ -57,15 +57,20 @@ def register(name: str, sql: str | None, doc: str = ""):
     return deco
 
 
+def _load_catalog() -> None:
+    import millrace.plans.catalog_queries  # noqa: F401  (registers everything)
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load_catalog()
     return comparable(REGISTRY[name].build(medallion(spark, sf_dir)))
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import millrace.plans.catalog_queries  # noqa: F401  (registers everything)
+    _load_catalog()
     return {n: (lambda spark, sf_dir, _n=n: run(_n, spark, sf_dir)) for n in REGISTRY}
 
 
 def oracle_queries() -> dict[str, str]:
-    import millrace.plans.catalog_queries  # noqa: F401
+    _load_catalog()
     return {n: q.sql for n, q in REGISTRY.items() if q.sql}
