@@ -63,12 +63,26 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 class DriverTables:
     """Lazy access to the bronze tables for one driver data folder."""
 
+    # Fact sources whose scan is spread over the cluster's cores when the files
+    # offer fewer input splits than cores (e.g. one row group per file). On a
+    # cluster reading many files the scan already has enough splits and this
+    # adds nothing; filters and column pruning still reach the scan.
+    SPREAD = ("lineitem", "events", "orders")
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._splits: dict[str, int] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in self.SPREAD:
+            want = self.spark.sparkContext.defaultParallelism
+            if name not in self._splits:
+                self._splits[name] = df.rdd.getNumPartitions()
+            if self._splits[name] < want:
+                df = df.repartition(want)
+        return df
 
     # ---------------------------------------------------------------- facts
     @cached_property
