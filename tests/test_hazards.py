@@ -159,3 +159,13 @@ def test_event_time_accepts_text(spark):
 def test_registry_schemas_cover_bronze():
     assert len(SCHEMAS) == 16
     assert [f.name for f in SCHEMAS["fact_sensor"].fields][-3:] == ["Running_Status", "Error_Code", "Mode"]
+
+
+def test_machine_filter_and_views(spark, smoke_dir):
+    from millrace.operators.filters import machine_rows
+    from millrace.plans.registry import medallion
+    m = medallion(spark, smoke_dir)
+    one = machine_rows(m.bronze.fact_sensor, "M-00008")
+    assert one.count() > 0 and {r["Machine"] for r in one.collect()} == {"M-00008"}
+    m.register_views()
+    assert spark.sql("SELECT count(*) FROM factory_kpi").first()[0] == m.factory_kpi.count()
