@@ -237,9 +237,11 @@ def telemetry_gaps(readings: DataFrame, key: str, ts_col: str, step_minutes: int
     The grid covers each key's days with data; the grid is generated per
     key-day with ``sequence`` and anti-joined to the occupied slots.
     """
-    slot = F.timestamp_seconds(
-        F.floor(F.unix_seconds(F.col(ts_col).cast("timestamp")) / (step_minutes * 60)) * (step_minutes * 60))
-    occupied = readings.select(F.col(key), slot.cast("timestamp_ntz").alias("Slot_Start")).distinct()
+    ts = F.col(ts_col)
+    day = F.to_date(ts).cast("timestamp_ntz")
+    minute_of_day = F.hour(ts) * 60 + F.minute(ts)
+    slot = F.timestamp_add("MINUTE", F.floor(minute_of_day / step_minutes).cast("int") * step_minutes, day)
+    occupied = readings.select(F.col(key), slot.alias("Slot_Start")).distinct()
     days = readings.select(F.col(key), F.to_date(ts_col).alias("_day")).distinct()
     grid = days.select(
         key, F.explode(F.sequence(

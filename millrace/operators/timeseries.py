@@ -66,24 +66,27 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank"
                 descending: bool = True) -> DataFrame:
     """1..N position of every row under a (descending) order, distributed.
 
-    Range-partition and sort (no single-partition window), count rows per
-    partition (one row per partition), turn the counts into offsets, and add
-    the offset to the in-partition row number. The sorted data is checkpointed
-    so that partition ids are stable between the count and the ranking.
+    Range-partition and sort within partitions; each row's position inside its
+    partition comes from ``monotonically_increasing_id`` (partition index in the
+    upper bits, record number below), taken right after the sort and
+    checkpointed so it is stable. Per-partition row counts (one row per
+    partition, a proven bound) become offsets that are broadcast back; no
+    single-partition window and no second shuffle of the data.
     """
     checkpoint_dir(df.sparkSession)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     sorted_df = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .withColumn("_pid", F.spark_partition_id())).checkpoint()
+                 .withColumn("_pid", F.spark_partition_id())
+                 .withColumn("_mid", F.monotonically_increasing_id())).checkpoint()
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_n")).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(*order)
+    in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (sorted_df.join(F.broadcast(offsets), "_pid")
-            .withColumn(rank_col, F.col("_off") + F.row_number().over(w))
-            .drop("_pid", "_off"))
+            .withColumn(rank_col, F.col("_off") + in_part + 1)
+            .drop("_pid", "_off", "_mid"))
 
 
 def rolling_retention(df: DataFrame, key: str, order_cols: Sequence[str], per_key: int = 10) -> DataFrame:
@@ -163,72 +166,95 @@ def _replay_partitions(batches, key: str, value_cols: list[str], alpha: float):
         yield pdf
 
 
+def _chain_partitions(batches, key: str, value_cols: list[str], one_minus_alpha: float):
+    """Entry state of every chunk: compose the chunk maps s -> a*s + b in order.
+
+    Input rows (one per chunk) are sorted by (key, chunk) and carry the key's
+    starting state ``_s0_<col>``, the chunk's non-NULL count ``_m_<col>`` and
+    its fold-from-zero ``_b_<col>``.
+    """
+    cur = None
+    state: dict[str, float] = {}
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        keys = pdf[key].tolist()
+        m = {c: pdf[f"_m_{c}"].to_numpy(dtype="float64", na_value=0.0) for c in value_cols}
+        b = {c: pdf[f"_b_{c}"].to_numpy(dtype="float64", na_value=0.0) for c in value_cols}
+        s0 = {c: pdf[f"_s0_{c}"].to_numpy(dtype="float64", na_value=np.nan) for c in value_cols}
+        out = {c: np.empty(len(pdf)) for c in value_cols}
+        for i, k in enumerate(keys):
+            if k != cur:
+                cur = k
+                state = {c: s0[c][i] for c in value_cols}
+            for c in value_cols:
+                out[c][i] = state[c]
+                state[c] = (one_minus_alpha ** m[c][i]) * state[c] + b[c][i]
+        yield pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"],
+                            **{f"_in_{c}": out[c] for c in value_cols}})
+
+
 def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
                value_cols: Sequence[str], init: DataFrame, alpha: float = EMA_ALPHA,
-               bucket: str = "1 day") -> DataFrame:
+               chunk_rows: int = 200_000) -> DataFrame:
     """Per-key exponential smoothing of ``value_cols`` ordered by time.
 
     ``init`` has ``key`` and one column per value column holding the starting
     state. Returns ``df``'s rows with the value columns replaced by the
     unrounded smoothed state after each row.
 
-    Plan: rows are cut into chunks (key, time bucket). Pass 1 computes, per
-    chunk, the affine map the chunk applies to its entry state
-    (s -> a*s + b, a = (1-alpha)^m for m non-NULL readings) with JVM
-    aggregates; pass 2 composes the maps in chunk order per key (a fold over at
-    most one entry per bucket); pass 3 replays each chunk sequentially from its
-    entry state in a grouped pandas function.
+    Plan: each key's time span is cut into chunks of about ``chunk_rows`` rows
+    (chunk width = span x chunk_rows / rows of the key), so a key holding a
+    large share of all rows is spread over many tasks while a small key is a
+    single chunk. Pass 1 computes per chunk the affine map it applies to its
+    entry state (s -> a*s + b, a = (1-alpha)^m for m non-NULL readings) with
+    JVM window/aggregate functions; pass 2 composes the maps in chunk order
+    (one small row per chunk, streamed through ``mapInPandas``); pass 3 replays
+    each chunk sequentially from its entry state.
     """
     value_cols = list(value_cols)
     one = 1.0 - alpha
-    rows = df.withColumn("_chunk", F.window(F.col(ts_col).cast("timestamp"), bucket).start)
+    micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_t0"),
+                                 F.max(micros).alias("_t1"))
+             .select(key, "_t0", F.greatest(F.lit(1).cast("long"), F.ceil(
+                 (F.col("_t1") - F.col("_t0") + 1).cast("double") * chunk_rows / F.col("_n")).cast("long"))
+                 .alias("_w")))
+    rows = (df.join(stats, key, "left")
+              .withColumn("_chunk", F.floor((micros - F.col("_t0")) / F.col("_w")).cast("long"))
+              .drop("_t0", "_w"))
     # Stable in-chunk order: rank by (ts, tie columns) within the bounded chunk.
     wc = Window.partitionBy(key, "_chunk").orderBy(F.col(ts_col), *[F.col(c) for c in tie_cols])
     rows = rows.withColumn("_ord", F.row_number().over(wc))
 
-    # pass 1: per chunk, m = non-null count and b = fold from 0 (sum of weighted readings)
+    # pass 1: per chunk, m = non-null count and b = fold from 0 (sum of weighted
+    # readings). "Readings after row j" = chunk total - running count, so one
+    # sort order serves every window.
+    upto_w = wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(key, "_chunk")
     aggs = []
     for c in value_cols:
         nn = F.col(c).isNotNull().cast("int")
-        after = F.sum(nn).over(Window.partitionBy(key, "_chunk").orderBy(F.desc("_ord"))
-                                .rowsBetween(Window.unboundedPreceding, -1))
+        after = F.sum(nn).over(whole) - F.sum(nn).over(upto_w)
         rows = rows.withColumn(f"_w_{c}", F.when(F.col(c).isNotNull(),
-                                                 F.lit(alpha) * F.pow(F.lit(one), F.coalesce(after, F.lit(0)))
-                                                 * F.col(c)))
+                                                 F.lit(alpha) * F.pow(F.lit(one), after) * F.col(c)))
         aggs += [F.sum(nn).alias(f"_m_{c}"), F.sum(f"_w_{c}").alias(f"_b_{c}")]
     summary = rows.groupBy(key, "_chunk").agg(*aggs)
 
-    # pass 2: entry state of each chunk = composition of earlier chunk maps
-    init_cols = init.select(F.col(key), *[F.col(c).alias(f"_s0_{c}") for c in value_cols])
+    # pass 2: entry state of each chunk = composition of the earlier chunk maps
+    init_cols = init.select(F.col(key), *[F.col(c).cast("double").alias(f"_s0_{c}") for c in value_cols])
     summ = summary.join(init_cols, key, "left")
-    collected = summ.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("_chunk"),
-            *[F.col(f"_m_{c}") for c in value_cols],
-            *[F.coalesce(F.col(f"_b_{c}"), F.lit(0.0)).alias(f"_b_{c}") for c in value_cols]))).alias("_cs"),
-        *[F.first(f"_s0_{c}").alias(f"_s0_{c}") for c in value_cols])
-
-    entry_type = T.ArrayType(T.StructType(
-        [T.StructField("_chunk", T.TimestampType())]
-        + [T.StructField(f"_in_{c}", T.DoubleType()) for c in value_cols]))
-
-    def step(acc, x):
-        state = acc["state"]
-        entry = F.struct(x["_chunk"].alias("_chunk"),
-                         *[state[c].alias(f"_in_{c}") for c in value_cols])
-        new_state = F.struct(*[
-            (F.pow(F.lit(one), x[f"_m_{c}"]) * state[c] + x[f"_b_{c}"]).alias(c) for c in value_cols])
-        return F.struct(new_state.alias("state"), F.array_append(acc["out"], entry).alias("out"))
-
-    init_acc = F.struct(F.struct(*[F.col(f"_s0_{c}").cast("double").alias(c) for c in value_cols]).alias("state"),
-                        F.array().cast(entry_type).alias("out"))
-    entries = (collected.select(F.col(key), F.inline(F.aggregate("_cs", init_acc, step, lambda a: a["out"]))))
+    entry_schema = T.StructType(
+        [summ.schema[key], T.StructField("_chunk", T.LongType())]
+        + [T.StructField(f"_in_{c}", T.DoubleType()) for c in value_cols])
+    cols = list(value_cols)
+    entries = (summ.repartition(key).sortWithinPartitions(key, "_chunk")
+               .mapInPandas(lambda it: _chain_partitions(it, key, cols, one), schema=entry_schema))
 
     # pass 3: exact sequential replay inside each chunk. Rows are clustered by
     # (key, chunk) and sorted, then each Python worker streams its partition.
     joined = rows.drop(*[f"_w_{c}" for c in value_cols]).join(entries, [key, "_chunk"], "left")
     out_schema = joined.schema
-    cols = list(value_cols)
     smoothed = (joined.repartition(key, "_chunk")
                 .sortWithinPartitions(key, "_chunk", "_ord")
                 .mapInPandas(lambda it: _replay_partitions(it, key, cols, alpha), schema=out_schema))

@@ -67,7 +67,7 @@ def test_ema_matches_sequential_fold_across_chunks(spark):
         data.append(("A", T0 + dt.timedelta(hours=i), x))
     df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double")
     init = spark.createDataFrame([("A", 40.0)], "Machine string, Temperature double")
-    out = ts.ema_smooth(df, "Machine", "Timestamp", [], ["Temperature"], init, bucket="1 day")
+    out = ts.ema_smooth(df, "Machine", "Timestamp", [], ["Temperature"], init, chunk_rows=20)
     got = [r["Temperature"] for r in out.orderBy("Timestamp").collect()]
     want = _fold([d[2] for d in data], 40.0)
     assert len(got) == 72
