@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import risk_band, safe_div
-from millrace.operators.timeseries import TOP_N_DRIVER_LIMIT, global_rank
+from millrace.operators.timeseries import _top_n_is_small, global_rank
 
 # Model inputs and settings of the reference training run.
 FEATURES = ["Temperature", "Vibration", "Power_Consumption"]
@@ -36,11 +36,30 @@ def _hash(cols: Sequence[str], seed: int):
 
 
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = SEED) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement, repeatable (M1)."""
+    """Exactly ``min(n, rows)`` rows without replacement, repeatable (M1).
+
+    The sample is the ``n`` rows with the smallest seeded hash of the key. The
+    rows are first narrowed to those whose hash falls under a threshold chosen
+    for about 2n survivors (widened until at least n survive, so the result is
+    exact), and only those are ranked -- the table is never sorted as a whole.
+    """
     h = df.withColumn("_h", _hash(key_cols, seed))
-    if n <= TOP_N_DRIVER_LIMIT:
-        return h.orderBy("_h", *key_cols).limit(n).drop("_h")
-    ranked = global_rank(h, ["_h", *key_cols], "_r", descending=False)
+    total = h.count()
+    if total <= n:
+        return df
+    unit = (F.col("_h").cast("double") + 9.223372036854775808e18) / 1.8446744073709552e19
+    share = min(1.0, 2.0 * n / total)
+    cand = h
+    while share < 1.0:
+        cand = h.where(unit < F.lit(share))
+        if cand.count() >= n:
+            break
+        share = min(1.0, share * 2)
+    if share >= 1.0:
+        cand = h
+    if _top_n_is_small(cand, n):
+        return cand.orderBy("_h", *key_cols).limit(n).drop("_h")
+    ranked = global_rank(cand, ["_h", *key_cols], "_r", descending=False)
     return ranked.where(F.col("_r") <= n).drop("_h", "_r")
 
 

@@ -44,20 +44,64 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], order_cols: Sequence
 
 # ------------------------------------------------------------------ W2 / W4
 
-# Above this many rows a global tail is ranked in a distributed way instead of
-# being merged as a top-N on the driver.
+# A top-N merges every input partition's best n rows in one task, so it is
+# used only while n x partitions stays small; beyond that the tail is found by
+# a distributed path (candidate pre-filter + distributed rank).
 TOP_N_DRIVER_LIMIT = 100_000
+TOP_N_MERGE_ROWS = 20_000_000
+
+
+def _top_n_is_small(df: DataFrame, n: int) -> bool:
+    if n > TOP_N_DRIVER_LIMIT:
+        return False
+    return n * df.rdd.getNumPartitions() <= TOP_N_MERGE_ROWS
+
+
+def _sortable_number(df: DataFrame, c: str):
+    t = df.schema[c].dataType
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    if isinstance(t, T.DateType):
+        return F.unix_date(F.col(c)).cast("long")
+    if isinstance(t, T.NumericType):
+        return F.col(c).cast("double")
+    return None
+
+
+def tail_candidates(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
+    """A subset that provably contains the ``n`` newest rows.
+
+    Cuts at an approximate quantile of the leading order column with 10%
+    headroom, counts the rows at or above the cut and lowers the cut until at
+    least ``n`` remain; ties at the cut are kept, so the subset is exact.
+    """
+    v = _sortable_number(df, order_cols[0])
+    if v is None:
+        return df
+    total = df.count()
+    if total <= n:
+        return df
+    share = min(1.0, 1.1 * n / total)
+    while share < 1.0:
+        cut = df.select(F.percentile_approx(v, 1.0 - share, 10_000)).first()[0]
+        if cut is None:
+            return df
+        cand = df.where(v >= F.lit(cut))
+        if cand.count() >= n:
+            return cand
+        share = min(1.0, share * 2)
+    return df
 
 
 def tail_n(df: DataFrame, n: int, order_cols: Sequence[str], rank_col: str | None = None) -> DataFrame:
     """The ``n`` newest rows by ``order_cols`` (descending)."""
     order = [F.col(c).desc() for c in order_cols]
-    if n <= TOP_N_DRIVER_LIMIT:
+    if _top_n_is_small(df, n):
         out = df.orderBy(*order).limit(n)
         if rank_col:
             out = out.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
         return out
-    ranked = global_rank(df, order_cols, rank_col or "_rank")
+    ranked = global_rank(tail_candidates(df, n, order_cols), order_cols, rank_col or "_rank")
     out = ranked.where(F.col(rank_col or "_rank") <= n)
     return out if rank_col else out.drop("_rank")
 

@@ -35,6 +35,17 @@ def test_tail_large_n_uses_distributed_rank(spark, monkeypatch):
     assert sorted(r["r"] for r in got.collect()) == list(range(1, 11))
 
 
+def test_tail_candidates_keep_ties_at_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(ts, "TOP_N_DRIVER_LIMIT", 3)
+    same = T0 + dt.timedelta(hours=5)
+    data = [("A", T0 + dt.timedelta(minutes=i), float(i)) for i in range(100)]
+    data += [(f"M{i}", same, 0.0) for i in range(30)]          # 30 rows tied at one instant
+    df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double")
+    got = ts.tail_n(df, 40, ["Timestamp", "Machine"])
+    want = df.orderBy(F.desc("Timestamp"), F.desc("Machine")).limit(40)
+    assert rows(got, "Machine", "Timestamp") == rows(want, "Machine", "Timestamp")
+
+
 def test_sequence_ids_ascending(spark, monkeypatch):
     df = spark.createDataFrame([(k,) for k in ["c", "a", "b"]], "k string")
     got = dict(rows(ts.sequence_ids(df, ["k"], fmt="M-%05d"), "k", "Seq_ID"))
