@@ -20,8 +20,8 @@ SELECT Event_Date AS "Date", Machine_ID AS Machine,
        floor(CAST(max(Power_kW) AS DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS Peak_Usage
 FROM silver_sensor GROUP BY Event_Date, Machine_ID"""
 
-# Bronze tables available in both engines (fact_inventory is the stock ledger's
-# output and is checked through the ledger queries instead).
+# Bronze tables with plain adapters; fact_inventory is the stock ledger's output
+# and has its own star join and key check below (its oracle needs the ledger CTE).
 CHECKED = [t for t in SCHEMAS if t != "fact_inventory"]
 COLUMNS = {t: [f.name for f in SCHEMAS[t].fields] for t in SCHEMAS}
 
@@ -30,6 +30,9 @@ def _load(m):
     def load(t):
         if t == "fact_energy":
             return energy_daily(m.silver_sensor, 1.0)
+        if t == "fact_inventory":
+            from millrace.plans.q_timeseries import fact_inventory
+            return fact_inventory(m)
         return m.bronze.table(t)
     return load
 
@@ -126,3 +129,32 @@ def _union(m):
          .select("Machine", F.to_date("Timestamp").alias("Date"), F.lit("warning").alias("Event_Kind"),
                  F.col("Error_Code").alias("Detail")))
     return a.unionByName(b)
+
+
+# fact_inventory comes from the stock ledger, whose oracle is a recursive CTE;
+# its star join and key checks carry that CTE.
+def _inventory_sql(body: str) -> str:
+    from millrace.plans.q_timeseries import INVENTORY_CTE
+    return INVENTORY_CTE + "\n" + body
+
+
+register("star_fact_inventory", _inventory_sql(joins.star_join_sql("fact_inventory", COLUMNS)),
+         "J4 inventory->part/warehouse/supplier")(lambda m: joins.star_join("fact_inventory", _load(m)))
+
+FK_INVENTORY = [fk for fk in FOREIGN_KEYS if fk[0] == "fact_inventory"]
+
+
+def _fk_inventory_sql() -> str:
+    parts = []
+    for child, col, parent, pcol in FK_INVENTORY:
+        parts.append(f"""SELECT '{child}' AS Child_Table, '{col}' AS Child_Column, '{parent}' AS Parent_Table,
+       CAST(c."{col}" AS VARCHAR) AS Key_Value, count(*) AS Orphan_Rows
+FROM {child} c WHERE c."{col}" IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p."{pcol}" = c."{col}")
+GROUP BY c."{col}\"""")
+    return _inventory_sql("\nUNION ALL\n".join(parts))
+
+
+@register("fk_orphans_inventory", _fk_inventory_sql(), "Q2 (inventory keys)")
+def _fk_inventory(m):
+    return quality.fk_orphans(_load(m), FK_INVENTORY)

@@ -192,3 +192,34 @@ def _inventory_snapshot(m):
                     (F.col("Closing_Stock") < 20 + F.col("p_size")).alias("Below_Safety"),
                     F.col("s_name").alias("Supplier"), F.col("p_retailprice").alias("Cost"),
                     (5 + F.col("p_size")).alias("Lead_Time")))
+
+
+def fact_inventory(m):
+    """Bronze FACT_INVENTORY: one stock snapshot per part-day of the ledger.
+
+    The snapshot's warehouse is one of the raw-material warehouses (even nation
+    keys), chosen by part key; supplier, cost and lead time come from the part.
+    """
+    part = m.bronze.raw("part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    sup = m.bronze.raw("supplier").select("s_suppkey", "s_name")
+    n_sup = sup.select(F.count(F.lit(1))).first()[0]
+    led = _ledger(m)
+    return (led.join(part, led.Part_Key == part.p_partkey, "inner")
+            .join(sup, (part.p_partkey % n_sup) == sup.s_suppkey, "left")
+            .select("Date",
+                    F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("Part"),
+                    F.col("Closing_Stock").cast("int").alias("Stock"),
+                    (20 + F.col("p_size")).alias("Safety_Stock"),
+                    F.format_string("WH-%02d", 2 * (F.col("p_partkey") % 13)).alias("Warehouse"),
+                    F.col("s_name").alias("Supplier"), F.col("p_retailprice").alias("Cost"),
+                    (5 + F.col("p_size")).alias("Lead_Time")))
+
+
+INVENTORY_CTE = _LEDGER_CTE + """,
+fact_inventory AS (
+  SELECT l."Date", p.p_name || '#' || CAST(p.p_partkey AS VARCHAR) AS Part,
+         CAST(l.Closing_Stock AS INTEGER) AS Stock, CAST(20 + p.p_size AS INTEGER) AS Safety_Stock,
+         printf('WH-%02d', 2 * (p.p_partkey % 13)) AS Warehouse, s.s_name AS Supplier,
+         p.p_retailprice AS Cost, CAST(5 + p.p_size AS INTEGER) AS Lead_Time
+  FROM ledger l JOIN part p ON l.Part_Key = p.p_partkey
+  LEFT JOIN supplier s ON p.p_partkey % (SELECT count(*) FROM supplier) = s.s_suppkey)"""
