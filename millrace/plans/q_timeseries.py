@@ -183,8 +183,8 @@ def _inventory_snapshot(m):
     sup = m.bronze.raw("supplier").select("s_suppkey", "s_name")
     n_sup = sup.select(F.count(F.lit(1))).first()[0]
     led = _ledger(m)
-    return (led.join(part, led.Part_Key == part.p_partkey, "inner")
-            .join(sup, (part.p_partkey % n_sup) == sup.s_suppkey, "left")
+    return (led.join(part, F.col("Part_Key") == F.col("p_partkey"), "inner")
+            .join(sup, (F.col("p_partkey") % n_sup) == F.col("s_suppkey"), "left")
             .select("Date",
                     F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("Part"),
                     F.col("Closing_Stock").alias("Stock"),
@@ -204,8 +204,8 @@ def fact_inventory(m):
     sup = m.bronze.raw("supplier").select("s_suppkey", "s_name")
     n_sup = sup.select(F.count(F.lit(1))).first()[0]
     led = _ledger(m)
-    return (led.join(part, led.Part_Key == part.p_partkey, "inner")
-            .join(sup, (part.p_partkey % n_sup) == sup.s_suppkey, "left")
+    return (led.join(part, F.col("Part_Key") == F.col("p_partkey"), "inner")
+            .join(sup, (F.col("p_partkey") % n_sup) == F.col("s_suppkey"), "left")
             .select("Date",
                     F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("Part"),
                     F.col("Closing_Stock").cast("int").alias("Stock"),

@@ -72,17 +72,19 @@ class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._splits: dict[str, int] = {}
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in self.SPREAD:
-            want = self.spark.sparkContext.defaultParallelism
-            if name not in self._splits:
-                self._splits[name] = df.rdd.getNumPartitions()
-            if self._splits[name] < want:
-                df = df.repartition(want)
-        return df
+        """The driver table as a DataFrame (built once: file listing and footers
+        are read once per table, not once per query)."""
+        if name not in self._raw:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in self.SPREAD:
+                want = self.spark.sparkContext.defaultParallelism
+                if df.rdd.getNumPartitions() < want:
+                    df = df.repartition(want)
+            self._raw[name] = df
+        return self._raw[name]
 
     # ---------------------------------------------------------------- facts
     @cached_property
@@ -168,8 +170,8 @@ class DriverTables:
         order_id = F.concat(F.lit("ORD-"), _s(F.col("l_orderkey")), F.lit("-"),
                             _s(F.col("l_linenumber")))
         delayed = (F.col("l_partkey") % 14) > 5
-        df = (li.join(od, li.l_orderkey == od.o_orderkey, "inner")
-                .join(cu, od.o_custkey == cu.c_custkey, "left")
+        df = (li.join(od, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
+                .join(cu, F.col("o_custkey") == F.col("c_custkey"), "left")
                 .select(
                     order_id.alias("Shipment_ID"),
                     order_id.alias("Production_Order"),
@@ -226,7 +228,7 @@ class DriverTables:
         r = self.raw("region")
         types = (self.raw("part").select("p_type").distinct()
                  .withColumn("_idx", F.row_number().over(Window.orderBy("p_type")) - 1))
-        df = r.join(types, r.r_regionkey == types._idx, "left").select(
+        df = r.join(types, F.col("r_regionkey") == F.col("_idx"), "left").select(
             F.concat(F.lit("Plant "), _s(F.col("r_regionkey"))).alias("Factory"),
             F.col("p_type").alias("Type"), F.col("r_name").alias("Location"))
         return conform(df, "dim_factory")
@@ -277,7 +279,7 @@ class DriverTables:
         p = self.raw("part")
         s = self.raw("supplier").select("s_suppkey", "s_name")
         n_sup = s.select(F.count(F.lit(1))).first()[0]
-        df = (p.join(s, (p.p_partkey % n_sup) == s.s_suppkey, "left")
+        df = (p.join(s, (F.col("p_partkey") % n_sup) == F.col("s_suppkey"), "left")
                .select(F.concat(F.col("p_name"), F.lit("#"), _s(F.col("p_partkey"))).alias("Part"),
                        F.col("s_name").alias("Supplier"),
                        F.col("p_retailprice").alias("Cost"),
