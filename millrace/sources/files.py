@@ -172,12 +172,26 @@ def publish_version(df: DataFrame, base: str, version: str | None = None) -> str
     out.write(bytearray(version.encode()))
     out.close()
     _, cur = _fs(spark, f"{base.rstrip('/')}/_CURRENT")
-    if fs.exists(cur):
-        fs.delete(cur, False)
-    fs.rename(tmp, cur)
+    _replace_file(spark, fs, tmp, cur)
     return version
 
 
+def _replace_file(spark: SparkSession, fs, src, dst) -> None:
+    """Rename ``src`` over ``dst`` in one step where the filesystem allows it
+    (FileContext rename with OVERWRITE); otherwise delete then rename."""
+    jvm = spark.sparkContext._jvm
+    try:
+        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            dst.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        fc.rename(src, dst, opts)
+    except Exception:  # noqa: BLE001 - stores without atomic overwrite-rename
+        if fs.exists(dst):
+            fs.delete(dst, False)
+        fs.rename(src, dst)
+
+
 def current_version(spark: SparkSession, base: str) -> str | None:
     fs, cur = _fs(spark, f"{base.rstrip('/')}/_CURRENT")
     if not fs.exists(cur):
@@ -210,14 +224,9 @@ def insert_batch(df: DataFrame, path: str, batch_id: int) -> None:
     The batch lands in its own ``batch_id=`` partition, replaced on replay
     (dynamic partition overwrite), so re-running a batch cannot duplicate rows.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("batch_id", F.lit(int(batch_id)))
-           .write.mode("overwrite").partitionBy("batch_id").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.withColumn("batch_id", F.lit(int(batch_id)))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("batch_id").parquet(path))
 
 
 def jdbc_replace(df: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
