@@ -40,22 +40,40 @@ def fk_orphans(load: Callable[[str], DataFrame],
                fks: list[tuple[str, str, str, str]] | None = None) -> DataFrame:
     """Foreign-key values with no parent row (NULL FKs are not orphans).
 
+    Each child table is read once: its FK columns are unpivoted into
+    (fk, key) pairs and counted per distinct key (partial aggregation); each
+    parent table is read once for its distinct keys; one anti-join on
+    (parent, key) finds the orphans.
+
     Output: Child_Table, Child_Column, Parent_Table, Key_Value, Orphan_Rows.
     """
-    parts = []
-    for child, col, parent, pcol in fks or FOREIGN_KEYS:
-        keys = (load(child).where(F.col(col).isNotNull())
-                .groupBy(F.col(col).alias("_k")).agg(F.count(F.lit(1)).alias("Orphan_Rows")))
-        parents = load(parent).select(F.col(pcol).alias("_k")).distinct()
-        orphans = keys.join(parents, "_k", "left_anti")
-        parts.append(orphans.select(
-            F.lit(child).alias("Child_Table"), F.lit(col).alias("Child_Column"),
-            F.lit(parent).alias("Parent_Table"), F.col("_k").cast("string").alias("Key_Value"),
-            "Orphan_Rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fks = fks or FOREIGN_KEYS
+    by_child: dict[str, list[tuple[str, str, str]]] = {}
+    for child, col, parent, pcol in fks:
+        by_child.setdefault(child, []).append((col, parent, pcol))
+    child_keys = None
+    for child, refs in by_child.items():
+        pairs = load(child).select(F.inline(F.array(*[
+            F.struct(F.lit(col).alias("Child_Column"), F.lit(parent).alias("Parent_Table"),
+                     F.col(col).cast("string").alias("Key_Value"))
+            for col, parent, _ in refs])))
+        counted = (pairs.where(F.col("Key_Value").isNotNull())
+                   .groupBy("Child_Column", "Parent_Table", "Key_Value")
+                   .agg(F.count(F.lit(1)).alias("Orphan_Rows"))
+                   .withColumn("Child_Table", F.lit(child)))
+        child_keys = counted if child_keys is None else child_keys.unionByName(counted)
+    parents = {(parent, pcol) for _, _, parent, pcol in fks}
+    parent_keys = None
+    for parent, pcol in sorted(parents):
+        keys = load(parent).select(F.lit(parent).alias("Parent_Table"),
+                                   F.col(pcol).cast("string").alias("Key_Value")).distinct()
+        parent_keys = keys if parent_keys is None else parent_keys.unionByName(keys)
+    # A left-anti join would be pushed into every branch of the child union
+    # (duplicating the parent side per branch); an outer join + NULL test is not.
+    hit = parent_keys.withColumn("_hit", F.lit(True))
+    orphans = (child_keys.join(hit, ["Parent_Table", "Key_Value"], "left")
+               .where(F.col("_hit").isNull()))
+    return orphans.select("Child_Table", "Child_Column", "Parent_Table", "Key_Value", "Orphan_Rows")
 
 
 def schema_report(df: DataFrame, table: str) -> list[tuple[str, str]]:
