@@ -77,13 +77,14 @@ def label_batch(batch: DataFrame, rules_path: str | None) -> DataFrame:
 
 def start_ingest(spark: SparkSession, ticks: str, work: str, checkpoint: str,
                  rules_path: str | None = None, fmt: str = "parquet", available_now: bool = True,
-                 interval: str = "5 seconds"):
+                 interval: str = "5 seconds", max_files_per_trigger: int | None = None):
     """Query 1: ticks -> live rules -> labelled batches."""
     def write(batch: DataFrame, batch_id: int) -> None:
         (label_batch(batch, rules_path).write.mode("overwrite")
          .parquet(f"{work.rstrip('/')}/labelled/batch={batch_id}"))
 
-    w = read_ticks(spark, ticks, fmt).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    src = read_ticks(spark, ticks, fmt, max_files_per_trigger)
+    w = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
@@ -195,11 +196,17 @@ class SinkFanout:
 
 
 def start_smoothing(spark: SparkSession, work: str, checkpoint: str, init: DataFrame,
-                    fanout: SinkFanout, available_now: bool = True, interval: str = "5 seconds"):
-    """Query 2: labelled batches -> stateful EMA -> sink fan-out."""
+                    fanout: SinkFanout, available_now: bool = True, interval: str = "5 seconds",
+                    max_files_per_trigger: int | None = None):
+    """Query 2: labelled batches -> stateful EMA -> sink fan-out.
+
+    ``max_files_per_trigger`` bounds a micro-batch, and with it the rows one
+    machine contributes to a single state update.
+    """
     fs, p = _fs(spark, f"{work.rstrip('/')}/labelled")
     fs.mkdirs(p)
-    stream = read_ticks(spark, f"{work.rstrip('/')}/labelled", "parquet", recursive=True)
+    stream = read_ticks(spark, f"{work.rstrip('/')}/labelled", "parquet", max_files_per_trigger,
+                        recursive=True)
     smoothed = stateful_ema(stream, init)
     w = smoothed.writeStream.foreachBatch(fanout).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)

@@ -35,7 +35,8 @@ def _write_ticks(b, folder, cuts):
 def _run(spark, tmp, b, fanout, rules=None, max_files=None):
     q1 = live.start_ingest(spark, f"{tmp}/ticks", f"{tmp}/work", f"{tmp}/ck1", rules_path=rules)
     q1.awaitTermination()
-    q2 = live.start_smoothing(spark, f"{tmp}/work", f"{tmp}/ck2", _init(b), fanout)
+    q2 = live.start_smoothing(spark, f"{tmp}/work", f"{tmp}/ck2", _init(b), fanout,
+                              max_files_per_trigger=max_files)
     q2.awaitTermination()
 
 
