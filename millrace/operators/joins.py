@@ -14,7 +14,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.schemas import BOUNDED_TABLES, FOREIGN_KEYS, PRIMARY_KEYS
+from millrace.functions import hash_unit
+from millrace.schemas import BOUNDED_TABLES, FOREIGN_KEYS
 
 
 def maybe_broadcast(df: DataFrame, table: str) -> DataFrame:
@@ -74,7 +75,6 @@ def staff_lookup(machines: DataFrame, employees: DataFrame, roles: list[str],
     numbered = pools.withColumn(
         "_slot", F.row_number().over(Window.partitionBy("_pool").orderBy("Employee")) - 1)
     sizes = pools.groupBy("_pool").agg(F.count(F.lit(1)).alias("_k"))
-    from millrace.functions import hash_unit
     m = machines.withColumn("_pool", F.coalesce(F.col("Factory"), F.lit("*")))
     m = m.join(sizes, "_pool", "left").withColumn(
         "_slot", F.floor(hash_unit(slot_key) * F.col("_k")).cast("int"))

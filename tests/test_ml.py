@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from millrace.operators import ml
 from millrace.operators import timeseries as ts

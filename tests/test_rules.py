@@ -4,7 +4,6 @@ import datetime as dt
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from conftest import rows
 from millrace.operators import rules as R

@@ -3,9 +3,8 @@
 import gzip
 import os
 
-from pyspark.sql import functions as F
 
-from conftest import rows
+
 from millrace.sources import files as S
 
 SENSOR_CSV = (
