@@ -57,7 +57,7 @@ SELECT machine, count(*) AS Rule_Count, string_agg(sensor, ',' ORDER BY sensor)
 FROM maint_rules GROUP BY machine""", "D4")
 def _by_machine(m):
     bm = R.rules_by_machine(_rules(m))
-    return bm.select("machine", F.size("rules").alias("Rule_Count"),
+    return bm.select("machine", F.size("rules").cast("long").alias("Rule_Count"),
                      F.array_join(F.array_sort(F.map_keys("rules")), ",").alias("Ruled_Sensors"))
 
 
