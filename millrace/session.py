@@ -24,18 +24,21 @@ DEFAULT_CONF = {
 
 
 def cluster_conf(input_bytes: float, executor_cores: int = 4, executors: int = 1000,
-                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+                 target_partition_bytes: int = 256 << 20,
+                 max_partitions: int = 100_000) -> dict[str, str]:
     """Settings sized for a large input (e.g. 100 TB on 1,000 executors).
 
     * Shuffle partitions: about input / 256 MB (the largest stage shuffles at
-      most the scanned bytes after pruning), at least 3 waves of the cores, so
-      each reduce task holds ~256 MB and fits in executor memory without heavy
-      spill; AQE then coalesces small partitions and splits skewed ones.
+      most the scanned bytes after pruning), at least 3 waves of the cores and
+      at most ``max_partitions`` -- the shuffle keeps maps x reducers blocks,
+      so beyond ~100k reducers metadata and small random reads dominate; a
+      full 100 TB shuffle then has ~1 GB per reducer, which sort-based shuffle
+      spills safely. AQE coalesces small partitions and splits skewed ones.
     * Input splits of 256 MB; AQE advisory size equal to the target.
     * Skew: a partition counts as skewed at 5x the median and > 1 GB.
     """
     cores = executor_cores * executors
-    partitions = max(3 * cores, int(input_bytes // target_partition_bytes) + 1)
+    partitions = min(max_partitions, max(3 * cores, int(input_bytes // target_partition_bytes) + 1))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
