@@ -283,6 +283,11 @@ def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
         rows = rows.withColumn(f"_w_{c}", F.when(F.col(c).isNotNull(),
                                                  F.lit(alpha) * F.pow(F.lit(one), after) * F.col(c)))
         aggs += [F.sum(nn).alias(f"_m_{c}"), F.sum(f"_w_{c}").alias(f"_b_{c}")]
+    # Both later passes read these rows; they prune different columns, so
+    # without a cut the scan, join and window shuffle would run twice. The
+    # checkpoint (in the shared checkpoint folder) materialises them once.
+    checkpoint_dir(df.sparkSession)
+    rows = rows.checkpoint()
     summary = rows.groupBy(key, "_chunk").agg(*aggs)
 
     # pass 2: entry state of each chunk = composition of the earlier chunk maps
