@@ -20,9 +20,12 @@ def silver_sensor(fact_sensor: DataFrame) -> DataFrame:
     warehouse view. The 'None' error-code sentinel becomes NULL.
     """
     et = event_time("Timestamp", fact_sensor.schema["Timestamp"].dataType)
+    # A stored bronze table is partitioned by event_date (= date of Timestamp);
+    # using it here lets date filters on silver/gold prune partitions.
+    day = F.col("event_date") if "event_date" in fact_sensor.columns else F.to_date(et)
     return fact_sensor.where(F.col("Timestamp").isNotNull()).select(
         et.alias("Event_Time"),
-        F.to_date(et).alias("Event_Date"),
+        day.alias("Event_Date"),
         F.upper("Factory").alias("Factory_ID"),
         F.upper("Production_Line").alias("Line_ID"),
         F.upper("Machine").alias("Machine_ID"),

@@ -22,3 +22,15 @@ def test_stored_bronze_gives_same_gold_and_prunes(spark, tmp, smoke_dir):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert q.count() == live.fact_sensor.where(F.to_date("Timestamp") == F.lit(day)).count()
+
+
+def test_gold_date_filter_prunes_stored_partitions(spark, tmp, smoke_dir):
+    live = DriverTables(spark, smoke_dir)
+    write_bronze(live, f"{tmp}/bronze", ["fact_sensor"])
+    m = Medallion(spark, smoke_dir, bronze=BronzeFolder(spark, f"{tmp}/bronze"))
+    day = m.silver_sensor.select(F.max("Event_Date")).first()[0]
+    kpi = m.factory_kpi.where(F.col("Event_Date") == F.lit(day))
+    plan = kpi._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    ref = Medallion(spark, smoke_dir, bronze=live).factory_kpi.where(F.col("Event_Date") == F.lit(day))
+    assert rows(kpi) == rows(ref)
