@@ -264,13 +264,16 @@ def factory_maintenance_cost(silver_maint: DataFrame, dim_machine: DataFrame) ->
                   half_up(F.sum("Maintenance_Cost_USD"), 2).alias("Maintenance_Cost_USD")))
 
 
-def factory_efficiency(silver_prod: DataFrame, prod: DataFrame) -> DataFrame:
-    """Per factory and month: planned, produced, good units and yield ratios."""
-    f = prod.select(F.col("Production_Order").alias("_po"), F.col("__factory").alias("Factory")).distinct()
-    j = silver_prod.join(f, silver_prod["Production_Order"] == f["_po"], "left")
-    g = (j.groupBy("Factory", F.trunc(F.to_date("Start_Time"), "month").alias("Month"))
-          .agg(F.sum("Quantity_Planned").alias("Planned"), F.sum("Quantity_Produced").alias("Produced"),
-               F.sum("Good_Quantity").alias("Good")))
+def factory_efficiency(prod: DataFrame) -> DataFrame:
+    """Per factory and month: planned, produced, good units and yield ratios.
+
+    Rolls up the production rows themselves (each carries its factory), so no
+    join back by order id is needed -- order ids are not guaranteed unique.
+    """
+    g = (prod.groupBy(F.col("__factory").alias("Factory"),
+                      F.trunc(F.to_date("Start_Time"), "month").alias("Month"))
+         .agg(F.sum("Quantity_Planned").alias("Planned"), F.sum("Quantity_Produced").alias("Produced"),
+              F.sum(F.col("Quantity_Produced") - F.col("Scrap")).alias("Good")))
     return g.select("Factory", "Month", "Planned", "Produced", "Good",
                     half_up(safe_div("Produced", "Planned"), 4).alias("Output_Ratio"),
                     half_up(safe_div("Good", "Produced"), 4).alias("Good_Ratio"))

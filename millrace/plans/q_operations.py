@@ -251,18 +251,17 @@ def _maint_cost(m):
 
 
 @register("factory_efficiency", f"""
-WITH f AS (SELECT DISTINCT Production_Order, __factory AS Factory FROM fact_erp_production),
-g AS (SELECT f.Factory, CAST(date_trunc('month', CAST(sp.Start_Time AS DATE)) AS DATE) AS "Month",
-             CAST(sum(sp.Quantity_Planned) AS BIGINT) AS Planned,
-             CAST(sum(sp.Quantity_Produced) AS BIGINT) AS Produced,
-             CAST(sum(sp.Good_Quantity) AS BIGINT) AS Good
-      FROM silver_production sp LEFT JOIN f ON sp.Production_Order = f.Production_Order GROUP BY 1, 2)
+WITH g AS (SELECT __factory AS Factory, CAST(date_trunc('month', CAST(Start_Time AS DATE)) AS DATE) AS "Month",
+                  CAST(sum(Quantity_Planned) AS BIGINT) AS Planned,
+                  CAST(sum(Quantity_Produced) AS BIGINT) AS Produced,
+                  CAST(sum(Quantity_Produced - Scrap) AS BIGINT) AS Good
+           FROM fact_erp_production GROUP BY 1, 2)
 SELECT Factory, "Month", Planned, Produced, Good,
        {half_up('CAST(Produced AS DOUBLE) / CAST(nullif(Planned, 0) AS DOUBLE)', 4)} AS Output_Ratio,
        {half_up('CAST(Good AS DOUBLE) / CAST(nullif(Produced, 0) AS DOUBLE)', 4)} AS Good_Ratio
 FROM g""", "E1")
 def _efficiency(m):
-    return O.factory_efficiency(m.silver_production, m.bronze.fact_erp_production)
+    return O.factory_efficiency(m.bronze.fact_erp_production)
 
 
 @register("rolling_sensor_averages", """
