@@ -103,15 +103,26 @@ def failure_signature(fact_sensor: DataFrame, fact_maintenance: DataFrame, from_
 # ----------------------------------------------------------------- X3 / X4
 
 
-def expected_output(prod: DataFrame, uptime: DataFrame, yield_factor: float = 0.95,
-                    night_factor: float = 0.9) -> DataFrame:
-    """int(planned x yield x uptime), night shift x0.9 truncated again."""
-    u = uptime.select(F.col("Factory").alias("__factory"), F.col("Date").alias("_d"), "Uptime_Factor")
-    j = prod.join(u, (prod["__factory"] == u["__factory"]) & (F.to_date(prod["Start_Time"]) == u["_d"]), "left")
-    up = F.coalesce(F.col("Uptime_Factor"), F.lit(1.0))
+def expected_output(prod: DataFrame, fact_maintenance: DataFrame, dim_machine: DataFrame,
+                    yield_factor: float = 0.95, night_factor: float = 0.9) -> DataFrame:
+    """int(planned x yield x uptime), night shift x0.9 truncated again.
+
+    Uptime of the order's factory on its start day is looked up directly:
+    production rows join the (small) failed-machine counts per factory-day and
+    machine totals per factory -- no second pass over production.
+    """
+    total = dim_machine.groupBy(F.col("Factory").alias("_tf")).agg(F.count(F.lit(1)).alias("_tot"))
+    failed = (failed_machines(fact_maintenance, dim_machine)
+              .groupBy(F.col("Factory").alias("_ff"), F.col("Date").alias("_fd"))
+              .agg(F.count(F.lit(1)).alias("_failed")))
+    j = (prod.join(total, prod["__factory"] == total["_tf"], "left")
+             .join(failed, (prod["__factory"] == failed["_ff"])
+                   & (F.to_date(prod["Start_Time"]) == failed["_fd"]), "left"))
+    tot = F.coalesce(F.col("_tot"), F.lit(0))
+    up = F.when(tot > 0, 1.0 - safe_div(F.coalesce(F.col("_failed"), F.lit(0)), tot)).otherwise(F.lit(1.0))
     base = (F.col("Quantity_Planned") * F.lit(yield_factor) * up).cast("int")
     out = F.when(F.col("Shift") == "Night", (base * F.lit(night_factor)).cast("int")).otherwise(base)
-    return j.select("Production_Order", prod["__factory"].alias("Factory"), "Shift", "Quantity_Planned",
+    return j.select("Production_Order", F.col("__factory").alias("Factory"), "Shift", "Quantity_Planned",
                     up.alias("Uptime_Factor"), out.alias("Expected_Output"))
 
 

@@ -112,9 +112,7 @@ SELECT p.Production_Order, p.__factory AS Factory, p.Shift, p.Quantity_Planned,
 FROM fact_erp_production p
 LEFT JOIN up ON p.__factory = up.Factory AND CAST(p.Start_Time AS DATE) = up."Date\"""", "X3")
 def _expected_output(m):
-    prod = m.bronze.fact_erp_production
-    days = prod.select(F.col("__factory").alias("Factory"), F.to_date("Start_Time").alias("Date")).distinct()
-    return O.expected_output(prod, _uptime(m, days))
+    return O.expected_output(m.bronze.fact_erp_production, m.bronze.fact_maintenance, m.bronze.dim_machine)
 
 
 @register("expected_scrap", """
