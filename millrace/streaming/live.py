@@ -229,3 +229,45 @@ def factory_kpi_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame
                    .alias("Total_Errors"))
              .select("Factory_ID", F.to_date("w.start").alias("Event_Date"), "Active_Machines",
                      "Total_Power_Consumed_kW", "Total_Warnings", "Total_Errors"))
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Run the live pipeline: ``python -m millrace.streaming.live --ticks ... --work ...``."""
+    import argparse
+
+    from millrace.session import get_spark
+    from millrace.sources.bronze import BronzeFolder
+
+    ap = argparse.ArgumentParser(description="live telemetry pipeline")
+    ap.add_argument("--ticks", required=True, help="folder where tick files arrive")
+    ap.add_argument("--work", required=True, help="shared folder for labelled batches and sinks")
+    ap.add_argument("--bronze", required=True, help="stored bronze folder (for dim_machine)")
+    ap.add_argument("--rules", default=None, help="rule file, re-read every micro-batch")
+    ap.add_argument("--interval", default="5 seconds")
+    ap.add_argument("--max-files", type=int, default=None)
+    ap.add_argument("--available-now", action="store_true", help="process what is there, then stop")
+    a = ap.parse_args(argv)
+    spark = get_spark("millrace-live")
+    dm = BronzeFolder(spark, a.bronze).dim_machine
+    init = dm.select("Machine", F.col("normal_temp").alias("Temperature"),
+                     F.col("vibration_base").alias("Vibration"),
+                     F.col("power_kw").alias("Power_Consumption"), F.col("max_rpm").alias("RPM"))
+    work = a.work.rstrip("/")
+    q1 = start_ingest(spark, a.ticks, work, f"{work}/_checkpoints/ingest", a.rules,
+                      available_now=a.available_now, interval=a.interval,
+                      max_files_per_trigger=a.max_files)
+    fan = SinkFanout(work)
+    if a.available_now:
+        q1.awaitTermination()
+    q2 = start_smoothing(spark, work, f"{work}/_checkpoints/smooth", init, fan,
+                         available_now=a.available_now, interval=a.interval,
+                         max_files_per_trigger=a.max_files)
+    q2.awaitTermination()
+    if not a.available_now:
+        q1.awaitTermination()
+    for f in fan.failures:
+        log.error("sink failure: %s", f)
+
+
+if __name__ == "__main__":
+    main()

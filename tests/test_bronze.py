@@ -34,3 +34,13 @@ def test_gold_date_filter_prunes_stored_partitions(spark, tmp, smoke_dir):
     assert "PartitionFilters: [isnotnull(event_date" in plan
     ref = Medallion(spark, smoke_dir, bronze=live).factory_kpi.where(F.col("Event_Date") == F.lit(day))
     assert rows(kpi) == rows(ref)
+
+
+def test_medallion_job_writes_layers(spark, tmp, smoke_dir):
+    from millrace.plans.jobs import GOLD, SILVER, run_medallion
+    paths = run_medallion(spark, smoke_dir, f"{tmp}/lake")
+    for name in SILVER + list(GOLD):
+        assert spark.read.parquet(paths[name]).count() > 0, name
+    live = Medallion(spark, smoke_dir)
+    kpi = spark.read.parquet(paths["factory_kpi"]).select(*live.factory_kpi.columns)
+    assert rows(kpi) == rows(live.factory_kpi)

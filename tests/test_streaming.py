@@ -99,3 +99,12 @@ def test_factory_kpi_stream_matches_batch(spark, tmp, bronze):
         assert g["Total_Warnings"] == w["Total_Warnings"] and g["Total_Errors"] == w["Total_Errors"]
         assert abs(g["Total_Power_Consumed_kW"] - w["Total_Power_Consumed_kW"]) < 1e-6
         assert abs(g["Active_Machines"] - w["Active_Machines"]) <= max(1, 0.1 * w["Active_Machines"])
+
+
+def test_cli_available_now(spark, tmp, bronze):
+    from millrace.sources.bronze import write_bronze
+    write_bronze(bronze, f"{tmp}/bronze", ["dim_machine"])
+    _write_ticks(bronze, f"{tmp}/ticks", [(0, 40)])
+    live.main(["--ticks", f"{tmp}/ticks", "--work", f"{tmp}/work", "--bronze", f"{tmp}/bronze",
+               "--available-now"])
+    assert spark.read.parquet(f"{tmp}/work/history").count() == bronze.fact_sensor.count()
