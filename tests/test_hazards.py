@@ -168,3 +168,25 @@ def test_machine_filter_and_views(spark, smoke_dir):
     assert one.count() > 0 and {r["Machine"] for r in one.collect()} == {"M-00008"}
     m.register_views()
     assert spark.sql("SELECT count(*) FROM factory_kpi").first()[0] == m.factory_kpi.count()
+
+
+def test_oee_null_quantities_propagate(spark):
+    day = dt.date(2024, 1, 1)
+    p, d = _oee_inputs(spark, [(day, "P1", None, 10, 9, 1)], [])
+    r = gold.oee_daily(p, d).first()
+    assert r["Performance_Pct"] is None and r["OEE_Score"] is None      # H8: LEAST(1, NULL) is NULL
+    assert r["Availability_Pct"] == 1.0 and r["Quality_Pct"] == 0.9
+
+
+def test_production_with_unknown_product_is_kept(spark):
+    prod = spark.createDataFrame(
+        [("O1", "P-1", 10, 9, 1, dt.datetime(2024, 1, 1, 22, 0, 30), dt.datetime(2024, 1, 2, 6, 0, 0)),
+         ("O2", "P-404", 10, 9, 1, dt.datetime(2024, 1, 1, 6, 0), dt.datetime(2024, 1, 1, 14, 0))],
+        "Production_Order string, Product string, Quantity_Planned int, Quantity_Produced int, Scrap int, "
+        "Start_Time timestamp_ntz, End_Time timestamp_ntz")
+    products = spark.createDataFrame([("P-1", "ECONOMY")], "Product string, Factory_Type string")
+    out = {r["Production_Order"]: r for r in
+           silver.silver_production(conform(prod, "fact_erp_production"), products).collect()}
+    assert out["O2"]["Product_Category"] is None and out["O2"]["Good_Quantity"] == 8
+    assert out["O1"]["Product_Category"] == "ECONOMY"
+    assert out["O1"]["Duration_Minutes"] == 480          # 22:00:30 -> 06:00:00 crosses 480 minute marks
