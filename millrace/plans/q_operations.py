@@ -13,6 +13,7 @@ from millrace.plans.oracle import FRAGMENTS, half_up
 from millrace.plans.oracle import hash_unit as sql_hash_unit
 from millrace.plans.q_timeseries import _LEDGER_CTE, _any_shortage
 from millrace.plans.registry import register
+from millrace.sources.testdata import formatted
 
 
 def _kwh(expr: str) -> str:
@@ -353,7 +354,7 @@ def _scalars(m):
         F.greatest(F.lit(1), (F.col("Quantity_Produced") * 0.1).cast("int")).alias("Sample_Size"),
         three_phase_current(F.col("Quantity_Produced"), volts).alias("Three_Phase_Current"),
         F.replace(F.upper(F.concat("Shift", F.lit(" shift"))), F.lit(" "), F.lit("_")).alias("Header_Name"),
-        F.format_string("M-%05d", "Quantity_Produced").alias("Padded_Id"),
+        formatted("M-%05d", F.col("Quantity_Produced")).alias("Padded_Id"),
         uid("INSP-", "Production_Order").alias("Derived_Uid"),
         F.coalesce(F.try_element_at(shift_map, F.col("Shift")), F.lit(0.9)).alias("Map_Default"),
         F.col("Shift").isin("Night", "Evening").cast("int").alias("Label"),

@@ -38,8 +38,13 @@ def factory_of(user_id: Column) -> Column:
     return F.concat(F.lit("Plant "), _s(user_id % 4))
 
 
+def formatted(pattern: str, c: Column) -> Column:
+    """format_string that keeps NULL as NULL (as SQL printf does)."""
+    return F.when(c.isNotNull(), F.format_string(pattern, c))
+
+
 def machine_of(user_id: Column) -> Column:
-    return F.format_string("M-%05d", user_id)
+    return formatted("M-%05d", user_id)
 
 
 def line_of(user_id: Column) -> Column:
@@ -138,7 +143,7 @@ class DriverTables:
             F.greatest(F.lit(0), q + F.col("l_linenumber") - 3).alias("Quantity_Planned"),
             q.alias("Quantity_Produced"),
             F.least(q, (F.col("l_partkey") % 4).cast("int")).alias("Scrap"),
-            F.format_string("Supplier#%09d", F.col("l_suppkey")).alias("Operator"),
+            formatted("Supplier#%09d", F.col("l_suppkey")).alias("Operator"),
             shift.alias("Shift"),
             start.alias("Start_Time"),
             F.timestamp_add("HOUR", F.lit(8), start).alias("End_Time"),
@@ -269,7 +274,7 @@ class DriverTables:
     def dim_warehouse(self) -> DataFrame:
         n = self.raw("nation")
         return conform(n.select(
-            F.format_string("WH-%02d", F.col("n_nationkey")).alias("Warehouse"),
+            formatted("WH-%02d", F.col("n_nationkey")).alias("Warehouse"),
             F.concat(F.lit("Plant "), _s(F.col("n_regionkey"))).alias("Factory"),
             F.when(F.col("n_nationkey") % 2 == 0, "Raw Material").otherwise("Finished Goods").alias("Type"),
         ), "dim_warehouse")
