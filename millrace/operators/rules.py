@@ -217,3 +217,29 @@ def rules_from_maintenance(fact_maintenance: DataFrame) -> DataFrame:
         (F.col("Downtime") * 2).alias("min"), (F.col("Downtime") * 2 + 50).alias("max"),
         "Date", "Cost")
     return latest_rules(cand, ["Date", "Cost", "min"])
+
+
+# The machine-dimension column holding the nominal starting
+# state of each smoothed channel.
+NOMINAL_COLUMNS = {"Temperature": "normal_temp", "Vibration": "vibration_base",
+                   "Power_Consumption": "power_kw", "RPM": "max_rpm"}
+
+
+def initial_state(dim_machine: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Starting state per machine: a machine's baseline replaces the nominal
+    value of that sensor, other sensors keep the nominal value (J6).
+
+    ``baselines``: (machine, sensor, value) with display sensor names.
+    """
+    b = (baselines.where(F.col("value").isNotNull())
+         .groupBy(F.col("machine").alias("_bm"))
+         .agg(*[F.max(F.when(F.col("sensor") == disp, F.col("value"))).alias(f"_b_{column_of(disp)}")
+                for disp in ("Temperature", "Vibration")]))
+    j = dim_machine.join(b, dim_machine["Machine"] == b["_bm"], "left")
+    cols = []
+    for c, nominal in NOMINAL_COLUMNS.items():
+        v = F.col(nominal).cast("double")
+        if c in ("Temperature", "Vibration"):
+            v = F.coalesce(F.col(f"_b_{c}"), v)
+        cols.append(v.alias(c))
+    return j.select("Machine", *cols)

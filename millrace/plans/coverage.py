@@ -37,7 +37,7 @@ COVERAGE: dict[str, str] = {
     "P13": f"{_P}:display_columns", "P14": f"{_G}:oee_scores", "P15": f"{_F}:status_colour",
     # joins
     "J1": f"{_SI}:silver_production", "J2": f"{_G}:oee_daily", "J3": f"{_G}:ml_feature_view",
-    "J4": f"{_J}:star_join", "J5": f"{_R}:apply_rules", "J6": f"{_R}:baseline_merge",
+    "J4": f"{_J}:star_join", "J5": f"{_R}:apply_rules", "J6": f"{_R}:initial_state",
     "J7": f"{_J}:factory_products", "J8": f"{_J}:staff_lookup", "J9": f"{_J}:membership",
     # aggregations
     "A1": f"{_G}:machine_downtime", "A2": f"{_G}:daily_production", "A3": f"{_G}:oee_daily",

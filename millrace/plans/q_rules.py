@@ -176,3 +176,14 @@ def _breach(m):
     rows = m.bronze.fact_sensor.select("Machine", "Timestamp", "Temperature", "Vibration",
                                        "Power_Consumption", "RPM", "Pressure")
     return R.range_breach(rows, _rules(m), ["Machine", "Timestamp"])
+
+
+@register("ema_initial_state", """
+SELECT d.Machine, COALESCE(b.t, d.normal_temp) AS Temperature, COALESCE(b.v, d.vibration_base) AS Vibration,
+       d.power_kw AS Power_Consumption, d.max_rpm AS RPM
+FROM dim_machine d LEFT JOIN (
+    SELECT machine, max(CASE WHEN sensor = 'Temperature' THEN value END) AS t,
+           max(CASE WHEN sensor = 'Vibration' THEN value END) AS v
+    FROM machine_baselines WHERE value IS NOT NULL GROUP BY machine) b ON d.Machine = b.machine""", "J6")
+def _initial_state(m):
+    return R.initial_state(m.bronze.dim_machine, _baselines(m))

@@ -243,15 +243,16 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--work", required=True, help="shared folder for labelled batches and sinks")
     ap.add_argument("--bronze", required=True, help="stored bronze folder (for dim_machine)")
     ap.add_argument("--rules", default=None, help="rule file, re-read every micro-batch")
+    ap.add_argument("--baselines", default=None, help="baseline file (machine -> sensor -> value)")
     ap.add_argument("--interval", default="5 seconds")
     ap.add_argument("--max-files", type=int, default=None)
     ap.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     a = ap.parse_args(argv)
     spark = get_spark("millrace-live")
     dm = BronzeFolder(spark, a.bronze).dim_machine
-    init = dm.select("Machine", F.col("normal_temp").alias("Temperature"),
-                     F.col("vibration_base").alias("Vibration"),
-                     F.col("power_kw").alias("Power_Consumption"), F.col("max_rpm").alias("RPM"))
+    base = (R.read_baselines_file(spark, a.baselines) if a.baselines
+            else spark.createDataFrame([], "machine string, sensor string, value double"))
+    init = R.initial_state(dm, base)
     work = a.work.rstrip("/")
     q1 = start_ingest(spark, a.ticks, work, f"{work}/_checkpoints/ingest", a.rules,
                       available_now=a.available_now, interval=a.interval,
