@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import rules as R
-from millrace.operators.timeseries import EMA_ALPHA, rolling_retention, tail_n
+from millrace.functions import status_colour
+from millrace.operators.timeseries import EMA_ALPHA, latest_per_key, rolling_retention, tail_n, tail_per_key
 from millrace.schemas import SCHEMAS
 from millrace.session import ship_package
 from millrace.sources.files import _fs, insert_batch, jdbc_replace, publish_version, read_published
@@ -144,6 +145,13 @@ def live_kpis(window: DataFrame, n: int = 500) -> DataFrame:
                  F.avg("Power_Consumption").alias("Avg_Power"))
 
 
+def machine_status(window: DataFrame) -> DataFrame:
+    """Newest row per machine with its status colour (W1 + P15)."""
+    latest = latest_per_key(window.select("Machine", "Timestamp", "Mode", "Running_Status", "Error_Code"),
+                            "Machine", ORDER)
+    return latest.withColumn("Status_Colour", status_colour("Running_Status"))
+
+
 class SinkFanout:
     """``foreachBatch`` handler writing one micro-batch to every sink.
 
@@ -171,8 +179,12 @@ class SinkFanout:
         full = batch if prev is None else prev.unionByName(batch)
         kept = rolling_retention(full, "Machine", ORDER, self.per_machine)
         publish_version(kept, f"{self.work}/live", f"b{batch_id:012d}")
-        publish_version(live_kpis(read_published(spark, f"{self.work}/live", SENSOR_SCHEMA), self.kpi_rows),
-                        f"{self.work}/kpis", f"b{batch_id:012d}")
+        window = read_published(spark, f"{self.work}/live", SENSOR_SCHEMA)
+        version = f"b{batch_id:012d}"
+        publish_version(live_kpis(window, self.kpi_rows), f"{self.work}/kpis", version)
+        publish_version(machine_status(window), f"{self.work}/status", version)
+        publish_version(tail_per_key(window, "Machine", ORDER, 5, pos_col="Position"),
+                        f"{self.work}/recent", version)
 
     def relational(self, batch: DataFrame, batch_id: int) -> None:
         if self.jdbc:

@@ -65,6 +65,11 @@ def test_stream_equals_batch_and_restart_keeps_state(spark, tmp, bronze):
     assert live_rows.count() == min(10 * n_machines, bronze.fact_sensor.count())
     k = read_published(spark, f"{tmp}/work/kpis").first()
     assert k["Machines"] <= n_machines and k["Warnings"] == 0
+    status = read_published(spark, f"{tmp}/work/status")
+    assert status.count() == live_rows.select("Machine").distinct().count()
+    assert {r["Status_Colour"] for r in status.collect()} == {"green"}
+    recent = read_published(spark, f"{tmp}/work/recent")
+    assert recent.groupBy("Machine").count().agg(F.max("count")).first()[0] <= 5
 
 
 def test_rules_apply_from_next_batch_and_sink_isolation(spark, tmp, bronze):
