@@ -100,3 +100,21 @@ def test_stock_ledger_cases(spark):
     p2 = out[(2, 1)]                                   # exactly at safety stock: no refill
     assert (p2["Closing_Stock"], p2["Refilled"]) == (30, False)
     assert all(r["Closing_Stock"] >= 0 for r in out.values())
+
+
+def test_ema_hot_key_spans_many_chunks(spark):
+    data = [("HOT", T0 + dt.timedelta(seconds=7 * i), float((i * 13) % 40)) for i in range(600)]
+    for m in range(5):
+        data += [(f"C{m}", T0 + dt.timedelta(hours=i), float(i + m)) for i in range(4)]
+    df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double")
+    init = spark.createDataFrame([("HOT", 10.0)] + [(f"C{m}", 1.0) for m in range(5)],
+                                 "Machine string, Temperature double")
+    out = ts.ema_smooth(df, "Machine", "Timestamp", [], ["Temperature"], init, chunk_rows=25)
+    got = {}
+    for r in out.orderBy("Machine", "Timestamp").collect():
+        got.setdefault(r["Machine"], []).append(r["Temperature"])
+    assert len(got["HOT"]) == 600
+    want_hot = _fold([x for (m, _, x) in data if m == "HOT"], 10.0)
+    assert max(abs(a - b) for a, b in zip(got["HOT"], want_hot)) < 1e-9
+    for m in range(5):
+        assert got[f"C{m}"] == _fold([float(i + m) for i in range(4)], 1.0)
