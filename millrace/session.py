@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import zipfile
@@ -99,19 +101,31 @@ def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers (like ``--py-files``).
 
     Grouped pandas functions reference this package's code; executors that do
-    not have it installed receive a zip of it once per SparkContext.
+    not have it installed receive a zip of it once per SparkContext. The zip
+    is built in memory and written into the shared checkpoint folder, so no
+    machine-local folder is involved.
     """
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    zpath = os.path.join(tempfile.mkdtemp(prefix="millrace-pyfiles-"), "millrace.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
-        for dirpath, _dirs, files in os.walk(pkg_dir):
-            for f in files:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in sorted(os.walk(pkg_dir)):
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
+    data = buf.getvalue()
+    target = os.path.join(checkpoint_dir(spark), "pyfiles",
+                          f"millrace-{hashlib.sha1(data).hexdigest()[:12]}.zip")
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(target)
     sc._millrace_shipped = True
