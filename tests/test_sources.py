@@ -117,3 +117,11 @@ def test_jdbc_replace_requests_truncate(spark, monkeypatch):
 
     S.jdbc_replace(FakeDF(), "jdbc:postgresql://db/x", "fact_sensor_live", {"user": "u"})
     assert seen["mode"] == "overwrite" and seen["props"]["truncate"] == "true"
+
+
+def test_routing_uses_the_etl_file_names(spark, tmp):
+    src = os.path.join(tmp, "out")
+    os.makedirs(src)
+    write(src, "fact_sensor_historical.csv", SENSOR_CSV)     # name the upload dialog looked for (H5)
+    write(src, "dim_factory.csv", "Factory,Type,Location\nPlant A,Motor,Tokyo\n")
+    assert sorted(S.route_files(spark, src).values()) == ["dim_factory"]
