@@ -35,13 +35,12 @@ def _prediction_metrics(m):
 
 
 def _model(m):
-    key = id(m)
-    cache = _model.__dict__.setdefault("cache", {})
-    if key not in cache:
+    """Fit once per medallion (session + data folder); kept on the medallion."""
+    if not hasattr(m, "_failure_model"):
         frame = ml.training_frame(m.bronze.fact_sensor, _KEY)
         train, test = ml.split(frame, ["_key"])
-        cache[key] = (ml.fit(train), test)
-    return cache[key]
+        m._failure_model = (ml.fit(train), test)
+    return m._failure_model
 
 
 register("model_evaluation", None, "M1-M7 hold-out metrics of the random forest")(

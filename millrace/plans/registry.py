@@ -32,11 +32,13 @@ _MEDALLIONS: dict[tuple, Medallion] = {}
 
 
 def medallion(spark: SparkSession, sf_dir: str) -> Medallion:
-    key = (id(spark), sf_dir)
+    """The lazily built layers for one session and data folder (cached)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     ship_package(spark)
-    if key not in _MEDALLIONS:
-        _MEDALLIONS[key] = Medallion(spark, sf_dir)
-    return _MEDALLIONS[key]
+    m = _MEDALLIONS.get(key)
+    if m is None or m.spark is not spark:
+        m = _MEDALLIONS[key] = Medallion(spark, sf_dir)
+    return m
 
 
 def comparable(df: DataFrame) -> DataFrame:
