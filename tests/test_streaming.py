@@ -113,3 +113,24 @@ def test_cli_available_now(spark, tmp, bronze):
     live.main(["--ticks", f"{tmp}/ticks", "--work", f"{tmp}/work", "--bronze", f"{tmp}/bronze",
                "--available-now"])
     assert spark.read.parquet(f"{tmp}/work/history").count() == bronze.fact_sensor.count()
+
+
+def test_factory_kpi_stream_drops_late_days(spark, tmp, bronze):
+    first = bronze.fact_sensor.select(F.min(F.to_date("Timestamp"))).first()[0]
+    fs = bronze.fact_sensor.withColumn("_d", F.datediff(F.to_date("Timestamp"), F.lit(first)))
+    fs.where("_d >= 10").drop("_d").coalesce(1).write.mode("append").parquet(f"{tmp}/ticks")
+
+    def sink(batch, batch_id):
+        batch.write.mode("append").parquet(f"{tmp}/kpi_updates")
+
+    def run():
+        q = (live.factory_kpi_stream(live.read_ticks(spark, f"{tmp}/ticks"))
+             .writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", f"{tmp}/ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    fs.where("_d < 3").drop("_d").coalesce(1).write.mode("append").parquet(f"{tmp}/ticks")   # far too late
+    run()
+    days = {r["Event_Date"] for r in spark.read.parquet(f"{tmp}/kpi_updates").collect()}
+    assert days and all((d - first).days >= 10 for d in days)
