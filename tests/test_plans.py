@@ -44,3 +44,16 @@ def test_latest_per_key_is_partial_aggregation(spark, smoke_dir):
 def test_tail_per_key_limits_before_shuffle(spark, smoke_dir):
     p = plan(run("tail_per_machine", spark, smoke_dir))
     assert "WindowGroupLimit" in p
+
+
+def test_no_query_plans_a_cartesian_join_or_row_udf(spark, smoke_dir):
+    from __spark_entry__ import queries
+    bad = {}
+    for name, q in queries().items():
+        if name.startswith(("model_", "failure_risk")):
+            continue                    # these fit a model when built; covered in test_ml.py
+        p = plan(q(spark, smoke_dir))
+        hits = [m for m in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if m in p]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
