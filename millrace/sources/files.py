@@ -232,9 +232,10 @@ def insert_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def jdbc_replace(df: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
     """Replace a relational table's contents, keeping its definition.
 
-    ``truncate=true`` makes Spark TRUNCATE instead of DROP/CREATE on overwrite.
+    ``truncate=true`` makes Spark TRUNCATE instead of DROP/CREATE on overwrite;
+    rows are inserted in JDBC batches of ``batchsize`` per task connection.
     """
-    props = {"truncate": "true", **(properties or {})}
+    props = {"truncate": "true", "batchsize": "10000", **(properties or {})}
     df.write.mode("overwrite").jdbc(url, table, properties=props)
 
 

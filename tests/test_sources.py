@@ -117,6 +117,7 @@ def test_jdbc_replace_requests_truncate(spark, monkeypatch):
 
     S.jdbc_replace(FakeDF(), "jdbc:postgresql://db/x", "fact_sensor_live", {"user": "u"})
     assert seen["mode"] == "overwrite" and seen["props"]["truncate"] == "true"
+    assert seen["props"]["batchsize"] == "10000" and seen["props"]["user"] == "u"
 
 
 def test_routing_uses_the_etl_file_names(spark, tmp):
