@@ -44,3 +44,19 @@ def test_medallion_job_writes_layers(spark, tmp, smoke_dir):
     live = Medallion(spark, smoke_dir)
     kpi = spark.read.parquet(paths["factory_kpi"]).select(*live.factory_kpi.columns)
     assert rows(kpi) == rows(live.factory_kpi)
+
+
+def test_bucketed_facts_join_without_exchange(spark, tmp, smoke_dir):
+    from millrace.sources.bronze import write_bucketed
+    live = DriverTables(spark, smoke_dir)
+    write_bucketed(live, "bronze_b", f"{tmp}/bucketed", 8)
+    prod, ship = spark.table("bronze_b.fact_erp_production"), spark.table("bronze_b.fact_shipments")
+    j = ship.join(prod.select("Production_Order", "Product"), "Production_Order")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
+    assert j.count() == live.fact_shipments.join(live.fact_erp_production.select("Production_Order", "Product"),
+                                                 "Production_Order").count()
