@@ -133,8 +133,10 @@ class DriverTables:
         li = self.raw("lineitem")
         q = F.col("l_quantity").cast("int")
         flag = F.col("l_returnflag")
-        shift = F.when(flag == "A", "Morning").when(flag == "N", "Evening").when(flag == "R", "Night")
-        hour = F.when(flag == "A", 6).when(flag == "N", 14).when(flag == "R", 22)
+        shift, hour = F.lit(None).cast("string"), F.lit(None).cast("int")
+        for f, (name, start) in SHIFT_BY_FLAG.items():
+            shift = F.when(flag == f, F.lit(name)).otherwise(shift)
+            hour = F.when(flag == f, F.lit(start)).otherwise(hour)
         start = F.timestamp_add("HOUR", hour, F.col("l_shipdate"))
         df = li.select(
             F.concat(F.lit("ORD-"), _s(F.col("l_orderkey")), F.lit("-"),
@@ -247,10 +249,11 @@ class DriverTables:
     @cached_property
     def dim_employee(self) -> DataFrame:
         s = self.raw("supplier")
-        m = F.col("s_suppkey") % 4
-        role = F.when(m == 0, ROLE_BY_MOD[0]).when(m == 1, ROLE_BY_MOD[1]) \
-                .when(m == 2, ROLE_BY_MOD[2]).otherwise(ROLE_BY_MOD[3])
-        dept = F.when(m <= 1, "Production").when(m == 2, "Maintenance").otherwise("Quality")
+        m = F.col("s_suppkey") % len(ROLE_BY_MOD)
+        role, dept = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for i, r in enumerate(ROLE_BY_MOD):
+            role = F.when(m == i, F.lit(r)).otherwise(role)
+            dept = F.when(m == i, F.lit(DEPT_BY_ROLE[r])).otherwise(dept)
         return conform(s.select(F.col("s_name").alias("Employee"), dept.alias("Department"),
                                 role.alias("Role"),
                                 F.concat(F.lit("Plant "), _s(F.col("s_suppkey") % 5)).alias("Factory")),
