@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB SQL on the smallest driver tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -13,11 +14,20 @@ SQL = oracle_sql()
 QUERIES = queries()
 
 
+# MILLRACE_ORACLE_DIR=/root/testdata/sf0.01 runs the comparison at another scale.
+ORACLE_DIR = os.environ.get("MILLRACE_ORACLE_DIR")
+
+
+@pytest.fixture(scope="module")
+def data_dir(smoke_dir):
+    return ORACLE_DIR or smoke_dir
+
+
 @pytest.fixture(scope="module")
-def duck(smoke_dir):
+def duck(data_dir):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{smoke_dir}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data_dir}/{t}.parquet')")
     return con
 
 
@@ -42,8 +52,8 @@ def test_every_query_has_an_oracle_or_is_model_based():
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_matches_oracle(spark, duck, smoke_dir, name):
-    df = QUERIES[name](spark, smoke_dir)
+def test_query_matches_oracle(spark, duck, data_dir, name):
+    df = QUERIES[name](spark, data_dir)
     cols = df.columns
     got = [tuple(r) for r in df.collect()]
     cur = duck.execute(SQL[name])
