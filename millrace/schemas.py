@@ -122,9 +122,7 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
 # arrives (configuration-sized). Only these are broadcast by hint; everything
 # else is left to the planner's size threshold and AQE's runtime statistics.
 BOUNDED_TABLES: dict[str, int] = {
-    "dim_factory": 1_000,
-    "shifts": 24,
-    "rules": 100_000,
+    "dim_factory": 1_000,   # one row per plant
 }
 
 # File name -> bronze table routing ("live" files are excluded).
@@ -151,7 +149,3 @@ FILE_ROUTES: dict[str, str] = {
 def normalize_name(name: str) -> str:
     """Header normalisation used for by-name loading: upper-case, space -> '_'."""
     return name.strip().upper().replace(" ", "_")
-
-
-def schema_for(table: str) -> T.StructType:
-    return SCHEMAS[table]

@@ -95,11 +95,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers (like ``--py-files``).
 

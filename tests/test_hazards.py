@@ -190,3 +190,12 @@ def test_production_with_unknown_product_is_kept(spark):
     assert out["O2"]["Product_Category"] is None and out["O2"]["Good_Quantity"] == 8
     assert out["O1"]["Product_Category"] == "ECONOMY"
     assert out["O1"]["Duration_Minutes"] == 480          # 22:00:30 -> 06:00:00 crosses 480 minute marks
+
+
+def test_cluster_profile_sizes_partitions():
+    from millrace.session import cluster_conf
+    big = cluster_conf(100e12, executor_cores=4, executors=1000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000            # capped
+    small = cluster_conf(50e9, executor_cores=4, executors=10)
+    assert int(small["spark.sql.shuffle.partitions"]) == 187                # ~50 GB / 256 MB
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
