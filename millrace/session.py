@@ -85,7 +85,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local folder created.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) session: the server owns the folder
+        return conf_dir or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -103,7 +106,10 @@ def ship_package(spark: SparkSession) -> None:
     is built in memory and written into the shared checkpoint folder, so no
     machine-local folder is involved.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) session: install the package server-side
+        return
     if getattr(sc, "_millrace_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
