@@ -37,7 +37,9 @@ def _prediction_metrics(m):
 def _model(m):
     """Fit once per medallion (session + data folder); kept on the medallion."""
     if not hasattr(m, "_failure_model"):
-        frame = ml.training_frame(m.bronze.fact_sensor, _KEY)
+        # at most SAMPLE_ROWS + SYNTHETIC_ROWS rows whatever the input size, so
+        # keeping it for the fit and the hold-out scoring is bounded
+        frame = ml.training_frame(m.bronze.fact_sensor, _KEY).persist()
         train, test = ml.split(frame, ["_key"])
         m._failure_model = (ml.fit(train), test)
     return m._failure_model
