@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Three-phase current factor (sqrt 3 as used), and the failure-risk
+# band limits in percent (green below 30, amber below 75, red otherwise).
+SQRT3 = 1.732
+RISK_GREEN_BELOW, RISK_AMBER_BELOW = 30, 75
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -88,7 +94,7 @@ def sentinel_null(c, sentinel: str = "None") -> Column:
 def three_phase_current(power_kw, voltage) -> Column:
     """kW * 1000 / (V * 1.732); 0 when the voltage is not positive."""
     v = _c(voltage)
-    return F.when(v > 0, _c(power_kw) * 1000.0 / (v * 1.732)).otherwise(F.lit(0.0))
+    return F.when(v > 0, _c(power_kw) * 1000.0 / (v * SQRT3)).otherwise(F.lit(0.0))
 
 
 def unit_hash(key, salt: int = 0) -> Column:
@@ -126,8 +132,8 @@ def status_colour(status) -> Column:
 def risk_band(risk_pct) -> Column:
     """Failure-risk percentage -> traffic-light band (<30, <75, else)."""
     r = _c(risk_pct)
-    return (F.when(r < 30, F.lit("green"))
-            .when(r < 75, F.lit("amber"))
+    return (F.when(r < RISK_GREEN_BELOW, F.lit("green"))
+            .when(r < RISK_AMBER_BELOW, F.lit("amber"))
             .when(r.isNotNull(), F.lit("red")))
 
 

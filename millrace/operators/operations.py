@@ -81,6 +81,7 @@ def daily_failure_prob(dim_machine: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------- X2
 
+# Reading multipliers of a failing machine from mid-day on.
 FAILURE_FACTORS = {"Temperature": 1.5, "Vibration": 3.0, "Power_Consumption": 1.2,
                    "Noise": 1.4, "Pressure": 0.8}
 

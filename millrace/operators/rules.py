@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from millrace.functions import hash_unit
 
 # Sensor display names (as used in rule files) in channel order,
-# and the error codes drawn for disturbed machines.
+# the error codes drawn for disturbed machines, the default rule bounds and the
+# alert line texts.
 SENSOR_DISPLAY = ["Temperature", "Vibration", "Voltage", "Current", "Power Consumption",
                   "Pressure", "RPM", "Oil Level", "Humidity", "Noise"]
 ERROR_CODES = ["E101", "E204", "E309"]
