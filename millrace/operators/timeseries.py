@@ -185,28 +185,32 @@ def _replay_partitions(batches, key: str, value_cols: list[str], alpha: float):
     is carried across Arrow batches because a chunk may span two batches.
     NULL readings keep the state.
     """
-    cur = None
+    last_id = None
     state: dict[str, float] = {}
     for pdf in batches:
         if pdf.empty:
             continue
-        ids = list(zip(pdf[key].tolist(), pdf["_chunk"].tolist()))
-        xs = {c: pdf[c].to_numpy(dtype="float64", na_value=np.nan) for c in value_cols}
-        ins = {c: pdf[f"_in_{c}"].to_numpy(dtype="float64", na_value=np.nan) for c in value_cols}
-        outs = {c: np.empty(len(pdf)) for c in value_cols}
-        for i, ident in enumerate(ids):
-            if ident != cur:
-                cur = ident
-                state = {c: ins[c][i] for c in value_cols}
-            for c in value_cols:
-                v = xs[c][i]
-                s = state[c]
+        k = pdf[key].to_numpy()
+        ch = pdf["_chunk"].to_numpy()
+        starts = np.ones(len(pdf), dtype=bool)
+        starts[1:] = (k[1:] != k[:-1]) | (ch[1:] != ch[:-1])
+        if last_id == (k[0], ch[0]):
+            starts[0] = False          # the chunk continues from the previous batch
+        start = starts.tolist()
+        for c in value_cols:
+            xs = pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist()
+            ins = pdf[f"_in_{c}"].to_numpy(dtype="float64", na_value=np.nan).tolist()
+            s = state.get(c, float("nan"))
+            out = [0.0] * len(xs)
+            for i, v in enumerate(xs):
+                if start[i]:
+                    s = ins[i]
                 if v == v:
                     s = s + alpha * (v - s)
-                    state[c] = s
-                outs[c][i] = s
-        for c in value_cols:
-            pdf[c] = outs[c]
+                out[i] = s
+            state[c] = s
+            pdf[c] = out
+        last_id = (k[-1], ch[-1])
         yield pdf
 
 

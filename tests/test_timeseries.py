@@ -118,3 +118,20 @@ def test_ema_hot_key_spans_many_chunks(spark):
     assert max(abs(a - b) for a, b in zip(got["HOT"], want_hot)) < 1e-9
     for m in range(5):
         assert got[f"C{m}"] == _fold([float(i + m) for i in range(4)], 1.0)
+
+
+def test_ema_chunk_spanning_arrow_batches(spark):
+    data = [("A", T0 + dt.timedelta(minutes=i), None if i % 9 == 4 else float(i % 23)) for i in range(90)]
+    data += [("B", T0 + dt.timedelta(minutes=i), float(i)) for i in range(15)]
+    df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double")
+    init = spark.createDataFrame([("A", 5.0), ("B", 0.0)], "Machine string, Temperature double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = ts.ema_smooth(df, "Machine", "Timestamp", [], ["Temperature"], init)
+        got = {}
+        for r in out.orderBy("Machine", "Timestamp").collect():
+            got.setdefault(r["Machine"], []).append(r["Temperature"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["A"] == _fold([x for (m, _, x) in data if m == "A"], 5.0)
+    assert got["B"] == _fold([float(i) for i in range(15)], 0.0)
