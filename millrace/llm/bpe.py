@@ -4,9 +4,10 @@ A short text is encoded as a whole inside its task. A text of more than
 ``long_chars`` characters is cut into leaves that are rows of their own, spread
 over the cluster, encoded in parallel and put together again:
 
-* between an ASCII letter and a single space followed by an ASCII letter the
-  byte-level pattern always splits, so leaves that meet there are concatenated
-  as they are;
+* the byte-level pattern always splits between a visible character and a space
+  or line end, whatever stands around them, so leaves that meet there are
+  concatenated as they are, and a worker remembers the tokens of words it has
+  seen (at most ``MEMO_WORDS``);
 * a stretch without such a place is split by the tokenizer's own
   pre-tokenizer, and an unsplit piece of more than ``leaf_chars`` characters is
   halved until its parts are short. Encoded halves are joined by encoding a
@@ -39,7 +40,12 @@ LEAF_CHARS = 8_192
 WINDOW = 8
 BATCH_CHARS = 1 << 20
 
-_CUT = re.compile(r"[A-Za-z](?= [A-Za-z])")
+MEMO_WORDS = 300_000
+MEMO_CHARS = 64
+
+_CUT = re.compile(r"\S(?=[ \n])")
+_WORD = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+_OTHER_SPACE = re.compile(r"[^\S \t\r\n]")
 _CODERS: dict[int, "Coder"] = {}
 
 
@@ -56,8 +62,25 @@ class Coder:
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words not seen since the last turn are forgotten
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.memo, self.older = {}, self.memo
+        memo, get, older = self.memo, self.memo.get, self.older
+        plain = [_OTHER_SPACE.search(t) is None for t in texts]
+        pieces = [_WORD.findall(t) if p else [t] for t, p in zip(texts, plain)]
+        new: dict[str, bytes] = dict.fromkeys(w for ws in pieces for w in ws if w not in memo)
+        unseen = [w for w in new if w not in older]
+        new.update((w, older[w]) for w in new if w in older)
+        if unseen:
+            got = self.whole.encode_batch_fast(unseen, add_special_tokens=False)
+            new.update((w, pack(e.ids)) for w, e in zip(unseen, got))
+        out = [b"".join([get(w) or new[w] for w in ws]) for ws in pieces]
+        memo.update((w, x) for w, x in new.items() if len(w) <= MEMO_CHARS)
+        return out
 
     def decode_all(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -188,7 +211,7 @@ def encode(docs: DataFrame, source: Broadcast, id_col: str = "doc_id", text_col:
         c = coder(source)
         for b in batches:
             for at, part in _offsets(b.column("text").to_pylist()):
-                ids = [pack(x) for x in c.encode_all(part)]
+                ids = c.encode_all(part)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(at, len(part)), pa.array(ids, pa.binary())], names=["id", "ids"])
 
@@ -205,7 +228,7 @@ def encode(docs: DataFrame, source: Broadcast, id_col: str = "doc_id", text_col:
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(source)
         for b in batches:
-            ids = [pack(c.bare(x) if p else c.encode_all([x])[0])
+            ids = [pack(c.bare(x)) if p else c.encode_all([x])[0]
                    for p, x in zip(b.column("piece").to_pylist(), b.column("part").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), b.column("leaf"), b.column("piece"), pa.array(ids, pa.binary())],
