@@ -182,3 +182,23 @@ class Shared:
 def held_out(id_col: str | Column = "doc_id") -> Column:
     """True for the test fold: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id",
+                    text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """A bounded training sample for a 0/1 label, and the number of rows of each class.
+
+    Of each class the ``per_class`` ids of smallest hash are taken (all, if
+    fewer), so the sample does not depend on the layout of the tables. A
+    document labelled twice has its larger label.
+    """
+    own = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(
+        F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    own = docs.select(F.col(id_col).alias("id")).distinct().join(own, "id")
+    order = F.xxhash64(F.col("id").cast("string"), F.lit(label))
+    totals = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+    picked = [own.where(F.col("label") == c).orderBy(order, "id").limit(per_class) for c in (0, 1)]
+    chosen = docs.sparkSession.createDataFrame(
+        [tuple(r) for p in picked for r in p.collect()], own.schema)  # at most 2 x per_class ids
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), totals

@@ -31,3 +31,96 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.expr("octet_length(ids) div 4").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register
+def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import decontam
+    out = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op10_winnowing_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT item, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i, w
+  FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM bw),
+dw AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w
+  FROM d CROSS JOIN (SELECT DISTINCT n FROM wins)),
+hits AS (
+  SELECT x.doc_id, x.n, x.i, wins.item
+  FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM dw) x
+  JOIN wins ON wins.n = x.n AND wins.win = x.win),
+words_hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+items_hit AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+  FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""
+
+
+@register
+def op5_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import common, langid
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, ~common.held_out("doc_id"))
+    return out.select(F.col("id").alias("doc_id"), common.held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op2_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import topk
+    out = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op2_histogram_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM s)
+SELECT query_id, CAST(rnk AS INTEGER) AS rank, vec_id, score FROM r WHERE rnk <= 5
+"""
+
+
+@register
+def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import common, quality
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~common.held_out("doc_id"))
+    out = quality.score(docs, quality.fit(docs, labels))
+    return out.select(F.col("id").alias("doc_id"), common.held_out("id").alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import common, toxicity
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~common.held_out("doc_id"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select(F.col("id").alias("doc_id"), common.held_out("id").alias("held_out"),
+                      *(F.col(c).alias(f"p_{c}") for c in toxicity.CHAIN),
+                      (F.col(toxicity.LABELLED) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
