@@ -93,10 +93,10 @@ def op2_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_histogram_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
@@ -124,3 +124,24 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), common.held_out("id").alias("held_out"),
                       *(F.col(c).alias(f"p_{c}") for c in toxicity.CHAIN),
                       (F.col(toxicity.LABELLED) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register
+def op6_bagminhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import bagminhash
+    out = bagminhash.classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id")
+
+
+@register
+def op9_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import line_dedup
+    docs = table(spark, sf_dir, "documents")
+    gone, counts = line_dedup.find(docs)
+    gone = gone.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line", "first_id", "first_line"))).alias("gone"))
+    return (docs.select("doc_id").join(counts, F.col("doc_id") == counts["id"], "left").drop("id")
+            .join(gone, F.col("doc_id") == gone["id"], "left")
+            .select("doc_id", F.coalesce("lines", F.lit(0)).alias("n_lines"),
+                    F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+                    F.col("gone.line").alias("removed_lines"), F.col("gone.first_id").alias("first_doc_ids"),
+                    F.col("gone.first_line").alias("first_lines")))
