@@ -198,3 +198,22 @@ def score(docs: DataFrame, model: dict | float, id_col: str = "doc_id", text_col
                     [b.column("id").slice(i, j - i), pa.array(p.astype(np.float64))], names=["id", "score"])
 
     return rows.mapInArrow(run, f"id {kind}, score double")
+
+
+def keep(docs: DataFrame, model: dict | float, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores at least ``threshold``, all columns kept; no shuffle."""
+    common.start(docs.sparkSession)
+    if isinstance(model, float):
+        return docs if model >= threshold else docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            buf, off = common.text_buffer(b.column(place))
+            for i, j in common.slices(off):
+                p, _ = forward(m, *features(buf[off[i]: off[j]], off[i: j + 1] - off[i]))
+                yield b.slice(i, j - i).filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -145,3 +145,27 @@ def op9_line_edit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
                     F.col("gone.line").alias("removed_lines"), F.col("gone.first_id").alias("first_doc_ids"),
                     F.col("gone.first_line").alias("first_lines")))
+
+
+@register
+def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import pii
+    docs = table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs))
+
+    def written(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return out.select(F.col("id").alias("doc_id"), *(count(k) for k in pii.KINDS),
+                      F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+@register
+def op1_suffix_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import suffix_dedup
+    out = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
