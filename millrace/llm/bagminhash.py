@@ -165,7 +165,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pairs.join(a, "a").join(b, "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= least).select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = shared.write(pairs)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         texts = shared.write(known.join(ids, "id").dropDuplicates(["id"]))
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -174,7 +173,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lambda batches: _verify(batches, threshold), f"a {kind}, b {kind}")
 
     lab = linking.link(members, verify, shared, likely, sigs,
-                       lambda key, x, y: agreement(x, y) >= least)
+                       lambda x, y: agreement(x, y) >= least)
     # a document with several texts joins its classes: components over (first of copies, id) too
     named = signed.join(copies, "copy").join(lab.select(F.col("id").alias("first"), "comp"), "first", "left").select(
         "id", F.coalesce("comp", "first").alias("comp"))

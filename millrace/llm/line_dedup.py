@@ -7,8 +7,11 @@ left alone. Every line is split into max_edits + 1 segments: a line within
 max_edits edits holds at least one of them unchanged, at a place that the two
 lengths bound. So each line enters one bucket per (length, segment number,
 segment) of its own, and probes those buckets of the lengths down to max_edits
-less with its substrings at the possible places. Lines that meet are verified
-with a bit-parallel edit distance of a band of words.
+less with its substrings at the possible places. The few lines that meet another
+are split further: where a segment matches, the rest is split and probed again,
+``LEVELS / max_edits`` levels deep, so that lines which only share a half do not
+meet. Lines that still meet are verified with a bit-parallel edit distance
+inside a band of diagonals.
 
 Lines are known by a 128-bit hash; texts are read again only for the lines that
 meet. Similar lines form classes (connected lines); the first line of a class,
@@ -32,6 +35,7 @@ from millrace.llm import common, linking
 
 MAX_EDITS = 1
 FUZZY_BYTES = 16
+LEVELS = 6
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -85,29 +89,47 @@ def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def bucket_rows(p: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_rows(p: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int,
+                depth: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(line index, bucket) for the segments of every line and its probes of lengths down to max_edits less.
 
-    A probe of length d less may stand, for segment i, from i edits left to
-    max_edits - i edits right of the segment, seen from either end of the line.
+    ``depth`` levels: where a segment matches, the part that may still hold
+    edits is split and probed in the same way.
     """
-    length = end - start
-    parts = max_edits + 1
     who = np.arange(len(start))
     for less in range(max_edits + 1):
-        other = length - less
-        for i, (at, size) in enumerate(segments(other, parts)):
-            for shift in range(-max_edits, max_edits + 1):
-                left = abs(shift) <= i
-                right = abs(shift - less) <= max_edits - i
-                if not (left and right):
-                    continue
-                a = at + shift
-                ok = (a >= 0) & (a + size <= length) & (other >= parts)
-                h = common.span_hash(p, start[ok] + a[ok], start[ok] + a[ok] + size[ok])
-                with np.errstate(over="ignore"):
-                    tag = common.mix(other[ok].astype(np.uint64) * np.uint64(parts) + np.uint64(i))
-                yield who[ok], common.mix(h ^ tag)
+        yield from _matches(p, who, start, end, less, max_edits, np.zeros(len(start), np.uint64), depth)
+
+
+def _matches(p: np.ndarray, who: np.ndarray, start: np.ndarray, end: np.ndarray, less: int, edits: int,
+             tag: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of parts against parts ``less`` bytes shorter, at most ``edits`` edits apart.
+
+    Segment i of the other part may stand from i edits left to edits - i edits
+    right of its place, seen from either end.
+    """
+    other = end - start - less
+    ok = other >= 0
+    who, start, end, tag, other = who[ok], start[ok], end[ok], tag[ok], other[ok]
+    if not len(who):
+        return
+    with np.errstate(over="ignore"):
+        tag = common.mix(tag * common.BASE + other.astype(np.uint64) * np.uint64(64) + np.uint64(edits))
+    for i, (at, size) in enumerate(segments(other, edits + 1)):
+        for shift in range(-edits, edits + 1):
+            if abs(shift) > i or abs(shift - less) > edits - i:
+                continue
+            a = start + at + shift
+            ok = (a >= start) & (a + size <= end)
+            w, x, y, z, e = who[ok], start[ok], a[ok], (a + size)[ok], end[ok]
+            with np.errstate(over="ignore"):
+                t = common.mix((tag[ok] + np.uint64(i + 1)) * common.BASE + common.span_hash(p, y, z))
+            if depth == 1 or edits == 0:
+                yield w, t
+            elif edits > i:
+                yield from _matches(p, w, z, e, less - shift, edits - i, t, depth - 1)
+            else:
+                yield from _matches(p, w, x, y, shift, i, t, depth - 1)
 
 
 def within(a: bytes, b: bytes, most: int) -> bool:
@@ -184,20 +206,31 @@ def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int, fuzzy: int)
                     [pa.array(bucket.view(np.int64)), binary16(k[who])], names=["key", "id"])
 
 
+def _bucket_texts(batches: Iterator[pa.RecordBatch], max_edits: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """The buckets of single lines (id, raw), several levels deep."""
+    for b in batches:
+        raw = pa.Table.from_batches([b]).column("raw").cast(pa.large_binary()).combine_chunks()
+        off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset: raw.offset + len(raw) + 1]
+        buf = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        ids = b.column("id")
+        for i, j in common.slices(off, common.SLICE_BYTES // 4):
+            p = common.prefix_hash(buf[off[i]: off[j]])
+            own = off[i: j + 1] - off[i]
+            for who, bucket in bucket_rows(p, own[:-1], own[1:], max_edits, depth):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket.view(np.int64)), ids.take(pa.array(who + i))], names=["key", "id"])
+
+
 def _pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, raw) of the wanted line numbers of each text."""
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
         wanted = b.column("wanted").to_pylist()
         for i, j in common.slices(off):
             part = buf[off[i]: off[j]]
             row, number, start, end = lines(part, off[i: j + 1] - off[i])
-            first = np.searchsorted(row, np.arange(j - i + 1))
-            out = []
-            for r in range(j - i):
-                own = set(wanted[i + r])
-                for x in range(int(first[r]), int(first[r + 1])):
-                    if int(number[x]) in own:
-                        out.append(x)
+            own = {(r, x) for r in range(j - i) for x in wanted[i + r]}
+            out = [x for x, place in enumerate(zip(row.tolist(), number.tolist())) if place in own]
             k = keys(common.prefix_hash(part), common.prefix_hash(part, SECOND_BASE), start[out], end[out])
             yield pa.RecordBatch.from_arrays(
                 [binary16(k), pa.array([part[start[x]: end[x]].tobytes() for x in out], pa.binary())], names=["id", "raw"])
@@ -218,22 +251,26 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     kind = rows.schema["id"].dataType.simpleString()
     places = shared.write(rows.mapInArrow(_hash_lines, f"id {kind}, line int, k binary"))
+    firsts = shared.write(places.groupBy("k").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")))
+    # lines that share a bucket with another line, and their texts, read at their first place
     fuzzy = max(fuzzy_bytes, max_edits + 1)
     members = shared.write(rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy), "key bigint, id binary"))
-    firsts = shared.write(places.groupBy("k").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")))
+    buckets = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    both = members.join(buckets.select("key"), "key").select("id").distinct()
+    wanted = (firsts.join(both.withColumnRenamed("id", "k"), "k").groupBy(F.col("first.id").alias("id"))
+              .agg(F.collect_set("first.line").alias("wanted")))
+    texts = shared.write(rows.join(wanted, "id").mapInArrow(_pick_lines, "id binary, raw binary").dropDuplicates(["id"]))
+    # the same lines, each beside those that share all but a small part with it
+    depth = max(1, LEVELS // max_edits)
+    fine = shared.write(texts.mapInArrow(lambda b: _bucket_texts(b, max_edits, depth), "key bigint, id binary"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = shared.write(pairs)
-        ids = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        wanted = (firsts.join(ids, "k").groupBy(F.col("first.id").alias("id"))
-                  .agg(F.collect_set("first.line").alias("wanted")))
-        texts = shared.write(rows.join(wanted, "id").mapInArrow(_pick_lines, "id binary, raw binary").dropDuplicates(["id"]))
         a = texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a"))
         b = texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "raw_a", "raw_b").mapInArrow(
             lambda x: _verify(x, max_edits), "a binary, b binary")
 
-    lab = linking.link(members, verify, shared)
+    lab = linking.link(fine, verify, shared)
     # classes of several lines: those that occur again, and those linked to others
     classed = firsts.join(lab.withColumnRenamed("id", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     heads = classed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")

@@ -21,32 +21,27 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Shared
 
 PIVOT_ROUNDS = 4
+FEW = 4  # pairs per member up to which open buckets are compared in full at once
 
 
 def components(nodes: DataFrame, edges: DataFrame, shared: Shared) -> DataFrame:
     """(id, comp): nodes is (id, comp) so far, edges (a, b) join ids; comp is the least id of a component.
 
-    Components hook onto their least neighbour, chains are halved until they
-    are flat, and edges inside a component fall away.
+    Components hook onto their least neighbour, twice per round, and edges
+    inside a component fall away; the graph of components stays connected while
+    it shrinks, so none is split when no edge is left.
     """
     lab = nodes
     e = shared.write(_between(edges, lab))
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = shared.write(both.groupBy("a").agg(F.min("b").alias("m"))
-                          .select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
-        while True:
-            to = up.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-            new = shared.write(up.join(to, "comp").select("id", F.col("next").alias("comp"), (F.col("next") != F.col("comp")).alias("moved")))
-            moved = not new.where("moved").isEmpty()
-            shared.drop(up)
-            up = new
-            if not moved:
-                break
-        step = up.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        up = shared.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")))
+        over = up.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        step = shared.write(up.join(over, "to").select(F.col("a").alias("comp"), "next"))
         lab, old = shared.write(lab.join(step, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))), lab
-        e, old_e = shared.write(_between(e, up)), e
-        shared.drop(up, old_e, *([old] if hasattr(old, "shared_path") else []))
+        e, old_e = shared.write(_between(e, step.select(F.col("comp").alias("id"), F.col("next").alias("comp")))), e
+        shared.drop(up, step, old, old_e)
+    shared.drop(e)
     return lab
 
 
@@ -66,51 +61,60 @@ def open_buckets(members: DataFrame, shared: Shared) -> DataFrame:
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], shared: Shared,
          likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-         beside: DataFrame | None = None, likely_pair: Callable[[Column, Column, Column], Column] | None = None,
-         rounds: int = PIVOT_ROUNDS) -> DataFrame:
+         beside: DataFrame | None = None, likely_pair: Callable[[Column, Column], Column] | None = None,
+         rounds: int = PIVOT_ROUNDS, few: int = FEW) -> DataFrame:
     """(id, comp) of every id that shares a bucket with another.
 
     members: (key, id), repeats allowed. verify: pairs (a, b) -> those that are
     links. likely: a cheap filter of pairs that keeps links. beside (id, sig)
-    and likely_pair(key, sig_a, sig_b) do the same inside the last, full join.
+    and likely_pair(sig_a, sig_b) do the same inside the last, full join.
     """
     found = open_buckets(members, shared)
-    weight = found.groupBy("key").agg(F.count("*").alias("n"))
-    shares = found.join(weight, "key").groupBy("id").agg(F.sum("n").alias("shares"))
-    lab = shared.write(shares.select("id", F.col("id").alias("comp")))
-    shares = shared.write(shares)
-    for r in range(rounds):
+    lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
+    for r in range(rounds + 1):
         here = found.join(lab, "id")
-        mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        here = here.join(mixed, "key")
-        if r == 0:
-            order = F.struct("shares", F.xxhash64("id"))
-            here = here.join(shares, "id")
+        sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        state = sizes.groupBy("key").agg(
+            F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("top"),
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
+        here = shared.write(here.join(state, "key"))
+        pairs, n = here.agg(F.sum(F.col("pairs") / F.col("n")), F.count("*")).first()
+        if not n:
+            break
+        last = r == rounds or pairs <= few * n
+        if last:
+            found_pairs = _all_pairs(here, beside, likely_pair)
         else:
-            order = F.struct(F.xxhash64("key", "id", F.lit(r)))
-        pivot = here.groupBy("key").agg(F.max_by(F.struct("id", "comp"), order).alias("p"))
-        pairs = (here.join(pivot, "key").where(F.col("comp") != F.col("p.comp"))
-                 .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
-        pairs = shared.write(pairs)
-        if pairs.isEmpty():
-            return lab
-        links = shared.write(verify(likely(pairs)))
+            found_pairs = likely(_pivot_pairs(here, r))
+        links = shared.write(verify(shared.write(found_pairs)))
         lab = components(lab, links, shared)
-        shared.drop(pairs, links)
-    # every pair that is still open
-    here = shared.write(found.join(lab, "id"))
-    sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"))
-    here = here.join(top.where("comps > 1").drop("comps"), "key")
+        if last:
+            break
+        shared.drop(found)
+        found = shared.write(here.select("key", "id"))
+        shared.drop(here, links)
+    return lab
+
+
+def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
+    """Every member of an open bucket beside the bucket's pivot, unless they are in one component."""
+    if r == 0:
+        shares = here.groupBy("id").agg(F.sum("n").alias("shares"))
+        here, order = here.join(shares, "id"), F.struct("shares", F.xxhash64("id"))
+    else:
+        order = F.struct(F.xxhash64("key", "id", F.lit(r)))
+    pivot = here.groupBy("key").agg(F.max_by(F.struct("id", "comp"), order).alias("p"))
+    return (here.join(pivot, "key").where(F.col("comp") != F.col("p.comp"))
+            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
+
+
+def _all_pairs(here: DataFrame, beside: DataFrame | None, likely_pair: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Members outside their bucket's largest component beside all members of other components."""
     if beside is not None:
         here = here.join(beside, "id")
-    here = shared.write(here)
-    x = here.where("comp <> top").alias("x")
-    y = here.alias("y")
+    x, y = here.where("comp <> top").alias("x"), here.alias("y")
     on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
           & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))))
     if likely_pair is not None:
-        on = on & likely_pair(F.col("x.key"), F.col("x.sig"), F.col("y.sig"))
-    pairs = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = shared.write(verify(shared.write(pairs)))
-    return components(lab, links, shared)
+        on = on & likely_pair(F.col("x.sig"), F.col("y.sig"))
+    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
