@@ -17,8 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import risk_band, safe_div
-from millrace.operators.timeseries import _top_n_is_small, global_rank
+from millrace.functions import hash_unit, risk_band, safe_div
 
 # Model inputs and settings of the reference training run.
 FEATURES = ["Temperature", "Vibration", "Power_Consumption"]
@@ -38,29 +37,15 @@ def _hash(cols: Sequence[str], seed: int):
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = SEED) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, repeatable (M1).
 
-    The sample is the ``n`` rows with the smallest seeded hash of the key. The
-    rows are first narrowed to those whose hash falls under a threshold chosen
-    for about 2n survivors (widened until at least n survive, so the result is
-    exact), and only those are ranked -- the table is never sorted as a whole.
+    The sample is the ``n`` rows with the smallest seeded hash of the key. A
+    threshold that leaves about 2n + 1000 rows comes first (that fewer than n
+    pass is as good as impossible), so only those are ranked.
     """
     h = df.withColumn("_h", _hash(key_cols, seed))
-    total = h.count()
-    if total <= n:
-        return df
+    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row
     unit = (F.col("_h").cast("double") + 9.223372036854775808e18) / 1.8446744073709552e19
-    share = min(1.0, 2.0 * n / total)
-    cand = h
-    while share < 1.0:
-        cand = h.where(unit < F.lit(share))
-        if cand.count() >= n:
-            break
-        share = min(1.0, share * 2)
-    if share >= 1.0:
-        cand = h
-    if _top_n_is_small(cand, n):
-        return cand.orderBy("_h", *key_cols).limit(n).drop("_h")
-    ranked = global_rank(cand, ["_h", *key_cols], "_r", descending=False)
-    return ranked.where(F.col("_r") <= n).drop("_h", "_r")
+    near = h.crossJoin(F.broadcast(total)).where(unit < (2.0 * n + 1000) / F.col("_total")).drop("_total")
+    return near.orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
 def label(df: DataFrame, status_col: str = "Running_Status") -> DataFrame:
@@ -71,7 +56,14 @@ def label(df: DataFrame, status_col: str = "Running_Status") -> DataFrame:
 def synthetic_failures(spark: SparkSession, n: int = SYNTHETIC_ROWS, seed: int = SEED) -> DataFrame:
     """Extreme high-temperature/vibration/power rows with label 1 (M4)."""
     base = spark.range(n)
-    cols = [(F.lit(mu) + F.lit(sd) * F.randn(seed + i)).alias(c)
+
+    def normal(i: int):
+        """Box-Muller on two hash uniforms of the row's number: the same on any number of cores."""
+        u = 1.0 - hash_unit(F.col("id"), F.lit(seed), F.lit(2 * i))
+        v = hash_unit(F.col("id"), F.lit(seed), F.lit(2 * i + 1))
+        return F.sqrt(-2.0 * F.log(u)) * F.cos(v * 2.0 * 3.141592653589793)
+
+    cols = [(F.lit(mu) + F.lit(sd) * normal(i)).alias(c)
             for i, (c, (mu, sd)) in enumerate(SYNTHETIC_MEANS_SDS.items())]
     return base.select(F.concat(F.lit("synthetic-"), F.col("id").cast("string")).alias("_key"),
                        *cols, F.lit(1).alias("label"))
@@ -111,11 +103,23 @@ def fit(train: DataFrame) -> PipelineModel:
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds Risk_Pct = P(class 1) x 100 and Risk_Band."""
-    out = model.transform(df.dropna(subset=FEATURES))
-    risk = vector_to_array("probability")[1] * 100.0
+    """Adds Risk_Pct = P(class 1) x 100 and Risk_Band.
+
+    A row with a missing feature stays, with a NULL risk and prediction.
+    """
+    whole = F.lit(True)
+    for c in FEATURES:
+        whole = whole & F.col(c).isNotNull()
+    filled = df.withColumn("_whole", whole).withColumn("_given", F.struct(*FEATURES))
+    for c in FEATURES:
+        filled = filled.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    out = model.transform(filled)
+    for c in FEATURES:
+        out = out.withColumn(c, F.col("_given")[c])
+    out = out.withColumn("prediction", F.when(F.col("_whole"), F.col("prediction")))
+    risk = F.when(F.col("_whole"), vector_to_array("probability")[1] * 100.0)
     return (out.withColumn("Risk_Pct", risk).withColumn("Risk_Band", risk_band("Risk_Pct"))
-               .drop("features", "rawPrediction", "probability"))
+               .drop("features", "rawPrediction", "probability", "_whole", "_given"))
 
 
 def evaluate(pred: DataFrame, label_col: str = "label", pred_col: str = "prediction") -> DataFrame:

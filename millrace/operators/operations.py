@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import half_up, hash_unit, safe_div
+from millrace.functions import half_up, safe_div
 
 # Tariff and emission factor per kWh.
 COST_PER_KWH = 0.15
@@ -86,19 +86,27 @@ FAILURE_FACTORS = {"Temperature": 1.5, "Vibration": 3.0, "Power_Consumption": 1.
                    "Noise": 1.4, "Pressure": 0.8}
 
 
-def failure_signature(fact_sensor: DataFrame, fact_maintenance: DataFrame, from_hour: int = 13) -> DataFrame:
-    """What-if overlay: readings of a failing machine from mid-day on get the
+def failure_signature(fact_sensor: DataFrame, fact_maintenance: DataFrame, step_minutes: int = 60) -> DataFrame:
+    """What-if overlay: readings of a failing machine after mid-day get the
     failure signature (temperature x1.5, vibration x3, power x1.2, noise x1.4,
-    pressure x0.8, status Warning)."""
-    failing = fact_maintenance.select(F.col("Machine").alias("_fm"), F.col("Date").alias("_fd")).distinct()
+    pressure x0.8, status Warning, the day's failure code as error code).
+
+    A day has 1440 / step_minutes readings, numbered from 0; the signature
+    starts after the middle one.
+    """
+    failing = fact_maintenance.groupBy(F.col("Machine").alias("_fm"), F.col("Date").alias("_fd")).agg(
+        F.min("Failure").alias("_code"))
     j = fact_sensor.join(failing, (fact_sensor["Machine"] == failing["_fm"])
                          & (F.to_date(fact_sensor["Timestamp"]) == failing["_fd"]), "left")
-    hit = F.col("_fm").isNotNull() & (F.hour("Timestamp") >= from_hour)
+    minute = F.hour("Timestamp") * 60 + F.minute("Timestamp")
+    after = F.floor(minute / step_minutes) > (24 * 60 // step_minutes) // 2
+    hit = F.col("_fm").isNotNull() & after
     out = j
     for c, f in FAILURE_FACTORS.items():
         out = out.withColumn(c, F.when(hit, F.col(c) * f).otherwise(F.col(c)))
     out = out.withColumn("Running_Status", F.when(hit, F.lit("Warning")).otherwise(F.col("Running_Status")))
-    return out.withColumn("Failure_Window", hit).drop("_fm", "_fd")
+    out = out.withColumn("Error_Code", F.when(hit, F.col("_code")).otherwise(F.col("Error_Code")))
+    return out.withColumn("Failure_Window", hit).drop("_fm", "_fd", "_code")
 
 
 # ----------------------------------------------------------------- X3 / X4
@@ -145,54 +153,45 @@ def expected_scrap(prod: DataFrame, employees: DataFrame, failed_days: DataFrame
 # ----------------------------------------------------------------------- X5
 
 
-def inspection_plan(prod: DataFrame, sample_share: float = 0.1, base_defect: float = 0.02) -> DataFrame:
-    """One inspection row per sampled unit.
+def inspection_coverage(prod: DataFrame, quality: DataFrame, sample_share: float = 0.1) -> DataFrame:
+    """Inspections against the required sample, per product and day.
 
-    Units = produced + scrap (orders with none are skipped); sample =
-    max(1, int(0.1 x units)); a unit fails when u < 0.02 + scrap/units with u
-    a hash-uniform of (order, unit number).
+    Units = produced + scrap; required = max(1, int(0.1 x units)) where there
+    are units. Days with inspections but no production stay, with nothing
+    required.
     """
-    qty = F.col("Quantity_Produced") + F.col("Scrap")
-    p = prod.where(qty > 0).select(
-        "Production_Order", "Product", "Start_Time", qty.alias("_qty"),
-        safe_div(F.col("Scrap"), qty).alias("_scrap_rate"),
-        F.greatest(F.lit(1), (qty * F.lit(sample_share)).cast("int")).alias("_n"))
-    units = p.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("Unit"))
-    fail = hash_unit(F.col("Production_Order"), F.col("Unit")) < (F.lit(base_defect) + F.col("_scrap_rate"))
-    return units.select(
-        "Production_Order", "Unit", "Product", F.to_date("Start_Time").alias("Date"),
-        F.when(fail, 0).otherwise(1).alias("Pass"), F.when(fail, 1).otherwise(0).alias("Fail"))
+    need = (prod.groupBy("Product", F.to_date("Start_Time").alias("Date"))
+            .agg(F.sum(F.col("Quantity_Produced") + F.col("Scrap")).alias("Units")))
+    seen = quality.groupBy("Product", "Date").agg(
+        F.count(F.lit(1)).alias("Inspected"), F.sum("Fail").alias("Failed"))
+    j = need.join(seen, ["Product", "Date"], "full_outer")
+    units = F.coalesce("Units", F.lit(0))
+    required = F.when(units > 0, F.greatest(F.lit(1), (units * F.lit(sample_share)).cast("bigint"))).otherwise(F.lit(0))
+    inspected = F.coalesce("Inspected", F.lit(0))
+    return j.select("Product", "Date", units.alias("Units"), required.cast("bigint").alias("Required"),
+                    inspected.alias("Inspected"), F.coalesce("Failed", F.lit(0)).alias("Failed"),
+                    F.greatest(F.lit(0), required - inspected).cast("bigint").alias("Missing"))
 
 
 # ----------------------------------------------------------------------- X6
 
 
-def shipments_from_production(prod: DataFrame, shortage_days: DataFrame, customers: DataFrame) -> DataFrame:
-    """One shipment per order with output.
+def shipments_against_shortage(prod: DataFrame, shipments: DataFrame, shortage_days: DataFrame) -> DataFrame:
+    """Each order with output beside its shipment and its day's shortage.
 
-    Dispatch = production day; expected = dispatch + 1..5 days, + 3..10 more
-    when any part was short that day (Delayed, reason 'Inventory Shortage').
-    The customer is slot floor(u x n) of customers numbered by key (0..n-1).
+    An order without a shipment stays, with NULLs. A delay is explained by the
+    shortage when a part was short on the production day.
     """
-    sd = shortage_days.select(F.col("Date").alias("_sd"), F.col("Any_Shortage"))
-    n_cust = customers.select(F.count(F.lit(1))).first()[0]
-    p = prod.where(F.col("Quantity_Produced") > 0).withColumn("_disp", F.to_date("Start_Time"))
-    j = p.join(sd, p["_disp"] == sd["_sd"], "left")
-    short = F.coalesce(F.col("Any_Shortage"), F.lit(False))
-    base = 1 + F.floor(hash_unit(F.col("Production_Order"), F.lit("base")) * 5).cast("int")
-    delay = F.when(short, 3 + F.floor(hash_unit(F.col("Production_Order"), F.lit("delay")) * 8).cast("int")) \
-             .otherwise(F.lit(0))
-    slot = F.floor(hash_unit(F.col("Production_Order"), F.lit("customer")) * n_cust).cast("long")
-    c = customers.select(F.col("c_custkey").alias("_ck"), F.col("c_name").alias("Customer"))
-    j = j.withColumn("_slot", slot)
-    j = j.join(c, j["_slot"] == c["_ck"], "left")
-    return j.select(
-        F.col("Production_Order").alias("Shipment_ID"), "Production_Order",
-        F.coalesce(F.col("Customer"), F.lit("Unknown")).alias("Customer"), "Product",
-        F.col("Quantity_Produced").alias("Quantity"), F.col("_disp").alias("Dispatch_Date"),
-        F.date_add(F.col("_disp"), base + delay).alias("Expected_Delivery_Date"),
-        short.alias("Delayed"),
-        F.when(short, "Inventory Shortage").otherwise("None").alias("Delay_Reason"))
+    p = prod.where(F.col("Quantity_Produced") > 0).select(
+        "Production_Order", "Product", F.col("Quantity_Produced").alias("Quantity"),
+        F.to_date("Start_Time").alias("Production_Date"))
+    s = shipments.select("Production_Order", "Shipment_ID", "Dispatch_Date", "Expected_Delivery_Date", "Delayed", "Delay_Reason")
+    sd = shortage_days.select(F.col("Date").alias("Production_Date"), "Any_Shortage")
+    j = p.join(s, "Production_Order", "left").join(sd, "Production_Date", "left")
+    short = F.coalesce("Any_Shortage", F.lit(False))
+    return j.select("Production_Order", "Product", "Quantity", "Production_Date", "Shipment_ID", "Dispatch_Date",
+                    F.datediff("Expected_Delivery_Date", "Dispatch_Date").alias("Promised_Days"), "Delayed", "Delay_Reason",
+                    short.alias("Shortage_Day"), (F.col("Delayed") & short).alias("Delay_Explained"))
 
 
 # ----------------------------------------------------------------------- X7
@@ -246,15 +245,19 @@ def shift_multiplier(shift: Column | str) -> Column:
 def telemetry_gaps(readings: DataFrame, key: str, ts_col: str, step_minutes: int = 60) -> DataFrame:
     """Expected slots (key x day x step) that have no reading.
 
-    The grid covers each key's days with data; the grid is generated per
-    key-day with ``sequence`` and anti-joined to the occupied slots.
+    The grid runs from the feed's first day to its last, for every key that
+    ever reported, so a day on which a machine was silent is a gap as well. It
+    is generated per key-day with ``sequence`` and anti-joined to the occupied
+    slots.
     """
     ts = F.col(ts_col)
     day = F.to_date(ts).cast("timestamp_ntz")
     minute_of_day = F.hour(ts) * 60 + F.minute(ts)
     slot = F.timestamp_add("MINUTE", F.floor(minute_of_day / step_minutes).cast("int") * step_minutes, day)
-    occupied = readings.select(F.col(key), slot.alias("Slot_Start")).distinct()
-    days = readings.select(F.col(key), F.to_date(ts_col).alias("_day")).distinct()
+    occupied = readings.where(ts.isNotNull()).select(F.col(key), slot.alias("Slot_Start")).distinct()
+    keys = readings.select(F.col(key)).distinct()
+    span = readings.agg(F.min(F.to_date(ts)).alias("_from"), F.max(F.to_date(ts)).alias("_to"))  # one row
+    days = keys.crossJoin(F.broadcast(span)).select(key, F.explode(F.sequence("_from", "_to")).alias("_day"))
     grid = days.select(
         key, F.explode(F.sequence(
             F.col("_day").cast("timestamp_ntz"),
@@ -263,6 +266,44 @@ def telemetry_gaps(readings: DataFrame, key: str, ts_col: str, step_minutes: int
     return grid.join(occupied, [key, "Slot_Start"], "left_anti")
 
 
+# ---------------------------------------------------------------------- X10
+
+
+def causal_chain(prod: DataFrame, maintenance: DataFrame, dim_machine: DataFrame, quality: DataFrame,
+                 dim_employee: DataFrame, shipments: DataFrame, shortage_days: DataFrame) -> DataFrame:
+    """Failures -> output -> inspections -> shortage -> delays per factory and day.
+
+    Every factory-day of any source is a row. Inspections belong to the
+    inspector's factory, shipments to the factory of their order's production;
+    what has no factory is counted under 'Unassigned', so sums over factories
+    are totals. The shortage is a fact of the day, not of a factory.
+    """
+    none = F.lit("Unassigned")
+    pr = (prod.groupBy(F.coalesce(F.col("__factory"), none).alias("Factory"), F.to_date("Start_Time").alias("Date"))
+          .agg(F.sum("Quantity_Produced").alias("Produced"), F.sum("Scrap").alias("Scrap")))
+    machines = dim_machine.select("Machine", "Factory")
+    fl = (maintenance.join(machines, "Machine", "left").groupBy(F.coalesce("Factory", none).alias("Factory"), "Date")
+          .agg(F.count(F.lit(1)).alias("Failures"), F.sum("Downtime").alias("Downtime_Hours")))
+    staff = dim_employee.select(F.col("Employee").alias("Inspector"), "Factory")
+    qf = (quality.join(staff, "Inspector", "left").groupBy(F.coalesce("Factory", none).alias("Factory"), "Date")
+          .agg(F.sum("Fail").alias("Inspection_Fails")))
+    made = prod.select("Production_Order", F.col("__factory").alias("Factory"))
+    dl = (shipments.where("Delayed").join(made, "Production_Order", "left")
+          .groupBy(F.coalesce("Factory", none).alias("Factory"), F.col("Dispatch_Date").alias("Date"))
+          .agg(F.count(F.lit(1)).alias("Delayed_Shipments")))
+    values = ["Failures", "Downtime_Hours", "Produced", "Scrap", "Inspection_Fails", "Delayed_Shipments"]
+
+    def padded(df: DataFrame) -> DataFrame:
+        return df.select("Factory", "Date", *[F.col(v) if v in df.columns else F.lit(None).cast("double" if v == "Downtime_Hours" else "bigint").alias(v)
+                                              for v in values])
+
+    rows = padded(pr).unionByName(padded(fl)).unionByName(padded(qf)).unionByName(padded(dl))
+    days = rows.groupBy("Factory", "Date").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
+    short = shortage_days.select("Date", "Any_Shortage")
+    return days.join(short, "Date", "left").select(
+        "Factory", "Date", *values, F.coalesce("Any_Shortage", F.lit(False)).alias("Any_Shortage"))
+
+
 # ---------------------------------------------------------------------- E1
 
 

@@ -12,17 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import hash_unit
+from millrace.functions import three_phase_current
 
 # Sensor display names (as used in rule files) in channel order,
-# the error codes drawn for disturbed machines, the default rule bounds and the
-# alert line texts.
+# the default rule bounds and the alert line texts.
 SENSOR_DISPLAY = ["Temperature", "Vibration", "Voltage", "Current", "Power Consumption",
                   "Pressure", "RPM", "Oil Level", "Humidity", "Noise"]
-ERROR_CODES = ["E101", "E204", "E309"]
 RULE_DEFAULT_MIN, RULE_DEFAULT_MAX = 0.0, 100.0
 ALERT_RULE = "⚠️ %s | %s forced to %s-%s"
-ALERT_BASELINE = "\U0001f3af %s Baseline | %s"
+ALERT_BASELINE = "🎯 %s Baseline | %s"
 ALERT_NONE = "All sensors in IDEAL state."
 
 RULES_SCHEMA = T.StructType([
@@ -94,6 +92,11 @@ def rules_clear(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RULES_SCHEMA)
 
 
+def rules_clear_machines(rules: DataFrame, machines: DataFrame) -> DataFrame:
+    """The rules without those of the given machines."""
+    return rules.join(machines.select("machine").distinct(), "machine", "left_anti")
+
+
 def baseline_merge(current: DataFrame, updates: DataFrame) -> DataFrame:
     """Partial baseline update: supplied sensors change, others are kept.
 
@@ -133,34 +136,19 @@ def disturbed_machine_count(rules: DataFrame) -> DataFrame:
     return rules.agg(F.countDistinct("machine").alias("Disturbed_Machines"))
 
 
-def apply_rules(rows: DataFrame, rules: DataFrame, machine_col: str = "Machine",
-                ts_col: str = "Timestamp") -> DataFrame:
-    """Rule override and mode labelling for sensor rows.
+def label_modes(rows: DataFrame, rules: DataFrame, machine_col: str = "Machine") -> DataFrame:
+    """Mode labelling (D5, D6): a machine with any rule (even for an unknown sensor) runs in
+    'Custom Disturbance' mode with status 'Warning'.
 
-    A ruled sensor's target moves to ``min + (max - min) * u`` (u a hash of
-    machine, time and sensor); other sensors keep their value. A machine with
-    any rule (even for an unknown sensor) gets Mode 'Custom Disturbance',
-    status 'Warning' and an error code picked by hash; otherwise 'Ideal',
-    'Running', 'None'. Current is not recomputed from overridden power/voltage.
+    Readings and error codes are measured facts and stay; so do status and mode
+    of a machine without a rule.
     """
-    by_m = rules_by_machine(rules).withColumnRenamed("machine", "_rm")
-    j = rows.join(by_m, rows[machine_col] == by_m["_rm"], "left")
-    disturbed = F.coalesce(F.size("rules"), F.lit(0)) > 0
-    out = j
-    for disp in SENSOR_DISPLAY:
-        col = column_of(disp)
-        if col not in rows.columns:
-            continue
-        r = F.col("rules")[disp]
-        u = hash_unit(F.col(machine_col), F.col(ts_col), F.lit(disp))
-        out = out.withColumn(col, F.when(r.isNotNull(), r["min"] + (r["max"] - r["min"]) * u)
-                             .otherwise(F.col(col)))
-    code_idx = F.floor(hash_unit(F.col(machine_col), F.col(ts_col), F.lit("code")) * len(ERROR_CODES))
-    code = F.element_at(F.array(*[F.lit(c) for c in ERROR_CODES]), (code_idx + 1).cast("int"))
-    out = (out.withColumn("Mode", F.when(disturbed, "Custom Disturbance").otherwise("Ideal"))
-              .withColumn("Running_Status", F.when(disturbed, "Warning").otherwise("Running"))
-              .withColumn("Error_Code", F.when(disturbed, code).otherwise("None")))
-    return out.drop("_rm", "rules")
+    ruled = rules.select(F.col("machine").alias("_rm")).distinct()
+    j = rows.join(ruled, rows[machine_col] == ruled["_rm"], "left")
+    hit = F.col("_rm").isNotNull()
+    new = {"Mode": F.when(hit, "Custom Disturbance").otherwise(F.col("Mode")),
+           "Running_Status": F.when(hit, "Warning").otherwise(F.col("Running_Status"))}
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])
 
 
 def active_alerts(rules: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -180,11 +168,10 @@ def active_alerts(rules: DataFrame, baselines: DataFrame) -> DataFrame:
                      F.when(F.col("v").isNotNull(), F.concat(F.lit("Vib: "), F.col("v").cast("string")))))
                  .alias("Alert")))
     lines = r.unionByName(b)
-    n = lines.select(F.count(F.lit(1))).first()[0]
-    none = (rules.sparkSession.range(1)
+    # an aggregate without keys has one row also over no lines
+    none = (lines.agg(F.count("*").alias("n")).where("n = 0")
             .select(F.lit("none").alias("Alert_Type"), F.lit(None).cast("string").alias("Machine"),
-                    F.lit(ALERT_NONE).alias("Alert"))
-            .where(F.lit(n == 0)))
+                    F.lit(ALERT_NONE).alias("Alert")))
     return lines.unionByName(none)
 
 
@@ -192,18 +179,20 @@ def range_breach(rows: DataFrame, rules: DataFrame, id_cols: list[str],
                  machine_col: str = "Machine") -> DataFrame:
     """Readings outside their rule's [min, max].
 
-    Sensor columns are unpivoted to (Sensor, Value) and equi-joined to the rules
-    on (machine, sensor display name).
+    Rows are joined to their machine's rules (one map per machine) before
+    anything is unpivoted, so only the ruled sensors of ruled machines become
+    rows of their own.
     """
     present = [d for d in SENSOR_DISPLAY if column_of(d) in rows.columns]
-    long = rows.select(*id_cols, F.inline(F.array(*[
-        F.struct(F.lit(d).alias("Sensor"), F.col(column_of(d)).cast("double").alias("Value"))
-        for d in present])))
-    r = rules.select(F.col("machine").alias("_rm"), F.col("sensor").alias("_rs"),
-                     F.col("min").alias("Rule_Min"), F.col("max").alias("Rule_Max"))
-    j = long.join(r, (long[machine_col] == r["_rm"]) & (long["Sensor"] == r["_rs"]), "inner")
-    return (j.where((F.col("Value") < F.col("Rule_Min")) | (F.col("Value") > F.col("Rule_Max")))
-             .drop("_rm", "_rs"))
+    by_m = rules.where(F.col("sensor").isin(present))
+    by_m = rules_by_machine(by_m).withColumnRenamed("machine", "_rm")
+    value = F.lit(None).cast("double")
+    for d in present:
+        value = F.when(F.col("Sensor") == d, F.col(column_of(d)).cast("double")).otherwise(value)
+    j = rows.join(by_m, rows[machine_col] == by_m["_rm"], "inner")
+    long = j.select("*", F.explode("rules").alias("Sensor", "_r")).withColumn("Value", value)
+    return (long.where((F.col("Value") < F.col("_r.min")) | (F.col("Value") > F.col("_r.max")))
+            .select(*id_cols, "Sensor", "Value", F.col("_r.min").alias("Rule_Min"), F.col("_r.max").alias("Rule_Max")))
 
 
 def rules_from_maintenance(fact_maintenance: DataFrame) -> DataFrame:
@@ -220,16 +209,21 @@ def rules_from_maintenance(fact_maintenance: DataFrame) -> DataFrame:
     return latest_rules(cand, ["Date", "Cost", "min"])
 
 
-# The machine-dimension column holding the nominal starting
-# state of each smoothed channel.
-NOMINAL_COLUMNS = {"Temperature": "normal_temp", "Vibration": "vibration_base",
-                   "Power_Consumption": "power_kw", "RPM": "max_rpm"}
+# Starting state of each smoothed channel -- a column of the
+# machine dimension, or a number where the dimension has none -- and the
+# decimals its smoothed values are rounded to.
+NOMINAL = {"Temperature": "normal_temp", "Vibration": "vibration_base", "Voltage": 400.0, "Current": None,
+           "Power_Consumption": "power_kw", "Pressure": 100.0, "RPM": "max_rpm", "Oil_Level": 95.0,
+           "Humidity": 45.0, "Noise": 62.5}
+DECIMALS = {"Temperature": 2, "Vibration": 3, "Voltage": 2, "Current": 2, "Power_Consumption": 2,
+            "Pressure": 2, "RPM": 0, "Oil_Level": 2, "Humidity": 2, "Noise": 2}
 
 
 def initial_state(dim_machine: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Starting state per machine: a machine's baseline replaces the nominal
-    value of that sensor, other sensors keep the nominal value (J6).
+    """Starting state per machine and channel: a machine's baseline replaces the
+    nominal value of that sensor, other sensors keep the nominal value (J6).
 
+    The current starts at the three-phase current of nominal power and voltage.
     ``baselines``: (machine, sensor, value) with display sensor names.
     """
     b = (baselines.where(F.col("value").isNotNull())
@@ -238,8 +232,11 @@ def initial_state(dim_machine: DataFrame, baselines: DataFrame) -> DataFrame:
                 for disp in ("Temperature", "Vibration")]))
     j = dim_machine.join(b, dim_machine["Machine"] == b["_bm"], "left")
     cols = []
-    for c, nominal in NOMINAL_COLUMNS.items():
-        v = F.col(nominal).cast("double")
+    for c, nominal in NOMINAL.items():
+        if nominal is None:
+            v = three_phase_current(F.col("power_kw").cast("double"), F.lit(NOMINAL["Voltage"]))
+        else:
+            v = F.col(nominal).cast("double") if isinstance(nominal, str) else F.lit(nominal)
         if c in ("Temperature", "Vibration"):
             v = F.coalesce(F.col(f"_b_{c}"), v)
         cols.append(v.alias(c))

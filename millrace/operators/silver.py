@@ -9,7 +9,10 @@ from millrace.functions import event_time, minute_diff, safe_div, sentinel_null
 
 
 def _dec(c: str):
-    return F.col(c).try_cast("decimal(10,2)")
+    """decimal(10,2); a reading that does not fit fails the query, whatever the session's ANSI setting."""
+    d = F.col(c).try_cast("decimal(10,2)")
+    lost = F.col(c).isNotNull() & d.isNull()
+    return F.when(lost, F.raise_error(F.concat(F.lit(f"{c} out of range: "), F.col(c).cast("string"))).cast("decimal(10,2)")).otherwise(d)
 
 
 def silver_sensor(fact_sensor: DataFrame) -> DataFrame:

@@ -7,19 +7,18 @@ Scale notes
   result per input partition, not a sort of all its rows.
 * ``tail_per_key`` relies on the window-group-limit rewrite
   (``row_number() <= n`` is evaluated per input partition before the shuffle).
-* ``tail_n`` keeps a top-N when N is small (TakeOrderedAndProject); a large N
-  switches to a distributed global rank (range partitioning + per-partition
-  offsets), so nothing of size N passes through the driver.
+* ``tail_n`` is a top-N for a stated small N; a number of rows that grows with
+  the data (``newest``) is cut by counts per day and second instead.
 * ``ema_smooth`` is an exact sequential fold inside bounded chunks
   (key x time bucket) and an affine-map composition across chunks, so a hot
   key is spread over many tasks.
-* ``stock_ledger`` folds one row per part-day (pre-aggregated), i.e. at most
-  one row per calendar day per part, in a JVM higher-order ``aggregate``.
+* ``stock_ledger`` streams one row per part-day (pre-aggregated) through one
+  sorted pass; days without demand are folded in closed form.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import half_up
-from millrace.session import checkpoint_dir
 
 # ------------------------------------------------------------------ W1 / W5
 
@@ -44,99 +42,62 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], order_cols: Sequence
 
 # ------------------------------------------------------------------ W2 / W4
 
-# A top-N merges every input partition's best n rows in one task, so it is
-# used only while n x partitions stays small; beyond that the tail is found by
-# a distributed path (candidate pre-filter + distributed rank).
-TOP_N_DRIVER_LIMIT = 100_000
-TOP_N_MERGE_ROWS = 20_000_000
 
+def tail_n(df: DataFrame, n: int, order_cols: Sequence[str], rank_col: str | None = None) -> DataFrame:
+    """The ``n`` newest rows by ``order_cols`` (descending).
 
-def _top_n_is_small(df: DataFrame, n: int) -> bool:
-    if n > TOP_N_DRIVER_LIMIT:
-        return False
-    return n * df.rdd.getNumPartitions() <= TOP_N_MERGE_ROWS
-
-
-def _sortable_number(df: DataFrame, c: str):
-    t = df.schema[c].dataType
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp"))
-    if isinstance(t, T.DateType):
-        return F.unix_date(F.col(c)).cast("long")
-    if isinstance(t, T.NumericType):
-        return F.col(c).cast("double")
-    return None
-
-
-def tail_candidates(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
-    """A subset that provably contains the ``n`` newest rows.
-
-    Cuts at an approximate quantile of the leading order column with 10%
-    headroom, counts the rows at or above the cut and lowers the cut until at
-    least ``n`` remain; ties at the cut are kept, so the subset is exact.
+    For a stated, small ``n`` (a report's size): a top-N that keeps n rows per
+    input partition. A number of rows that grows with the data goes through
+    ``newest``, which never gathers them.
     """
-    v = _sortable_number(df, order_cols[0])
-    if v is None:
-        return df
-    total = df.count()
-    if total <= n:
-        return df
-    share = min(1.0, 1.1 * n / total)
-    while share < 1.0:
-        cut = df.select(F.percentile_approx(v, 1.0 - share, 10_000)).first()[0]
-        if cut is None:
-            return df
-        cand = df.where(v >= F.lit(cut))
-        if cand.count() >= n:
-            return cand
-        share = min(1.0, share * 2)
-    return df
+    order = [F.col(c).desc() for c in order_cols]
+    out = df.orderBy(*order).limit(n)
+    if rank_col:
+        out = out.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
+    return out
 
 
-def tail_n(df: DataFrame, n: int, order_cols: Sequence[str], rank_col: str | None = None) -> DataFrame:
-    """The ``n`` newest rows by ``order_cols`` (descending)."""
-    order = [F.col(c).desc() for c in order_cols]
-    if _top_n_is_small(df, n):
-        out = df.orderBy(*order).limit(n)
-        if rank_col:
-            out = out.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
-        return out
-    ranked = global_rank(tail_candidates(df, n, order_cols), order_cols, rank_col or "_rank")
-    out = ranked.where(F.col(rank_col or "_rank") <= n)
-    return out if rank_col else out.drop("_rank")
-
-
-def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank",
-                descending: bool = True) -> DataFrame:
-    """1..N position of every row under a (descending) order, distributed.
-
-    Range-partition and sort within partitions; each row's position inside its
-    partition comes from ``monotonically_increasing_id`` (partition index in the
-    upper bits, record number below), taken right after the sort and
-    checkpointed so it is stable. Per-partition row counts (one row per
-    partition, a proven bound) become offsets that are broadcast back; no
-    single-partition window and no second shuffle of the data.
+def newest(df: DataFrame, n: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+    """The newest rows by ``order_cols``, as many as the single value of ``n`` (one row, one column).
+
+    The first order column is a time. Counts per day, then per second of the
+    day in which the n-th row lies, give the second in which it lies; rows after
+    it are kept, and only that second's rows are ranked. Nothing runs before the
+    result is used, and no task gets more than the counts of a calendar, of a
+    day's seconds, or the rows of one second. Rows without a time come last.
     """
-    checkpoint_dir(df.sparkSession)
-    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
-    sorted_df = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id())).checkpoint()
-    counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0))
-         - F.col("_n")).alias("_off"))
-    in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (sorted_df.join(F.broadcast(offsets), "_pid")
-            .withColumn(rank_col, F.col("_off") + in_part + 1)
-            .drop("_pid", "_off", "_mid"))
+    ts = F.col(order_cols[0])
+    day, second = F.to_date(ts), F.date_trunc("second", ts)
+    n = n.select(F.col(n.columns[0]).cast("long").alias("_n"))
+
+    def cut(counts: DataFrame, by: str, goal: DataFrame, goal_col: str, new: str, rest: str) -> DataFrame:
+        """The bucket that holds the goal-th newest row, and how many rows of it are wanted."""
+        w = Window.orderBy(F.col(by).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = counts.withColumn("_run", F.sum("_c").over(w)).crossJoin(F.broadcast(goal))  # goal: one row
+        return (run.where((F.col("_run") >= F.col(goal_col)) & (F.col("_run") - F.col("_c") < F.col(goal_col)))
+                .select(F.col(by).alias(new), (F.col(goal_col) - F.col("_run") + F.col("_c")).alias(rest)))
+
+    days = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    d = cut(days, "_day", n, "_n", "_cut_day", "_rest_day")
+    within = df.join(F.broadcast(d), day.eqNullSafe(F.col("_cut_day")))
+    seconds = within.groupBy(second.alias("_second")).agg(F.count(F.lit(1)).alias("_c"))
+    s = cut(seconds, "_second", d.select("_rest_day"), "_rest_day", "_cut", "_rest")
+    # one row; none if fewer rows than wanted exist, and then every row is kept
+    edge = s.select(F.struct("_cut", "_rest").alias("_edge"), F.lit(1).alias("_one"))
+    one = n.select("_n", F.lit(1).alias("_one")).join(edge, "_one", "left").drop("_one")
+    cols = df.columns
+    j = df.crossJoin(F.broadcast(one)).where("_n > 0")
+    at = second.eqNullSafe(F.col("_edge._cut"))
+    all_kept = F.col("_edge").isNull()
+    after = all_kept | F.coalesce(second > F.col("_edge._cut"), second.isNotNull() & F.col("_edge._cut").isNull())
+    w = Window.partitionBy(second).orderBy(*[F.col(c).desc() for c in order_cols])
+    ties = (j.where(~all_kept & at).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_edge._rest")))
+    return j.where(after & ~(~all_kept & at)).select(*cols).unionByName(ties.select(*cols))
 
 
 def rolling_retention(df: DataFrame, key: str, order_cols: Sequence[str], per_key: int = 10) -> DataFrame:
     """Keep the newest ``per_key`` x (number of distinct keys) rows."""
-    n_keys = df.select(F.countDistinct(key)).first()[0] or 0
-    return tail_n(df, int(per_key * n_keys), order_cols)
+    return newest(df, df.agg((F.countDistinct(key) * per_key).alias("n")), order_cols)
 
 
 # ---------------------------------------------------------------------- W3
@@ -167,10 +128,24 @@ def row_position(df: DataFrame, key: str, order_cols: Sequence[str], pos_col: st
 
 
 def sequence_ids(df: DataFrame, order_cols: Sequence[str], fmt: str = "M-%05d",
-                 id_col: str = "Seq_ID") -> DataFrame:
-    """Running, zero-padded ids in a global ascending order (W7), ranked distributed."""
-    ranked = global_rank(df, order_cols, "_seq", descending=False)
-    return ranked.withColumn(id_col, F.format_string(fmt, F.col("_seq"))).drop("_seq")
+                 id_col: str = "Seq_ID", groups: int = 1) -> DataFrame:
+    """Running, zero-padded ids in a global ascending order.
+
+    Rows are numbered inside their group (the first ``groups`` order columns);
+    the running total of the group sizes is added. Only the list of groups is
+    ordered in one task.
+    """
+    lead, rest = list(order_cols[:groups]), list(order_cols[groups:])
+    sizes = df.groupBy(*lead).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in lead],
+                           F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    same = [df[c].eqNullSafe(F.col(f"_g_{c}")) for c in lead]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    number = F.row_number().over(Window.partitionBy(*lead).orderBy(*rest)) + F.col("_before")
+    return df.join(offsets, on).withColumn(id_col, F.format_string(fmt, number)).select(*df.columns, id_col)
 
 
 # ---------------------------------------------------------------------- W6
@@ -287,11 +262,6 @@ def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
         rows = rows.withColumn(f"_w_{c}", F.when(F.col(c).isNotNull(),
                                                  F.lit(alpha) * F.pow(F.lit(one), after) * F.col(c)))
         aggs += [F.sum(nn).alias(f"_m_{c}"), F.sum(f"_w_{c}").alias(f"_b_{c}")]
-    # Both later passes read these rows; they prune different columns, so
-    # without a cut the scan, join and window shuffle would run twice. The
-    # checkpoint (in the shared checkpoint folder) materialises them once.
-    checkpoint_dir(df.sparkSession)
-    rows = rows.checkpoint()
     summary = rows.groupBy(key, "_chunk").agg(*aggs)
 
     # pass 2: entry state of each chunk = composition of the earlier chunk maps
@@ -316,49 +286,76 @@ def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
 
 # ---------------------------------------------------------------------- W9
 
-LEDGER_ROW = T.StructType([
-    T.StructField("Date", T.DateType()),
-    T.StructField("Need", T.LongType()),
-    T.StructField("Opening_Stock", T.LongType()),
-    T.StructField("Consumed", T.LongType()),
-    T.StructField("Shortage", T.BooleanType()),
-    T.StructField("Refilled", T.BooleanType()),
-    T.StructField("Closing_Stock", T.LongType()),
-])
+LEDGER_COLUMNS = ["Day", "Need", "Opening_Stock", "Consumed", "Shortage", "Refilled", "Closing_Stock", "Until_Day"]
+
 
+def _fold_ledger(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """One pass over rows sorted by (key, day); each key ends with a row of Need NULL on day N."""
+    current, stock, day, rows = None, 0, 0, []
 
-def stock_ledger(demand: DataFrame, stock: DataFrame, key: str = "Part_Key",
-                 refill: int = 60) -> DataFrame:
-    """Per-part, time-ordered stock ledger over part-days.
+    def add(d: int, need: int, opening: int, consumed: int, refilled: bool, closing: int) -> None:
+        rows.append([current, d, need, opening, consumed, need > opening, refilled, closing, 0])
+
+    for pdf in batches:
+        out_rows = []
+        for k, d, need, opening, safety, refill in zip(*(pdf[c].tolist() for c in
+                                                         (key, "_day", "Need", "Opening_Stock", "Safety_Stock", "Refill"))):
+            if k != current:
+                current, stock, day = k, int(opening), 0
+            # quiet days: refilled while below the safety stock; the first day is always a row
+            while day < d and stock < safety:
+                add(day, 0, stock, 0, True, stock + int(refill))
+                stock += int(refill)
+                day += 1
+            if day < d and day == 0:
+                add(0, 0, stock, 0, False, stock)
+            day = d
+            if need != need or need is None:
+                for i, r in enumerate(rows):
+                    r[8] = (rows[i + 1][1] if i + 1 < len(rows) else d) - 1
+                out_rows += rows
+                rows = []
+            else:
+                consumed = min(int(need), stock)
+                after = stock - consumed
+                refilled = after < safety
+                closing = after + (int(refill) if refilled else 0)
+                add(d, int(need), stock, consumed, refilled, closing)
+                stock, day = closing, d + 1
+        yield pd.DataFrame(out_rows, columns=[key, *LEDGER_COLUMNS])
+
+
+def stock_ledger(demand: DataFrame, stock: DataFrame, key: str = "Part_Key") -> DataFrame:
+    """Per-part, time-ordered stock ledger over all production days.
 
     ``demand``: (key, Date, Need) with one row per part-day (sum needs first;
     within a day end stock = max(0, s - sum(need)) and a shortage happens iff
     sum(need) > s, for positive needs). ``stock``: (key, Opening_Stock,
-    Safety_Stock). Each day: consume min(need, stock), flag a shortage when
-    stock < need; at the end of the day add ``refill`` when the stock is below
-    the safety stock.
+    Safety_Stock, Refill), one row per part. Each production day (a day on which
+    any part has demand): consume min(need, stock), flag a shortage when
+    stock < need; at the end of the day add the part's refill when its stock is
+    below the safety stock. Also parts without demand that day are refilled.
+
+    A row stands for the part's first production day, each day with demand and
+    each day with a refill; ``Until_Date`` is the last production day on which
+    its closing stock holds, so the rows give the stock of every part-day.
+    Rows are streamed sorted by part and day; a part has at most a calendar of
+    them, and its quiet days cost one step per refill.
     """
-    per_part = (demand.groupBy(key)
-                .agg(F.array_sort(F.collect_list(F.struct("Date", F.col("Need").cast("long").alias("Need"))))
-                     .alias("_days"))
-                .join(stock, key, "left"))
-    safety = F.col("Safety_Stock").cast("long")
-
-    def step(acc, x):
-        s = acc["stock"]
-        need = x["Need"]
-        consumed = F.least(need, s)
-        after = s - consumed
-        refilled = after < safety
-        closing = after + F.when(refilled, F.lit(refill).cast("long")).otherwise(F.lit(0).cast("long"))
-        row = F.struct(x["Date"].alias("Date"), need.alias("Need"), s.alias("Opening_Stock"),
-                       consumed.alias("Consumed"), (need > s).alias("Shortage"),
-                       refilled.alias("Refilled"), closing.alias("Closing_Stock"))
-        return F.struct(closing.alias("stock"), F.array_append(acc["rows"], row).alias("rows"))
-
-    init = F.struct(F.col("Opening_Stock").cast("long").alias("stock"),
-                    F.array().cast(T.ArrayType(LEDGER_ROW)).alias("rows"))
-    return per_part.select(F.col(key), F.inline(F.aggregate("_days", init, step, lambda a: a["rows"])))
+    days = demand.select("Date").distinct()
+    calendar = days.select("Date", (F.row_number().over(Window.orderBy("Date")) - 1).cast("int").alias("_day"))
+    size = calendar.agg(F.count(F.lit(1)).cast("int").alias("_day"))
+    rows = demand.join(calendar, "Date").select(key, "_day", F.col("Need").cast("double").alias("Need"))
+    ends = stock.select(key).crossJoin(F.broadcast(size)).select(key, "_day", F.lit(None).cast("double").alias("Need"))
+    events = rows.unionByName(ends).join(stock, key, "inner")
+    kind = stock.schema[key].dataType.simpleString()
+    folded = (events.repartition(key).sortWithinPartitions(key, "_day")
+              .mapInPandas(lambda it: _fold_ledger(it, key),
+                           f"`{key}` {kind}, Day int, Need bigint, Opening_Stock bigint, Consumed bigint, "
+                           "Shortage boolean, Refilled boolean, Closing_Stock bigint, Until_Day int"))
+    until = calendar.select(F.col("Date").alias("Until_Date"), F.col("_day").alias("Until_Day"))
+    return (folded.join(calendar.withColumnRenamed("_day", "Day"), "Day").join(until, "Until_Day")
+            .select(key, "Date", "Need", "Opening_Stock", "Consumed", "Shortage", "Refilled", "Closing_Stock", "Until_Date"))
 
 
 def ema_rounding(df: DataFrame, decimals: dict[str, int]) -> DataFrame:

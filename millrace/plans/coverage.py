@@ -37,7 +37,7 @@ COVERAGE: dict[str, str] = {
     "P13": f"{_P}:display_columns", "P14": f"{_G}:oee_scores", "P15": f"{_F}:status_colour",
     # joins
     "J1": f"{_SI}:silver_production", "J2": f"{_G}:oee_daily", "J3": f"{_G}:ml_feature_view",
-    "J4": f"{_J}:star_join", "J5": f"{_R}:apply_rules", "J6": f"{_R}:initial_state",
+    "J4": f"{_J}:star_join", "J5": f"{_R}:label_modes", "J6": f"{_R}:initial_state",
     "J7": f"{_J}:factory_products", "J8": f"{_J}:staff_lookup", "J9": f"{_J}:membership",
     # aggregations
     "A1": f"{_G}:machine_downtime", "A2": f"{_G}:daily_production", "A3": f"{_G}:oee_daily",
@@ -57,12 +57,12 @@ COVERAGE: dict[str, str] = {
     "F4": f"{_SI}:silver_sensor", "F5": f"{_SI}:silver_quality", "F6": f"{_F}:iff",
     "F7": f"{_G}:oee_daily", "F8": f"{_F}:null_least", "F9": f"{_F}:half_up", "F10": f"{_F}:minute_diff",
     "F11": f"{_F}:safe_div", "F12": f"{_F}:ymd", "F13": f"{_F}:iso_timestamp", "F14": f"{_O}:shift_windows",
-    "F15": f"{_F}:at_hour", "F16": f"{_O}:expected_output", "F17": f"{_O}:inspection_plan",
+    "F15": f"{_F}:at_hour", "F16": f"{_O}:expected_output", "F17": f"{_O}:inspection_coverage",
     "F18": f"{_F}:three_phase_current", "F19": f"{_S}:normalize_columns", "F20": f"{_W}:sequence_ids",
-    "F21": f"{_F}:uid", "F22": f"{_R}:apply_rules", "F23": f"{_M}:label",
+    "F21": f"{_F}:uid", "F22": f"{_R}:label_modes", "F23": f"{_M}:label",
     # rules
-    "D1": f"{_R}:rule_upsert", "D2": f"{_R}:rules_clear", "D3": f"{_R}:baseline_merge",
-    "D4": f"{_R}:rules_by_machine", "D5": f"{_R}:apply_rules", "D6": f"{_R}:apply_rules",
+    "D1": f"{_R}:rule_upsert", "D2": f"{_R}:rules_clear_machines", "D3": f"{_R}:baseline_merge",
+    "D4": f"{_R}:rules_by_machine", "D5": f"{_R}:label_modes", "D6": f"{_R}:label_modes",
     "D7": f"{_R}:active_alerts", "D8": f"{_R}:range_breach",
     # streaming
     "ST1": f"{_ST}:read_ticks", "ST2": f"{_ST}:stateful_ema", "ST3": f"{_ST}:SinkFanout.retention",
@@ -74,7 +74,7 @@ COVERAGE: dict[str, str] = {
     "M9": f"{_M}:score", "M10": f"{_M}:score", "M11": f"{_F}:risk_band",
     # domain transforms
     "X1": f"{_O}:daily_failure_prob", "X2": f"{_O}:failure_signature", "X3": f"{_O}:expected_output",
-    "X4": f"{_O}:expected_scrap", "X5": f"{_O}:inspection_plan", "X6": f"{_O}:shipments_from_production",
+    "X4": f"{_O}:expected_scrap", "X5": f"{_O}:inspection_coverage", "X6": f"{_O}:shipments_against_shortage",
     "X7": f"{_O}:repair_cost", "X8": f"{_O}:shift_windows", "X9": f"{_O}:telemetry_gaps",
     "X10": "millrace.plans.q_operations:_causal",
     # data quality

@@ -18,7 +18,7 @@ _MACHINE = "printf('M-%05d', user_id)"
 _LINE = f"'Line ' || CAST(user_id % 5 + 1 AS VARCHAR) || ' - ' || {_PLANT}"
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _Q = "CAST(trunc(l_quantity) AS INTEGER)"
-_ORDER_ID = "'ORD-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+_ORDER_ID = "concat_ws('-', 'ORD', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
 def hash_unit(*cols: str) -> str:
@@ -39,10 +39,13 @@ FRAGMENTS["fact_sensor"] = f"""
 SELECT ts - INTERVAL 9125 DAY AS "Timestamp",
        {_PLANT} AS Factory, {_LINE} AS Production_Line, {_MACHINE} AS Machine,
        value AS Temperature, value + 0.001::DOUBLE AS Vibration,
-       NULL::DOUBLE AS Voltage, NULL::DOUBLE AS "Current",
-       value * 3 AS Power_Consumption, NULL::DOUBLE AS Pressure,
-       CAST({_K} * 60 AS DOUBLE) AS RPM, NULL::DOUBLE AS Oil_Level,
-       NULL::DOUBLE AS Humidity, NULL::DOUBLE AS Noise,
+       CAST(400 - event_id % 9 AS DOUBLE) AS Voltage,
+       value * 3 * 1000.0::DOUBLE / (CAST(400 - event_id % 9 AS DOUBLE) * 1.732::DOUBLE) AS "Current",
+       value * 3 AS Power_Consumption, CAST(95 + event_id % 11 AS DOUBLE) AS Pressure,
+       CAST({_K} * 60 AS DOUBLE) AS RPM,
+       CASE WHEN event_id % 17 <> 0 THEN CAST(90 + event_id % 10 AS DOUBLE) END AS Oil_Level,
+       CAST(40 + event_id % 13 AS DOUBLE) AS Humidity,
+       60 + CAST(event_id % 50 AS DOUBLE) / 10.0::DOUBLE AS Noise,
        CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Running' END AS Running_Status,
        CASE WHEN event_type = 'error' THEN 'E101' ELSE 'None' END AS Error_Code,
        CASE WHEN event_type = 'error' THEN 'Custom Disturbance' ELSE 'Ideal' END AS Mode
@@ -50,9 +53,10 @@ FROM events"""
 
 FRAGMENTS["fact_maintenance"] = f"""
 SELECT CAST(ts - INTERVAL 9125 DAY AS DATE) AS "Date", {_MACHINE} AS Machine,
-       'F' || CAST({_K} % 8 AS VARCHAR) AS Failure, NULL::VARCHAR AS Root_Cause,
+       'F' || CAST({_K} % 8 AS VARCHAR) AS Failure, 'RC' || CAST(event_id % 5 AS VARCHAR) AS Root_Cause,
        CASE WHEN value > 100 THEN 'Critical' ELSE 'High' END AS Severity,
-       'T' || CAST(user_id % 10 AS VARCHAR) AS Technician,
+       CASE WHEN event_id % 13 = 0 THEN 'T' || CAST(user_id % 10 AS VARCHAR)
+            ELSE printf('Supplier#%09d', user_id % 20) END AS Technician,
        CAST(event_id % 25 AS DOUBLE) AS Downtime, NULL::DOUBLE AS Repair_Time,
        CAST(event_id % 25 AS DOUBLE) * 150 + value AS Cost
 FROM events WHERE event_type = 'error'"""
@@ -79,7 +83,7 @@ SELECT 'INSP-' || CAST(doc_id AS VARCHAR) AS Inspection_ID,
        'INSP-' || CAST(doc_id AS VARCHAR) AS Inspection,
        CASE WHEN toxic = 1 THEN 'Surface Scratch' ELSE 'None' END AS Defect_Type,
        CAST(quality AS INTEGER) AS Pass, CAST(1 - quality AS INTEGER) AS Fail,
-       NULL::VARCHAR AS Inspector
+       CASE WHEN doc_id % 7 <> 0 THEN printf('Supplier#%09d', doc_id % 24) END AS Inspector
 FROM labels"""
 
 FRAGMENTS["fact_shipments"] = f"""
@@ -94,7 +98,7 @@ LEFT JOIN customer c ON o.o_custkey = c.c_custkey"""
 
 FRAGMENTS["part_day_demand"] = f"""
 SELECT 'P-' || CAST(l_partkey AS VARCHAR) AS Product, l_partkey AS Part_Key,
-       CAST(l_shipdate AS DATE) AS "Date", CAST(sum({_Q}) AS BIGINT) AS Need
+       CAST(l_shipdate AS DATE) AS "Date", CAST(sum({_Q} + least({_Q}, l_partkey % 4)) AS BIGINT) AS Need
 FROM lineitem GROUP BY l_partkey, CAST(l_shipdate AS DATE)"""
 
 FRAGMENTS["dim_machine"] = f"""
@@ -154,10 +158,10 @@ SELECT TRY_CAST("Timestamp" AS TIMESTAMP) AS Event_Time,
        CAST(TRY_CAST("Timestamp" AS TIMESTAMP) AS DATE) AS Event_Date,
        upper(Factory) AS Factory_ID, upper(Production_Line) AS Line_ID,
        upper(Machine) AS Machine_ID,
-       TRY_CAST(Temperature AS DECIMAL(10,2)) AS Temp_Celsius,
-       TRY_CAST(Vibration AS DECIMAL(10,2)) AS Vibration_Hz,
-       TRY_CAST(Power_Consumption AS DECIMAL(10,2)) AS Power_kW,
-       TRY_CAST(RPM AS DECIMAL(10,2)) AS Spindle_RPM,
+       CAST(Temperature AS DECIMAL(10,2)) AS Temp_Celsius,
+       CAST(Vibration AS DECIMAL(10,2)) AS Vibration_Hz,
+       CAST(Power_Consumption AS DECIMAL(10,2)) AS Power_kW,
+       CAST(RPM AS DECIMAL(10,2)) AS Spindle_RPM,
        Running_Status, Mode,
        CASE WHEN Error_Code = 'None' THEN NULL ELSE Error_Code END AS Error_Code
 FROM fact_sensor WHERE "Timestamp" IS NOT NULL"""

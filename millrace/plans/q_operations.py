@@ -10,7 +10,6 @@ from millrace.functions import (
 )
 from millrace.operators import operations as O
 from millrace.plans.oracle import FRAGMENTS, half_up
-from millrace.plans.oracle import hash_unit as sql_hash_unit
 from millrace.plans.q_timeseries import _LEDGER_CTE, _any_shortage
 from millrace.plans.registry import register
 from millrace.sources.testdata import formatted
@@ -84,8 +83,8 @@ def _fail_prob(m):
 
 
 @register("failure_signature", """
-WITH fm AS (SELECT DISTINCT Machine, "Date" FROM fact_maintenance),
-j AS (SELECT f.*, (fm.Machine IS NOT NULL AND hour(f."Timestamp") >= 13) AS hit
+WITH fm AS (SELECT Machine, "Date", min(Failure) AS code FROM fact_maintenance GROUP BY 1, 2),
+j AS (SELECT f.*, fm.code, (fm.Machine IS NOT NULL AND hour(f."Timestamp") > 12) AS hit
       FROM fact_sensor f LEFT JOIN fm ON f.Machine = fm.Machine AND CAST(f."Timestamp" AS DATE) = fm."Date")
 SELECT "Timestamp", Factory, Production_Line, Machine,
        CASE WHEN hit THEN Temperature * 1.5::DOUBLE ELSE Temperature END AS Temperature,
@@ -96,7 +95,7 @@ SELECT "Timestamp", Factory, Production_Line, Machine,
        RPM, Oil_Level, Humidity,
        CASE WHEN hit THEN Noise * 1.4::DOUBLE ELSE Noise END AS Noise,
        CASE WHEN hit THEN 'Warning' ELSE Running_Status END AS Running_Status,
-       Error_Code, Mode, hit AS Failure_Window
+       CASE WHEN hit THEN code ELSE Error_Code END AS Error_Code, Mode, hit AS Failure_Window
 FROM j""", "X2")
 def _signature(m):
     return O.failure_signature(m.bronze.fact_sensor, m.bronze.fact_maintenance)
@@ -132,39 +131,30 @@ def _expected_scrap(m):
     return O.expected_scrap(m.bronze.fact_erp_production, m.bronze.dim_employee, fd)
 
 
-@register("inspection_plan", f"""
-WITH p AS (
-  SELECT Production_Order, Product, Start_Time, Quantity_Produced + Scrap AS qty,
-         CAST(Scrap AS DOUBLE) / CAST(Quantity_Produced + Scrap AS DOUBLE) AS scrap_rate,
-         greatest(1, CAST(trunc((Quantity_Produced + Scrap) * 0.1::DOUBLE) AS INTEGER)) AS n
-  FROM fact_erp_production WHERE Quantity_Produced + Scrap > 0),
-u AS (SELECT p.*, CAST(g.Unit AS INTEGER) AS Unit FROM p, LATERAL generate_series(1, p.n) AS g(Unit))
-SELECT Production_Order, Unit, Product, CAST(Start_Time AS DATE) AS "Date",
-       CASE WHEN {sql_hash_unit('Production_Order', 'Unit')} < 0.02::DOUBLE + scrap_rate THEN 0 ELSE 1 END AS Pass,
-       CASE WHEN {sql_hash_unit('Production_Order', 'Unit')} < 0.02::DOUBLE + scrap_rate THEN 1 ELSE 0 END AS Fail
-FROM u""", "X5")
+@register("inspection_plan", """
+WITH need AS (SELECT Product, CAST(Start_Time AS DATE) AS "Date", CAST(sum(Quantity_Produced + Scrap) AS BIGINT) AS Units
+              FROM fact_erp_production GROUP BY 1, 2),
+seen AS (SELECT Product, "Date", count(*) AS Inspected, CAST(sum(Fail) AS BIGINT) AS Failed FROM fact_quality GROUP BY 1, 2),
+j AS (SELECT Product, "Date", COALESCE(Units, 0) AS Units, COALESCE(Inspected, 0) AS Inspected, COALESCE(Failed, 0) AS Failed
+      FROM need FULL OUTER JOIN seen USING (Product, "Date")),
+r AS (SELECT *, CASE WHEN Units > 0 THEN greatest(1, CAST(trunc(Units * 0.1::DOUBLE) AS BIGINT)) ELSE 0 END AS Required FROM j)
+SELECT Product, "Date", Units, CAST(Required AS BIGINT) AS Required, Inspected, Failed,
+       CAST(greatest(0, Required - Inspected) AS BIGINT) AS Missing FROM r""", "X5 (inspections held against the required sample)")
 def _inspection(m):
-    return O.inspection_plan(m.bronze.fact_erp_production)
-
-
-@register("shipments_from_production", _LEDGER_CTE + f""",
-sd AS (SELECT "Date", bool_or(Shortage) AS Any_Shortage FROM ledger GROUP BY "Date"),
-p AS (SELECT *, CAST(Start_Time AS DATE) AS disp FROM fact_erp_production WHERE Quantity_Produced > 0),
-j AS (SELECT p.*, COALESCE(sd.Any_Shortage, false) AS short,
-             CAST(floor({sql_hash_unit('p.Production_Order', "'customer'")} * (SELECT count(*) FROM customer))
-                  AS BIGINT) AS slot
-      FROM p LEFT JOIN sd ON p.disp = sd."Date")
-SELECT j.Production_Order AS Shipment_ID, j.Production_Order, COALESCE(c.c_name, 'Unknown') AS Customer,
-       j.Product, j.Quantity_Produced AS Quantity, j.disp AS Dispatch_Date,
-       j.disp + CAST(1 + floor({sql_hash_unit('j.Production_Order', "'base'")} * 5) AS INTEGER)
-              + CASE WHEN j.short THEN CAST(3 + floor({sql_hash_unit('j.Production_Order', "'delay'")} * 8) AS INTEGER)
-                     ELSE 0 END AS Expected_Delivery_Date,
-       j.short AS Delayed,
-       CASE WHEN j.short THEN 'Inventory Shortage' ELSE 'None' END AS Delay_Reason
-FROM j LEFT JOIN customer c ON j.slot = c.c_custkey""", "X6")
+    return O.inspection_coverage(m.bronze.fact_erp_production, m.bronze.fact_quality)
+
+
+@register("shipments_from_production", _LEDGER_CTE + """,
+sd AS (SELECT "Date", bool_or(Shortage) AS Any_Shortage FROM ledger GROUP BY "Date")
+SELECT p.Production_Order, p.Product, p.Quantity_Produced AS Quantity, CAST(p.Start_Time AS DATE) AS Production_Date,
+       s.Shipment_ID, s.Dispatch_Date, CAST(s.Expected_Delivery_Date - s.Dispatch_Date AS INTEGER) AS Promised_Days,
+       s.Delayed, s.Delay_Reason, COALESCE(sd.Any_Shortage, false) AS Shortage_Day,
+       s.Delayed AND COALESCE(sd.Any_Shortage, false) AS Delay_Explained
+FROM fact_erp_production p LEFT JOIN fact_shipments s ON p.Production_Order = s.Production_Order
+LEFT JOIN sd ON CAST(p.Start_Time AS DATE) = sd."Date"
+WHERE p.Quantity_Produced > 0""", "X6 (shipments held against shortage days)")
 def _shipments(m):
-    sd = _any_shortage(m)
-    return O.shipments_from_production(m.bronze.fact_erp_production, sd, m.bronze.raw("customer"))
+    return O.shipments_against_shortage(m.bronze.fact_erp_production, m.bronze.fact_shipments, _any_shortage(m))
 
 
 @register("repair_cost", f"""
@@ -192,7 +182,9 @@ def _shifts(m):
 
 @register("telemetry_gaps", """
 WITH occ AS (SELECT DISTINCT Machine, date_trunc('hour', "Timestamp") AS Slot_Start FROM fact_sensor),
-days AS (SELECT DISTINCT Machine, CAST("Timestamp" AS DATE) AS d FROM fact_sensor),
+days AS (SELECT m.Machine, CAST(g.d AS DATE) AS d FROM (SELECT DISTINCT Machine FROM fact_sensor) m,
+         (SELECT unnest(generate_series(min(CAST("Timestamp" AS DATE)), max(CAST("Timestamp" AS DATE)), INTERVAL 1 DAY)) AS d
+          FROM fact_sensor) g),
 grid AS (SELECT Machine, g.Slot_Start FROM days,
          LATERAL generate_series(CAST(d AS TIMESTAMP), CAST(d AS TIMESTAMP) + INTERVAL 23 HOUR,
                                  INTERVAL 1 HOUR) AS g(Slot_Start))
@@ -204,39 +196,25 @@ def _gaps(m):
 
 @register("causal_chain", _LEDGER_CTE + """,
 sd AS (SELECT "Date", bool_or(Shortage) AS Any_Shortage FROM ledger GROUP BY "Date"),
-pr AS (SELECT __factory AS Factory, CAST(Start_Time AS DATE) AS "Date",
-              CAST(sum(Quantity_Produced) AS BIGINT) AS Produced, CAST(sum(Scrap) AS BIGINT) AS Scrap
-       FROM fact_erp_production GROUP BY 1, 2),
-fl AS (SELECT dm.Factory, f."Date", count(*) AS Failures, sum(f.Downtime) AS Downtime_Hours
-       FROM fact_maintenance f JOIN dim_machine dm ON f.Machine = dm.Machine GROUP BY 1, 2),
-qf AS (SELECT "Date", CAST(sum(Fail) AS BIGINT) AS Inspection_Fails FROM fact_quality GROUP BY 1),
-dl AS (SELECT Dispatch_Date AS "Date", count(*) AS Delayed_Shipments FROM fact_shipments WHERE Delayed GROUP BY 1)
-SELECT pr.Factory, pr."Date", COALESCE(fl.Failures, 0) AS Failures,
-       COALESCE(fl.Downtime_Hours, 0.0::DOUBLE) AS Downtime_Hours, pr.Produced, pr.Scrap,
-       COALESCE(qf.Inspection_Fails, 0) AS Inspection_Fails,
-       COALESCE(sd.Any_Shortage, false) AS Any_Shortage,
-       COALESCE(dl.Delayed_Shipments, 0) AS Delayed_Shipments
-FROM pr LEFT JOIN fl ON pr.Factory = fl.Factory AND pr."Date" = fl."Date"
-LEFT JOIN qf ON pr."Date" = qf."Date" LEFT JOIN sd ON pr."Date" = sd."Date"
-LEFT JOIN dl ON pr."Date" = dl."Date\"""", "X10")
+src AS (
+  SELECT __factory AS Factory, CAST(Start_Time AS DATE) AS "Date", 0 AS Failures, 0.0::DOUBLE AS Downtime_Hours,
+         Quantity_Produced AS Produced, Scrap, 0 AS Inspection_Fails, 0 AS Delayed_Shipments FROM fact_erp_production
+  UNION ALL
+  SELECT dm.Factory, f."Date", 1, f.Downtime, 0, 0, 0, 0 FROM fact_maintenance f LEFT JOIN dim_machine dm ON f.Machine = dm.Machine
+  UNION ALL
+  SELECT e.Factory, q."Date", 0, 0.0, 0, 0, q.Fail, 0 FROM fact_quality q LEFT JOIN dim_employee e ON q.Inspector = e.Employee
+  UNION ALL
+  SELECT p.__factory, s.Dispatch_Date, 0, 0.0, 0, 0, 0, 1
+  FROM fact_shipments s LEFT JOIN fact_erp_production p ON s.Production_Order = p.Production_Order WHERE s.Delayed),
+t AS (SELECT COALESCE(Factory, 'Unassigned') AS Factory, "Date", CAST(sum(Failures) AS BIGINT) AS Failures,
+             sum(Downtime_Hours) AS Downtime_Hours, CAST(sum(Produced) AS BIGINT) AS Produced, CAST(sum(Scrap) AS BIGINT) AS Scrap,
+             CAST(sum(Inspection_Fails) AS BIGINT) AS Inspection_Fails, CAST(sum(Delayed_Shipments) AS BIGINT) AS Delayed_Shipments
+      FROM src GROUP BY 1, 2)
+SELECT t.*, COALESCE(sd.Any_Shortage, false) AS Any_Shortage FROM t LEFT JOIN sd ON t."Date" = sd."Date\"""", "X10")
 def _causal(m):
     b = m.bronze
-    pr = (b.fact_erp_production.groupBy(F.col("__factory").alias("Factory"), F.to_date("Start_Time").alias("Date"))
-          .agg(F.sum("Quantity_Produced").alias("Produced"), F.sum("Scrap").alias("Scrap")))
-    fl = (b.fact_maintenance.join(b.dim_machine.select("Machine", "Factory"), "Machine", "inner")
-          .groupBy("Factory", "Date").agg(F.count(F.lit(1)).alias("Failures"),
-                                          F.sum("Downtime").alias("Downtime_Hours")))
-    qf = b.fact_quality.groupBy("Date").agg(F.sum("Fail").alias("Inspection_Fails"))
-    sd = _any_shortage(m).select("Date", "Any_Shortage")
-    dl = (b.fact_shipments.where("Delayed").groupBy(F.col("Dispatch_Date").alias("Date"))
-          .agg(F.count(F.lit(1)).alias("Delayed_Shipments")))
-    j = (pr.join(fl, ["Factory", "Date"], "left").join(qf, "Date", "left")
-           .join(sd, "Date", "left").join(dl, "Date", "left"))
-    return j.select("Factory", "Date", F.coalesce("Failures", F.lit(0)).alias("Failures"),
-                    F.coalesce("Downtime_Hours", F.lit(0.0)).alias("Downtime_Hours"), "Produced", "Scrap",
-                    F.coalesce("Inspection_Fails", F.lit(0)).alias("Inspection_Fails"),
-                    F.coalesce("Any_Shortage", F.lit(False)).alias("Any_Shortage"),
-                    F.coalesce("Delayed_Shipments", F.lit(0)).alias("Delayed_Shipments"))
+    return O.causal_chain(b.fact_erp_production, b.fact_maintenance, b.dim_machine, b.fact_quality, b.dim_employee,
+                          b.fact_shipments, _any_shortage(m))
 
 
 @register("factory_maintenance_cost", f"""

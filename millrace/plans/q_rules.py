@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import rules as R
-from millrace.plans.oracle import FRAGMENTS, hash_unit
+from millrace.plans.oracle import FRAGMENTS
 from millrace.plans.registry import register
 
 FRAGMENTS["maint_rule_candidates"] = """
@@ -85,37 +85,14 @@ def _upsert(m):
     return R.rule_upsert(base, new)
 
 
-_OVERRIDE_SENSORS = ["Temperature", "Vibration", "Power Consumption", "RPM", "Pressure"]
-
-
-def _override_sql() -> str:
-    piv = ",\n".join(
-        f"""max(CASE WHEN sensor = '{d}' THEN "min" END) AS "{d}_lo", """
-        f"""max(CASE WHEN sensor = '{d}' THEN "max" END) AS "{d}_hi", """
-        f"""bool_or(sensor = '{d}') AS "{d}_on\"""" for d in _OVERRIDE_SENSORS)
-    cols = []
-    for d in _OVERRIDE_SENSORS:
-        c = R.column_of(d)
-        u = hash_unit("f.Machine", 'f."Timestamp"', f"'{d}'")
-        cols.append(f"""CASE WHEN COALESCE(r."{d}_on", false) THEN r."{d}_lo" + (r."{d}_hi" - r."{d}_lo") * {u}
-            ELSE f.{c} END AS {c}""")
-    code_u = hash_unit("f.Machine", 'f."Timestamp"', "'code'")
-    return f"""
-WITH r AS (SELECT machine, count(*) AS n, {piv} FROM maint_rules GROUP BY machine)
-SELECT f.Machine, f."Timestamp", {', '.join(cols)},
-       CASE WHEN COALESCE(r.n, 0) > 0 THEN 'Custom Disturbance' ELSE 'Ideal' END AS Mode,
-       CASE WHEN COALESCE(r.n, 0) > 0 THEN 'Warning' ELSE 'Running' END AS Running_Status,
-       CASE WHEN COALESCE(r.n, 0) > 0
-            THEN (['E101', 'E204', 'E309'])[CAST(floor({code_u} * 3) AS INTEGER) + 1]
-            ELSE 'None' END AS Error_Code
-FROM fact_sensor f LEFT JOIN r ON f.Machine = r.machine"""
-
-
-@register("rule_override", _override_sql(), "D5 D6")
+@register("rule_override", """
+SELECT f.Machine, f."Timestamp", f.Temperature, f.Error_Code,
+       CASE WHEN r.machine IS NOT NULL THEN 'Custom Disturbance' ELSE f.Mode END AS Mode,
+       CASE WHEN r.machine IS NOT NULL THEN 'Warning' ELSE f.Running_Status END AS Running_Status
+FROM fact_sensor f LEFT JOIN (SELECT DISTINCT machine FROM maint_rules) r ON f.Machine = r.machine""", "D6")
 def _override(m):
-    rows = m.bronze.fact_sensor.select("Machine", "Timestamp", "Temperature", "Vibration",
-                                       "Power_Consumption", "RPM", "Pressure")
-    return R.apply_rules(rows, _rules(m))
+    rows = m.bronze.fact_sensor.select("Machine", "Timestamp", "Temperature", "Error_Code", "Mode", "Running_Status")
+    return R.label_modes(rows, _rules(m))
 
 
 @register("active_alerts", """
@@ -126,7 +103,7 @@ WITH lines AS (
   FROM maint_rules
   UNION ALL
   SELECT 'baseline', machine,
-         printf('\U0001f3af %s Baseline | %s', machine, concat_ws(', ',
+         printf('🎯 %s Baseline | %s', machine, concat_ws(', ',
              CASE WHEN t IS NOT NULL THEN 'Temp: ' || CAST(t AS VARCHAR) END,
              CASE WHEN v IS NOT NULL THEN 'Vib: ' || CAST(v AS VARCHAR) END))
   FROM (SELECT machine, max(CASE WHEN sensor = 'Temperature' THEN value END) AS t,
@@ -180,10 +157,29 @@ def _breach(m):
 
 @register("ema_initial_state", """
 SELECT d.Machine, COALESCE(b.t, d.normal_temp) AS Temperature, COALESCE(b.v, d.vibration_base) AS Vibration,
-       d.power_kw AS Power_Consumption, d.max_rpm AS RPM
+       400.0::DOUBLE AS Voltage, d.power_kw * 1000.0::DOUBLE / (400.0::DOUBLE * 1.732::DOUBLE) AS "Current",
+       d.power_kw AS Power_Consumption, 100.0::DOUBLE AS Pressure, d.max_rpm AS RPM, 95.0::DOUBLE AS Oil_Level,
+       45.0::DOUBLE AS Humidity, 62.5::DOUBLE AS Noise
 FROM dim_machine d LEFT JOIN (
     SELECT machine, max(CASE WHEN sensor = 'Temperature' THEN value END) AS t,
            max(CASE WHEN sensor = 'Vibration' THEN value END) AS v
     FROM machine_baselines WHERE value IS NOT NULL GROUP BY machine) b ON d.Machine = b.machine""", "J6")
 def _initial_state(m):
     return R.initial_state(m.bronze.dim_machine, _baselines(m))
+
+
+@register("rules_after_clear", """
+SELECT machine, sensor, "min", "max" FROM maint_rules WHERE machine NOT IN (
+  SELECT Machine FROM dim_machine WHERE reliability >= 0.98)""", "D2")
+def _clear(m):
+    done = m.bronze.dim_machine.where(F.col("reliability") >= 0.98).select(F.col("Machine").alias("machine"))
+    return R.rules_clear_machines(_rules(m), done)
+
+
+@register("one_machine", """
+SELECT Machine_ID, Event_Time, Running_Status FROM silver_sensor
+WHERE Machine_ID = (SELECT min(Machine_ID) FROM silver_sensor)""", "P7")
+def _one_machine(m):
+    s = m.silver_sensor.select("Machine_ID", "Event_Time", "Running_Status")
+    first = s.agg(F.min("Machine_ID").alias("Machine_ID"))
+    return s.join(F.broadcast(first), "Machine_ID", "left_semi")  # one row

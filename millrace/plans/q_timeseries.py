@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import rules as R
 from millrace.operators import timeseries as ts
 from millrace.plans.oracle import half_up
 from millrace.plans.registry import register
@@ -72,88 +73,97 @@ SELECT Machine, Factory, Production_Line,
 FROM dim_machine""", "W7")
 def _seq(m):
     dm = m.bronze.dim_machine.select("Machine", "Factory", "Production_Line")
-    return ts.sequence_ids(dm, ["Factory", "Production_Line", "Machine"])
+    return ts.sequence_ids(dm, ["Factory", "Production_Line", "Machine"], groups=2)
+
+
+_CHANNELS = list(R.DECIMALS)
+_NOMINAL_SQL = {c: (v if isinstance(v, str) else "power_kw * 1000.0::DOUBLE / (400.0::DOUBLE * 1.732::DOUBLE)" if v is None
+                    else f"{v}::DOUBLE") for c, v in R.NOMINAL.items()}
+
+
+def _ema_step(c: str, before: str) -> str:
+    return f'CASE WHEN b."{c}" IS NULL THEN {before} ELSE {before} + 0.15::DOUBLE * (b."{c}" - {before}) END'
 
 
 _EMA_SQL = f"""
 WITH RECURSIVE b AS (
-  SELECT Machine, "Timestamp", Temperature, Vibration, Power_Consumption, RPM,
+  SELECT Machine, "Timestamp", {', '.join(f'"{c}"' for c in _CHANNELS)},
          row_number() OVER (PARTITION BY Machine ORDER BY "Timestamp", Temperature, RPM) AS rn
   FROM fact_sensor),
-i AS (SELECT Machine, normal_temp AS t0, vibration_base AS v0, power_kw AS p0, max_rpm AS r0
-      FROM dim_machine),
+i AS (SELECT Machine, {', '.join(f'{v} AS "{c}"' for c, v in _NOMINAL_SQL.items())} FROM dim_machine),
 r AS (
-  SELECT b.Machine, b.rn, b."Timestamp",
-         CASE WHEN b.Temperature IS NULL THEN i.t0 ELSE i.t0 + 0.15::DOUBLE * (b.Temperature - i.t0) END AS t,
-         CASE WHEN b.Vibration IS NULL THEN i.v0 ELSE i.v0 + 0.15::DOUBLE * (b.Vibration - i.v0) END AS v,
-         CASE WHEN b.Power_Consumption IS NULL THEN i.p0
-              ELSE i.p0 + 0.15::DOUBLE * (b.Power_Consumption - i.p0) END AS p,
-         CASE WHEN b.RPM IS NULL THEN i.r0 ELSE i.r0 + 0.15::DOUBLE * (b.RPM - i.r0) END AS q
+  SELECT b.Machine, b.rn, b."Timestamp", {', '.join(_ema_step(c, f'i."{c}"') + f' AS "s_{c}"' for c in _CHANNELS)}
   FROM b JOIN i ON b.Machine = i.Machine WHERE b.rn = 1
   UNION ALL
-  SELECT b.Machine, b.rn, b."Timestamp",
-         CASE WHEN b.Temperature IS NULL THEN r.t ELSE r.t + 0.15::DOUBLE * (b.Temperature - r.t) END,
-         CASE WHEN b.Vibration IS NULL THEN r.v ELSE r.v + 0.15::DOUBLE * (b.Vibration - r.v) END,
-         CASE WHEN b.Power_Consumption IS NULL THEN r.p
-              ELSE r.p + 0.15::DOUBLE * (b.Power_Consumption - r.p) END,
-         CASE WHEN b.RPM IS NULL THEN r.q ELSE r.q + 0.15::DOUBLE * (b.RPM - r.q) END
+  SELECT b.Machine, b.rn, b."Timestamp", {', '.join(_ema_step(c, f'r."s_{c}"') for c in _CHANNELS)}
   FROM r JOIN b ON b.Machine = r.Machine AND b.rn = r.rn + 1)
-SELECT Machine, "Timestamp",
-       {half_up('t', 2)} AS Temperature, {half_up('v', 3)} AS Vibration,
-       {half_up('p', 2)} AS Power_Consumption, {half_up('q', 0)} AS RPM
+SELECT Machine, "Timestamp", {', '.join(half_up(f'"s_{c}"', n) + f' AS "{c}"' for c, n in R.DECIMALS.items())}
 FROM r"""
 
-EMA_DECIMALS = {"Temperature": 2, "Vibration": 3, "Power_Consumption": 2, "RPM": 0}
-
 
 @register("ema_smooth", _EMA_SQL, "W6")
 def _ema(m):
-    fs = m.bronze.fact_sensor.select("Machine", "Timestamp", "Temperature", "Vibration",
-                                     "Power_Consumption", "RPM")
-    init = m.bronze.dim_machine.select(
-        "Machine", F.col("normal_temp").alias("Temperature"),
-        F.col("vibration_base").alias("Vibration"), F.col("power_kw").alias("Power_Consumption"),
-        F.col("max_rpm").alias("RPM"))
-    sm = ts.ema_smooth(fs, "Machine", "Timestamp", ["Temperature", "RPM"],
-                       list(EMA_DECIMALS), init)
-    return ts.ema_rounding(sm, EMA_DECIMALS)
+    fs = m.bronze.fact_sensor.select("Machine", "Timestamp", *_CHANNELS)
+    none = m.spark.createDataFrame([], "machine string, sensor string, value double")
+    init = R.initial_state(m.bronze.dim_machine, none)
+    sm = ts.ema_smooth(fs, "Machine", "Timestamp", ["Temperature", "RPM"], _CHANNELS, init)
+    return ts.ema_rounding(sm, R.DECIMALS)
 
 
 def _ledger(m):
     part = m.bronze.raw("part")
     stock = part.select(F.col("p_partkey").alias("Part_Key"),
                         (OPENING_STOCK_BASE + F.col("p_partkey") % 100).alias("Opening_Stock"),
-                        (20 + F.col("p_size")).cast("long").alias("Safety_Stock"))
+                        (20 + F.col("p_size")).cast("long").alias("Safety_Stock"),
+                        (REFILL_QTY + F.col("p_partkey") % 11).alias("Refill"))
     demand = m.bronze.part_day_demand.select("Part_Key", "Date", "Need")
-    return ts.stock_ledger(demand, stock, "Part_Key", refill=REFILL_QTY)
+    return ts.stock_ledger(demand, stock, "Part_Key")
 
 
+# quiet days between two demand days: with k = ceil((safety - stock) / refill) refills, at most one a day
 _LEDGER_CTE = f"""
-WITH RECURSIVE d AS (
-  SELECT Part_Key, "Date", Need, row_number() OVER (PARTITION BY Part_Key ORDER BY "Date") AS rn
-  FROM part_day_demand),
-st AS (SELECT p_partkey AS Part_Key, CAST({OPENING_STOCK_BASE} + p_partkey % 100 AS BIGINT) AS Opening_Stock,
-              CAST(20 + p_size AS BIGINT) AS Safety_Stock FROM part),
+WITH RECURSIVE cal AS (
+  SELECT "Date", CAST(row_number() OVER (ORDER BY "Date") - 1 AS BIGINT) AS i FROM (SELECT DISTINCT "Date" FROM part_day_demand)),
+st AS (SELECT p_partkey AS Part_Key, CAST({OPENING_STOCK_BASE} + p_partkey % 100 AS BIGINT) AS s0,
+              CAST(20 + p_size AS BIGINT) AS safety, CAST({REFILL_QTY} + p_partkey % 11 AS BIGINT) AS refill FROM part),
+ev AS (SELECT Part_Key, i, Need FROM part_day_demand JOIN cal USING ("Date")
+       UNION ALL SELECT Part_Key, (SELECT count(*) FROM cal), NULL FROM st),
+e AS (SELECT st.Part_Key, i, Need, s0, safety, refill,
+             row_number() OVER (PARTITION BY st.Part_Key ORDER BY i) AS rn,
+             COALESCE(lag(i) OVER (PARTITION BY st.Part_Key ORDER BY i) + 1, 0) AS q0
+      FROM ev JOIN st ON ev.Part_Key = st.Part_Key),
 r AS (
-  SELECT d.Part_Key, d.rn, d."Date", d.Need, st.Opening_Stock AS Opening,
-         least(d.Need, st.Opening_Stock) AS Consumed, d.Need > st.Opening_Stock AS Shortage,
-         st.Opening_Stock - least(d.Need, st.Opening_Stock) < st.Safety_Stock AS Refilled,
-         st.Opening_Stock - least(d.Need, st.Opening_Stock)
-           + CASE WHEN st.Opening_Stock - least(d.Need, st.Opening_Stock) < st.Safety_Stock
-                  THEN {REFILL_QTY} ELSE 0 END AS Closing,
-         st.Safety_Stock
-  FROM d JOIN st ON d.Part_Key = st.Part_Key WHERE d.rn = 1
+  SELECT Part_Key, rn, i, Need, q0, safety, refill, s0 AS before, k, s0 + k * refill AS opening,
+         CASE WHEN Need IS NULL THEN s0 + k * refill
+              ELSE greatest(s0 + k * refill - Need, 0)
+                   + CASE WHEN greatest(s0 + k * refill - Need, 0) < safety THEN refill ELSE 0 END END AS closing
+  FROM (SELECT *, CASE WHEN s0 < safety THEN least(i - q0, CAST(ceil((safety - s0) / CAST(refill AS DOUBLE)) AS BIGINT))
+                       ELSE 0 END AS k FROM e WHERE rn = 1)
+  UNION ALL
+  SELECT Part_Key, rn, i, Need, q0, safety, refill, before, k, before + k * refill,
+         CASE WHEN Need IS NULL THEN before + k * refill
+              ELSE greatest(before + k * refill - Need, 0)
+                   + CASE WHEN greatest(before + k * refill - Need, 0) < safety THEN refill ELSE 0 END END
+  FROM (SELECT e.*, r.closing AS before,
+               CASE WHEN r.closing < e.safety
+                    THEN least(e.i - e.q0, CAST(ceil((e.safety - r.closing) / CAST(e.refill AS DOUBLE)) AS BIGINT))
+                    ELSE 0 END AS k
+        FROM r JOIN e ON e.Part_Key = r.Part_Key AND e.rn = r.rn + 1)),
+steps AS (
+  SELECT Part_Key, i, Need, opening AS Opening_Stock, least(Need, opening) AS Consumed, Need > opening AS Shortage,
+         greatest(opening - Need, 0) < safety AS Refilled, closing AS Closing_Stock FROM r WHERE Need IS NOT NULL
   UNION ALL
-  SELECT d.Part_Key, d.rn, d."Date", d.Need, r.Closing,
-         least(d.Need, r.Closing), d.Need > r.Closing,
-         r.Closing - least(d.Need, r.Closing) < r.Safety_Stock,
-         r.Closing - least(d.Need, r.Closing)
-           + CASE WHEN r.Closing - least(d.Need, r.Closing) < r.Safety_Stock THEN {REFILL_QTY} ELSE 0 END,
-         r.Safety_Stock
-  FROM r JOIN d ON d.Part_Key = r.Part_Key AND d.rn = r.rn + 1),
+  SELECT Part_Key, q0 + q, 0, before + q * refill, 0, false, true, before + (q + 1) * refill
+  FROM (SELECT *, unnest(generate_series(0, k - 1)) AS q FROM r WHERE k > 0)
+  UNION ALL
+  SELECT Part_Key, 0, 0, before, 0, false, false, before FROM r WHERE rn = 1 AND i > 0 AND k = 0),
+spans AS (
+  SELECT *, COALESCE(lead(i) OVER (PARTITION BY Part_Key ORDER BY i), (SELECT count(*) FROM cal)) - 1 AS until FROM steps),
 ledger AS (
-  SELECT Part_Key, "Date", Need, Opening AS Opening_Stock, Consumed, Shortage, Refilled,
-         CAST(Closing AS BIGINT) AS Closing_Stock FROM r)"""
+  SELECT s.Part_Key, c."Date", CAST(s.Need AS BIGINT) AS Need, CAST(s.Opening_Stock AS BIGINT) AS Opening_Stock,
+         CAST(s.Consumed AS BIGINT) AS Consumed, s.Shortage, s.Refilled, CAST(s.Closing_Stock AS BIGINT) AS Closing_Stock,
+         u."Date" AS Until_Date
+  FROM spans s JOIN cal c ON s.i = c.i JOIN cal u ON s.until = u.i)"""
 
 
 @register("stock_ledger", _LEDGER_CTE + "\nSELECT * FROM ledger", "W9")
@@ -172,7 +182,7 @@ def _any_shortage(m):
 
 
 @register("inventory_snapshot", _LEDGER_CTE + """
-SELECT l."Date", p.p_name || '#' || CAST(p.p_partkey AS VARCHAR) AS Part,
+SELECT l."Date", l.Until_Date, p.p_name || '#' || CAST(p.p_partkey AS VARCHAR) AS Part,
        l.Closing_Stock AS Stock, CAST(20 + p.p_size AS INTEGER) AS Safety_Stock,
        l.Closing_Stock < 20 + p.p_size AS Below_Safety,
        s.s_name AS Supplier, p.p_retailprice AS Cost, CAST(5 + p.p_size AS INTEGER) AS Lead_Time
@@ -185,7 +195,7 @@ def _inventory_snapshot(m):
     led = _ledger(m)
     return (led.join(part, F.col("Part_Key") == F.col("p_partkey"), "inner")
             .join(sup, (F.col("p_partkey") % n_sup) == F.col("s_suppkey"), "left")
-            .select("Date",
+            .select("Date", "Until_Date",
                     F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("Part"),
                     F.col("Closing_Stock").alias("Stock"),
                     (20 + F.col("p_size")).alias("Safety_Stock"),

@@ -18,18 +18,17 @@ from millrace.schemas import SCHEMAS
 PARTITIONED = {"fact_sensor": "event_date"}
 
 
-def write_bronze(source, out: str, tables: list[str] | None = None) -> dict[str, str]:
-    """Write ``source.table(name)`` for each bronze table to ``out/<name>``."""
+def write_bronze(source, out: str, tables: list[str] | None = None, files_per_value: int = 1) -> dict[str, str]:
+    """Write ``source.table(name)`` for each bronze table to ``out/<name>``; partitioned tables with
+    at most ``files_per_value`` files a day."""
     written = {}
     for name in tables or list(SCHEMAS):
         df = source.table(name)
         path = f"{out.rstrip('/')}/{name}"
-        w = df.write.mode("overwrite")
         part = PARTITIONED.get(name)
         if part:
             df = df.withColumn(part, F.to_date("Timestamp"))
-            w = df.write.mode("overwrite").partitionBy(part)
-        w.parquet(path)
+        write_partitioned(df, path, part, files_per_value=files_per_value)
         written[name] = path
     return written
 
@@ -67,7 +66,8 @@ def write_bucketed(source, database: str, path: str, buckets: int,
     names = []
     for name, key in (tables or CO_LOCATED).items():
         full = f"{database}.{name}"
-        (source.table(name).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        # dealt by the bucket key first, so that every bucket is one file, not one per task
+        (source.table(name).repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
          .option("path", f"{path.rstrip('/')}/{name}").saveAsTable(full))
         names.append(full)
     return names

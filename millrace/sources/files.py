@@ -73,17 +73,22 @@ def csv_scan_tolerant(spark: SparkSession, path: str, table: str) -> tuple[DataF
     A line is quarantined when the parser flags it as malformed (wrong field
     count) or when a non-empty field fails its type conversion.
     """
+    flagged = csv_scan_flagged(spark, path, table)
+    good = flagged.where(~F.col("_bad")).drop("_bad", "_reason", "_line")
+    quarantine = flagged.where(F.col("_bad")).select(F.col("_reason").alias("reason"),
+                                                      F.col("_line").alias("line"))
+    return good, quarantine
+
+
+def csv_scan_flagged(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Every line of a CSV conformed to ``table``, with _bad, _reason and _line."""
     header = read_csv_text(spark, path).columns
     text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
                                + [T.StructField("_corrupt_record", T.StringType())])
     raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
            .schema(text_schema).csv(path))
-    flagged = conform_with_flags(raw, table, header)
-    good = flagged.where(~F.col("_bad")).drop("_bad", "_reason", "_line")
-    quarantine = flagged.where(F.col("_bad")).select(F.col("_reason").alias("reason"),
-                                                      F.col("_line").alias("line"))
-    return good, quarantine
+    return conform_with_flags(raw, table, header)
 
 
 def conform_with_flags(raw: DataFrame, table: str, header: list[str]) -> DataFrame:
@@ -130,13 +135,23 @@ def route_files(spark: SparkSession, folder: str) -> dict[str, str]:
 def bulk_load(spark: SparkSession, folder: str, target: str) -> dict[str, int]:
     """Load every routed CSV into ``target/<table>`` as parquet (S4 + S7).
 
-    Each table is a full refresh (overwrite). Returns table -> rows loaded.
+    Each table is a full refresh (overwrite). Lines that do not parse are
+    skipped and go, with the reason, to ``target/_quarantine/<table>``; the
+    file is read once. Returns table -> rows loaded.
     """
     loaded = {}
     for path, table in route_files(spark, folder).items():
-        df = csv_scan(spark, path, table)
-        replace_table(df, f"{target.rstrip('/')}/{table}")
-        loaded[table] = spark.read.parquet(f"{target.rstrip('/')}/{table}").count()
+        base = target.rstrip("/")
+        staged = f"{base}/_staging/{table}"
+        replace_table(csv_scan_flagged(spark, path, table), staged)
+        flagged = spark.read.parquet(staged)
+        good = flagged.where("not _bad").drop("_bad", "_reason", "_line")
+        replace_table(good, f"{base}/{table}")
+        replace_table(flagged.where("_bad").select(F.col("_line").alias("line"), F.col("_reason").alias("reason")),
+                      f"{base}/_quarantine/{table}")
+        fs, p = _fs(spark, staged)
+        fs.delete(p, True)
+        loaded[table] = spark.read.parquet(f"{base}/{table}").count()
     return loaded
 
 
@@ -145,37 +160,83 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def write_chunks(chunks: list[DataFrame], path: str, partition_col: str | None = None) -> None:
+def write_chunks(chunks: list[DataFrame], path: str, partition_col: str | None = None,
+                 files_per_value: int = 1) -> None:
     """First chunk overwrites, later chunks append (S11), optionally partitioned."""
     for i, c in enumerate(chunks):
-        w = c.write.mode("overwrite" if i == 0 else "append")
-        if partition_col:
-            w = w.partitionBy(partition_col)
-        w.parquet(path)
+        write_partitioned(c, path, partition_col, "overwrite" if i == 0 else "append", files_per_value)
+
+
+def write_partitioned(df: DataFrame, path: str, partition_col: str | None, mode: str = "overwrite",
+                      files_per_value: int = 1) -> None:
+    """Write with at most ``files_per_value`` files in each value's folder.
+
+    Rows are dealt by (value, salt) first: without that every task writes a
+    file of its own into every folder. Raise ``files_per_value`` with the bytes
+    that one value holds, so that a large value is written by several tasks.
+    """
+    if partition_col is None:
+        df.write.mode(mode).parquet(path)
+        return
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value))  # of the row, so a retried task deals alike
+    (df.withColumn("_salt", salt).repartition(partition_col, "_salt").drop("_salt")
+     .write.mode(mode).partitionBy(partition_col).parquet(path))
 
 
 # ------------------------------------------------------------------ S12
 
 
-def publish_version(df: DataFrame, base: str, version: str | None = None) -> str:
+def publish_version(df: DataFrame, base: str, version: str | None = None, keep: int = 3) -> str:
     """Write ``df`` to a new version folder, then switch the pointer.
 
-    Readers resolve ``_CURRENT`` and read a complete version; old versions are
-    never overwritten while someone may read them. Returns the version id.
+    Readers resolve ``_CURRENT`` and read a complete version. A published folder
+    is never written again: publishing a version anew (a replay) goes to a new
+    attempt of it. The ``keep`` newest folders stay, so a reader that resolved
+    the pointer before the switch can finish. Returns the version id.
     """
     spark = df.sparkSession
+    base = base.rstrip("/")
     version = version or uuid.uuid4().hex[:12]
-    target = f"{base.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(target)
-    fs, tmp = _fs(spark, f"{base.rstrip('/')}/_CURRENT.tmp-{version}")
+    attempt = f"{version}.{uuid.uuid4().hex[:8]}"
+    df.write.mode("errorifexists").parquet(f"{base}/v={attempt}")
+    fs, tmp = _fs(spark, f"{base}/_CURRENT.tmp-{attempt}")
     out = fs.create(tmp, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(attempt.encode()))
     out.close()
-    _, cur = _fs(spark, f"{base.rstrip('/')}/_CURRENT")
+    _, cur = _fs(spark, f"{base}/_CURRENT")
     _replace_file(spark, fs, tmp, cur)
+    complete = published_versions(spark, base)
+    for name in complete[: max(0, len(complete) - keep)]:
+        if name != attempt:
+            fs.delete(_fs(spark, f"{base}/v={name}")[1], True)
     return version
 
 
+def published_versions(spark: SparkSession, base: str) -> list[str]:
+    """Complete version folders (attempts), oldest first by modification time."""
+    fs, root = _fs(spark, base)
+    if not fs.exists(root):
+        return []
+    found = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(_fs(spark, f"{base.rstrip('/')}/{name}/_SUCCESS")[1]):
+            found.append((st.getModificationTime(), name[2:]))
+    return [n for _, n in sorted(found)]
+
+
+def read_published_before(spark: SparkSession, base: str, version: str,
+                          schema: T.StructType | None = None) -> DataFrame | None:
+    """The newest complete version that sorts before ``version``; for replays of ``version``."""
+    older = [n for n in published_versions(spark, base) if n.rsplit(".", 1)[0] < version]
+    if not older:
+        return None
+    newest = max(n.rsplit(".", 1)[0] for n in older)
+    name = [n for n in older if n.rsplit(".", 1)[0] == newest][-1]
+    r = spark.read if schema is None else spark.read.schema(schema)
+    return r.parquet(f"{base.rstrip('/')}/v={name}")
+
+
 def _replace_file(spark: SparkSession, fs, src, dst) -> None:
     """Rename ``src`` over ``dst`` in one step where the filesystem allows it
     (FileContext rename with OVERWRITE); otherwise delete then rename."""

@@ -47,6 +47,11 @@ def machine_of(user_id: Column) -> Column:
     return formatted("M-%05d", user_id)
 
 
+def order_of() -> Column:
+    """Order, line, part and supplier: the first two alone are not unique in the driver's table."""
+    return F.concat_ws("-", F.lit("ORD"), *[_s(F.col(c)) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+
 def line_of(user_id: Column) -> Column:
     return F.concat(F.lit("Line "), _s(user_id % 5 + 1), F.lit(" - "), factory_of(user_id))
 
@@ -68,12 +73,6 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 class DriverTables:
     """Lazy access to the bronze tables for one driver data folder."""
 
-    # Fact sources whose scan is spread over the cluster's cores when the files
-    # offer fewer input splits than cores (e.g. one row group per file). On a
-    # cluster reading many files the scan already has enough splits and this
-    # adds nothing; filters and column pruning still reach the scan.
-    SPREAD = ("lineitem", "events", "orders")
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
@@ -83,15 +82,7 @@ class DriverTables:
         """The driver table as a DataFrame (built once: file listing and footers
         are read once per table, not once per query)."""
         if name not in self._raw:
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            if name in self.SPREAD:
-                try:
-                    want = self.spark.sparkContext.defaultParallelism
-                    if df.rdd.getNumPartitions() < want:
-                        df = df.repartition(want)
-                except Exception:  # noqa: BLE001 - no split information (remote session)
-                    pass
-            self._raw[name] = df
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
     # ---------------------------------------------------------------- facts
@@ -107,7 +98,13 @@ class DriverTables:
             machine_of(uid).alias("Machine"),
             F.col("value").alias("Temperature"),
             (F.col("value") + 0.001).alias("Vibration"),
+            (400 - F.col("event_id") % 9).cast("double").alias("Voltage"),
+            (F.col("value") * 3 * 1000.0 / ((400 - F.col("event_id") % 9) * 1.732)).alias("Current"),
             (F.col("value") * 3).alias("Power_Consumption"),
+            (95 + F.col("event_id") % 11).cast("double").alias("Pressure"),
+            F.when(F.col("event_id") % 17 != 0, (90 + F.col("event_id") % 10).cast("double")).alias("Oil_Level"),
+            (40 + F.col("event_id") % 13).cast("double").alias("Humidity"),
+            (60 + (F.col("event_id") % 50) / 10.0).alias("Noise"),
             (event_k(F.col("props")) * 60).cast("double").alias("RPM"),
             F.when(err, "Warning").otherwise("Running").alias("Running_Status"),
             F.when(err, "E101").otherwise("None").alias("Error_Code"),
@@ -125,7 +122,9 @@ class DriverTables:
             machine_of(uid).alias("Machine"),
             F.concat(F.lit("F"), _s(event_k(F.col("props")) % 8)).alias("Failure"),
             F.when(F.col("value") > 100, "Critical").otherwise("High").alias("Severity"),
-            F.concat(F.lit("T"), _s(uid % 10)).alias("Technician"),
+            F.concat(F.lit("RC"), _s(F.col("event_id") % 5)).alias("Root_Cause"),
+            F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("T"), _s(uid % 10)))
+             .otherwise(formatted("Supplier#%09d", uid % 20)).alias("Technician"),
             downtime.alias("Downtime"),
             (downtime * 150 + F.col("value")).alias("Cost"),
         )
@@ -142,8 +141,7 @@ class DriverTables:
             hour = F.when(flag == f, F.lit(start)).otherwise(hour)
         start = F.timestamp_add("HOUR", hour, F.col("l_shipdate"))
         df = li.select(
-            F.concat(F.lit("ORD-"), _s(F.col("l_orderkey")), F.lit("-"),
-                     _s(F.col("l_linenumber"))).alias("Production_Order"),
+            order_of().alias("Production_Order"),
             F.concat(F.lit("P-"), _s(F.col("l_partkey"))).alias("Product"),
             F.greatest(F.lit(0), q + F.col("l_linenumber") - 3).alias("Quantity_Planned"),
             q.alias("Quantity_Produced"),
@@ -169,16 +167,16 @@ class DriverTables:
             F.when(F.col("toxic") == 1, "Surface Scratch").otherwise("None").alias("Defect_Type"),
             F.col("quality").alias("Pass"),
             (1 - F.col("quality")).alias("Fail"),
+            F.when(F.col("doc_id") % 7 != 0, formatted("Supplier#%09d", F.col("doc_id") % 24)).alias("Inspector"),
         )
         return conform(df, "fact_quality")
 
     @cached_property
     def fact_shipments(self) -> DataFrame:
-        li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+        li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
         od = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         cu = self.raw("customer").select("c_custkey", "c_name")
-        order_id = F.concat(F.lit("ORD-"), _s(F.col("l_orderkey")), F.lit("-"),
-                            _s(F.col("l_linenumber")))
+        order_id = order_of()
         delayed = (F.col("l_partkey") % 14) > 5
         df = (li.join(od, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
                 .join(cu, F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -198,14 +196,15 @@ class DriverTables:
 
     @cached_property
     def part_day_demand(self) -> DataFrame:
-        """Stock-ledger input: one row per (part, day) with the day's need.
+        """Stock-ledger input: one row per (part, day) with the day's need (produced and scrapped units).
 
         Pre-aggregated from lineitem, so the ordered fold later sees at most one
         row per calendar day per part, however many order lines there are.
         """
         li = self.raw("lineitem")
         return (li.groupBy("l_partkey", F.to_date("l_shipdate").alias("Date"))
-                  .agg(F.sum(F.col("l_quantity").cast("int")).alias("Need"))
+                  .agg(F.sum(F.col("l_quantity").cast("int")
+                             + F.least(F.col("l_quantity").cast("int"), (F.col("l_partkey") % 4).cast("int"))).alias("Need"))
                   .select(F.concat(F.lit("P-"), _s(F.col("l_partkey"))).alias("Product"),
                           F.col("l_partkey").alias("Part_Key"), "Date",
                           F.col("Need").cast("long").alias("Need")))

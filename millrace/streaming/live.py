@@ -2,9 +2,11 @@
 
 Pipeline (two chained queries, both checkpointed):
 
-1. ``ingest``: file source of ticks -> ``foreachBatch``: re-read the rule file
-   (so edits apply on the next tick), apply rule overrides and mode labels,
-   write the batch to ``<work>/labelled/batch=<id>`` (overwrite: replay-safe).
+1. ``ingest``: file source of ticks -> ``foreachBatch``: re-read the rule and
+   baseline files (so edits apply on the next tick), label modes, attach each
+   machine's starting state, and publish the batch as ``<work>/labelled/batch=<id>``
+   by one folder rename. A replayed batch that is already published is left
+   alone, so the second query never meets the same rows under new file names.
 2. ``smooth``: file source over the labelled folder -> per-machine exponential
    smoothing with ``applyInPandasWithState`` (state survives restarts through
    the checkpoint) -> ``foreachBatch`` fan-out to the sinks: history append
@@ -20,6 +22,7 @@ streaming aggregations, so active machines use ``approx_count_distinct``.
 from __future__ import annotations
 
 import logging
+import math
 from typing import Callable, Iterator
 
 import numpy as np
@@ -30,16 +33,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import rules as R
-from millrace.functions import status_colour
+from millrace.functions import half_up, status_colour
+from millrace.operators.operations import CO2_PER_KWH, COST_PER_KWH
 from millrace.operators.timeseries import EMA_ALPHA, latest_per_key, rolling_retention, tail_n, tail_per_key
 from millrace.schemas import SCHEMAS
 from millrace.session import ship_package
-from millrace.sources.files import _fs, insert_batch, jdbc_replace, publish_version, read_published
+from millrace.sources.files import (
+    _fs, insert_batch, jdbc_replace, publish_version, read_published, read_published_before,
+)
 
 log = logging.getLogger(__name__)
 
 SENSOR_SCHEMA = SCHEMAS["fact_sensor"]
-SMOOTHED = ["Temperature", "Vibration", "Power_Consumption", "RPM"]
+SMOOTHED = list(R.NOMINAL)
+START = {c: f"Start_{c}" for c in SMOOTHED}
+LABELLED_SCHEMA = T.StructType([*SENSOR_SCHEMA.fields, *(T.StructField(s, T.DoubleType()) for s in START.values())])
 ORDER = ["Timestamp", "Machine"]
 
 
@@ -63,26 +71,58 @@ def read_ticks(spark: SparkSession, folder: str, fmt: str = "parquet",
 # ---------------------------------------------------------------------- ST5
 
 
-def label_batch(batch: DataFrame, rules_path: str | None) -> DataFrame:
-    """Apply the rule file as it is *now* (re-read every micro-batch)."""
-    spark = batch.sparkSession
-    if rules_path:
-        try:
-            rules, _rejected = R.read_rules_file(spark, rules_path)
-        except Exception:  # noqa: BLE001 - unreadable/missing rule file == no rules
-            rules = R.rules_clear(spark)
-    else:
-        rules = R.rules_clear(spark)
-    return R.apply_rules(batch, rules).select(*[f.name for f in SENSOR_SCHEMA.fields])
+def current_rules(spark: SparkSession, rules_path: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """(rules, rejected entries) of the rule file as it is now; a missing file is no rules."""
+    if not rules_path:
+        return R.rules_clear(spark), None
+    fs, p = _fs(spark, rules_path)
+    if not fs.exists(p):
+        return R.rules_clear(spark), None
+    return R.read_rules_file(spark, rules_path)
+
+
+def current_baselines(spark: SparkSession, path: str | None) -> DataFrame:
+    """Baselines as they are now; a missing file is no baselines."""
+    if path:
+        fs, p = _fs(spark, path)
+        if fs.exists(p):
+            return R.read_baselines_file(spark, path)
+    return spark.createDataFrame([], "machine string, sensor string, value double")
+
+
+def label_batch(batch: DataFrame, rules: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Label the modes of one batch and attach every machine's starting state."""
+    out = R.label_modes(batch, rules).select(*[f.name for f in SENSOR_SCHEMA.fields])
+    if start is None:
+        return out.select("*", *[F.lit(None).cast("double").alias(s) for s in START.values()])
+    start = start.select(F.col("Machine").alias("_sm"), *[F.col(c).cast("double").alias(s) for c, s in START.items()])
+    return out.join(start, out["Machine"] == start["_sm"], "left").drop("_sm")
 
 
 def start_ingest(spark: SparkSession, ticks: str, work: str, checkpoint: str,
                  rules_path: str | None = None, fmt: str = "parquet", available_now: bool = True,
-                 interval: str = "5 seconds", max_files_per_trigger: int | None = None):
-    """Query 1: ticks -> live rules -> labelled batches."""
+                 interval: str = "5 seconds", max_files_per_trigger: int | None = None,
+                 dim_machine: DataFrame | None = None, baselines_path: str | None = None):
+    """Query 1: ticks -> rules and baselines of this moment -> labelled batches."""
+    work = work.rstrip("/")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        (label_batch(batch, rules_path).write.mode("overwrite")
-         .parquet(f"{work.rstrip('/')}/labelled/batch={batch_id}"))
+        publish_batch(batch, batch_id)
+
+    def publish_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fs, target = _fs(spark, f"{work}/labelled/batch={batch_id}")
+        if fs.exists(target):
+            return  # a replay of a published batch
+        rules, rejected = current_rules(spark, rules_path)
+        if rejected is not None:
+            publish_version(rejected, f"{work}/rejected_rules", f"b{batch_id:012d}")
+        start = None if dim_machine is None else R.initial_state(dim_machine, current_baselines(spark, baselines_path))
+        staged = f"{work}/_staging/batch={batch_id}"
+        label_batch(batch, rules, start).write.mode("overwrite").parquet(staged)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(_fs(spark, staged)[1], target):
+            raise OSError(f"cannot publish {target}")
 
     src = read_ticks(spark, ticks, fmt, max_files_per_trigger)
     w = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -97,21 +137,18 @@ STATE_SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in SMOOTHED]
 
 def _ema_state_fn(alpha: float, out_cols: list[str]):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
+        pdf = pd.concat(list(pdfs), ignore_index=True)  # one machine's rows of one bounded micro-batch
         pdf = pdf.sort_values(["Timestamp", "Temperature", "RPM"], kind="mergesort").reset_index(drop=True)
         if state.exists:
-            s = list(state.get)
+            s = [np.nan if v is None else float(v) for v in state.get]
         else:
-            s = [float(pdf[f"_s0_{c}"].iloc[0]) if pd.notna(pdf[f"_s0_{c}"].iloc[0]) else np.nan
-                 for c in SMOOTHED]
+            s = [float(pdf[START[c]].iloc[0]) if pd.notna(pdf[START[c]].iloc[0]) else np.nan for c in SMOOTHED]
         for j, c in enumerate(SMOOTHED):
-            x = pdf[c].to_numpy(dtype="float64", na_value=np.nan)
-            out = np.empty(len(x))
-            cur = s[j]
-            for i, v in enumerate(x):
+            cur, out = s[j], []
+            for v in pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist():
                 if v == v:
                     cur = cur + alpha * (v - cur)
-                out[i] = cur
+                out.append(round_half_up(cur, R.DECIMALS[c]))
             s[j] = cur
             pdf[c] = out
         state.update(tuple(None if (v != v) else float(v) for v in s))
@@ -119,18 +156,24 @@ def _ema_state_fn(alpha: float, out_cols: list[str]):
     return fn
 
 
-def stateful_ema(stream: DataFrame, init: DataFrame, alpha: float = EMA_ALPHA) -> DataFrame:
-    """Per-machine EMA across micro-batches (state in the checkpoint).
+def round_half_up(v: float, places: int) -> float:
+    """Away from zero at .5, as the batch rounding does."""
+    if v != v:
+        return v
+    k = 10.0 ** places
+    return math.copysign(math.floor(abs(v) * k + 0.5) / k, v)
+
 
-    ``init`` (static): Machine + starting value per smoothed sensor (nominal or
-    baseline), used the first time a machine is seen. Within a batch rows are
-    folded in event-time order; across batches in arrival order.
+def stateful_ema(stream: DataFrame, alpha: float = EMA_ALPHA) -> DataFrame:
+    """Per-machine EMA of all channels across micro-batches (state in the checkpoint).
+
+    A machine seen for the first time starts from the ``Start_`` columns of its
+    first row, which ingest took from the baselines of that moment. Rows of a
+    batch are folded in event-time order, batches in arrival order; the state
+    keeps full precision, outputs are rounded per channel.
     """
-    init_cols = init.select("Machine", *[F.col(c).cast("double").alias(f"_s0_{c}") for c in SMOOTHED])
-    joined = stream.join(init_cols, "Machine", "left")
-    out_schema = SENSOR_SCHEMA
-    return (joined.groupBy("Machine").applyInPandasWithState(
-        _ema_state_fn(alpha, [f.name for f in out_schema.fields]), out_schema, STATE_SCHEMA,
+    return (stream.groupBy("Machine").applyInPandasWithState(
+        _ema_state_fn(alpha, [f.name for f in SENSOR_SCHEMA.fields]), SENSOR_SCHEMA, STATE_SCHEMA,
         "append", GroupStateTimeout.NoTimeout))
 
 
@@ -152,12 +195,17 @@ def machine_status(window: DataFrame) -> DataFrame:
     return latest.withColumn("Status_Colour", status_colour("Running_Status"))
 
 
+class SinkError(RuntimeError):
+    """A batch did not reach every sink; the query stops and replays it on restart."""
+
+
 class SinkFanout:
     """``foreachBatch`` handler writing one micro-batch to every sink.
 
-    Each sink runs in its own try block; failures are collected in
-    ``self.failures`` (batch id, sink, error) and logged. All writes are keyed
-    by the batch id, so a replayed batch rewrites the same output.
+    Every sink runs, also after another one has failed; failures are collected
+    in ``self.failures`` (batch id, sink, error). Then the batch fails, so the
+    checkpoint does not pass it. All writes depend only on the batch, its id
+    and what was published before that id, so a replay leaves the same result.
     """
 
     def __init__(self, work: str, per_machine: int = 10, kpi_rows: int = 500,
@@ -175,12 +223,11 @@ class SinkFanout:
 
     def retention(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = read_published(spark, f"{self.work}/live", SENSOR_SCHEMA)
+        version = f"b{batch_id:012d}"
+        prev = read_published_before(spark, f"{self.work}/live", version, SENSOR_SCHEMA)
         full = batch if prev is None else prev.unionByName(batch)
-        kept = rolling_retention(full, "Machine", ORDER, self.per_machine)
-        publish_version(kept, f"{self.work}/live", f"b{batch_id:012d}")
+        publish_version(rolling_retention(full, "Machine", ORDER, self.per_machine), f"{self.work}/live", version)
         window = read_published(spark, f"{self.work}/live", SENSOR_SCHEMA)
-        version = f"b{batch_id:012d}"
         publish_version(live_kpis(window, self.kpi_rows), f"{self.work}/kpis", version)
         publish_version(machine_status(window), f"{self.work}/status", version)
         publish_version(tail_per_key(window, "Machine", ORDER, 5, pos_col="Position"),
@@ -194,22 +241,26 @@ class SinkFanout:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*[f.name for f in SENSOR_SCHEMA.fields]).persist()
+        failed = []
         try:
             sinks = [("history", self.history), ("retention", self.retention),
                      ("relational", self.relational), *self.extra.items()]
             for name, sink in sinks:
                 try:
                     sink(batch, batch_id)
-                except Exception as e:  # noqa: BLE001 - report and continue with the other sinks
-                    self.failures.append((batch_id, name, repr(e)[:500]))
+                except Exception as e:  # noqa: BLE001 - the other sinks run first, then the batch fails
+                    failed.append((batch_id, name, repr(e)[:500]))
                     log.error("sink %s failed for batch %s: %s", name, batch_id, e)
         finally:
             batch.unpersist()
+        if failed:
+            self.failures += failed
+            raise SinkError(f"batch {batch_id}: " + "; ".join(f"{n}: {e}" for _, n, e in failed))
 
 
-def start_smoothing(spark: SparkSession, work: str, checkpoint: str, init: DataFrame,
-                    fanout: SinkFanout, available_now: bool = True, interval: str = "5 seconds",
-                    max_files_per_trigger: int | None = None):
+def start_smoothing(spark: SparkSession, work: str, checkpoint: str, fanout: SinkFanout,
+                    available_now: bool = True, interval: str = "5 seconds",
+                    max_files_per_trigger: int = 100):
     """Query 2: labelled batches -> stateful EMA -> sink fan-out.
 
     ``max_files_per_trigger`` bounds a micro-batch, and with it the rows one
@@ -217,9 +268,9 @@ def start_smoothing(spark: SparkSession, work: str, checkpoint: str, init: DataF
     """
     fs, p = _fs(spark, f"{work.rstrip('/')}/labelled")
     fs.mkdirs(p)
-    stream = read_ticks(spark, f"{work.rstrip('/')}/labelled", "parquet", max_files_per_trigger,
-                        recursive=True)
-    smoothed = stateful_ema(stream, init)
+    stream = (spark.readStream.schema(LABELLED_SCHEMA).option("recursiveFileLookup", True)
+              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(f"{work.rstrip('/')}/labelled"))
+    smoothed = stateful_ema(stream)
     w = smoothed.writeStream.foreachBatch(fanout).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
@@ -234,7 +285,7 @@ def factory_kpi_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame
     s = stream.withColumn("_ts", ts).withWatermark("_ts", watermark)
     return (s.groupBy(F.upper("Factory").alias("Factory_ID"), F.window("_ts", "1 day").alias("w"))
              .agg(F.approx_count_distinct("Machine").alias("Active_Machines"),
-                  F.sum(F.col("Power_Consumption").try_cast("decimal(10,2)")).cast("double")
+                  F.sum(F.col("Power_Consumption").cast("decimal(10,2)")).cast("double")
                    .alias("Total_Power_Consumed_kW"),
                   F.sum(F.when(F.col("Running_Status") == "Warning", 1).otherwise(0)).alias("Total_Warnings"),
                   F.sum(F.when(F.nullif("Error_Code", F.lit("None")).isNotNull(), 1).otherwise(0))
@@ -243,6 +294,46 @@ def factory_kpi_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame
                      "Total_Power_Consumed_kW", "Total_Warnings", "Total_Errors"))
 
 
+def energy_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Streaming energy, cost, carbon and peak per machine-day with bounded state."""
+    s = stream.withColumn("_ts", F.col("Timestamp").cast("timestamp")).withWatermark("_ts", watermark)
+    power = F.col("Power_Consumption").cast("decimal(10,2)")
+    day = (s.groupBy(F.upper("Machine").alias("Machine"), F.window("_ts", "1 day").alias("w"))
+           .agg(F.sum(power).cast("double").alias("_kwh"), F.max(power).cast("double").alias("_peak")))
+    return day.select(F.to_date("w.start").alias("Date"), "Machine", half_up("_kwh", 2).alias("Energy"),
+                      half_up(F.col("_kwh") * COST_PER_KWH, 2).alias("Cost"),
+                      half_up(F.col("_kwh") * CO2_PER_KWH, 2).alias("Carbon_Emission"),
+                      half_up("_peak", 2).alias("Peak_Usage"))
+
+
+def start_gold(spark: SparkSession, work: str, checkpoint: str, available_now: bool = True,
+               interval: str = "5 seconds", watermark: str = "1 day") -> list:
+    """Start the streaming factory KPIs and energy over the labelled batches.
+
+    Updated days of each batch land in ``<work>/gold_<name>/batch_id=<id>``,
+    replaced when the batch is replayed; the newest batch of a day holds.
+    """
+    work = work.rstrip("/")
+    fs, p = _fs(spark, f"{work}/labelled")
+    fs.mkdirs(p)
+    queries = []
+    for name, build in (("factory_kpi", factory_kpi_stream), ("energy", energy_stream)):
+        stream = (spark.readStream.schema(LABELLED_SCHEMA).option("recursiveFileLookup", True)
+                  .parquet(f"{work}/labelled"))
+        w = (build(stream, watermark).writeStream.outputMode("update")
+             .foreachBatch(lambda df, i, _n=name: insert_batch(df, f"{work}/gold_{_n}", i))
+             .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}"))
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+        queries.append(w.start())
+    return queries
+
+
+def late_rows(query) -> int:
+    """Rows that the query's watermark has dropped so far, from its progress reports."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0))
+               for p in query.recentProgress for s in p.get("stateOperators", []))
+
+
 def main(argv: list[str] | None = None) -> None:
     """Run the live pipeline: ``python -m millrace.streaming.live --ticks ... --work ...``."""
     import argparse
@@ -262,24 +353,23 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = get_spark("millrace-live")
     dm = BronzeFolder(spark, a.bronze).dim_machine
-    base = (R.read_baselines_file(spark, a.baselines) if a.baselines
-            else spark.createDataFrame([], "machine string, sensor string, value double"))
-    init = R.initial_state(dm, base)
     work = a.work.rstrip("/")
     q1 = start_ingest(spark, a.ticks, work, f"{work}/_checkpoints/ingest", a.rules,
                       available_now=a.available_now, interval=a.interval,
-                      max_files_per_trigger=a.max_files)
+                      max_files_per_trigger=a.max_files, dim_machine=dm, baselines_path=a.baselines)
     fan = SinkFanout(work)
     if a.available_now:
         q1.awaitTermination()
-    q2 = start_smoothing(spark, work, f"{work}/_checkpoints/smooth", init, fan,
+    q2 = start_smoothing(spark, work, f"{work}/_checkpoints/smooth", fan,
                          available_now=a.available_now, interval=a.interval,
-                         max_files_per_trigger=a.max_files)
-    q2.awaitTermination()
+                         max_files_per_trigger=a.max_files or 100)
+    gold = start_gold(spark, work, f"{work}/_checkpoints/gold", a.available_now, a.interval)
+    for q in (q2, *gold):
+        q.awaitTermination()
+    for q in gold:
+        log.info("rows behind the watermark: %s", late_rows(q))
     if not a.available_now:
         q1.awaitTermination()
-    for f in fan.failures:
-        log.error("sink failure: %s", f)
 
 
 if __name__ == "__main__":
