@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Shared
 
 PIVOT_ROUNDS = 4
+POOR = 20  # pairs per link from which on pivots are given up
 FEW = 4  # pairs per member up to which open buckets are compared in full at once
 
 
@@ -71,7 +72,9 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], shared: S
     """
     found = open_buckets(members, shared)
     lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
-    for r in range(rounds + 1):
+    r = -1
+    while True:
+        r += 1
         here = found.join(lab, "id")
         sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
         state = sizes.groupBy("key").agg(
@@ -81,15 +84,18 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], shared: S
         pairs, n = here.agg(F.sum(F.col("pairs") / F.col("n")), F.count("*")).first()
         if not n:
             break
-        last = r == rounds or pairs <= few * n
+        last = r >= rounds or pairs <= few * n
         if last:
             found_pairs = _all_pairs(here, beside, likely_pair)
         else:
             found_pairs = likely(_pivot_pairs(here, r))
-        links = shared.write(verify(shared.write(found_pairs)))
+        found_pairs = shared.write(found_pairs)
+        links = shared.write(verify(found_pairs))
         lab = components(lab, links, shared)
         if last:
             break
+        if links.count() * POOR < found_pairs.count():
+            rounds = r + 1  # pivots have found what they can
         shared.drop(found)
         found = shared.write(here.select("key", "id"))
         shared.drop(here, links)
@@ -109,12 +115,18 @@ def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
 
 
 def _all_pairs(here: DataFrame, beside: DataFrame | None, likely_pair: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """Members outside their bucket's largest component beside all members of other components."""
+    """Members outside their bucket's largest component beside all members of other components.
+
+    A pair that shares several buckets is taken in the first of them only.
+    """
+    keys = here.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a thing's own buckets
+    here = here.join(keys, "id")
     if beside is not None:
         here = here.join(beside, "id")
     x, y = here.where("comp <> top").alias("x"), here.alias("y")
     on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-          & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))))
+          & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
+          & (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")))
     if likely_pair is not None:
         on = on & likely_pair(F.col("x.sig"), F.col("y.sig"))
-    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
