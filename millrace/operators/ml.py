@@ -42,9 +42,9 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = SEED) -
     pass is as good as impossible), so only those are ranked.
     """
     h = df.withColumn("_h", _hash(key_cols, seed))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    total = df.agg(F.count(F.lit(1))).scalar()
     unit = (F.col("_h").cast("double") + 9.223372036854775808e18) / 1.8446744073709552e19
-    near = h.crossJoin(F.broadcast(total)).where(unit < (2.0 * n + 1000) / F.col("_total")).drop("_total")
+    near = h.where(unit < (2.0 * n + 1000) / total)
     return near.orderBy("_h", *key_cols).limit(n).drop("_h")
 
 

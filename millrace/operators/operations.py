@@ -256,8 +256,8 @@ def telemetry_gaps(readings: DataFrame, key: str, ts_col: str, step_minutes: int
     slot = F.timestamp_add("MINUTE", F.floor(minute_of_day / step_minutes).cast("int") * step_minutes, day)
     occupied = readings.where(ts.isNotNull()).select(F.col(key), slot.alias("Slot_Start")).distinct()
     keys = readings.select(F.col(key)).distinct()
-    span = readings.agg(F.min(F.to_date(ts)).alias("_from"), F.max(F.to_date(ts)).alias("_to"))  # one row
-    days = keys.crossJoin(F.broadcast(span)).select(key, F.explode(F.sequence("_from", "_to")).alias("_day"))
+    first, last = (readings.agg(f(F.to_date(ts))).scalar() for f in (F.min, F.max))
+    days = keys.select(key, F.explode(F.sequence(first, last)).alias("_day"))
     grid = days.select(
         key, F.explode(F.sequence(
             F.col("_day").cast("timestamp_ntz"),

@@ -22,7 +22,7 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,31 +68,22 @@ def newest(df: DataFrame, n: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     """
     ts = F.col(order_cols[0])
     day, second = F.to_date(ts), F.date_trunc("second", ts)
-    n = n.select(F.col(n.columns[0]).cast("long").alias("_n"))
-
-    def cut(counts: DataFrame, by: str, goal: DataFrame, goal_col: str, new: str, rest: str) -> DataFrame:
-        """The bucket that holds the goal-th newest row, and how many rows of it are wanted."""
-        w = Window.orderBy(F.col(by).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = counts.withColumn("_run", F.sum("_c").over(w)).crossJoin(F.broadcast(goal))  # goal: one row
-        return (run.where((F.col("_run") >= F.col(goal_col)) & (F.col("_run") - F.col("_c") < F.col(goal_col)))
-                .select(F.col(by).alias(new), (F.col(goal_col) - F.col("_run") + F.col("_c")).alias(rest)))
-
-    days = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
-    d = cut(days, "_day", n, "_n", "_cut_day", "_rest_day")
-    within = df.join(F.broadcast(d), day.eqNullSafe(F.col("_cut_day")))
-    seconds = within.groupBy(second.alias("_second")).agg(F.count(F.lit(1)).alias("_c"))
-    s = cut(seconds, "_second", d.select("_rest_day"), "_rest_day", "_cut", "_rest")
-    # one row; none if fewer rows than wanted exist, and then every row is kept
-    edge = s.select(F.struct("_cut", "_rest").alias("_edge"), F.lit(1).alias("_one"))
-    one = n.select("_n", F.lit(1).alias("_one")).join(edge, "_one", "left").drop("_one")
-    cols = df.columns
-    j = df.crossJoin(F.broadcast(one)).where("_n > 0")
-    at = second.eqNullSafe(F.col("_edge._cut"))
-    all_kept = F.col("_edge").isNull()
-    after = all_kept | F.coalesce(second > F.col("_edge._cut"), second.isNotNull() & F.col("_edge._cut").isNull())
+    n = n.select(F.col(n.columns[0]).cast("long")).scalar()
+
+    def edge(rows: DataFrame, bucket: Column, goal: Column) -> Column:
+        """(bucket, wanted): where the goal-th newest row lies and how many rows of it are wanted; NULL beyond the end."""
+        w = Window.orderBy(F.col("_b").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = rows.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_run", F.sum("_c").over(w))
+        hit = counts.where((F.col("_run") >= goal) & (F.col("_run") - F.col("_c") < goal))
+        return hit.select(F.struct(F.col("_b").alias("bucket"), (goal - F.col("_run") + F.col("_c")).alias("wanted"))).scalar()
+
+    d = edge(df, day, n)
+    s = edge(df.where(day.eqNullSafe(d["bucket"])), second, d["wanted"])
+    at = d.isNotNull() & second.eqNullSafe(s["bucket"])
+    after = d.isNull() | F.coalesce(second > s["bucket"], second.isNotNull() & s["bucket"].isNull())
     w = Window.partitionBy(second).orderBy(*[F.col(c).desc() for c in order_cols])
-    ties = (j.where(~all_kept & at).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_edge._rest")))
-    return j.where(after & ~(~all_kept & at)).select(*cols).unionByName(ties.select(*cols))
+    ties = (df.where((n > 0) & at).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= s["wanted"]).drop("_rn"))
+    return df.where((n > 0) & after & ~at).unionByName(ties)
 
 
 def rolling_retention(df: DataFrame, key: str, order_cols: Sequence[str], per_key: int = 10) -> DataFrame:
@@ -144,7 +135,7 @@ def sequence_ids(df: DataFrame, order_cols: Sequence[str], fmt: str = "M-%05d",
     on = same[0]
     for s in same[1:]:
         on = on & s
-    number = F.row_number().over(Window.partitionBy(*lead).orderBy(*rest)) + F.col("_before")
+    number = F.row_number().over(Window.partitionBy(*lead).orderBy(*(rest or lead))) + F.col("_before")
     return df.join(offsets, on).withColumn(id_col, F.format_string(fmt, number)).select(*df.columns, id_col)
 
 
@@ -344,9 +335,9 @@ def stock_ledger(demand: DataFrame, stock: DataFrame, key: str = "Part_Key") ->
     """
     days = demand.select("Date").distinct()
     calendar = days.select("Date", (F.row_number().over(Window.orderBy("Date")) - 1).cast("int").alias("_day"))
-    size = calendar.agg(F.count(F.lit(1)).cast("int").alias("_day"))
+    size = calendar.agg(F.count(F.lit(1)).cast("int")).scalar()
     rows = demand.join(calendar, "Date").select(key, "_day", F.col("Need").cast("double").alias("Need"))
-    ends = stock.select(key).crossJoin(F.broadcast(size)).select(key, "_day", F.lit(None).cast("double").alias("Need"))
+    ends = stock.select(key, size.alias("_day"), F.lit(None).cast("double").alias("Need"))
     events = rows.unionByName(ends).join(stock, key, "inner")
     kind = stock.schema[key].dataType.simpleString()
     folded = (events.repartition(key).sortWithinPartitions(key, "_day")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.schemas import SCHEMAS
+from millrace.sources.files import write_partitioned
 
 PARTITIONED = {"fact_sensor": "event_date"}
 

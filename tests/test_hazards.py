@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from millrace.functions import (
     status_colour, three_phase_current, uid,
 )
 from millrace.operators import gold, silver
-from millrace.operators.operations import inspection_plan
+from millrace.operators.operations import inspection_coverage
 from millrace.schemas import SCHEMAS
 from millrace.sources.testdata import conform
 
@@ -127,8 +129,19 @@ def test_inspection_sample_sizes(spark):
     recs = [(f"O{q}", "P", q, 0, T0) for q in (0, 1, 9, 10, 19, 20)]
     prod = spark.createDataFrame(recs, "Production_Order string, Product string, Quantity_Produced int, "
                                        "Scrap int, Start_Time timestamp_ntz")
-    out = inspection_plan(prod).groupBy("Production_Order").count()
-    assert dict(rows(out)) == {"O1": 1, "O9": 1, "O10": 1, "O19": 1, "O20": 2}   # quantity 0 dropped
+    day = T0.date()
+    seen = spark.createDataFrame([("P", day, 0), ("P", day, 1), ("Q", day, 1)], "Product string, Date date, Fail int")
+    out = {r["Product"]: r for r in inspection_coverage(prod, seen).collect()}
+    p, q = out["P"], out["Q"]                          # 59 units -> 5 required, 2 inspected
+    assert (p["Units"], p["Required"], p["Inspected"], p["Failed"], p["Missing"]) == (59, 5, 2, 1, 3)
+    assert (q["Units"], q["Required"], q["Missing"]) == (0, 0, 0)   # inspected without production
+
+
+def test_reading_out_of_range_fails_the_query(spark):
+    df = spark.createDataFrame([(T0, "p", "l", "m", 1e9)], "Timestamp timestamp_ntz, Factory string, "
+                               "Production_Line string, Machine string, Temperature double")
+    with pytest.raises(Exception, match="out of range"):
+        silver.silver_sensor(conform(df, "fact_sensor")).collect()
 
 
 def test_scalar_helpers(spark):

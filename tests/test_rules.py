@@ -56,16 +56,16 @@ def test_upsert_is_idempotent_with_defaults(spark):
     assert rows(once) == rows(twice) == [("M-1", "RPM", 3.0, 4.0), ("M-1", "Temperature", 0.0, 100.0)]
 
 
-def test_apply_rules_and_alerts(spark):
-    t = dt.datetime(2024, 1, 1)
-    readings = spark.createDataFrame([("M-1", t, 50.0, 0.5), ("M-2", t, 50.0, 0.5), ("M-3", t, 50.0, 0.5)],
-                                     "Machine string, Timestamp timestamp_ntz, Temperature double, Vibration double")
+def test_label_modes_and_alerts(spark):
+    readings = spark.createDataFrame(
+        [(m, 50.0, "Running", "E7", "Eco") for m in ("M-1", "M-2", "M-3")],
+        "Machine string, Temperature double, Running_Status string, Error_Code string, Mode string")
     rules = spark.createDataFrame([("M-1", "Temperature", 80.0, 90.0), ("M-3", "Unknown", 0.0, 1.0)], R.RULES_SCHEMA)
-    out = {r["Machine"]: r for r in R.apply_rules(readings, rules).collect()}
-    assert 80.0 <= out["M-1"]["Temperature"] < 90.0 and out["M-1"]["Vibration"] == 0.5
-    assert out["M-1"]["Mode"] == "Custom Disturbance" and out["M-1"]["Error_Code"] in R.ERROR_CODES
-    assert out["M-3"]["Mode"] == "Custom Disturbance" and out["M-3"]["Temperature"] == 50.0   # unknown sensor
-    assert (out["M-2"]["Mode"], out["M-2"]["Running_Status"], out["M-2"]["Error_Code"]) == ("Ideal", "Running", "None")
+    out = {r["Machine"]: r for r in R.label_modes(readings, rules).collect()}
+    for m in ("M-1", "M-3"):                                 # also with a rule for an unknown sensor
+        assert (out[m]["Mode"], out[m]["Running_Status"]) == ("Custom Disturbance", "Warning")
+    assert all((r["Temperature"], r["Error_Code"]) == (50.0, "E7") for r in out.values())   # facts stay
+    assert (out["M-2"]["Mode"], out["M-2"]["Running_Status"]) == ("Eco", "Running")
     empty = R.rules_clear(spark)
     base = spark.createDataFrame([], "machine string, sensor string, value double")
     assert [r["Alert"] for r in R.active_alerts(empty, base).collect()] == [R.ALERT_NONE]

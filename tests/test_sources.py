@@ -63,6 +63,39 @@ def test_routing_and_bulk_load(spark, tmp):
     assert again == {"fact_sensor": 2}
 
 
+def test_bulk_load_skips_and_reports_bad_lines(spark, tmp):
+    src = os.path.join(tmp, "out")
+    os.makedirs(src)
+    lines = SENSOR_CSV.rstrip("\n").split("\n")
+    bad = lines[1].split(",")
+    bad[lines[0].split(",").index("Temperature")] = "hot"
+    write(src, "fact_sensor.csv", "\n".join([*lines, ",".join(bad)]) + "\n")
+    assert S.bulk_load(spark, src, f"{tmp}/bronze") == {"fact_sensor": 2}
+    q = spark.read.parquet(f"{tmp}/bronze/_quarantine/fact_sensor").collect()
+    assert len(q) == 1 and "Temperature" in q[0]["reason"]
+
+
+def test_replayed_version_keeps_the_one_before(spark, tmp):
+    base = os.path.join(tmp, "live")
+    S.publish_version(spark.createDataFrame([(1,)], "x int"), base, "b1")
+    for _ in range(2):                                       # the second is a replay
+        S.publish_version(spark.createDataFrame([(2,)], "x int"), base, "b2")
+        assert [r["x"] for r in S.read_published_before(spark, base, "b2").collect()] == [1]
+        assert [r["x"] for r in S.read_published(spark, base).collect()] == [2]
+    for i in range(3, 8):
+        S.publish_version(spark.createDataFrame([(i,)], "x int"), base, f"b{i}")
+    assert len(S.published_versions(spark, base)) == 3       # older folders are gone
+
+
+def test_partitioned_writes_have_few_files(spark, tmp):
+    df = spark.range(0, 3000, numPartitions=4).selectExpr("id", "CAST(id % 30 AS STRING) AS day")
+    S.write_partitioned(df, f"{tmp}/p", "day", files_per_value=2)
+    for d in range(30):
+        files = [f for f in os.listdir(f"{tmp}/p/day={d}") if f.endswith(".parquet")]
+        assert 1 <= len(files) <= 2
+    assert spark.read.parquet(f"{tmp}/p").count() == 3000
+
+
 def test_normalize_and_preview(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "`Running Status` int, `Error Code` string")
     assert S.normalize_columns(df).columns == ["RUNNING_STATUS", "ERROR_CODE"]

@@ -27,7 +27,6 @@ def test_retention_keeps_newest_10_per_machine(spark, n):
 
 
 def test_tail_large_n_uses_distributed_rank(spark, monkeypatch):
-    monkeypatch.setattr(ts, "TOP_N_DRIVER_LIMIT", 3)
     df = readings(spark, {"A": 30, "B": 30})
     got = ts.tail_n(df, 10, ["Timestamp", "Machine"], rank_col="r")
     small = df.orderBy(F.desc("Timestamp"), F.desc("Machine")).limit(10)
@@ -35,13 +34,12 @@ def test_tail_large_n_uses_distributed_rank(spark, monkeypatch):
     assert sorted(r["r"] for r in got.collect()) == list(range(1, 11))
 
 
-def test_tail_candidates_keep_ties_at_the_cut(spark, monkeypatch):
-    monkeypatch.setattr(ts, "TOP_N_DRIVER_LIMIT", 3)
+def test_newest_ranks_ties_at_the_cut(spark):
     same = T0 + dt.timedelta(hours=5)
     data = [("A", T0 + dt.timedelta(minutes=i), float(i)) for i in range(100)]
     data += [(f"M{i}", same, 0.0) for i in range(30)]          # 30 rows tied at one instant
     df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double")
-    got = ts.tail_n(df, 40, ["Timestamp", "Machine"])
+    got = ts.newest(df, spark.range(1).selectExpr("40L AS n"), ["Timestamp", "Machine"])
     want = df.orderBy(F.desc("Timestamp"), F.desc("Machine")).limit(40)
     assert rows(got, "Machine", "Timestamp") == rows(want, "Machine", "Timestamp")
 
@@ -89,19 +87,59 @@ def test_stock_ledger_cases(spark):
     demand = spark.createDataFrame(
         [(1, dt.date(2024, 1, 1), 30), (1, dt.date(2024, 1, 2), 20), (1, dt.date(2024, 1, 3), 100),
          (2, dt.date(2024, 1, 1), 10)], "Part_Key long, Date date, Need long")
-    stock = spark.createDataFrame([(1, 50, 25), (2, 40, 30)], "Part_Key long, Opening_Stock long, Safety_Stock long")
-    out = {(r["Part_Key"], r["Date"].day): r for r in ts.stock_ledger(demand, stock, refill=60).collect()}
+    stock = spark.createDataFrame([(1, 50, 25, 60), (2, 40, 30, 60), (3, 5, 100, 40)],
+                                  "Part_Key long, Opening_Stock long, Safety_Stock long, Refill long")
+    out = {(r["Part_Key"], r["Date"].day): r for r in ts.stock_ledger(demand, stock).collect()}
     d1 = out[(1, 1)]
     assert (d1["Consumed"], d1["Shortage"], d1["Refilled"], d1["Closing_Stock"]) == (30, False, True, 80)
     d2 = out[(1, 2)]
     assert (d2["Opening_Stock"], d2["Consumed"], d2["Refilled"], d2["Closing_Stock"]) == (80, 20, False, 60)
     d3 = out[(1, 3)]                                   # shortage: take what is there, then refill
     assert (d3["Consumed"], d3["Shortage"], d3["Closing_Stock"]) == (60, True, 60)
-    p2 = out[(2, 1)]                                   # exactly at safety stock: no refill
-    assert (p2["Closing_Stock"], p2["Refilled"]) == (30, False)
+    p2 = out[(2, 1)]                                   # exactly at safety stock: no refill, then quiet days
+    assert (p2["Closing_Stock"], p2["Refilled"], p2["Until_Date"]) == (30, False, dt.date(2024, 1, 3))
+    # a part without demand is refilled on every quiet day while it is below its safety stock
+    p3 = [(d, out[(3, d)]["Opening_Stock"], out[(3, d)]["Closing_Stock"]) for d in (1, 2, 3)]
+    assert p3 == [(1, 5, 45), (2, 45, 85), (3, 85, 125)]
     assert all(r["Closing_Stock"] >= 0 for r in out.values())
 
 
+def test_stock_ledger_equals_a_daily_replay(spark):
+    import random
+    rnd = random.Random(4)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=2 * i) for i in range(40)]
+    parts = {k: (rnd.randint(0, 60), rnd.randint(10, 90), rnd.randint(5, 30)) for k in range(12)}
+    need = {(k, d): rnd.randint(1, 40) for k in list(parts)[:-1] for d in days if rnd.random() < 0.2}
+    need.update({(0, d): 1 for d in days})              # every day is a production day
+    demand = spark.createDataFrame([(k, d, n) for (k, d), n in need.items()], "Part_Key long, Date date, Need long")
+    stock = spark.createDataFrame([(k, *v) for k, v in parts.items()],
+                                  "Part_Key long, Opening_Stock long, Safety_Stock long, Refill long")
+    got = ts.stock_ledger(demand, stock).collect()
+    for k, (s, safety, refill) in parts.items():
+        mine = sorted((r for r in got if r["Part_Key"] == k), key=lambda r: r["Date"])
+        for d in days:
+            s = max(0, s - need.get((k, d), 0))
+            s += refill if s < safety else 0
+            row = [r for r in mine if r["Date"] <= d <= r["Until_Date"]]
+            assert len(row) == 1 and row[0]["Closing_Stock"] == s, (k, d)
+
+
+def test_queries_build_without_jobs(spark, smoke_dir):
+    from millrace.plans.registry import run
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy-build", "")
+    try:
+        run("live_tail", spark, smoke_dir)              # file footers are read here
+        before = len(tracker.getJobIdsForGroup("lazy-build"))
+        for name in ("live_tail", "rolling_retention", "machine_sequence_ids", "ema_smooth", "stock_ledger",
+                     "telemetry_gaps", "causal_chain", "active_alerts", "range_breach", "rule_override"):
+            run(name, spark, smoke_dir)
+        jobs = tracker.getJobIdsForGroup("lazy-build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) - before <= 8                      # schema reads of tables not opened before
+
+
 def test_ema_hot_key_spans_many_chunks(spark):
     data = [("HOT", T0 + dt.timedelta(seconds=7 * i), float((i * 13) % 40)) for i in range(600)]
     for m in range(5):
