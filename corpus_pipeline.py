@@ -49,7 +49,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): ids as little-endian unsigned 32-bit integers."""
     source = bpe.tokenizer(docs, TOKENIZER)
     kept = F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    coded = bpe.decode(bpe.encode(docs.withColumn("_kept", kept), source, id_col="_kept"), source)
+    coded = bpe.encode(docs.withColumn("_kept", kept), source, id_col="_kept", decoded=True)
     return coded.select("id.doc_id", "id.lang", "id.source", F.expr("octet_length(ids) div 4").alias("n_tokens"), "ids",
                         (F.sha2(F.col("text").cast("binary"), 256) == F.col("id.sha")).alias("round_trip"))
 

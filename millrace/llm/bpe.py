@@ -58,7 +58,7 @@ class Coder:
         self.whole = Tokenizer.from_str(source)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.model = Tokenizer.from_str(source).model
+        self._source, self._model = source, None
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
@@ -82,6 +82,14 @@ class Coder:
         memo.update((w, x) for w, x in new.items() if len(w) <= MEMO_CHARS)
         return out
 
+    @property
+    def model(self):
+        """The merges alone; only unsplit pieces need it."""
+        if self._model is None:
+            from tokenizers import Tokenizer
+            self._model = Tokenizer.from_str(self._source).model
+        return self._model
+
     def decode_all(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
@@ -200,20 +208,30 @@ def tokenizer(docs: DataFrame, tokenizer_path: str) -> Broadcast:
 
 
 def encode(docs: DataFrame, source: Broadcast, id_col: str = "doc_id", text_col: str = "text",
-           long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(id, ids binary: little-endian unsigned 32-bit) of every row."""
+           long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, decoded: bool = False) -> DataFrame:
+    """(id, ids binary: little-endian unsigned 32-bit) of every row.
+
+    With ``decoded`` also the text that the ids decode to, made by the same
+    Python worker (a second step would need workers of its own).
+    """
     common.start(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType
-    schema = f"id {kind.simpleString()}, ids binary"
+    more = ", text string" if decoded else ""
+    schema = f"id {kind.simpleString()}, ids binary{more}"
+
+    def columns(c: Coder, ids: list[bytes]) -> dict[str, pa.Array]:
+        out = {"ids": pa.array(ids, pa.binary())}
+        if decoded:
+            out["text"] = pa.array(c.decode_all([unpack(x) for x in ids]), pa.string())
+        return out
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(source)
         for b in batches:
             for at, part in _offsets(b.column("text").to_pylist()):
                 ids = c.encode_all(part)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(at, len(part)), pa.array(ids, pa.binary())], names=["id", "ids"])
+                yield pa.RecordBatch.from_pydict({"id": b.column("id").slice(at, len(part)), **columns(c, ids)})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(source)
@@ -245,8 +263,7 @@ def encode(docs: DataFrame, source: Broadcast, id_col: str = "doc_id", text_col:
                 open_piece, parts = p, []
             parts.append(unpack(raw))
         out += c.tree(parts)
-        return pa.table({"key": table.column("key").slice(0, 1).cast(pa.string()),
-                         "ids": pa.array([pack(out)], pa.binary())})
+        return pa.table({"key": table.column("key").slice(0, 1).cast(pa.string()), **columns(c, [pack(out)])})
 
     is_long = F.length("text") > long_chars
     done = rows.where(~is_long).mapInArrow(short, schema)
@@ -255,8 +272,8 @@ def encode(docs: DataFrame, source: Broadcast, id_col: str = "doc_id", text_col:
               .mapInArrow(cut, "key string, leaf bigint, piece bigint, part string")
               .repartition("key", "leaf")
               .mapInArrow(encode_leaves, "key string, leaf bigint, piece bigint, ids binary"))
-    long_ids = leaves.groupBy("key").applyInArrow(concat, "key string, ids binary")
-    return done.unionByName(long_rows.select("id", "key").join(long_ids, "key").select("id", "ids"))
+    long_ids = leaves.groupBy("key").applyInArrow(concat, f"key string, ids binary{more}")
+    return done.unionByName(long_rows.select("id", "key").join(long_ids, "key").drop("key"))
 
 
 def _offsets(texts: list[str]) -> Iterator[tuple[int, list[str]]]:

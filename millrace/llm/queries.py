@@ -27,7 +27,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm import bpe
     docs = table(spark, sf_dir, "documents")
     source = bpe.tokenizer(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    out = bpe.decode(bpe.encode(docs, source), source)
+    out = bpe.encode(docs, source, decoded=True)
     return out.select(F.col("id").alias("doc_id"), F.expr("octet_length(ids) div 4").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
