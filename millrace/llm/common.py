@@ -175,6 +175,8 @@ class Shared:
         """Delete tables of this run that nothing will read again."""
         jvm = self.spark.sparkContext._jvm
         for t in tables:
+            if getattr(t, "shared_path", None) is None:
+                continue
             path = jvm.org.apache.hadoop.fs.Path(t.shared_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
