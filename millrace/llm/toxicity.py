@@ -33,12 +33,12 @@ FIT_PER_CLASS = 4000
 BUCKETS = 1 << 18
 AFFIXES = (4, 5, 6)
 FOLDS = 5
-KEPT = 2000
+KEPT = 500
 MIN_DOCS = 4
 STEPS = 150
 RATE = 0.1
-L2 = 1.0
-THRESHOLD = 0.5
+L2 = 0.3
+THRESHOLD = 0.3
 BEGINNING, ENDING = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333)
 
 # Word lists of the weakly labelled categories
