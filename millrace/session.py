@@ -81,8 +81,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/ABFS) folder and
-    is used as is. Only when nothing is configured (tests, a laptop) is a fresh
-    local folder created.
+    is used as is. Only when nothing is configured on a local master (tests, a
+    laptop) is a fresh local folder created; on a cluster that is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -93,6 +93,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="millrace-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
