@@ -97,15 +97,6 @@ def three_phase_current(power_kw, voltage) -> Column:
     return F.when(v > 0, _c(power_kw) * 1000.0 / (v * SQRT3)).otherwise(F.lit(0.0))
 
 
-def unit_hash(key, salt: int = 0) -> Column:
-    """Deterministic pseudo-uniform value in [0, 1) from an integer key.
-
-    Replaces random draws so that results are repeatable and replay-safe; uses
-    only integer arithmetic so that other engines can compute the same value.
-    """
-    return F.pmod(_c(key).cast("long") * 7919 + salt, F.lit(1000)).cast("double") / 1000.0
-
-
 def hash_unit(*cols) -> Column:
     """Deterministic uniform in [0, 1) from any key columns.
 

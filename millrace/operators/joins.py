@@ -67,14 +67,18 @@ def staff_lookup(machines: DataFrame, employees: DataFrame, roles: list[str],
     Staff of the machine's factory are numbered 0..k-1; the machine takes slot
     ``floor(u * k)`` with ``u`` a hash-uniform of the machine id -- an equi-join
     on (factory, slot), so no machine x staff pairs are formed. A machine
-    without a factory draws from all staff (pool '*'); no staff -> 'Unknown'.
+    without a factory draws from all staff (pool '*'), ordered by factory and
+    name: its slot is a place in the running total of the factories' staff, so
+    no task numbers all staff. No staff -> 'Unknown'.
     """
-    staff = employees.where(F.col("Role").isin(roles)).select("Employee", "Factory")
-    pools = staff.select("Employee", F.col("Factory").alias("_pool")).unionByName(
-        staff.select("Employee", F.lit("*").alias("_pool")))
-    numbered = pools.withColumn(
-        "_slot", F.row_number().over(Window.partitionBy("_pool").orderBy("Employee")) - 1)
-    sizes = pools.groupBy("_pool").agg(F.count(F.lit(1)).alias("_k"))
+    staff = employees.where(F.col("Role").isin(roles)).select("Employee", F.col("Factory").alias("_pool"))
+    own = staff.withColumn("_slot", F.row_number().over(Window.partitionBy("_pool").orderBy("Employee")) - 1)
+    per = staff.groupBy("_pool").agg(F.count(F.lit(1)).alias("_k"))
+    before = Window.orderBy("_pool").rowsBetween(Window.unboundedPreceding, -1)  # one row per factory
+    offsets = per.select(F.col("_pool").alias("_of"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
+    everyone = own.join(offsets, F.col("_pool").eqNullSafe(F.col("_of"))).select("Employee", F.lit("*").alias("_pool"), (F.col("_slot") + F.col("_before")).alias("_slot"))
+    numbered = own.select("Employee", "_pool", F.col("_slot").cast("bigint")).unionByName(everyone)
+    sizes = per.unionByName(per.agg(F.lit("*").alias("_pool"), F.sum("_k").alias("_k")).select("_pool", "_k"))
     m = machines.withColumn("_pool", F.coalesce(F.col("Factory"), F.lit("*")))
     m = m.join(sizes, "_pool", "left").withColumn(
         "_slot", F.floor(hash_unit(slot_key) * F.col("_k")).cast("int"))
@@ -84,8 +88,6 @@ def staff_lookup(machines: DataFrame, employees: DataFrame, roles: list[str],
 
 
 def membership(left: DataFrame, right: DataFrame, on: list[str], flag: str) -> DataFrame:
-    """Mark rows of ``left`` that have a match in ``right`` (J9: semi + anti)."""
-    keys = right.select(*on)
-    hit = left.join(keys, on, "left_semi").withColumn(flag, F.lit(True))
-    miss = left.join(keys, on, "left_anti").withColumn(flag, F.lit(False))
-    return hit.unionByName(miss)
+    """Mark rows of ``left`` that have a match in ``right`` (J9); each side is read once."""
+    keys = right.select(*on).distinct().withColumn(flag, F.lit(True))
+    return left.join(keys, on, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

@@ -61,8 +61,8 @@ def _factory_products(m):
 
 @register("technician_assignment", f"""
 WITH staff AS (SELECT Employee, Factory FROM dim_employee WHERE Role IN ('Technician')),
-pools AS (SELECT Employee, Factory AS pool FROM staff UNION ALL SELECT Employee, '*' AS pool FROM staff),
-numbered AS (SELECT Employee, pool, row_number() OVER (PARTITION BY pool ORDER BY Employee) - 1 AS slot
+pools AS (SELECT Employee, Factory, Factory AS pool FROM staff UNION ALL SELECT Employee, Factory, '*' AS pool FROM staff),
+numbered AS (SELECT Employee, pool, row_number() OVER (PARTITION BY pool ORDER BY Factory, Employee) - 1 AS slot
              FROM pools),
 sizes AS (SELECT pool, count(*) AS k FROM pools GROUP BY pool),
 mm AS (SELECT Machine, Factory, COALESCE(Factory, '*') AS pool FROM dim_machine)
