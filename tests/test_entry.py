@@ -27,3 +27,15 @@ def test_entry_loads_by_path_from_another_directory(tmp):
     assert res.returncode == 0, res.stderr[-2000:]
     lines = dict(line.split() for line in res.stdout.splitlines() if line.startswith(("entry", "ema")))
     assert int(lines["entry"]) > 0 and int(lines["ema"]) == 1000
+
+
+def test_entry_works_without_the_training_data_operators(tmp):
+    import shutil
+    shutil.copytree(ROOT, f"{tmp}/repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = ("import __spark_entry__ as e; q = e.queries(); "
+            "print(len(q), any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in q), set(e.oracle_sql()) <= set(q))")
+    res = subprocess.run([sys.executable, "-c", code], cwd=f"{tmp}/repo", capture_output=True, text=True, timeout=300,
+                         env={**os.environ, "PYTHONPATH": ""})
+    assert res.returncode == 0, res.stderr[-2000:]
+    n, has_llm, known = res.stdout.split()
+    assert int(n) > 70 and has_llm == "False" and known == "True"
