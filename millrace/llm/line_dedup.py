@@ -264,13 +264,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
     depth = max(1, LEVELS // max_edits)
     fine = shared.write(texts.mapInArrow(lambda b: _bucket_texts(b, max_edits, depth), "key bigint, id binary"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a"))
         b = texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "raw_a", "raw_b").mapInArrow(
             lambda x: _verify(x, max_edits), "a binary, b binary")
 
-    lab = linking.link(fine, verify, shared)
+    lab = linking.link(fine, lambda ids: texts, verify, shared)
     # classes of several lines: those that occur again, and those linked to others
     classed = firsts.join(lab.withColumnRenamed("id", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     heads = classed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Shared
 
 PIVOT_ROUNDS = 4
-POOR = 20  # pairs per link from which on pivots are given up
-FEW = 4  # pairs per member up to which open buckets are compared in full at once
+POOR = 2  # pairs per link from which on pivots are given up
+FEW = 4  # pairs per member up to which open buckets are compared in full at once,
+MANY = 100  # and after the first pivots
 
 
 def components(nodes: DataFrame, edges: DataFrame, shared: Shared) -> DataFrame:
@@ -60,18 +61,21 @@ def open_buckets(members: DataFrame, shared: Shared) -> DataFrame:
     return shared.write(members.join(wide, "key").distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], shared: Shared,
+def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
+         verify: Callable[[DataFrame, DataFrame], DataFrame], shared: Shared,
          likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
          beside: DataFrame | None = None, likely_pair: Callable[[Column, Column], Column] | None = None,
          rounds: int = PIVOT_ROUNDS, few: int = FEW) -> DataFrame:
     """(id, comp) of every id that shares a bucket with another.
 
-    members: (key, id), repeats allowed. verify: pairs (a, b) -> those that are
+    members: (key, id), repeats allowed. things: ids in open buckets -> what
+    verify needs of them, taken once. verify: pairs (a, b) -> those that are
     links. likely: a cheap filter of pairs that keeps links. beside (id, sig)
     and likely_pair(sig_a, sig_b) do the same inside the last, full join.
     """
     found = open_buckets(members, shared)
     lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
+    known = things(lab.select("id"))
     r = -1
     while True:
         r += 1
@@ -84,13 +88,13 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], shared: S
         pairs, n = here.agg(F.sum(F.col("pairs") / F.col("n")), F.count("*")).first()
         if not n:
             break
-        last = r >= rounds or pairs <= few * n
+        last = r >= rounds or pairs <= (few if r == 0 else MANY) * n
         if last:
             found_pairs = _all_pairs(here, beside, likely_pair)
         else:
             found_pairs = likely(_pivot_pairs(here, r))
         found_pairs = shared.write(found_pairs)
-        links = shared.write(verify(found_pairs))
+        links = shared.write(verify(found_pairs, known))
         lab = components(lab, links, shared)
         if last:
             break
