@@ -49,6 +49,7 @@ GRAM = 24
 SPARSE = 8
 CHUNK_WINDOWS = 4096
 HOT = 5000
+RUN_BYTES = 8 << 20
 RANGE_ENTRIES = 25_000
 
 RUN, CHUNK, KNOWN = 0, 1, 2
@@ -127,7 +128,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             c = common.span_hash(p, start[first], start[first] + windows + length - 1)
             for kind, r, s, m, d, x, y in ((RUN, row, start, n, anchor - start, h, e),
                                            (CHUNK, row[first], start[first], windows, np.zeros_like(first), c, c)):
-                parts.append((np.full(len(r), kind), r + i, s - own[r], m, d, x, y))
+                parts.append((np.full(len(r), kind, np.int8), (r + i).astype(np.int32), (s - own[r]).astype(np.int32),
+                              m.astype(np.int32), d.astype(np.int32), x, y))
         kind, row, start, n, d, h, e = (np.concatenate([p[k] for p in parts]) for k in range(7))
         rank = _order(b.column("id"))[row]
         order = np.lexsort((start, rank, e, h, kind))
@@ -142,7 +144,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         merged = np.ones(len(known), bool)
         merged[1:] = (row[known[1:]] != row[known[:-1]]) | (start[known[1:]] > start[known[:-1]] + n[known[:-1]])
         f = np.flatnonzero(merged)
-        total = np.add.reduceat(n[known], f) if len(f) else np.zeros(0, np.int64)
+        total = np.add.reduceat(n[known], f) if len(f) else np.zeros(0, np.int32)
         keep = order[~same]
         out_row = np.concatenate([row[keep], row[known[f]]])
         yield pa.RecordBatch.from_arrays(
@@ -168,56 +170,61 @@ BLOCK = ("h", "kind", "shared", "rest", "before", "id", "start", "n")
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch], length: int, ranges: int, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Front-coded sorted runs: one row for every batch and range."""
-    for b in batches:
-        buf, off = common.text_buffer(b.column("text"))
-        ids = b.column("id").to_pylist()
-        lists = b.column("marks")
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten()
-        kind, start, n, away, h, first, hot = (
-            np.asarray(flat.field(k)) for k in ("kind", "start", "n", "d", "h", "first", "hot"))
-        row = np.repeat(np.arange(len(ids)), sizes)
-        at = off[row] + start
-        # runs inside a repeated chunk need no look of their own
-        gone = np.flatnonzero((kind == CHUNK) & ~first)
-        gone = gone[np.argsort(at[gone], kind="stable")]
-        inside = np.zeros(len(at), bool)
-        if len(gone):
-            k = np.maximum(np.searchsorted(at[gone], at, side="right") - 1, 0)
-            inside = (at[gone][k] <= at) & (at + n <= at[gone][k] + n[gone][k]) & (kind == RUN)
-        entries: list[tuple] = []
-        raw = buf.tobytes()
-        for x in np.flatnonzero(~inside).tolist():
-            a, m, r = int(at[x]), int(n[x]), int(row[x])
-            if kind[x] == CHUNK:
-                entries.append((int(h[x]), CHUNK, raw[a: a + m + length - 1], b"", ids[r], int(start[x]), m))
-            elif hot[x]:
-                for k in range(m):
-                    piece = raw[a + k: a + k + length]
-                    key = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True)
-                    entries.append((key, CHUNK, piece, b"", ids[r], int(start[x]) + k, 1))
-            else:
-                d = int(away[x])
-                entries.append((int(h[x]), RUN, raw[a + d: a + m + length - 1], raw[a: a + d], ids[r], int(start[x]), m))
-        entries.sort()
-        blocks: dict[int, dict[str, list]] = {}
-        last: dict[int, tuple] = {}
-        for e in entries:
-            z = ((e[0] + (1 << 63)) * ranges) >> 64
-            block = blocks.setdefault(z, {k: [] for k in BLOCK})
-            prev = last.get(z)
-            shared = common_prefix(prev[2], e[2]) if prev is not None and prev[:2] == e[:2] else 0
-            if prev is not None and e[1] == CHUNK and prev[:2] == e[:2] and prev[2] == e[2] and prev[4:6] == e[4:6]:
-                continue  # a repeated row
-            last[z] = e
-            for k, v in zip(BLOCK, (e[0], e[1], shared, e[2][shared:], *e[3:])):
-                block[k].append(v)
-        if blocks:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(blocks), pa.int32()),
-                 *(pa.array([v[k] for v in blocks.values()], pa.list_(t)) for k, t in zip(BLOCK, _block_types(id_kind)))],
-                names=["range", *BLOCK])
+    """Front-coded sorted runs of about RUN_BYTES of text: one row for every run and range."""
+    for whole in batches:
+        for i, j in common.slices(common.text_buffer(whole.column("text"))[1], RUN_BYTES):
+            yield from _sorted_run(whole.slice(i, j - i), length, ranges, id_kind)
+
+
+def _sorted_run(b: pa.RecordBatch, length: int, ranges: int, id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    buf, off = common.text_buffer(b.column("text"))
+    ids = b.column("id").to_pylist()
+    lists = b.column("marks")
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    kind, start, n, away, h, first, hot = (
+        np.asarray(flat.field(k)) for k in ("kind", "start", "n", "d", "h", "first", "hot"))
+    row = np.repeat(np.arange(len(ids)), sizes)
+    at = off[row] + start
+    # runs inside a repeated chunk need no look of their own
+    gone = np.flatnonzero((kind == CHUNK) & ~first)
+    gone = gone[np.argsort(at[gone], kind="stable")]
+    inside = np.zeros(len(at), bool)
+    if len(gone):
+        k = np.maximum(np.searchsorted(at[gone], at, side="right") - 1, 0)
+        inside = (at[gone][k] <= at) & (at + n <= at[gone][k] + n[gone][k]) & (kind == RUN)
+    entries: list[tuple] = []
+    raw = buf.tobytes()
+    for x in np.flatnonzero(~inside).tolist():
+        a, m, r = int(at[x]), int(n[x]), int(row[x])
+        if kind[x] == CHUNK:
+            entries.append((int(h[x]), CHUNK, raw[a: a + m + length - 1], b"", ids[r], int(start[x]), m))
+        elif hot[x]:
+            for k in range(m):
+                piece = raw[a + k: a + k + length]
+                key = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True)
+                entries.append((key, CHUNK, piece, b"", ids[r], int(start[x]) + k, 1))
+        else:
+            d = int(away[x])
+            entries.append((int(h[x]), RUN, raw[a + d: a + m + length - 1], raw[a: a + d], ids[r], int(start[x]), m))
+    entries.sort()
+    blocks: dict[int, dict[str, list]] = {}
+    last: dict[int, tuple] = {}
+    for e in entries:
+        z = ((e[0] + (1 << 63)) * ranges) >> 64
+        block = blocks.setdefault(z, {k: [] for k in BLOCK})
+        prev = last.get(z)
+        shared = common_prefix(prev[2], e[2]) if prev is not None and prev[:2] == e[:2] else 0
+        if prev is not None and e[1] == CHUNK and prev[:2] == e[:2] and prev[2] == e[2] and prev[4:6] == e[4:6]:
+            continue  # a repeated row
+        last[z] = e
+        for k, v in zip(BLOCK, (e[0], e[1], shared, e[2][shared:], *e[3:])):
+            block[k].append(v)
+    if blocks:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(blocks), pa.int32()),
+             *(pa.array([v[k] for v in blocks.values()], pa.list_(t)) for k, t in zip(BLOCK, _block_types(id_kind)))],
+            names=["range", *BLOCK])
 
 
 def _block_types(id_kind: pa.DataType) -> tuple[pa.DataType, ...]:
