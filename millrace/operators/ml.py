@@ -14,8 +14,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import hash_unit, risk_band, safe_div
 
@@ -30,8 +31,12 @@ NUM_TREES, MAX_DEPTH, SEED = 50, 10, 42
 TEST_SHARE = 0.2
 
 
-def _hash(cols: Sequence[str], seed: int):
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+def _hash(df: DataFrame, cols: Sequence[str], seed: int) -> Column:
+    """Hash uniform of a row's key; times enter as microseconds, so other engines can repeat it."""
+    def plain(c: str) -> Column:
+        timed = isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType))
+        return F.unix_micros(F.col(c).cast("timestamp")) if timed else F.col(c)
+    return hash_unit(F.lit(seed), *[plain(c) for c in cols])
 
 
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = SEED) -> DataFrame:
@@ -41,10 +46,9 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = SEED) -
     threshold that leaves about 2n + 1000 rows comes first (that fewer than n
     pass is as good as impossible), so only those are ranked.
     """
-    h = df.withColumn("_h", _hash(key_cols, seed))
+    h = df.withColumn("_h", _hash(df, key_cols, seed))
     total = df.agg(F.count(F.lit(1))).scalar()
-    unit = (F.col("_h").cast("double") + 9.223372036854775808e18) / 1.8446744073709552e19
-    near = h.where(unit < (2.0 * n + 1000) / total)
+    near = h.where(F.col("_h") < (2.0 * n + 1000) / total)
     return near.orderBy("_h", *key_cols).limit(n).drop("_h")
 
 
@@ -72,9 +76,8 @@ def synthetic_failures(spark: SparkSession, n: int = SYNTHETIC_ROWS, seed: int =
 def split(df: DataFrame, key_cols: Sequence[str], test_share: float = TEST_SHARE,
           seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Stable 80/20 split by hash bucket of the key (M5)."""
-    b = F.pmod(_hash(key_cols, seed + 1), F.lit(1000))
-    cut = int(round((1 - test_share) * 1000))
-    return df.where(b < cut), df.where(b >= cut)
+    u = _hash(df, key_cols, seed + 1)
+    return df.where(u < 1 - test_share), df.where(u >= 1 - test_share)
 
 
 def training_frame(readings: DataFrame, key_cols: Sequence[str], sample_rows: int = SAMPLE_ROWS,

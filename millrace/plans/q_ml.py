@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ml
 from millrace.operators.timeseries import latest_per_key, tail_per_key
+from millrace.plans.oracle import hash_unit
 from millrace.plans.registry import register
 
 _KEY = ["Machine", "Timestamp"]
@@ -34,6 +35,23 @@ def _prediction_metrics(m):
     return ml.evaluate(pred)
 
 
+_SAMPLE_QUERY_ROWS = 500
+
+
+@register("training_sample", f"""
+WITH k AS (SELECT Machine, "Timestamp", Running_Status, epoch_us("Timestamp") AS us FROM fact_sensor),
+s AS (SELECT *, {hash_unit('42', 'Machine', 'us')} AS h FROM k ORDER BY h, Machine, "Timestamp" LIMIT {_SAMPLE_QUERY_ROWS})
+SELECT Machine, "Timestamp", CAST(Running_Status IN ('Error', 'Warning') AS INTEGER) AS label,
+       CASE WHEN {hash_unit('43', 'Machine', 'us')} < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS Split
+FROM s""", "M1 M2 M5: the sample, its labels and its split")
+def _training_sample(m):
+    fs = m.bronze.fact_sensor.select("Machine", "Timestamp", "Running_Status")
+    s = ml.label(ml.sample_n(fs, _SAMPLE_QUERY_ROWS, ["Machine", "Timestamp"]))
+    train, test = ml.split(s, ["Machine", "Timestamp"])
+    named = [d.select("Machine", "Timestamp", "label", F.lit(n).alias("Split")) for d, n in ((train, "train"), (test, "test"))]
+    return named[0].unionByName(named[1])
+
+
 def _model(m):
     """Fit once per medallion (session + data folder); kept on the medallion."""
     if not hasattr(m, "_failure_model"):
