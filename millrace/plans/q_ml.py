@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.operators import ml
 from millrace.operators.timeseries import latest_per_key, tail_per_key
 from millrace.plans.oracle import hash_unit
 from millrace.plans.registry import register
+from millrace.session import checkpoint_dir
 
 _KEY = ["Machine", "Timestamp"]
 
@@ -69,7 +72,9 @@ register("model_evaluation", None, "M1-M7 hold-out metrics of the random forest"
 
 @register("failure_risk_latest", None, "M8-M11 risk of each machine's newest reading")
 def _risk_latest(m):
-    model, _ = _model(m)
+    path = f"{checkpoint_dir(m.spark).rstrip('/')}/models/{uuid.uuid4().hex[:12]}"
+    ml.save(_model(m)[0], path)
+    model = ml.load(path)
     fs = m.bronze.fact_sensor.select(*_KEY, *ml.FEATURES)
     latest = latest_per_key(fs, "Machine", ["Timestamp"])
     return ml.score(model, latest).select("Machine", "Timestamp", "Risk_Pct", "Risk_Band")
