@@ -56,9 +56,11 @@ def _between(edges: DataFrame, lab: DataFrame) -> DataFrame:
 
 
 def open_buckets(members: DataFrame, shared: Shared) -> DataFrame:
-    """The members of buckets with two different members or more."""
-    wide = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    return shared.write(members.join(wide, "key").distinct())
+    """The members of buckets with two different members or more, each a component of its own."""
+    state = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.max("id").alias("top"), F.min("id").alias("lo"),
+        (F.count("*") * (F.count("*") - 1) / 2).alias("pairs")).where("lo <> top").drop("lo")
+    return shared.write(members.join(state, "key").distinct().withColumn("comp", F.col("id")))
 
 
 def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
@@ -73,18 +75,19 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
     links. likely: a cheap filter of pairs that keeps links. beside (id, sig)
     and likely_pair(sig_a, sig_b) do the same inside the last, full join.
     """
-    found = open_buckets(members, shared)
-    lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
+    here = open_buckets(members, shared)
+    lab = shared.write(here.select("id", F.col("id").alias("comp")).distinct())
     known = things(lab.select("id"))
     r = -1
     while True:
         r += 1
-        here = found.join(lab, "id")
-        sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        state = sizes.groupBy("key").agg(
-            F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("top"),
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
-        here = shared.write(here.join(state, "key"))
+        if r:
+            here = found.join(lab, "id")
+            sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
+            state = sizes.groupBy("key").agg(
+                F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("top"),
+                ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
+            here = shared.write(here.join(state, "key"))
         pairs, n = here.agg(F.sum(F.col("pairs") / F.col("n")), F.count("*")).first()
         if not n:
             break
@@ -100,9 +103,8 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
             break
         if links.count() * POOR < found_pairs.count():
             rounds = r + 1  # pivots have found what they can
-        shared.drop(found)
-        found = shared.write(here.select("key", "id"))
-        shared.drop(here, links)
+        found = here.select("key", "id")
+        shared.drop(links)
     return lab
 
 
