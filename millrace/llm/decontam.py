@@ -17,7 +17,8 @@ Rows: null and empty texts have no words and no hits; repeated rows come back
 repeated; a document without an id is handled like any other on the broadcast
 path and by its text on the shuffled one; an item without an id marks words but
 is not listed; repeated item ids are one item; an empty benchmark marks nothing;
-other columns are not read.
+other columns are not read. ``remove`` decides for every row by its own text,
+whatever its id.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -144,12 +146,10 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS, id_col: str =
     spark = docs.sparkSession
     common.start(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    bench = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
-    if size > broadcast_bytes:
+    bench = _bench(items, item_id, item_text)
+    shared = _broadcast(bench, broadcast_bytes)
+    if shared is None:
         return _shuffled(rows, bench, n)
-    got = bench.toArrow()
-    shared = spark.sparkContext.broadcast((got.column("item").to_pylist(), got.column("text").to_pylist()))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +170,28 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS, id_col: str =
     return rows.mapInArrow(run, f"id {kind}, {HITS}")
 
 
-def _shuffled(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
-    """The same result with the fingerprints joined by a shuffle; no side is broadcast.
+def _bench(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+
+
+def _broadcast(bench: DataFrame, limit: int) -> Broadcast | None:
+    """The items' ids and texts for every task, unless they are larger than ``limit`` bytes."""
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
+    if size > limit:
+        return None
+    got = bench.toArrow()
+    return bench.sparkSession.sparkContext.broadcast((got.column("item").to_pylist(), got.column("text").to_pylist()))
+
+
+def _text_key(text: str | Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _runs(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+    """(doc_key, item_key, runs) of every text that shares a run with an item; no side is broadcast.
 
     Texts are keyed by their hash, so equal texts are examined once.
     """
-    bench = bench.withColumn("item_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = rows.withColumn("doc_key", F.sha2(F.coalesce("text", F.lit("")), 256))
     lengths = [x[0] for x in _word_counts(bench).select(F.least("n_words", F.lit(n)).alias("m"))
                .where("m > 0").distinct().collect()]  # at most n values
     texts = rows.select("doc_key", "text").dropDuplicates(["doc_key"])
@@ -198,8 +213,15 @@ def _shuffled(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
                  pa.array([x[2] for x in out], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))],
                 names=["doc_key", "item_key", "runs"])
 
-    found = (pairs.join(texts, "doc_key").join(item_texts.withColumnRenamed("text", "item_text"), "item_key")
-             .mapInArrow(extend, "doc_key string, item_key string, runs array<struct<a:bigint,b:bigint>>"))
+    return (pairs.join(texts, "doc_key").join(item_texts.withColumnRenamed("text", "item_text"), "item_key")
+            .mapInArrow(extend, "doc_key string, item_key string, runs array<struct<a:bigint,b:bigint>>"))
+
+
+def _shuffled(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+    """The result of ``scan`` with the fingerprints joined by a shuffle."""
+    bench = bench.withColumn("item_key", _text_key("text"))
+    rows = rows.withColumn("doc_key", _text_key("text"))
+    found = _runs(rows, bench, n)
     places = (found.select("doc_key", F.explode("runs").alias("r"))
               .select("doc_key", F.explode(F.sequence("r.a", F.col("r.b") - 1)).alias("place"))
               .distinct().groupBy("doc_key").agg(F.count("*").alias("n_hit")))
@@ -248,8 +270,27 @@ def _prints(df: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     return df.mapInArrow(run, f"{key} string, length int, print bigint").distinct()
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without a hit, all columns kept."""
-    bad = (scan(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0")
-           .select(F.col("id").alias("_contaminated_id")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_contaminated_id"]), "left_anti")
+def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW_WORDS,
+           item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows without a hit, all columns kept; each row by its own text, ids are not read."""
+    common.start(docs.sparkSession)
+    bench = _bench(items, item_id, item_text)
+    shared = _broadcast(bench, broadcast_bytes)
+    if shared is None:
+        rows = docs.select(_text_key(text_col).alias("doc_key"), F.col(text_col).alias("text"))
+        bad = (_runs(rows, bench.withColumn("item_key", _text_key("text")), n)
+               .select(F.col("doc_key").alias("_contaminated_text")).distinct())
+        return docs.join(bad, _text_key(docs[text_col]) == bad["_contaminated_text"], "left_anti")
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = shared.value
+        index = Index(ids, pa.array(texts, pa.string()), n)
+        for b in batches:
+            buf, off = common.text_buffer(b.column(place))
+            for i, j in common.slices(off):
+                clean = np.ones(j - i, bool)
+                clean[list(hits(Text(buf[off[i]: off[j]], off[i: j + 1] - off[i]), index))] = False
+                yield b.slice(i, j - i).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -65,3 +65,13 @@ def test_edges(edge_docs, no_docs, tables):
         assert out.agg(F.sum("n_hit")).first()[0] == 0
     kept = decontam.remove(edge_docs, items)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count()
+
+
+def test_rows_are_removed_by_their_own_text(spark, tables):
+    docs, items = tables
+    hit = "An item without an id has words too."
+    rows = spark.createDataFrame([(None, hit), (None, "a clean row"), (1, hit), (1, "another clean row"), (2, None)],
+                                 "doc_id long, text string")
+    for limit in (1 << 24, 0):
+        kept = decontam.remove(rows, items, broadcast_bytes=limit).collect()
+        assert sorted(map(str, kept)) == sorted(map(str, [r for r in rows.collect() if r["text"] != hit]))
