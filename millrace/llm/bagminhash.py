@@ -12,8 +12,8 @@ Equal texts are one class before signatures are compared. Bands of a signature
 are buckets; candidate links are found as in ``linking`` and each is verified
 on the shingle multisets themselves, against ``THRESHOLD``. Classes are the
 connected documents, named by their smallest id. With 50 bands of 6 slots a
-pair at the threshold shares no band with probability 3e-7, and six in 10,000 of
-such pairs have a signature that hides them (``SLACK``); both fall fast above it.
+pair at the threshold shares no band with probability 3e-7, and has a signature
+that hides it (``SLACK``) with less than that; both fall fast above it.
 A slot keeps eight bits of its point, so unlike slots agree once in 256.
 
 Rows: a null text is an empty one; texts without a word are alike only if equal;
@@ -38,7 +38,7 @@ THRESHOLD = 0.8
 BANDS = 50
 ROWS = 6
 SLOTS = BANDS * ROWS
-SLACK = 3.25  # standard deviations allowed to the signature's estimate
+SLACK = 5.2  # standard deviations allowed to the signature's estimate
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +143,11 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 [c.slice(i, j - i).filter(pa.array(s >= threshold)) for c in (b.column("a"), b.column("b"))], names=["a", "b"])
 
 
+def least_agreement(threshold: float) -> int:
+    """Equal slots that two signatures of a link have, but for fewer cases than the bands miss."""
+    return int(SLOTS * threshold - SLACK * (SLOTS * threshold * (1 - threshold)) ** 0.5)
+
+
 def agreement(x: Column, y: Column) -> Column:
     """Number of equal slots of two signatures."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
@@ -162,7 +167,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sigs = shared.write(signed.where(F.size("sig") > 0).join(copies, (F.col("id") == F.col("first")) & (signed["copy"] == copies["copy"]))
                         .select("id", F.struct("sig", "weight").alias("sig")).dropDuplicates(["id"]))
     members = sigs.select("id", "sig.sig").mapInArrow(_bands, f"key bigint, id {kind}")
-    least = int(SLOTS * threshold - SLACK * (SLOTS * threshold * (1 - threshold)) ** 0.5)
+    least = least_agreement(threshold)
 
     def possible(x: Column, y: Column) -> Column:
         """Sizes that allow the threshold, and enough equal slots."""

@@ -1,6 +1,7 @@
 """BagMinHash classes and line classes against pairwise comparison."""
 
 import collections
+import math
 import random
 import re
 
@@ -79,6 +80,14 @@ def test_signatures_are_unbiased():
         assert abs((sig[0] == sig[1]).mean() - bm.similarity(*parts, 1)[0]) < 0.03
 
 
+def test_signature_filter_loses_no_more_than_the_bands():
+    for similarity in (0.8, 0.805, 0.81, 0.83):
+        slot = similarity + (1 - similarity) / 256
+        least = bm.least_agreement(bm.THRESHOLD)
+        filtered = sum(math.comb(bm.SLOTS, k) * slot**k * (1 - slot) ** (bm.SLOTS - k) for k in range(least))
+        assert filtered <= (1 - similarity**bm.ROWS) ** bm.BANDS
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     got = {}
     for r in bm.classes(edge_docs).collect():
