@@ -2,13 +2,15 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns (email,
 ip, card, phone) that pass their check. The nodes of the random field are the
-base spans, whose labels are fixed, and all other tokens of the document that
-hold a digit or an at sign. A node has a potential by its shape; neighbouring
-nodes share a chain potential; and distant nodes share a skip potential if they
-are equal, differ in one digit, or are addresses with the same local part. Loopy
-message passing carries labels along both kinds of edges, so a token that
-repeats or resembles a known entity of its document takes that entity's label.
-Such tokens are reported as ``<kind>_like`` spans beside the base ones.
+base spans, whose labels are fixed, all other tokens of the document that hold a
+digit or an at sign, and the numbers outside base spans that are written in
+groups of digits (8 to 19 of them, with the separators of cards and phones). A
+node has a potential by its shape; neighbouring nodes share a chain potential;
+and distant nodes share a skip potential if they are equal, have the same digits
+or all but one, or are addresses with the same local part. Loopy message passing
+carries labels along both kinds of edges, so a token or number that repeats or
+resembles a known entity of its document takes that entity's label. Such tokens
+and numbers are reported as ``<kind>_like`` spans beside the base ones.
 
 Potentials are learned piecewise from the base labels of a sample of about
 ``FIT_DOCS`` documents. Everything else covers whole texts of all rows; all
@@ -21,6 +23,8 @@ exclusive.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -50,7 +54,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\s|,;\"'<>\[\]{}]+")
+_GROUPS = re.compile(r"[0-9](?:[\x20().-]*+[0-9])++")  # separators after a digit are tried once
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+")
+SHAPE_CHARS = 64  # longer shapes are known by a hash
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -101,11 +107,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def shape(token: str) -> str:
     """Runs of digits with their length, runs of letters, other characters as they are."""
-    return _RUN.sub(lambda m: f"d{min(len(m.group()), 20)}" if m.group()[0] in "0123456789" else "a", token[:64])
+    s = _RUN.sub(lambda m: f"d{min(len(m.group()), 20)}" if m.group()[0] in "0123456789" else "a", token)
+    return s if len(s) <= SHAPE_CHARS else hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def grouped(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of the longest digit groups between base spans, 8 to 19 digits in two groups or more."""
+    out, at = [], 0
+    for a, b in [*sorted((a, b) for a, b, _ in base), (len(text), len(text))]:
+        for m in _GROUPS.finditer(text, at, max(a, at)):
+            digits = _digits(m.group())
+            if len(digits) in SIMILAR_DIGITS and len(digits) < m.end() - m.start():
+                out.append((m.start(), m.end()))
+        at = max(at, b)
+    return out
 
 
 def nodes(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """(start, end, label) of base spans and of other tokens with a digit or an at sign."""
+    """(start, end, label) of base spans, of other tokens with a digit or an at sign, and of grouped numbers."""
     out = [(a, b, LABELS.index(k)) for a, b, k in base]
     free, busy = [], sorted((a, b) for a, b, _ in base)
     at = 0
@@ -119,12 +138,29 @@ def nodes(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, i
         if at < len(busy) and busy[at][0] < b:
             continue
         free.append((a, b, 0))
-    return sorted(out + free)
+    known = {(a, b) for a, b, _ in free}
+    return sorted(out + free + [(a, b, 0) for a, b in grouped(text, base) if (a, b) not in known])
 
 
 def edges(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain edges, skip edges); nodes with a common value are linked in a row, so edges stay linear."""
-    chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= NEAR]
+    """(chain edges, skip edges); nodes with a common value are linked in a row, so edges stay linear.
+
+    Numbers in the same digits are alike however they are grouped. A grouped
+    number stands in the chain beside the tokens that it overlaps.
+    """
+    row: list[int] = []
+    beside, end = [], 0
+    for i, (a, b, k) in enumerate(spans):
+        (row if k or a >= end else beside).append(i)
+        end = max(end, spans[row[-1]][1])
+    chain = list(zip(row, row[1:]))
+    for i in beside:
+        before = bisect.bisect_left(row, i) - 1
+        while before >= 0 and spans[row[before]][1] > spans[i][0]:
+            before -= 1
+        after = bisect.bisect_left(row, spans[i][1], key=lambda x: spans[x][0])
+        chain += [(row[before], i)] * (before >= 0) + [(i, x) for x in row[after: after + 1]]
+    chain = sorted((x, y) for x, y in chain if spans[y][0] - spans[x][1] <= NEAR)
     last: dict[tuple, int] = {}
     skip = set()
     for i, (a, b, _) in enumerate(spans):
@@ -212,9 +248,11 @@ def label(texts: list[str], model: dict) -> list[tuple[list[tuple[int, int, str]
     if free:
         p = marginals(np.array(own), np.array(edge, np.int64).reshape(-1, 2), np.array(kind, np.int64), model["pair"])
         best = p.argmax(axis=1)
-        for i, t, a, b in free:
-            if best[i] and p[i, best[i]] > CERTAIN:
+        last = (-1, 0)
+        for i, t, a, b in sorted(free, key=lambda x: (x[1], x[2], -x[3])):
+            if best[i] and p[i, best[i]] > CERTAIN and (t, b) > last:  # not the groups inside a number
                 out[t][1].append((a, b, f"{LABELS[best[i]]}_like"))
+                last = (t, b)
     order = [*KINDS, *(f"{k}_like" for k in KINDS)]
     return [(b, sorted(s, key=lambda x: (x[0], order.index(x[2])))) for b, s in out]
 

@@ -51,6 +51,26 @@ def test_similar_token_takes_the_label(spark, edge_docs):
     assert {tuple(s) for s in out[500]["base"]} <= {tuple(s) for s in out[500]["spans"]}
 
 
+def test_numbers_in_groups_take_the_label(spark):
+    rows = [(i, f"call +44 20 7946 0{i:03d} or +44 20 7946 0{i:03d}; pay 4111 1111 1111 1111 or 4111 1111 1111 1111") for i in range(60)]
+    rows += [(100 + i, f"order {i} of item {7 * i} for page {i}") for i in range(60)]
+    near = ("call +44 20 7946 0958 or pay 4111 1111 1111 1111; some plain words that stand between the numbers of this text, "
+            "then 44 20 7946 0958 again, more plain words that stand between the numbers, and 4111 1111 1111 1112 at the end")
+    df = spark.createDataFrame([*rows, (500, near)], "doc_id long, text string")
+    out = pii.find(df, pii.fit(df)).where("id = 500").first()
+    assert [tuple(s) for s in out["base"]] == brute(near)
+    assert [(near[s["start"]:s["end"]], s["kind"]) for s in out["spans"] if s["kind"].endswith("_like")] == [
+        ("44 20 7946 0958", "phone_like"), ("4111 1111 1111 1112", "card_like")]
+
+
+def test_shapes_and_groups_read_whole_texts():
+    assert pii.shape("ab-" * 30 + "1") != pii.shape("ab-" * 30 + "12")
+    for t in ("1 " * 150_000, "1" + " " * 300_000, "1((((" * 60_000, "1 1 " + "a" * 300_000):
+        assert pii.nodes(t, []) is not None
+    text = "x 1234-5678 and 12 34 and " + "1 " * 30
+    assert [text[a:b] for a, b in pii.grouped(text, [])] == ["1234-5678"]
+
+
 def test_edges(edge_docs, no_docs):
     model = pii.fit(edge_docs)
     out = pii.find(edge_docs, model).collect()
