@@ -5,8 +5,8 @@ has kept; ``run`` writes each stage's documents to the shared folder and reads
 them again.
 
 1. quality: documents that the attention classifier scores below 0.3 go.
-2. line dedup: lines that stand, up to one edit, in an earlier document or
-   earlier in the same one are cut out; a document left without a line goes.
+2. line dedup: lines that stand, up to one to three edits by their length, in an
+   earlier document or earlier in the same one are cut out; a document left without a line goes.
 3. MinHash near-dedup: of each class of near-duplicates the first document stays.
 4. decontamination: documents that share ten words in a row with a benchmark
    item go.

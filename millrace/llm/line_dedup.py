@@ -3,7 +3,8 @@
 A line is what stands between line ends, without white space around it; edits
 are counted in UTF-8 bytes. Lines of at least ``FUZZY_BYTES`` bytes are alike if
 at most ``max_edits`` edits apart, shorter ones only if equal; blank lines are
-left alone. Every line is split into max_edits + 1 segments: a line within
+left alone. ``max_edits`` is one number, or grows with the length of the shorter
+line by classes (``MAX_EDITS``), each of which is joined exactly. Every line is split into max_edits + 1 segments: a line within
 max_edits edits holds at least one of them unchanged, at a place that the two
 lengths bound. So each line enters one bucket per (length, segment number,
 segment) of its own, and probes those buckets of the lengths down to max_edits
@@ -24,6 +25,7 @@ kept by ``remove`` and not read by ``find``.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common, linking
 
-MAX_EDITS = 1
+MAX_EDITS = ((16, 1), (64, 2), (128, 3))  # bytes of the shorter line from which on so many edits are allowed
 FUZZY_BYTES = 16
 LEVELS = 6
 
@@ -89,16 +91,27 @@ def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def bucket_rows(p: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int,
-                depth: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def edit_classes(max_edits: int | tuple) -> list[tuple[int, float, int]]:
+    """(least, end, edits) for the lengths of the shorter line; all lines longer than the edits, if one number."""
+    steps = [(max_edits + 1, max_edits)] if isinstance(max_edits, int) else sorted(max_edits)
+    if any(least <= edits for least, edits in steps):
+        raise ValueError("a line must be longer than the edits it allows")
+    return [(least, end, edits) for (least, edits), end in zip(steps, [*(x for x, _ in steps[1:]), float("inf")])]
+
+
+def bucket_rows(p: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int | tuple,
+                depth: int = 1, levels: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(line index, bucket) for the segments of every line and its probes of lengths down to max_edits less.
 
-    ``depth`` levels: where a segment matches, the part that may still hold
-    edits is split and probed in the same way.
+    ``depth`` levels, or ``levels`` / edits if more: where a segment matches,
+    the part that may still hold edits is split and probed in the same way.
     """
-    who = np.arange(len(start))
-    for less in range(max_edits + 1):
-        yield from _matches(p, who, start, end, less, max_edits, np.zeros(len(start), np.uint64), depth)
+    size = end - start
+    for least, most, edits in edit_classes(max_edits):
+        for less in range(edits + 1):
+            who = np.flatnonzero((size - less >= least) & (size - less < most))
+            yield from _matches(p, who, start[who], end[who], less, edits, np.zeros(len(who), np.uint64),
+                                max(depth, levels // max(edits, 1)))
 
 
 def _matches(p: np.ndarray, who: np.ndarray, start: np.ndarray, end: np.ndarray, less: int, edits: int,
@@ -190,7 +203,7 @@ def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "line", "k"])
 
 
-def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int, fuzzy: int) -> Iterator[pa.RecordBatch]:
+def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuzzy: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
         for i, j in common.slices(off):
@@ -206,7 +219,7 @@ def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int, fuzzy: int)
                     [pa.array(bucket.view(np.int64)), binary16(k[who])], names=["key", "id"])
 
 
-def _bucket_texts(batches: Iterator[pa.RecordBatch], max_edits: int, depth: int) -> Iterator[pa.RecordBatch]:
+def _bucket_texts(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
     """The buckets of single lines (id, raw), several levels deep."""
     for b in batches:
         raw = pa.Table.from_batches([b]).column("raw").cast(pa.large_binary()).combine_chunks()
@@ -216,7 +229,7 @@ def _bucket_texts(batches: Iterator[pa.RecordBatch], max_edits: int, depth: int)
         for i, j in common.slices(off, common.SLICE_BYTES // 4):
             p = common.prefix_hash(buf[off[i]: off[j]])
             own = off[i: j + 1] - off[i]
-            for who, bucket in bucket_rows(p, own[:-1], own[1:], max_edits, depth):
+            for who, bucket in bucket_rows(p, own[:-1], own[1:], max_edits, levels=LEVELS):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket.view(np.int64)), ids.take(pa.array(who + i))], names=["key", "id"])
 
@@ -236,14 +249,16 @@ def _pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [binary16(k), pa.array([part[start[x]: end[x]].tobytes() for x in out], pa.binary())], names=["id", "raw"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
+    least, _, edits = zip(*edit_classes(max_edits))
     for b in batches:
-        ok = [within(x, y, max_edits) for x, y in zip(b.column("raw_a").to_pylist(), b.column("raw_b").to_pylist())]
+        ok = [within(x, y, edits[max(bisect.bisect_right(least, min(len(x), len(y))) - 1, 0)])
+              for x, y in zip(b.column("raw_a").to_pylist(), b.column("raw_b").to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int | tuple = MAX_EDITS,
          fuzzy_bytes: int = FUZZY_BYTES) -> tuple[DataFrame, DataFrame]:
     """((id, line, first_id, first_line) of every line to remove, (id, lines) of documents with lines)."""
     spark = docs.sparkSession
@@ -253,7 +268,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
     places = shared.write(rows.mapInArrow(_hash_lines, f"id {kind}, line int, k binary"))
     firsts = shared.write(places.groupBy("k").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")))
     # lines that share a bucket with another line, and their texts, read at their first place
-    fuzzy = max(fuzzy_bytes, max_edits + 1)
+    fuzzy = max(fuzzy_bytes, edit_classes(max_edits)[0][0])
     members = shared.write(rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy), "key bigint, id binary"))
     buckets = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     both = members.join(buckets.select("key"), "key").select("id").distinct()
@@ -261,8 +276,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
               .agg(F.collect_set("first.line").alias("wanted")))
     texts = shared.write(rows.join(wanted, "id").mapInArrow(_pick_lines, "id binary, raw binary").dropDuplicates(["id"]))
     # the same lines, each beside those that share all but a small part with it
-    depth = max(1, LEVELS // max_edits)
-    fine = shared.write(texts.mapInArrow(lambda b: _bucket_texts(b, max_edits, depth), "key bigint, id binary"))
+    fine = shared.write(texts.mapInArrow(lambda b: _bucket_texts(b, max_edits), "key bigint, id binary"))
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a"))
@@ -281,7 +295,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
     return shared.write(removed), counts
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int | tuple = MAX_EDITS,
            fuzzy_bytes: int = FUZZY_BYTES) -> DataFrame:
     """The documents without the removed lines, all columns kept.
 

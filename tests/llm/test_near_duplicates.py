@@ -190,6 +190,29 @@ def test_removed_lines_equal_pairwise_comparison(spark, edits):
             assert kept[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in bad)
 
 
+def test_edits_grow_with_the_length_of_the_line(spark):
+    rnd = random.Random(11)
+    steps = [(16, 1), (64, 2), (128, 3)]
+    lines = []
+    for size in (18, 40, 63, 64, 65, 90, 127, 128, 130, 300):
+        for _ in range(3):
+            a = "".join(rnd.choice("abcdefgh ") for _ in range(size - 2)).encode()
+            a = b"s" + a + b"e"
+            lines += [a, *(b"s" + edited(rnd, a[1:-1], k, b"xyz") + b"e" for k in (1, 2, 3, 4))]
+    lines = [x.decode() for x in dict.fromkeys(lines)]
+    sets = Sets()
+    for n, a in enumerate(lines):
+        sets.find(n)
+        for m, b in enumerate(lines[:n]):
+            short = min(len(a), len(b))
+            if line_dedup.within(a.encode(), b.encode(), max((e for least, e in steps if short >= least), default=0)):
+                sets.join(n, m)
+    assert sum(sets.find(n) != n for n in range(len(lines))) > 40
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone, _ = line_dedup.find(df)
+    assert {r["id"]: r["first_id"] for r in gone.collect()} == {n: sets.find(n) for n in range(len(lines)) if sets.find(n) != n}
+
+
 def test_line_edges(edge_docs, no_docs):
     kept = line_dedup.remove(edge_docs)
     assert kept.columns == edge_docs.columns
