@@ -208,6 +208,9 @@ def _chain_partitions(batches, key: str, value_cols: list[str], one_minus_alpha:
                             **{f"_in_{c}": out[c] for c in value_cols}})
 
 
+UNTIMED_CHUNK = -1  # before the chunks by time, as nulls sort
+
+
 def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
                value_cols: Sequence[str], init: DataFrame, alpha: float = EMA_ALPHA,
                chunk_rows: int = 200_000) -> DataFrame:
@@ -215,7 +218,8 @@ def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
 
     ``init`` has ``key`` and one column per value column holding the starting
     state. Returns ``df``'s rows with the value columns replaced by the
-    unrounded smoothed state after each row.
+    unrounded smoothed state after each row. Rows without a time come first, in
+    the order of the tie columns, as a chunk of their own.
 
     Plan: each key's time span is cut into chunks of about ``chunk_rows`` rows
     (chunk width = span x chunk_rows / rows of the key), so a key holding a
@@ -235,7 +239,8 @@ def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
                  (F.col("_t1") - F.col("_t0") + 1).cast("double") * chunk_rows / F.col("_n")).cast("long"))
                  .alias("_w")))
     rows = (df.join(stats, key, "left")
-              .withColumn("_chunk", F.floor((micros - F.col("_t0")) / F.col("_w")).cast("long"))
+              .withColumn("_chunk", F.coalesce(F.floor((micros - F.col("_t0")) / F.col("_w")).cast("long"),
+                                               F.lit(UNTIMED_CHUNK).cast("long")))
               .drop("_t0", "_w"))
     # Stable in-chunk order: rank by (ts, tie columns) within the bounded chunk.
     wc = Window.partitionBy(key, "_chunk").orderBy(F.col(ts_col), *[F.col(c) for c in tie_cols])

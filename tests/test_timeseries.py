@@ -173,3 +173,17 @@ def test_ema_chunk_spanning_arrow_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got["A"] == _fold([x for (m, _, x) in data if m == "A"], 5.0)
     assert got["B"] == _fold([float(i) for i in range(15)], 0.0)
+
+
+def test_ema_rows_without_a_time_come_first(spark):
+    data = [("A", None, 7.0, 3.0), ("A", None, 5.0, 1.0), ("B", None, 4.0, 1.0)]
+    data += [("A", T0 + dt.timedelta(minutes=i), float(i % 23), 0.0) for i in range(60)]
+    df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double, Tie double")
+    init = spark.createDataFrame([("A", 5.0), ("B", 2.0)], "Machine string, Temperature double")
+    out = ts.ema_smooth(df, "Machine", "Timestamp", ["Tie"], ["Temperature"], init, chunk_rows=20)
+    got = {}
+    for r in out.orderBy("Machine", "Timestamp", "Tie").collect():
+        got.setdefault(r["Machine"], []).append(r["Temperature"])
+    want = _fold([5.0, 7.0, *(float(i % 23) for i in range(60))], 5.0)
+    assert len(got["A"]) == len(want) and max(abs(a - b) for a, b in zip(got["A"], want)) < 1e-9
+    assert got["B"] == _fold([4.0], 2.0)
