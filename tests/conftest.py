@@ -25,9 +25,3 @@ def tmp(tmp_path_factory):
 @pytest.fixture(scope="session")
 def smoke_dir():
     return "/root/testdata/sf0.001"
-
-
-def rows(df, *cols):
-    """Sorted list of tuples of the given columns (all when none)."""
-    cols = cols or df.columns
-    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)

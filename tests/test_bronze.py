@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from millrace.plans.medallion import Medallion
 from millrace.sources.bronze import BronzeFolder, write_bronze
 from millrace.sources.testdata import DriverTables

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from millrace.functions import (
     event_time, half_up, hash_unit, minute_diff, null_greatest, null_least, risk_band, safe_div,
     status_colour, three_phase_current, uid,

@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB SQL on the smallest driver tables."""
+"""Every query of the library against its DuckDB SQL on the smallest driver tables."""
 
 import math
 import os
@@ -6,12 +6,13 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from millrace.plans.registry import oracle_queries, spark_queries
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SQL = oracle_sql()
-QUERIES = queries()
+SQL = oracle_queries()
+QUERIES = spark_queries()
 
 
 # MILLRACE_ORACLE_DIR=/root/testdata/sf0.01 runs the comparison at another scale.

@@ -5,7 +5,7 @@ import json
 import os
 
 
-from conftest import rows
+from helpers import rows
 from millrace.operators import rules as R
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from millrace.operators import gold, operations, silver
 from millrace.operators import rules as R
 from millrace.operators import timeseries as ts

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from millrace.operators import timeseries as ts
 
 T0 = dt.datetime(2024, 1, 1)
