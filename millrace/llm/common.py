@@ -181,6 +181,42 @@ class Shared:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
+
+def integral(vec: Column, scale: int) -> Column:
+    """floor(scale * x) of every component, as doubles without a fraction (exact at any size)."""
+    def one(e: Column) -> Column:
+        x = e * F.lit(float(scale))  # a double of 2**52 and more has no fraction; floor() gives 64 bits only
+        return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
+    return F.transform(vec.cast("array<double>"), one)
+
+
+def finite(vec: Column) -> Column:
+    """A vector without null, NaN or infinite components (an empty one is finite)."""
+    return vec.isNotNull() & F.forall(vec.cast("array<double>"), lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+
+
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of integral doubles; one beyond 64 bits is the largest or smallest such value."""
+    dim = q.shape[1]
+    out = np.zeros((len(q), len(c)), np.int64)
+    if not dim or not out.size:
+        return out
+    qa, ca = np.abs(q).max(axis=1), np.abs(c).max(axis=1)
+    limit = np.sqrt(2.0**53 / dim)
+    if qa.max() < limit and ca.max() < limit:
+        return (q @ c.T).astype(np.int64)  # every partial sum is an integer below 2**53
+    q_ok, c_ok = np.flatnonzero(qa < limit), np.flatnonzero(ca < limit)
+    out[np.ix_(q_ok, c_ok)] = (q[q_ok] @ c[c_ok].T).astype(np.int64)
+    large = [(i, range(len(c))) for i in np.flatnonzero(qa >= limit)] + [(i, np.flatnonzero(ca >= limit)) for i in q_ok]
+    for i, others in large:  # whole numbers of any size
+        x = [int(e) for e in q[i].tolist()]
+        for j in others:
+            out[i, j] = min(max(sum(a * int(b) for a, b in zip(x, c[j].tolist())), LOW), HIGH)
+    return out
+
+
 def held_out(id_col: str | Column = "doc_id") -> Column:
     """True for the test fold: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
