@@ -234,3 +234,9 @@ n AS (
 SELECT anchor_id, positive_id, CAST(rnk AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM n WHERE rnk <= 5
 """
+
+
+@register
+def op11_block_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import html_text
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
