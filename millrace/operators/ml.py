@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import hash_unit, risk_band, safe_div
+from millrace.operators import selection as S
 
 # Model inputs and settings of the reference training run.
 FEATURES = ["Temperature", "Vibration", "Power_Consumption"]
@@ -42,14 +43,27 @@ def _hash(df: DataFrame, cols: Sequence[str], seed: int) -> Column:
 def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = SEED) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement, repeatable (M1).
 
-    The sample is the ``n`` rows with the smallest seeded hash of the key. A
-    threshold that leaves about 2n + 1000 rows comes first (that fewer than n
-    pass is as good as impossible), so only those are ranked.
+    The sample is the first ``n`` rows in the order of the seeded hash of the
+    key and then of the hash of the whole row, so rows that share a key are told
+    apart, and of rows that are equal in every column as many are taken as are
+    still wanted. Neither the layout of the table nor the number of cores
+    matters. The n-th row is found by counts per 16 bits of these hashes; the
+    rows taken are then counted per distinct row, with partial counts first, so
+    a key or a row that stands in most of the table is not gathered anywhere.
     """
-    h = df.withColumn("_h", _hash(df, key_cols, seed))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    near = h.where(F.col("_h") < (2.0 * n + 1000) / total)
-    return near.orderBy("_h", *key_cols).limit(n).drop("_h")
+    bits = F.floor(_hash(df, key_cols, seed) * float(1 << 32)).cast("long")
+    whole = F.xxhash64(*df.columns)
+    rows = df.withColumn("_bits", bits).withColumn("_row", whole).select(
+        "*", F.shiftright("_bits", 16).alias("_d0"), F.col("_bits").bitwiseAND(F.lit(0xFFFF)).alias("_d1"),
+        F.shiftright("_row", 48).alias("_d2")).drop("_bits")
+    digits = ["_d0", "_d1", "_d2"]
+    first = S.cut(rows.groupBy("_d0").agg(F.count(F.lit(1)).alias("_c")), ["_d0"], F.lit(n).cast("long"))
+    taken = S.first_rows(rows, digits, first).groupBy(*df.columns, "_row", "_wanted").agg(F.count(F.lit(1)).alias("_c"))
+    group = S.spread(F.col("_wanted").isNull(), "_row")
+    earlier = Window.partitionBy(group).orderBy("_row", *df.columns).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_wanted") - F.coalesce(F.sum("_c").over(earlier), F.lit(0))
+    take = taken.withColumn("_take", F.when(F.col("_wanted").isNull(), F.col("_c")).otherwise(F.least(F.col("_c"), left)))
+    return S.copies(take.where(F.col("_take") > 0).select(*df.columns, "_take"), "_take")
 
 
 def label(df: DataFrame, status_col: str = "Running_Status") -> DataFrame:

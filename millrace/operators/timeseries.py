@@ -8,7 +8,7 @@ Scale notes
 * ``tail_per_key`` relies on the window-group-limit rewrite
   (``row_number() <= n`` is evaluated per input partition before the shuffle).
 * ``tail_n`` is a top-N for a stated small N; a number of rows that grows with
-  the data (``newest``) is cut by counts per day and second instead.
+  the data (``newest``) is cut by counts of time instead (``selection``).
 * ``ema_smooth`` is an exact sequential fold inside bounded chunks
   (key x time bucket) and an affine-map composition across chunks, so a hot
   key is spread over many tasks.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import half_up
+from millrace.operators import selection as S
 
 # ------------------------------------------------------------------ W1 / W5
 
@@ -57,38 +58,42 @@ def tail_n(df: DataFrame, n: int, order_cols: Sequence[str], rank_col: str | Non
     return out
 
 
-def newest(df: DataFrame, n: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """The newest rows by ``order_cols``, as many as the single value of ``n`` (one row, one column).
+def _newest(rows: DataFrame, cut: DataFrame, order_cols: Sequence[str], digits: list[str], columns: list[str]) -> DataFrame:
+    taken = S.first_rows(rows, digits, cut, descending=True)
+    group = S.spread(F.col("_wanted").isNull(), *order_cols)
+    w = Window.partitionBy(group).orderBy(*[F.col(c).desc() for c in order_cols])
+    ranked = taken.withColumn("_rn", F.when(F.col("_wanted").isNotNull(), F.row_number().over(w)))
+    return ranked.where(F.col("_wanted").isNull() | (F.col("_rn") <= F.col("_wanted"))).select(*columns)
 
-    The first order column is a time. Counts per day, then per second of the
-    day in which the n-th row lies, give the second in which it lies; rows after
-    it are kept, and only that second's rows are ranked. Nothing runs before the
-    result is used, and no task gets more than the counts of a calendar, of a
-    day's seconds, or the rows of one second. Rows without a time come last.
+
+def newest(df: DataFrame, n: int | Column, order_cols: Sequence[str]) -> DataFrame:
+    """The newest ``n`` rows by ``order_cols``, the first of which is a time; rows without a time come last.
+
+    Two counts, by 19 hours and by 66 milliseconds, find the n-th row's place
+    (see ``selection``); only the rows of those milliseconds are ranked. Three
+    passes over the rows, whatever n is, and nothing runs before the result is
+    used.
     """
-    ts = F.col(order_cols[0])
-    day, second = F.to_date(ts), F.date_trunc("second", ts)
-    n = n.select(F.col(n.columns[0]).cast("long")).scalar()
-
-    def edge(rows: DataFrame, bucket: Column, goal: Column) -> Column:
-        """(bucket, wanted): where the goal-th newest row lies and how many rows of it are wanted; NULL beyond the end."""
-        w = Window.orderBy(F.col("_b").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counts = rows.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_run", F.sum("_c").over(w))
-        hit = counts.where((F.col("_run") >= goal) & (F.col("_run") - F.col("_c") < goal))
-        return hit.select(F.struct(F.col("_b").alias("bucket"), (goal - F.col("_run") + F.col("_c")).alias("wanted"))).scalar()
-
-    d = edge(df, day, n)
-    s = edge(df.where(day.eqNullSafe(d["bucket"])), second, d["wanted"])
-    at = d.isNotNull() & second.eqNullSafe(s["bucket"])
-    after = d.isNull() | F.coalesce(second > s["bucket"], second.isNotNull() & s["bucket"].isNull())
-    w = Window.partitionBy(second).orderBy(*[F.col(c).desc() for c in order_cols])
-    ties = (df.where((n > 0) & at).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= s["wanted"]).drop("_rn"))
-    return df.where((n > 0) & after & ~at).unionByName(ties)
+    d0, d1 = S.time_digits(F.col(order_cols[0]))
+    rows = df.select("*", d0.alias("_d0"), d1.alias("_d1"))
+    counts = rows.groupBy("_d0").agg(F.count(F.lit(1)).alias("_c"))
+    goal = (F.lit(n) if isinstance(n, int) else n).cast("long")
+    return _newest(rows, S.cut(counts, ["_d0"], goal, descending=True), order_cols, ["_d0", "_d1"], df.columns)
 
 
 def rolling_retention(df: DataFrame, key: str, order_cols: Sequence[str], per_key: int = 10) -> DataFrame:
-    """Keep the newest ``per_key`` x (number of distinct keys) rows."""
-    return newest(df, df.agg((F.countDistinct(key) * per_key).alias("n")), order_cols)
+    """Keep the newest ``per_key`` x (number of distinct keys) rows.
+
+    The pass that counts rows by time also counts the keys: it counts per (key,
+    time), and the first time of a key stands for the key.
+    """
+    d0, d1 = S.time_digits(F.col(order_cols[0]))
+    rows = df.select("*", d0.alias("_d0"), d1.alias("_d1"))
+    per = rows.groupBy(key, "_d0").agg(F.count(F.lit(1)).alias("_n"))
+    once = (F.row_number().over(Window.partitionBy(key).orderBy("_d0")) == 1) & F.col(key).isNotNull()
+    counts = per.withColumn("_once", once.cast("long")).groupBy("_d0").agg(F.sum("_n").alias("_c"), F.sum("_once").alias("_keys"))
+    counts = counts.withColumn("_goal", F.sum("_keys").over(Window.partitionBy()) * per_key)
+    return _newest(rows, S.cut(counts, ["_d0"], F.col("_goal"), descending=True), order_cols, ["_d0", "_d1"], df.columns)
 
 
 # ---------------------------------------------------------------------- W3

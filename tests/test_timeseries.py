@@ -39,9 +39,31 @@ def test_newest_ranks_ties_at_the_cut(spark):
     data = [("A", T0 + dt.timedelta(minutes=i), float(i)) for i in range(100)]
     data += [(f"M{i}", same, 0.0) for i in range(30)]          # 30 rows tied at one instant
     df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double")
-    got = ts.newest(df, spark.range(1).selectExpr("40L AS n"), ["Timestamp", "Machine"])
-    want = df.orderBy(F.desc("Timestamp"), F.desc("Machine")).limit(40)
-    assert rows(got, "Machine", "Timestamp") == rows(want, "Machine", "Timestamp")
+    for n in (40, 0, 1, 31, 129, 130, 500):
+        got = ts.newest(df, n, ["Timestamp", "Machine"])
+        want = df.orderBy(F.desc("Timestamp"), F.desc("Machine")).limit(n)
+        assert rows(got, "Machine", "Timestamp") == rows(want, "Machine", "Timestamp")
+
+
+def test_newest_of_rows_far_apart_without_a_time_and_repeated(spark):
+    times = [None, None, dt.datetime(1960, 5, 1, 3, 4, 5, 7), dt.datetime(1969, 12, 31, 23, 59, 59, 999_999), T0, T0,
+             T0 + dt.timedelta(microseconds=1), T0 + dt.timedelta(milliseconds=70), dt.datetime(9000, 1, 1)]
+    df = spark.createDataFrame([(f"M{i % 2}", t, float(i)) for i, t in enumerate(times)] * 2,
+                               "Machine string, Timestamp timestamp_ntz, Temperature double")
+    order = ["Timestamp", "Machine", "Temperature"]
+    for n in range(0, 20):
+        want = df.orderBy(*[F.desc(c) for c in order]).limit(n)
+        assert rows(ts.newest(df, n, order)) == rows(want), n
+
+
+def test_retention_reads_the_feed_three_times(spark, smoke_dir, tmp):
+    from millrace.sources.testdata import DriverTables
+    DriverTables(spark, smoke_dir).fact_sensor.write.parquet(f"{tmp}/feed")
+    kept = ts.rolling_retention(spark.read.parquet(f"{tmp}/feed"), "Machine", ["Timestamp", "Machine", "Temperature"])
+    kept.collect()
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert plan.count("FileScan parquet") <= 3 and "Subquery" not in plan
 
 
 def test_sequence_ids_ascending(spark, monkeypatch):
