@@ -5,15 +5,18 @@
   ``PRODUCTION_LINE`` -> ``Production_Line``), never positionally, so files
   with missing or extra columns load correctly.
 * Writes are idempotent: full refreshes overwrite, appends are keyed by a batch
-  id partition, and publishing goes to a new version directory with a pointer
-  switch, so readers never see a partial result and a replayed batch changes
-  nothing.
+  id partition, and publishing goes to a new version directory and one entry of
+  the table's commit log, so readers never see a partial result and a replayed
+  batch changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,94 +189,152 @@ def write_partitioned(df: DataFrame, path: str, partition_col: str | None, mode:
 # ------------------------------------------------------------------ S12
 
 
-def publish_version(df: DataFrame, base: str, version: str | None = None, keep: int = 3) -> str:
-    """Write ``df`` to a new version folder, then switch the pointer.
+class PublishConflict(RuntimeError):
+    """Another writer committed first, or the table is not at the version the writer started from."""
 
-    Readers resolve ``_CURRENT`` and read a complete version. A published folder
-    is never written again: publishing a version anew (a replay) goes to a new
-    attempt of it. The ``keep`` newest folders stay, so a reader that resolved
-    the pointer before the switch can finish. Returns the version id.
-    """
-    spark = df.sparkSession
-    base = base.rstrip("/")
-    version = version or uuid.uuid4().hex[:12]
-    attempt = f"{version}.{uuid.uuid4().hex[:8]}"
-    df.write.mode("errorifexists").parquet(f"{base}/v={attempt}")
-    fs, tmp = _fs(spark, f"{base}/_CURRENT.tmp-{attempt}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(attempt.encode()))
-    out.close()
-    _, cur = _fs(spark, f"{base}/_CURRENT")
-    _replace_file(spark, fs, tmp, cur)
-    complete = published_versions(spark, base)
-    for name in complete[: max(0, len(complete) - keep)]:
-        if name != attempt:
-            fs.delete(_fs(spark, f"{base}/v={name}")[1], True)
-    return version
 
+@dataclass(frozen=True)
+class Commit:
+    """One entry of a published table's log."""
 
-def published_versions(spark: SparkSession, base: str) -> list[str]:
-    """Complete version folders (attempts), oldest first by modification time."""
-    fs, root = _fs(spark, base)
-    if not fs.exists(root):
-        return []
-    found = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(_fs(spark, f"{base.rstrip('/')}/{name}/_SUCCESS")[1]):
-            found.append((st.getModificationTime(), name[2:]))
-    return [n for _, n in sorted(found)]
+    number: int
+    version: str
+    parent: str | None      # the version before it
+    folder: str
+    given: bool             # the version was named by the caller; such versions ascend
 
 
-def read_published_before(spark: SparkSession, base: str, version: str,
-                          schema: T.StructType | None = None) -> DataFrame | None:
-    """The newest complete version that sorts before ``version``; for replays of ``version``."""
-    older = [n for n in published_versions(spark, base) if n.rsplit(".", 1)[0] < version]
-    if not older:
-        return None
-    newest = max(n.rsplit(".", 1)[0] for n in older)
-    name = [n for n in older if n.rsplit(".", 1)[0] == newest][-1]
-    r = spark.read if schema is None else spark.read.schema(schema)
-    return r.parquet(f"{base.rstrip('/')}/v={name}")
+ANY_PARENT = object()
 
 
-def _replace_file(spark: SparkSession, fs, src, dst) -> None:
-    """Rename ``src`` over ``dst`` in one step where the filesystem allows it
-    (FileContext rename with OVERWRITE); otherwise delete then rename."""
-    jvm = spark.sparkContext._jvm
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, by one rename; False if there is one already.
+
+    The rename does not overwrite, so of several writers exactly one succeeds
+    (on file systems whose rename is atomic).
+    """
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        return False
+    _, tmp = _fs(spark, f"{path.rsplit('/', 1)[0]}/_tmp-{uuid.uuid4().hex}")
+    _put(fs, tmp, text)
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     try:
-        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            dst.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        fc.rename(src, dst, opts)
-    except Exception:  # noqa: BLE001 - stores without atomic overwrite-rename
-        if fs.exists(dst):
-            fs.delete(dst, False)
-        fs.rename(src, dst)
+        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), sc._jsc.hadoopConfiguration())
+        fc.rename(tmp, target, sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Py4JJavaError:
+        fs.delete(tmp, False)
+        if fs.exists(target):
+            return False
+        raise
+
+
+def _put(fs, path, text: str) -> None:
+    out = fs.create(path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
-def current_version(spark: SparkSession, base: str) -> str | None:
-    fs, cur = _fs(spark, f"{base.rstrip('/')}/_CURRENT")
-    if not fs.exists(cur):
-        return None
-    stream = fs.open(cur)
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small text file's contents."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
     try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream))
-        return reader.readLine()
+        return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
 
 
-def read_published(spark: SparkSession, base: str, schema: T.StructType | None = None) -> DataFrame | None:
-    v = current_version(spark, base)
-    if v is None:
+def commits(spark: SparkSession, base: str) -> list[Commit]:
+    """The log of a published table, oldest first (the kept versions only)."""
+    base = base.rstrip("/")
+    out = []
+    for name in list_names(spark, f"{base}/_log"):
+        if name.isdigit():
+            out.append(Commit(int(name), **json.loads(read_small(spark, f"{base}/_log/{name}"))))
+    return out
+
+
+def publish_version(df: DataFrame, base: str, version: str | None = None, keep: int = 3,
+                    parent: str | None | object = ANY_PARENT) -> str:
+    """Write ``df`` as a new version of a table and commit it to the table's log.
+
+    The log has one small file per version, named by its number; the data lie in
+    a folder of their own and are never written again. A commit is one rename
+    that fails if the number is taken, so readers see whole versions only and of
+    two writers one gets ``PublishConflict``; so does a writer whose ``parent``
+    is no longer the newest version.
+
+    A named version must come after the named ones before it (as text). One that
+    does not is a replay: it is in the log or was replaced by what came after,
+    and nothing is written, however often it happens. The ``keep`` newest
+    versions stay, so a reader that resolved one before can finish, and the
+    folders of attempts that were never committed go with their version.
+    Returns the version.
+    """
+    spark, base = df.sparkSession, base.rstrip("/")
+    log = commits(spark, base)
+    named = [c.version for c in log if c.given]
+    if version is not None and named and version <= max(named):
+        return version
+    newest = log[-1].version if log else None
+    if parent is not ANY_PARENT and parent != newest:
+        raise PublishConflict(f"{base} is at {newest}, not at {parent}")
+    given, version = version is not None, version or uuid.uuid4().hex[:12]
+    folder = f"v={version}.{uuid.uuid4().hex[:8]}"
+    df.write.mode("errorifexists").parquet(f"{base}/{folder}")
+    entry = Commit(log[-1].number + 1 if log else 0, version, newest, folder, given)
+    body = json.dumps({"version": version, "parent": newest, "folder": folder, "given": given})
+    if not put_once(spark, f"{base}/_log/{entry.number:020d}", body):
+        fs, mine = _fs(spark, f"{base}/{folder}")
+        fs.delete(mine, True)
+        raise PublishConflict(f"{base}: another writer has committed number {entry.number}")
+    _clean(spark, base, [*log, entry], keep)
+    return version
+
+
+def _clean(spark: SparkSession, base: str, log: list[Commit], keep: int) -> None:
+    """Remove versions before the ``keep`` newest, and attempts of logged versions that are not the logged one."""
+    old = log[: max(0, len(log) - keep)]
+    for c in old:  # the data first: an entry without data is only ever one that nobody needs
+        fs, p = _fs(spark, f"{base}/{c.folder}")
+        fs.delete(p, True)
+        fs.delete(_fs(spark, f"{base}/_log/{c.number:020d}")[1], False)
+    folders, versions = {c.folder for c in log}, {c.version for c in log}
+    for name in list_names(spark, base):
+        if name.startswith("v=") and name not in folders and name[2:].rsplit(".", 1)[0] in versions:
+            fs, p = _fs(spark, f"{base}/{name}")
+            fs.delete(p, True)
+
+
+def published_versions(spark: SparkSession, base: str) -> list[str]:
+    """The kept versions, oldest first."""
+    return [c.version for c in commits(spark, base)]
+
+
+def current_version(spark: SparkSession, base: str) -> str | None:
+    log = commits(spark, base)
+    return log[-1].version if log else None
+
+
+def _read_commit(spark: SparkSession, base: str, c: Commit | None, schema: T.StructType | None) -> DataFrame | None:
+    if c is None:
         return None
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(f"{base.rstrip('/')}/v={v}")
+    r = spark.read if schema is None else spark.read.schema(schema)
+    return r.parquet(f"{base.rstrip('/')}/{c.folder}")
+
+
+def read_published(spark: SparkSession, base: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The newest version; None before the first."""
+    return _read_commit(spark, base, (commits(spark, base) or [None])[-1], schema)
+
+
+def read_published_before(spark: SparkSession, base: str, version: str,
+                          schema: T.StructType | None = None) -> DataFrame | None:
+    """The newest named version before ``version``; for replays of ``version``."""
+    older = [c for c in commits(spark, base) if c.given and c.version < version]
+    return _read_commit(spark, base, (older or [None])[-1], schema)
 
 
 # ------------------------------------------------------------- S13 / S14

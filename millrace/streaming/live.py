@@ -9,10 +9,10 @@ Pipeline (two chained queries, both checkpointed):
    alone, so the second query never meets the same rows under new file names.
 2. ``smooth``: file source over the labelled folder -> per-machine exponential
    smoothing with ``applyInPandasWithState`` (state survives restarts through
-   the checkpoint) -> ``foreachBatch`` fan-out to the sinks: history append
-   keyed by batch id, rolling retention published as a new version, live KPIs
-   published likewise, optional JDBC replace. One failing sink is reported and
-   does not stop the others.
+   the checkpoint) -> ``foreachBatch``: the batch goes to an outbox, from which
+   each sink takes it at its own pace: history append keyed by batch id, rolling
+   retention and live KPIs published as new versions, optional JDBC replace. A
+   failing sink is reported, stops nothing else and catches up later.
 
 Streaming gold (``factory_kpi_stream``) uses an event-time watermark and daily
 windows so its state stays bounded; exact COUNT DISTINCT is not available in
@@ -39,8 +39,9 @@ from millrace.operators.timeseries import EMA_ALPHA, latest_per_key, rolling_ret
 from millrace.schemas import SCHEMAS
 from millrace.session import ship_package
 from millrace.sources.files import (
-    _fs, insert_batch, jdbc_replace, publish_version, read_published, read_published_before,
+    _fs, current_version, insert_batch, jdbc_replace, publish_version, read_published,
 )
+from millrace.streaming.outbox import Outbox
 
 log = logging.getLogger(__name__)
 
@@ -195,17 +196,16 @@ def machine_status(window: DataFrame) -> DataFrame:
     return latest.withColumn("Status_Colour", status_colour("Running_Status"))
 
 
-class SinkError(RuntimeError):
-    """A batch did not reach every sink; the query stops and replays it on restart."""
-
-
 class SinkFanout:
-    """``foreachBatch`` handler writing one micro-batch to every sink.
-
-    Every sink runs, also after another one has failed; failures are collected
-    in ``self.failures`` (batch id, sink, error). Then the batch fails, so the
-    checkpoint does not pass it. All writes depend only on the batch, its id
-    and what was published before that id, so a replay leaves the same result.
+    """``foreachBatch`` handler that gives one micro-batch to every sink.
+
+    The batch is stored once in ``<work>/outbox``; then each sink takes what it
+    has not had yet, in order (see ``outbox``). A sink that is down is reported
+    in ``failures`` (batch id, sink, error) and stays behind alone: the stream
+    and the other sinks go on, no batch is replayed for its sake, and it catches
+    up with the next batch or with ``catch_up``. The stream fails only if the
+    batch cannot be stored. All writes depend only on the batch, its id and what
+    was published before that id, so a repeated delivery leaves the same result.
     """
 
     def __init__(self, work: str, per_machine: int = 10, kpi_rows: int = 500,
@@ -215,47 +215,49 @@ class SinkFanout:
         self.per_machine = per_machine
         self.kpi_rows = kpi_rows
         self.jdbc = jdbc
-        self.extra = extra or {}
-        self.failures: list[tuple[int, str, str]] = []
+        sinks = {"history": self.history, "retention": self.retention, **({"relational": self.relational} if jdbc else {}),
+                 **(extra or {})}
+        self.outbox = Outbox(f"{self.work}/outbox", SENSOR_SCHEMA, sinks)
+
+    @property
+    def failures(self) -> list[tuple[int, str, str]]:
+        return self.outbox.failures
 
     def history(self, batch: DataFrame, batch_id: int) -> None:
         insert_batch(batch, f"{self.work}/history", batch_id)
 
     def retention(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, base = batch.sparkSession, f"{self.work}/live"
         version = f"b{batch_id:012d}"
-        prev = read_published_before(spark, f"{self.work}/live", version, SENSOR_SCHEMA)
-        full = batch if prev is None else prev.unionByName(batch)
-        publish_version(rolling_retention(full, "Machine", ORDER, self.per_machine), f"{self.work}/live", version)
-        window = read_published(spark, f"{self.work}/live", SENSOR_SCHEMA)
+        if (current_version(spark, base) or "") < version:  # else a repeated delivery
+            prev = read_published(spark, base, SENSOR_SCHEMA)
+            full = batch if prev is None else prev.unionByName(batch)
+            kept = rolling_retention(full, "Machine", ORDER, self.per_machine)
+            publish_version(kept, base, version, parent=current_version(spark, base))
+        window = read_published(spark, base, SENSOR_SCHEMA)
         publish_version(live_kpis(window, self.kpi_rows), f"{self.work}/kpis", version)
         publish_version(machine_status(window), f"{self.work}/status", version)
         publish_version(tail_per_key(window, "Machine", ORDER, 5, pos_col="Position"),
                         f"{self.work}/recent", version)
 
     def relational(self, batch: DataFrame, batch_id: int) -> None:
-        if self.jdbc:
-            url, table, props = self.jdbc
-            jdbc_replace(read_published(batch.sparkSession, f"{self.work}/live", SENSOR_SCHEMA),
-                         url, table, props)
+        url, table, props = self.jdbc
+        jdbc_replace(read_published(batch.sparkSession, f"{self.work}/live", SENSOR_SCHEMA), url, table, props)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*[f.name for f in SENSOR_SCHEMA.fields]).persist()
-        failed = []
-        try:
-            sinks = [("history", self.history), ("retention", self.retention),
-                     ("relational", self.relational), *self.extra.items()]
-            for name, sink in sinks:
-                try:
-                    sink(batch, batch_id)
-                except Exception as e:  # noqa: BLE001 - the other sinks run first, then the batch fails
-                    failed.append((batch_id, name, repr(e)[:500]))
-                    log.error("sink %s failed for batch %s: %s", name, batch_id, e)
-        finally:
-            batch.unpersist()
-        if failed:
-            self.failures += failed
-            raise SinkError(f"batch {batch_id}: " + "; ".join(f"{n}: {e}" for _, n, e in failed))
+        spark = batch.sparkSession
+        self.outbox.store(batch, batch_id, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        self.outbox.deliver(spark)
+
+    def catch_up(self, spark: SparkSession) -> dict[str, int]:
+        """Call the sinks that are behind; returns those that still are, with their number of batches."""
+        left = self.outbox.behind(spark)
+        while left:
+            now = self.outbox.deliver(spark)
+            if now == left:
+                break
+            left = now
+        return left
 
 
 def start_smoothing(spark: SparkSession, work: str, checkpoint: str, fanout: SinkFanout,
@@ -366,6 +368,8 @@ def main(argv: list[str] | None = None) -> None:
     gold = start_gold(spark, work, f"{work}/_checkpoints/gold", a.available_now, a.interval)
     for q in (q2, *gold):
         q.awaitTermination()
+    if left := fan.catch_up(spark):
+        log.error("sinks behind, with their number of batches: %s", left)
     for q in gold:
         log.info("rows behind the watermark: %s", late_rows(q))
     if not a.available_now:

@@ -3,7 +3,7 @@
 import gzip
 import os
 
-
+import pytest
 
 from millrace.sources import files as S
 
@@ -87,6 +87,62 @@ def test_replayed_version_keeps_the_one_before(spark, tmp):
     assert len(S.published_versions(spark, base)) == 3       # older folders are gone
 
 
+def _one(spark, x):
+    return spark.createDataFrame([(x,)], "x int")
+
+
+def test_twenty_replays_leave_the_versions_as_they_are(spark, tmp):
+    base = os.path.join(tmp, "live")
+    for v in (1, 2, 3, 4):
+        S.publish_version(_one(spark, v), base, f"b{v}")
+    log, files = S.commits(spark, base), sorted(os.listdir(base))
+    for _ in range(20):
+        assert S.publish_version(_one(spark, 99), base, "b4") == "b4"
+        S.publish_version(_one(spark, 99), base, "b1")       # also of a version that is gone
+    assert S.commits(spark, base) == log and sorted(os.listdir(base)) == files
+    assert [c.parent for c in log] == ["b1", "b2", "b3"] and S.published_versions(spark, base) == ["b2", "b3", "b4"]
+    assert [r["x"] for r in S.read_published_before(spark, base, "b4").collect()] == [3]
+
+
+def test_a_writer_that_comes_second_gets_a_conflict(spark, tmp, monkeypatch):
+    base = os.path.join(tmp, "live")
+    S.publish_version(_one(spark, 1), base, "b1", parent=None)
+    with pytest.raises(S.PublishConflict):
+        S.publish_version(_one(spark, 2), base, "b2", parent="b0")
+    seen = S.commits(spark, base)
+    S.publish_version(_one(spark, 2), base, "b2", parent="b1")
+    monkeypatch.setattr(S, "commits", lambda *_: seen)       # a writer that read the log before that
+    with pytest.raises(S.PublishConflict):
+        S.publish_version(_one(spark, 3), base, "b3", parent="b1")
+    monkeypatch.undo()
+    assert [r["x"] for r in S.read_published(spark, base).collect()] == [2]
+    assert len([n for n in os.listdir(base) if n.startswith("v=")]) == 2    # the loser's folder is gone
+
+
+def test_attempts_that_were_never_committed_are_removed_and_never_read(spark, tmp, monkeypatch):
+    base = os.path.join(tmp, "live")
+    S.publish_version(_one(spark, 1), base, "b1")
+
+    def crash(*_):
+        raise OSError("lost before the commit")
+
+    monkeypatch.setattr(S, "put_once", crash)
+    for _ in range(5):
+        with pytest.raises(OSError):
+            S.publish_version(_one(spark, 2), base, "b2")
+    monkeypatch.undo()
+    assert [r["x"] for r in S.read_published(spark, base).collect()] == [1]
+    S.publish_version(_one(spark, 2), base, "b2")
+    assert len([n for n in os.listdir(base) if n.startswith("v=")]) == 2
+    assert [r["x"] for r in S.read_published(spark, base).collect()] == [2]
+
+
+def test_small_files_are_written_once(spark, tmp):
+    path = f"{tmp}/log/7"
+    assert S.put_once(spark, path, "a") and not S.put_once(spark, path, "b")
+    assert S.read_small(spark, path) == "a" and [n for n in os.listdir(f"{tmp}/log") if not n.startswith(".")] == ["7"]
+
+
 def test_partitioned_writes_have_few_files(spark, tmp):
     df = spark.range(0, 3000, numPartitions=4).selectExpr("id", "CAST(id % 30 AS STRING) AS day")
     S.write_partitioned(df, f"{tmp}/p", "day", files_per_value=2)
