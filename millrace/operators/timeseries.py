@@ -9,15 +9,16 @@ Scale notes
   (``row_number() <= n`` is evaluated per input partition before the shuffle).
 * ``tail_n`` is a top-N for a stated small N; a number of rows that grows with
   the data (``newest``) is cut by counts of time instead (``selection``).
-* ``ema_smooth`` is an exact sequential fold inside bounded chunks
-  (key x time bucket) and an affine-map composition across chunks, so a hot
-  key is spread over many tasks.
+* ``ema_smooth`` is an exact sequential fold inside pieces of equal row count
+  and an affine-map composition across pieces, so a hot key or a burst is spread
+  over many tasks.
 * ``stock_ledger`` streams one row per part-day (pre-aggregated) through one
   sorted pass; days without demand are folded in closed form.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 
 from millrace.functions import half_up
 from millrace.operators import selection as S
+from millrace.operators.pieces import PIECE_ROWS, sorted_pieces
+from millrace.session import store
 
 # ------------------------------------------------------------------ W1 / W5
 
@@ -117,12 +120,6 @@ def tail_per_key(df: DataFrame, key: str, order_cols: Sequence[str], n: int,
     return out.drop("_rn")
 
 
-def row_position(df: DataFrame, key: str, order_cols: Sequence[str], pos_col: str = "Position") -> DataFrame:
-    """0..n-1 position of each row within its key's series."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("int"))
-
-
 def sequence_ids(df: DataFrame, order_cols: Sequence[str], fmt: str = "M-%05d",
                  id_col: str = "Seq_ID", groups: int = 1) -> DataFrame:
     """Running, zero-padded ids in a global ascending order.
@@ -185,104 +182,131 @@ def _replay_partitions(batches, key: str, value_cols: list[str], alpha: float):
         yield pdf
 
 
-def _chain_partitions(batches, key: str, value_cols: list[str], one_minus_alpha: float):
-    """Entry state of every chunk: compose the chunk maps s -> a*s + b in order.
+# Kinds of rows in a sorted series: where it starts, its readings, and what a piece hands on
+START_ROW, READING, OPEN_MAP, CLOSING = 0, 1, 2, 3
+
+
+def _keys(column: pd.Series) -> list:
+    return [None if k != k else k for k in column.tolist()]
+
 
-    Input rows (one per chunk) are sorted by (key, chunk) and carry the key's
-    starting state ``_s0_<col>``, the chunk's non-NULL count ``_m_<col>`` and
-    its fold-from-zero ``_b_<col>``.
+def _fold_pieces(batches, key: str, value_cols: list[str], alpha: float):
+    """One pass over a piece: states of the keys that start in it, and what it hands on.
+
+    Rows are sorted by (key, kind, order); a key starts with a row of its starting
+    state. The first key of the piece is open if it has no such row here: its
+    rows go out as they came (``_open``), and an ``OPEN_MAP`` row tells what they
+    do to the state s they start from, s -> (1 - alpha)^m s + b. The state at
+    the end of the last key, if it is not the open one, goes out as ``CLOSING``.
     """
-    cur = None
-    state: dict[str, float] = {}
+    cur, opened, form = None, None, None
+    state = dict.fromkeys(value_cols, 0.0)
+    count = dict.fromkeys(value_cols, 0)
+
+    def handed_on(kind: int) -> pd.DataFrame:
+        out = form.copy()
+        out[key], out["_kind"], out["_open"] = [cur], kind, False
+        for c in value_cols:
+            out[c] = state[c]
+        out["_m"] = [[float(count[c]) for c in value_cols]]
+        return out
+
     for pdf in batches:
         if pdf.empty:
             continue
-        keys = pdf[key].tolist()
-        m = {c: pdf[f"_m_{c}"].to_numpy(dtype="float64", na_value=0.0) for c in value_cols}
-        b = {c: pdf[f"_b_{c}"].to_numpy(dtype="float64", na_value=0.0) for c in value_cols}
-        s0 = {c: pdf[f"_s0_{c}"].to_numpy(dtype="float64", na_value=np.nan) for c in value_cols}
-        out = {c: np.empty(len(pdf)) for c in value_cols}
-        for i, k in enumerate(keys):
-            if k != cur:
-                cur = k
-                state = {c: s0[c][i] for c in value_cols}
+        form = pdf.iloc[:1]
+        keys, kinds = _keys(pdf[key]), pdf["_kind"].tolist()
+        if opened is None:
+            opened, cur = kinds[0] != START_ROW, keys[0] if kinds[0] != START_ROW else object()
+        if opened:
+            n = next((i for i, k in enumerate(keys) if k != cur), len(keys))
             for c in value_cols:
-                out[c][i] = state[c]
-                state[c] = (one_minus_alpha ** m[c][i]) * state[c] + b[c][i]
-        yield pd.DataFrame({key: pdf[key], "_chunk": pdf["_chunk"],
-                            **{f"_in_{c}": out[c] for c in value_cols}})
-
-
-UNTIMED_CHUNK = -1  # before the chunks by time, as nulls sort
+                s, xs = state[c], [v for v in pdf[c].to_numpy(dtype="float64", na_value=np.nan)[:n].tolist() if v == v]
+                for v in xs:
+                    s = s + alpha * (v - s)
+                state[c], count[c] = s, count[c] + len(xs)
+            yield pdf.iloc[:n].assign(_open=True, _m=None)
+            if n == len(keys):
+                continue
+            yield handed_on(OPEN_MAP)
+            opened, cur, pdf, keys, kinds = False, object(), pdf.iloc[n:], keys[n:], kinds[n:]
+        begin = [k != before for k, before in zip(keys, [cur, *keys])]
+        smoothed = {}
+        for c in value_cols:
+            s, out = state[c], []
+            for new, kind, v in zip(begin, kinds, pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist()):
+                if kind == START_ROW:
+                    s = v
+                else:
+                    if new:
+                        s = math.nan  # a key without a starting state
+                    if v == v:
+                        s = s + alpha * (v - s)
+                out.append(s)
+            state[c], smoothed[c] = s, out
+        cur = keys[-1]
+        yield pdf.assign(**smoothed, _open=False, _m=None)[pdf["_kind"].to_numpy() == READING]
+    if form is not None:
+        yield handed_on(OPEN_MAP if opened else CLOSING)
+
+
+def _chain_pieces(batches, key: str, value_cols: list[str], one_minus_alpha: float):
+    """Entry state of every open key: the handed-on states and maps of a key, composed in piece order."""
+    cur, state, begun = None, None, False
+    for pdf in batches:
+        rows = []
+        for k, piece, kind, m, values in zip(_keys(pdf[key]), pdf["_piece"].tolist(), pdf["_kind"].tolist(), pdf["_m"].tolist(),
+                                             pdf[value_cols].to_numpy(dtype="float64", na_value=np.nan)):
+            if not begun or k != cur:
+                cur, begun, state = k, True, np.full(len(value_cols), np.nan)
+            if kind == OPEN_MAP:
+                rows.append((piece, *state))
+                state = one_minus_alpha ** np.asarray(m) * state + values
+            else:
+                state = values
+        yield pd.DataFrame(rows, columns=["_chunk", *[f"_in_{c}" for c in value_cols]])
 
 
 def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
                value_cols: Sequence[str], init: DataFrame, alpha: float = EMA_ALPHA,
-               chunk_rows: int = 200_000) -> DataFrame:
+               chunk_rows: int = PIECE_ROWS) -> DataFrame:
     """Per-key exponential smoothing of ``value_cols`` ordered by time.
 
     ``init`` has ``key`` and one column per value column holding the starting
-    state. Returns ``df``'s rows with the value columns replaced by the
-    unrounded smoothed state after each row. Rows without a time come first, in
-    the order of the tie columns, as a chunk of their own.
-
-    Plan: each key's time span is cut into chunks of about ``chunk_rows`` rows
-    (chunk width = span x chunk_rows / rows of the key), so a key holding a
-    large share of all rows is spread over many tasks while a small key is a
-    single chunk. Pass 1 computes per chunk the affine map it applies to its
-    entry state (s -> a*s + b, a = (1-alpha)^m for m non-NULL readings) with
-    JVM window/aggregate functions; pass 2 composes the maps in chunk order
-    (one small row per chunk, streamed through ``mapInPandas``); pass 3 replays
-    each chunk sequentially from its entry state.
+    state. Returns ``df``'s rows with the value columns (as doubles) replaced by
+    the unrounded smoothed state after each row. Rows without a time come first;
+    rows of one time go in the order of the tie columns.
+
+    The rows and the starting states are sorted together into pieces of about
+    ``chunk_rows`` rows (``pieces``), which one streamed pass folds and stores: a
+    key that starts in its piece is done there. Of a key that goes on from the
+    piece before, the pass hands on the affine map that its rows apply to the
+    state (one small row a piece); the maps are composed in order, and only the
+    rows of such keys are folded again, from their entry states. So a key with a
+    third of all rows, in whatever time they lie, is worked on by many tasks.
+    Counts and sorts the rows when it is called.
     """
-    value_cols = list(value_cols)
-    one = 1.0 - alpha
-    micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_t0"),
-                                 F.max(micros).alias("_t1"))
-             .select(key, "_t0", F.greatest(F.lit(1).cast("long"), F.ceil(
-                 (F.col("_t1") - F.col("_t0") + 1).cast("double") * chunk_rows / F.col("_n")).cast("long"))
-                 .alias("_w")))
-    rows = (df.join(stats, key, "left")
-              .withColumn("_chunk", F.coalesce(F.floor((micros - F.col("_t0")) / F.col("_w")).cast("long"),
-                                               F.lit(UNTIMED_CHUNK).cast("long")))
-              .drop("_t0", "_w"))
-    # Stable in-chunk order: rank by (ts, tie columns) within the bounded chunk.
-    wc = Window.partitionBy(key, "_chunk").orderBy(F.col(ts_col), *[F.col(c) for c in tie_cols])
-    rows = rows.withColumn("_ord", F.row_number().over(wc))
-
-    # pass 1: per chunk, m = non-null count and b = fold from 0 (sum of weighted
-    # readings). "Readings after row j" = chunk total - running count, so one
-    # sort order serves every window.
-    upto_w = wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(key, "_chunk")
-    aggs = []
-    for c in value_cols:
-        nn = F.col(c).isNotNull().cast("int")
-        after = F.sum(nn).over(whole) - F.sum(nn).over(upto_w)
-        rows = rows.withColumn(f"_w_{c}", F.when(F.col(c).isNotNull(),
-                                                 F.lit(alpha) * F.pow(F.lit(one), after) * F.col(c)))
-        aggs += [F.sum(nn).alias(f"_m_{c}"), F.sum(f"_w_{c}").alias(f"_b_{c}")]
-    summary = rows.groupBy(key, "_chunk").agg(*aggs)
-
-    # pass 2: entry state of each chunk = composition of the earlier chunk maps
-    init_cols = init.select(F.col(key), *[F.col(c).cast("double").alias(f"_s0_{c}") for c in value_cols])
-    summ = summary.join(init_cols, key, "left")
-    entry_schema = T.StructType(
-        [summ.schema[key], T.StructField("_chunk", T.LongType())]
-        + [T.StructField(f"_in_{c}", T.DoubleType()) for c in value_cols])
     cols = list(value_cols)
-    entries = (summ.repartition(key).sortWithinPartitions(key, "_chunk")
-               .mapInPandas(lambda it: _chain_partitions(it, key, cols, one), schema=entry_schema))
-
-    # pass 3: exact sequential replay inside each chunk. Rows are clustered by
-    # (key, chunk) and sorted, then each Python worker streams its partition.
-    joined = rows.drop(*[f"_w_{c}" for c in value_cols]).join(entries, [key, "_chunk"], "left")
-    out_schema = joined.schema
-    smoothed = (joined.repartition(key, "_chunk")
-                .sortWithinPartitions(key, "_chunk", "_ord")
-                .mapInPandas(lambda it: _replay_partitions(it, key, cols, alpha), schema=out_schema))
-    return smoothed.drop("_chunk", "_ord", *[f"_in_{c}" for c in value_cols])
+    values = [F.col(c).cast("double").alias(c) for c in cols]
+    rest = [c for c in df.columns if c not in cols]
+    readings = df.select(*rest, *values, F.lit(READING).alias("_kind"))
+    starts = init.select(F.col(key).cast(df.schema[key].dataType).alias(key), *values, F.lit(START_ROW).alias("_kind"))
+    series = readings.unionByName(starts, allowMissingColumns=True)
+    pieces = sorted_pieces(series, key, ["_kind", ts_col, *tie_cols], chunk_rows)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in pieces.schema]
+                          + [T.StructField("_open", T.BooleanType()), T.StructField("_m", T.ArrayType(T.DoubleType()))])
+    folded = store(pieces.mapInPandas(lambda it: _fold_pieces(it, key, cols, alpha), schema), "smoothed")
+
+    entry_schema = T.StructType([T.StructField("_chunk", T.IntegerType())] + [T.StructField(f"_in_{c}", T.DoubleType()) for c in cols])
+    one = 1.0 - alpha
+    entries = (folded.where(F.col("_kind") > READING).select(key, "_piece", "_kind", "_m", *cols)
+               .repartition(key).sortWithinPartitions(key, "_piece", F.col("_kind").asc())
+               .mapInPandas(lambda it: _chain_pieces(it, key, cols, one), entry_schema))
+    still = folded.where("_open").drop("_m").withColumn("_chunk", F.col("_piece")).join(entries, "_chunk")
+    replayed = (still.repartition("_chunk").sortWithinPartitions("_chunk", "_seq")
+                .mapInPandas(lambda it: _replay_partitions(it, key, cols, alpha), still.schema))
+    done = folded.where((F.col("_kind") == READING) & ~F.col("_open"))
+    return done.select(*df.columns).unionByName(replayed.select(*df.columns))
 
 
 # ---------------------------------------------------------------------- W9

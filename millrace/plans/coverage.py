@@ -48,7 +48,7 @@ COVERAGE: dict[str, str] = {
     # ordered
     "W1": f"{_W}:latest_per_key", "W2": f"{_W}:tail_n", "W3": f"{_W}:tail_per_key",
     "W4": f"{_W}:rolling_retention", "W5": f"{_W}:latest_per_key", "W6": f"{_W}:ema_smooth",
-    "W7": f"{_W}:sequence_ids", "W8": f"{_W}:row_position", "W9": f"{_W}:stock_ledger",
+    "W7": f"{_W}:sequence_ids", "W8": "millrace.operators.pieces:row_position", "W9": f"{_W}:stock_ledger",
     "W10": "millrace.plans.q_timeseries:_inventory_snapshot",
     # set operations
     "U1": "millrace.plans.q_relations:_union", "U2": f"{_R}:rule_upsert",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import pieces
 from millrace.operators import rules as R
 from millrace.operators import timeseries as ts
 from millrace.plans.oracle import half_up
@@ -41,6 +42,16 @@ def _tail_per_key(m):
     return ts.tail_per_key(m.silver_sensor, "Machine_ID", SENSOR_ORDER, 5, pos_col="Position")
 
 
+@register("row_positions", """
+SELECT Machine, "Timestamp", Temperature, RPM, Noise,
+       row_number() OVER (PARTITION BY Machine ORDER BY "Timestamp" NULLS FIRST, Temperature NULLS FIRST, RPM NULLS FIRST,
+                          Noise NULLS FIRST) - 1 AS "Position"
+FROM fact_sensor""", "W8: every reading's place in its machine's series")
+def _positions(m):
+    fs = m.bronze.fact_sensor.select("Machine", "Timestamp", "Temperature", "RPM", "Noise")
+    return pieces.row_position(fs, "Machine", ["Timestamp", "Temperature", "RPM", "Noise"])
+
+
 @register("rolling_retention", f"""
 SELECT {_SENSOR_DBL} FROM silver_sensor ORDER BY {_DESC}
 LIMIT (SELECT 10 * count(DISTINCT Machine_ID) FROM silver_sensor)""", "W4")

@@ -6,9 +6,10 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (a
 # sort-merge join whose side turns out small becomes a broadcast join, skewed
@@ -100,6 +101,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The tables of an application lie in one folder; ``clear_scratch`` removes
+    it once their results have been read.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application has stored on the way to its results."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers (like ``--py-files``).
 

