@@ -269,13 +269,14 @@ def _chain_pieces(batches, key: str, value_cols: list[str], one_minus_alpha: flo
 
 def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
                value_cols: Sequence[str], init: DataFrame, alpha: float = EMA_ALPHA,
-               chunk_rows: int = PIECE_ROWS) -> DataFrame:
+               chunk_rows: int = PIECE_ROWS, places: bool = False) -> DataFrame:
     """Per-key exponential smoothing of ``value_cols`` ordered by time.
 
     ``init`` has ``key`` and one column per value column holding the starting
     state. Returns ``df``'s rows with the value columns (as doubles) replaced by
     the unrounded smoothed state after each row. Rows without a time come first;
-    rows of one time go in the order of the tie columns.
+    rows of one time go in the order of the tie columns. ``places`` adds
+    ``_piece`` and ``_seq``, by which the rows can be put in that order again.
 
     The rows and the starting states are sorted together into pieces of about
     ``chunk_rows`` rows (``pieces``), which one streamed pass folds and stores: a
@@ -306,7 +307,8 @@ def ema_smooth(df: DataFrame, key: str, ts_col: str, tie_cols: Sequence[str],
     replayed = (still.repartition("_chunk").sortWithinPartitions("_chunk", "_seq")
                 .mapInPandas(lambda it: _replay_partitions(it, key, cols, alpha), still.schema))
     done = folded.where((F.col("_kind") == READING) & ~F.col("_open"))
-    return done.select(*df.columns).unionByName(replayed.select(*df.columns))
+    columns = [*df.columns, *(["_piece", "_seq"] if places else [])]
+    return done.select(*columns).unionByName(replayed.select(*columns))
 
 
 # ---------------------------------------------------------------------- W9

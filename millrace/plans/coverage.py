@@ -65,7 +65,7 @@ COVERAGE: dict[str, str] = {
     "D4": f"{_R}:rules_by_machine", "D5": f"{_R}:label_modes", "D6": f"{_R}:label_modes",
     "D7": f"{_R}:active_alerts", "D8": f"{_R}:range_breach",
     # streaming
-    "ST1": f"{_ST}:read_ticks", "ST2": f"{_ST}:stateful_ema", "ST3": f"{_ST}:SinkFanout.retention",
+    "ST1": f"{_ST}:read_ticks", "ST2": f"{_ST}:smooth_batch", "ST3": f"{_ST}:SinkFanout.retention",
     "ST4": f"{_ST}:SinkFanout", "ST5": f"{_ST}:label_batch", "ST6": f"{_ST}:live_kpis",
     "ST7": f"{_ST}:factory_kpi_stream",
     # machine learning

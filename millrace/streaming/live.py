@@ -7,9 +7,9 @@ Pipeline (two chained queries, both checkpointed):
    machine's starting state, and publish the batch as ``<work>/labelled/batch=<id>``
    by one folder rename. A replayed batch that is already published is left
    alone, so the second query never meets the same rows under new file names.
-2. ``smooth``: file source over the labelled folder -> per-machine exponential
-   smoothing with ``applyInPandasWithState`` (state survives restarts through
-   the checkpoint) -> ``foreachBatch``: the batch goes to an outbox, from which
+2. ``smooth``: file source over the labelled folder -> ``foreachBatch``:
+   per-machine exponential smoothing from the published state of the batch
+   before (it survives restarts); then the batch goes to an outbox, from which
    each sink takes it at its own pace: history append keyed by batch id, rolling
    retention and live KPIs published as new versions, optional JDBC replace. A
    failing sink is reported, stops nothing else and catches up later.
@@ -22,24 +22,23 @@ streaming aggregations, so active machines use ``approx_count_distinct``.
 from __future__ import annotations
 
 import logging
-import math
-from typing import Callable, Iterator
+from typing import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import rules as R
 from millrace.functions import half_up, status_colour
 from millrace.operators.operations import CO2_PER_KWH, COST_PER_KWH
-from millrace.operators.timeseries import EMA_ALPHA, latest_per_key, rolling_retention, tail_n, tail_per_key
+from millrace.operators.pieces import PIECE_ROWS
+from millrace.operators.timeseries import (
+    EMA_ALPHA, ema_rounding, ema_smooth, latest_per_key, rolling_retention, tail_n, tail_per_key,
+)
 from millrace.schemas import SCHEMAS
 from millrace.session import ship_package
 from millrace.sources.files import (
-    _fs, current_version, insert_batch, jdbc_replace, publish_version, read_published,
+    _fs, current_version, insert_batch, jdbc_replace, publish_version, read_published, read_published_before,
 )
 from millrace.streaming.outbox import Outbox
 
@@ -133,49 +132,55 @@ def start_ingest(spark: SparkSession, ticks: str, work: str, checkpoint: str,
 
 # ---------------------------------------------------------------------- ST2
 
-STATE_SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in SMOOTHED])
-
-
-def _ema_state_fn(alpha: float, out_cols: list[str]):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True)  # one machine's rows of one bounded micro-batch
-        pdf = pdf.sort_values(["Timestamp", "Temperature", "RPM"], kind="mergesort").reset_index(drop=True)
-        if state.exists:
-            s = [np.nan if v is None else float(v) for v in state.get]
-        else:
-            s = [float(pdf[START[c]].iloc[0]) if pd.notna(pdf[START[c]].iloc[0]) else np.nan for c in SMOOTHED]
-        for j, c in enumerate(SMOOTHED):
-            cur, out = s[j], []
-            for v in pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist():
-                if v == v:
-                    cur = cur + alpha * (v - cur)
-                out.append(round_half_up(cur, R.DECIMALS[c]))
-            s[j] = cur
-            pdf[c] = out
-        state.update(tuple(None if (v != v) else float(v) for v in s))
-        yield pdf[out_cols]
-    return fn
-
-
-def round_half_up(v: float, places: int) -> float:
-    """Away from zero at .5, as the batch rounding does."""
-    if v != v:
-        return v
-    k = 10.0 ** places
-    return math.copysign(math.floor(abs(v) * k + 0.5) / k, v)
-
-
-def stateful_ema(stream: DataFrame, alpha: float = EMA_ALPHA) -> DataFrame:
-    """Per-machine EMA of all channels across micro-batches (state in the checkpoint).
-
-    A machine seen for the first time starts from the ``Start_`` columns of its
-    first row, which ingest took from the baselines of that moment. Rows of a
-    batch are folded in event-time order, batches in arrival order; the state
-    keeps full precision, outputs are rounded per channel.
+STATE_SCHEMA = T.StructType([T.StructField("Machine", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in SMOOTHED)])
+
+
+def smooth_batch(batch: DataFrame, state: DataFrame | None, alpha: float = EMA_ALPHA,
+                 piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows with smoothed channels, state after them) of one labelled micro-batch.
+
+    ``state`` holds each machine's unrounded channels after the batch before. A
+    machine that is not in it starts from the ``Start_`` columns of its first
+    row, which ingest took from the baselines of that moment. Rows are folded in
+    event-time order, over pieces of ``piece_rows`` rows (``ema_smooth``), so no
+    task holds a machine's whole batch. Outputs are rounded per channel.
+    """
+    spark = batch.sparkSession
+    order = ["Timestamp", "Temperature", "RPM", *[c for c in SMOOTHED if c not in ("Temperature", "RPM")]]
+    known = spark.createDataFrame([], STATE_SCHEMA) if state is None else state
+    first = F.min_by(F.struct(*[F.col(s).alias(c) for c, s in START.items()]), F.struct(*order))
+    new = (batch.groupBy("Machine").agg(first.alias("_s")).select("Machine", *[F.col("_s")[c].alias(c) for c in SMOOTHED])
+           .join(known.select("Machine"), "Machine", "left_anti"))
+    rows = ema_smooth(batch.select(*SENSOR_SCHEMA.fieldNames()), "Machine", "Timestamp", order[1:], SMOOTHED,
+                      known.unionByName(new), alpha, piece_rows, places=True)
+    last = F.max_by(F.struct(*SMOOTHED), F.struct("_piece", "_seq"))
+    seen = rows.groupBy("Machine").agg(last.alias("_s")).select("Machine", *[F.col("_s")[c].alias(c) for c in SMOOTHED])
+    after = seen.unionByName(known.join(seen.select("Machine"), "Machine", "left_anti"))
+    return ema_rounding(rows.drop("_piece", "_seq"), R.DECIMALS), after
+
+
+class Smoother:
+    """``foreachBatch`` handler: smooths a micro-batch, publishes the state after it and hands the rows on.
+
+    The state is a published table with one version a batch. A replayed batch
+    starts from the version before it, so it gives the same rows and state.
     """
-    return (stream.groupBy("Machine").applyInPandasWithState(
-        _ema_state_fn(alpha, [f.name for f in SENSOR_SCHEMA.fields]), SENSOR_SCHEMA, STATE_SCHEMA,
-        "append", GroupStateTimeout.NoTimeout))
+
+    def __init__(self, work: str, fanout: SinkFanout, piece_rows: int = PIECE_ROWS):
+        self.state = f"{work.rstrip('/')}/state"
+        self.fanout = fanout
+        self.piece_rows = piece_rows
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        version = f"b{batch_id:012d}"
+        stored = self.fanout.outbox.stored(spark)
+        if (current_version(spark, self.state) or "") >= version and stored and stored[-1] >= batch_id:
+            self.fanout.catch_up(spark)  # a replay of a batch that is done
+            return
+        rows, after = smooth_batch(batch, read_published_before(spark, self.state, version, STATE_SCHEMA), piece_rows=self.piece_rows)
+        publish_version(after, self.state, version)
+        self.fanout(rows, batch_id)
 
 
 # ------------------------------------------------------- ST3 / ST4 / ST6
@@ -263,17 +268,12 @@ class SinkFanout:
 def start_smoothing(spark: SparkSession, work: str, checkpoint: str, fanout: SinkFanout,
                     available_now: bool = True, interval: str = "5 seconds",
                     max_files_per_trigger: int = 100):
-    """Query 2: labelled batches -> stateful EMA -> sink fan-out.
-
-    ``max_files_per_trigger`` bounds a micro-batch, and with it the rows one
-    machine contributes to a single state update.
-    """
+    """Query 2: labelled batches -> smoothing from the state before -> sink fan-out."""
     fs, p = _fs(spark, f"{work.rstrip('/')}/labelled")
     fs.mkdirs(p)
     stream = (spark.readStream.schema(LABELLED_SCHEMA).option("recursiveFileLookup", True)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(f"{work.rstrip('/')}/labelled"))
-    smoothed = stateful_ema(stream)
-    w = smoothed.writeStream.foreachBatch(fanout).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(Smoother(work, fanout)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helpers import rows
-from millrace.operators import gold, operations, silver
+from millrace.operators import gold, operations, pieces, silver
 from millrace.operators import rules as R
 from millrace.operators import timeseries as ts
 from millrace.sources.files import commits, insert_batch, read_published
@@ -75,6 +75,61 @@ def test_stream_equals_batch_and_restart_keeps_state(spark, tmp, bronze):
     assert recent.groupBy("Machine").count().agg(F.max("count")).first()[0] <= 5
 
 
+def _labelled(b):
+    return live.label_batch(b.fact_sensor, R.rules_clear(b.spark), _init(b))
+
+
+def test_smoothing_in_batches_with_a_crash_at_every_step(spark, tmp, bronze, monkeypatch):
+    """Two batches, over pieces of 50 rows; the state and the rows are as in one batch, whatever was lost on the way."""
+    rows_ = _labelled(bronze)
+    noon = rows_.select(F.percentile_approx(F.unix_micros(F.col("Timestamp").cast("timestamp")), 0.5)).first()[0]
+    early = F.unix_micros(F.col("Timestamp").cast("timestamp")) < noon
+    fan = live.SinkFanout(f"{tmp}/work")
+    smoother = live.Smoother(f"{tmp}/work", fan, piece_rows=50)
+    smoother(rows_.where(early), 0)
+
+    def lost(*_):
+        raise OSError("lost")
+
+    late = rows_.where(~early).select(*[c for c in rows_.columns if c not in live.START.values()],
+                                                 *[F.lit(1e6).alias(s) for s in live.START.values()])
+    for where, name in ((live, "publish_version"), (fan.outbox, "store"), (fan.outbox, "deliver")):
+        monkeypatch.setattr(where, name, lost)
+        with pytest.raises(OSError):
+            smoother(late, 1)
+        monkeypatch.undo()
+    state = rows(read_published(spark, f"{tmp}/work/state"))
+    for _ in range(3):
+        smoother(late, 1)
+    assert rows(read_published(spark, f"{tmp}/work/state")) == state
+    assert fan.outbox.behind(spark) == {}
+    # machines that were in the first batch go on from its state; the others start from their own row
+    first = {r["Machine"] for r in rows_.where(early).select("Machine").distinct().collect()}
+    hist = spark.read.parquet(f"{tmp}/work/history").where(F.col("Machine").isin(list(first)))
+    j = hist.alias("h").join(_batch_ema(bronze).alias("e"), ["Machine", "Timestamp"])
+    assert j.count() == hist.count() > 0
+    assert max(j.select(*[F.max(F.abs(F.col(f"h.{c}") - F.col(f"e.{c}"))) for c in live.SMOOTHED]).first()) < 1e-9
+    others = [r["Temperature"] for r in spark.read.parquet(f"{tmp}/work/history").where(~F.col("Machine").isin(list(first))).collect()]
+    assert all(t > 1e5 for t in others[:1])
+
+
+def test_one_machines_large_batch_is_folded_in_pieces(spark, bronze):
+    """No task of the smoothing holds more than a few pieces of a machine that is the whole batch."""
+    n = 40_000
+    one = _labelled(bronze).limit(1).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    one = one.withColumn("Timestamp", F.timestamp_add("MILLISECOND", F.col("_i") % 1000, F.col("Timestamp"))).withColumn(
+        "Temperature", (F.col("_i") * 7919 % 101).cast("double")).drop("_i")
+    cut = pieces.sorted_pieces(one.select("Machine", "Timestamp", "Temperature"), "Machine", ["Timestamp", "Temperature"], 2000)
+    assert cut.groupBy("_piece").count().agg(F.max("count")).first()[0] <= 6000
+    out, state = live.smooth_batch(one, None, piece_rows=2000)
+    whole, whole_state = live.smooth_batch(one, None)
+    assert out.count() == n
+    a, b = state.first(), whole_state.first()
+    assert max(abs(a[c] - b[c]) for c in live.SMOOTHED) < 1e-9
+    sums = [df.agg(*[F.sum(c) for c in live.SMOOTHED]).first() for df in (out, whole)]
+    assert max(abs(x - y) for x, y in zip(*sums)) < 1e-6 * n
+
+
 def test_rules_apply_from_next_batch_and_sink_isolation(spark, tmp, bronze):
     rules_path = os.path.join(tmp, "rules.json")
     with open(rules_path, "w") as f:
