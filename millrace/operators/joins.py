@@ -2,8 +2,7 @@
 
 Join strategy is left to Catalyst and AQE: a dimension is broadcast when its
 estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (or AQE sees
-it is small at runtime); only tables with a configuration-sized bound
-(``BOUNDED_TABLES``) get an explicit broadcast hint. Fact-to-fact joins
+it is small at runtime); no table is broadcast by a hint. Fact-to-fact joins
 (shipments -> production orders) are shuffle joins.
 """
 
@@ -15,12 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import hash_unit
-from millrace.schemas import BOUNDED_TABLES, FOREIGN_KEYS
-
-
-def maybe_broadcast(df: DataFrame, table: str) -> DataFrame:
-    """Broadcast hint only for tables whose size is bounded by configuration."""
-    return F.broadcast(df) if table in BOUNDED_TABLES else df
+from millrace.schemas import FOREIGN_KEYS
 
 
 def foreign_keys_of(table: str) -> list[tuple[str, str, str]]:
@@ -28,26 +22,26 @@ def foreign_keys_of(table: str) -> list[tuple[str, str, str]]:
     return [(c, pt, pc) for t, c, pt, pc in FOREIGN_KEYS if t == table]
 
 
-def star_join(table: str, load: Callable[[str], DataFrame]) -> DataFrame:
-    """LEFT-join a table to every parent named by its foreign keys.
+def star_join(table: str, load: Callable[[str], DataFrame], keys: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """LEFT-join a table to every parent named by its foreign keys (or by ``keys``).
 
     Parent attributes come out as ``<fk column>__<parent column>``. Duplicate
     parent keys fan out exactly like the SQL LEFT JOIN would.
     """
     out = load(table)
-    for col, parent, pcol in foreign_keys_of(table):
+    for col, parent, pcol in keys or foreign_keys_of(table):
         p = load(parent)
         attrs = [c for c in p.columns if c != pcol]
         p = p.select(F.col(pcol).alias(f"_{col}_key"), *[F.col(a).alias(f"{col}__{a}") for a in attrs])
-        out = out.join(maybe_broadcast(p, parent), out[col] == p[f"_{col}_key"], "left").drop(f"_{col}_key")
+        out = out.join(p, out[col] == p[f"_{col}_key"], "left").drop(f"_{col}_key")
     return out
 
 
-def star_join_sql(table: str, columns: dict[str, list[str]]) -> str:
+def star_join_sql(table: str, columns: dict[str, list[str]], keys: list[tuple[str, str, str]] | None = None) -> str:
     """The same star join as SQL text (for the oracle); ``columns`` maps table -> columns."""
     sel = [f't0."{c}"' for c in columns[table]]
     joins = []
-    for i, (col, parent, pcol) in enumerate(foreign_keys_of(table), start=1):
+    for i, (col, parent, pcol) in enumerate(keys or foreign_keys_of(table), start=1):
         sel += [f't{i}."{a}" AS "{col}__{a}"' for a in columns[parent] if a != pcol]
         joins.append(f'LEFT JOIN {parent} t{i} ON t0."{col}" = t{i}."{pcol}"')
     return f"SELECT {', '.join(sel)}\nFROM {table} t0\n" + "\n".join(joins)

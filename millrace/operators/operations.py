@@ -266,6 +266,44 @@ def telemetry_gaps(readings: DataFrame, key: str, ts_col: str, step_minutes: int
     return grid.join(occupied, [key, "Slot_Start"], "left_anti")
 
 
+def telemetry_gap_runs(readings: DataFrame, key: str, ts_col: str, step_minutes: int = 60) -> DataFrame:
+    """(key, From_Slot, To_Slot, Slots): the runs of neighbouring slots without a reading.
+
+    The slots of ``telemetry_gaps`` as intervals, without making a grid: a key's
+    occupied slots are merged into bitmaps of 48 slots (an OR, combined before
+    the shuffle, whatever the number of readings), and the runs between
+    neighbouring occupied slots are read off them, with one look at the bitmap
+    before. Work follows the readings: a silent year, or one stray date far off,
+    is one row. A key whose readings have no time is one gap over the feed's days.
+    """
+    if 24 * 60 % step_minutes:
+        raise ValueError("a day must hold a whole number of slots")
+    per_day, word = 24 * 60 // step_minutes, 48
+    ts = F.col(ts_col)
+    day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
+    slot = day.cast("long") * per_day + F.floor((F.hour(ts) * 60 + F.minute(ts)) / step_minutes)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(word)).cast("int"))
+    words = readings.groupBy(F.col(key), F.floor(slot / word).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(word - 1)), lambda i: F.getbit("_bits", i) == 1)
+    occupied = words.withColumn("_slots", F.transform(places, lambda i: F.col("_word") * word + i))
+    floor_day = lambda x: F.floor(x / per_day) * per_day  # noqa: E731 - first slot of the slot's day
+    first = occupied.agg(floor_day(F.min(F.array_min("_slots")))).scalar()
+    last = occupied.agg(floor_day(F.max(F.array_max("_slots"))) + per_day - 1).scalar()
+    w = Window.partitionBy(key).orderBy(F.col("_word").asc_nulls_first())
+    before = F.coalesce(F.lag(F.array_max("_slots")).over(w), first - 1)
+    ends = F.when(F.lead("_word").over(w).isNull(), F.array(last + 1)).otherwise(F.array().cast("array<bigint>"))
+    marks = occupied.select(key, F.concat(F.array(before), F.coalesce("_slots", F.array().cast("array<bigint>")), ends).alias("_marks"))
+    pairs = marks.select(key, F.explode(F.arrays_zip(F.expr("slice(_marks, 1, size(_marks) - 1)").alias("a"),
+                                                     F.expr("slice(_marks, 2, size(_marks) - 1)").alias("b"))).alias("_p"))
+    gaps = pairs.where(F.col("_p.b") - F.col("_p.a") > 1)
+
+    def time(n):
+        return F.timestamp_add("MINUTE", n * step_minutes,
+                               F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return gaps.select(key, time(F.col("_p.a") + 1).alias("From_Slot"), time(F.col("_p.b") - 1).alias("To_Slot"),
+                       (F.col("_p.b") - F.col("_p.a") - 1).alias("Slots"))
+
+
 # ---------------------------------------------------------------------- X10
 
 

@@ -64,6 +64,48 @@ def read_rules_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return rules, rejected.unionByName(unreadable)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, value) of the lines of one or many text files; places ascend with file name and line."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select(place.alias("place"), "value").where(F.trim("value") != "")
+
+
+def read_rules_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rules as JSON lines, one entry a line, in any number of files -> (rules, rejected).
+
+    The rules of ``read_rules_file`` for rule sets of any size: lines are read
+    in parallel, no task sees all of them, and a line that is not JSON is
+    rejected alone. For a repeated (machine, sensor) the last line of the last
+    file by name wins.
+    """
+    entry = _lines(spark, path).withColumn("entry", F.try_parse_json("value"))
+
+    def get(field: str, kind: str):
+        return F.try_variant_get("entry", f"$.{field}", kind).alias(field)
+
+    parsed = entry.where(F.col("entry").isNull() | F.schema_of_variant("entry").startswith("OBJECT")).select(
+        "place", "value", "entry", get("machine", "string"), get("sensor", "string"), get("min", "double"), get("max", "double"))
+    complete = F.col("sensor").isNotNull() & F.col("min").isNotNull() & F.col("max").isNotNull()
+    with_machine = parsed.where(F.col("machine").isNotNull())
+    rejected = with_machine.where(~complete).select(F.col("value").alias("item"), F.lit("missing sensor/min/max").alias("reason"))
+    broken = parsed.where(F.col("entry").isNull()).select(F.col("value").alias("item"), F.lit("unreadable line").alias("reason"))
+    rules = (with_machine.where(complete).groupBy("machine", "sensor")
+             .agg(F.max_by(F.struct("min", "max"), "place").alias("r")).select("machine", "sensor", "r.min", "r.max"))
+    return rules, rejected.unionByName(broken)
+
+
+def read_baselines_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Baselines as JSON lines, each ``{machine: {sensor: value}}`` -> (machine, sensor, value).
+
+    For any number of machines; a sensor given twice for a machine has its last value.
+    """
+    m = _lines(spark, path).select("place", F.from_json("value", "map<string,map<string,string>>").alias("b"))
+    every = (m.select("place", F.explode("b").alias("machine", "vals"))
+             .select("place", "machine", F.explode("vals").alias("sensor", "text")))
+    return (every.groupBy("machine", "sensor").agg(F.max_by("text", "place").alias("text"))
+            .select("machine", "sensor", F.col("text").try_cast("double").alias("value")))
+
+
 def read_baselines_file(spark: SparkSession, path: str) -> DataFrame:
     """Baselines JSON ``{machine: {sensor: value}}`` -> (machine, sensor, value)."""
     raw = spark.read.option("wholetext", True).text(path)

@@ -16,7 +16,9 @@ import json
 from pyspark.sql import SparkSession
 
 from millrace.plans.medallion import Medallion
+from millrace.session import clear_scratch
 from millrace.sources.bronze import BronzeFolder, write_bronze
+from millrace.sources.files import write_partitioned
 from millrace.sources.testdata import DriverTables
 
 SILVER = ["silver_sensor", "silver_production", "silver_maintenance", "silver_quality"]
@@ -37,8 +39,9 @@ def run_medallion(spark: SparkSession, source_dir: str, out: str,
         written[name] = path
     for name, day in GOLD.items():
         path = f"{out}/gold/{name}"
-        getattr(m, name).write.mode("overwrite").partitionBy(day).parquet(path)
+        write_partitioned(getattr(m, name), path, day)
         written[name] = path
+    clear_scratch(spark)
     return written
 
 

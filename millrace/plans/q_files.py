@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import rules as R
+from millrace.plans.q_relations import _load
 from millrace.plans.q_rules import _baselines, _rules
+from millrace.plans.q_timeseries import INVENTORY_CTE
 from millrace.plans.registry import register
+from millrace.schemas import FILE_ROUTES, SCHEMAS
 from millrace.session import checkpoint_dir
 from millrace.sources import files as S
 
@@ -54,20 +57,37 @@ def _csv_quarantine(m):
     return bad.groupBy(F.col("reason").alias("Reason")).agg(F.count(F.lit(1)).alias("Lines"))
 
 
-@register("csv_bulk_load", f"""
-SELECT 'fact_sensor' AS Table_Name, (SELECT count(*) FROM fact_sensor WHERE NOT ({_BAD})) AS Loaded,
-       (SELECT count(*) FROM fact_sensor WHERE {_BAD}) AS Skipped
-UNION ALL SELECT 'dim_factory', (SELECT count(*) FROM dim_factory), 0""", "S4 S5: routed by file name, bad lines skipped and reported")
+_ROUTED = list(FILE_ROUTES.values())
+
+
+def _bulk_sql() -> str:
+    """Rows loaded and skipped, and the cells with a value, of every routed table."""
+    def one(t: str) -> str:
+        bad = _BAD if t == "fact_sensor" else "false"
+        columns = [c.replace(" ", "_") for c in _COLUMNS] if t == "fact_sensor" else [f.name for f in SCHEMAS[t].fields]
+        cells = " + ".join(f'count("{c}")' for c in columns)
+        return (f"SELECT '{t}' AS Table_Name, (SELECT count(*) FROM {t} WHERE NOT ({bad})) AS Loaded, "
+                f"(SELECT count(*) FROM {t} WHERE {bad}) AS Skipped, (SELECT {cells} FROM {t} WHERE NOT ({bad})) AS Filled")
+    return INVENTORY_CTE + "\n" + "\nUNION ALL ".join(one(t) for t in _ROUTED)
+
+
+@register("csv_bulk_load", _bulk_sql(), "S4 S5: all sixteen files routed by name, bad lines skipped and reported")
 def _bulk(m):
     folder = _folder(m)
+    load = _load(m)
     _sensor_csv(m, folder)
-    m.bronze.dim_factory.write.option("header", True).csv(f"{folder}/dim_factory.csv")
+    for name, table in FILE_ROUTES.items():
+        if table != "fact_sensor":
+            df = load(table)
+            df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.option("header", True).csv(f"{folder}/{name}")
     S.bulk_load(m.spark, folder, f"{folder}/bronze")
     out: DataFrame | None = None
-    for table in ("fact_sensor", "dim_factory"):
-        loaded = m.spark.read.parquet(f"{folder}/bronze/{table}").agg(F.count(F.lit(1)).alias("Loaded"))
-        skipped = m.spark.read.parquet(f"{folder}/bronze/_quarantine/{table}").agg(F.count(F.lit(1))).scalar()
-        row = loaded.select(F.lit(table).alias("Table_Name"), "Loaded", skipped.alias("Skipped"))
+    for table in _ROUTED:
+        good = m.spark.read.parquet(f"{folder}/bronze/{table}")
+        bad = m.spark.read.parquet(f"{folder}/bronze/_quarantine/{table}").agg(F.count(F.lit(1)).alias("Skipped"))
+        filled = sum((F.count(c) for c in good.columns), F.lit(0))
+        counts = good.agg(F.count(F.lit(1)).alias("Loaded"), filled.cast("long").alias("Filled"))
+        row = counts.select(F.lit(table).alias("Table_Name"), "Loaded", bad.scalar().alias("Skipped"), "Filled")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -76,25 +96,24 @@ def _bulk(m):
 SELECT Machine, "Timestamp", Temperature FROM fact_sensor
 ORDER BY "Timestamp", Machine, Temperature LIMIT 5""", "S2: the first lines of a preview")
 def _preview(m):
-    df = m.bronze.fact_sensor.select("Machine", "Timestamp", "Temperature")
+    path = f"{_folder(m)}/fact_sensor.csv"
+    text = [F.col(c).cast("string").alias(c) for c in ("Machine", "Timestamp", "Temperature")]
+    m.bronze.fact_sensor.select(*text).write.option("header", True).csv(path)
+    df = S.csv_scan(m.spark, path, "fact_sensor").select("Machine", "Timestamp", "Temperature")
     return S.csv_preview(df, 5, ["Timestamp", "Machine", "Temperature"])
 
 
-def _one_document(df: DataFrame, path: str) -> str:
-    """A rule or baseline file is one JSON document by its format."""
-    df.coalesce(1).write.text(path)
-    return path
-
-
-@register("rules_file", "SELECT machine, sensor, \"min\", \"max\" FROM maint_rules", "S8: written as JSON, read back")
+@register("rules_file", "SELECT machine, sensor, \"min\", \"max\" FROM maint_rules", "S8: written as JSON lines, read back")
 def _rules_file(m):
-    rules = _rules(m).agg(F.to_json(F.collect_list(F.struct("machine", "sensor", "min", "max"))).alias("value"))
-    return R.read_rules_file(m.spark, _one_document(rules, f"{_folder(m)}/rules.json"))[0]
+    path = f"{_folder(m)}/rules.jsonl"
+    _rules(m).select(F.to_json(F.struct("machine", "sensor", "min", "max"))).write.text(path)
+    return R.read_rules_lines(m.spark, path)[0]
 
 
-@register("baselines_file", "SELECT machine, sensor, value FROM machine_baselines", "S9: written as JSON, read back")
+@register("baselines_file", "SELECT machine, sensor, value FROM machine_baselines", "S9: written as JSON lines, read back")
 def _baselines_file(m):
-    per = _baselines(m).groupBy("machine").agg(
+    path = f"{_folder(m)}/baselines.jsonl"
+    per = _baselines(m).groupBy("machine").agg(  # a machine has at most its ten sensors
         F.map_from_entries(F.collect_list(F.struct("sensor", F.col("value").cast("string")))).alias("v"))
-    doc = per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("machine", "v")))).alias("value"))
-    return R.read_baselines_file(m.spark, _one_document(doc, f"{_folder(m)}/baselines.json"))
+    per.select(F.to_json(F.map_from_arrays(F.array("machine"), F.array("v")))).write.text(path)
+    return R.read_baselines_lines(m.spark, path)

@@ -194,6 +194,23 @@ def _gaps(m):
     return O.telemetry_gaps(m.bronze.fact_sensor.select("Machine", "Timestamp"), "Machine", "Timestamp", 60)
 
 
+@register("telemetry_gap_runs", """
+WITH occ AS (SELECT DISTINCT Machine, date_trunc('hour', "Timestamp") AS Slot_Start FROM fact_sensor),
+days AS (SELECT m.Machine, CAST(g.d AS DATE) AS d FROM (SELECT DISTINCT Machine FROM fact_sensor) m,
+         (SELECT unnest(generate_series(min(CAST("Timestamp" AS DATE)), max(CAST("Timestamp" AS DATE)), INTERVAL 1 DAY)) AS d
+          FROM fact_sensor) g),
+grid AS (SELECT Machine, g.Slot_Start FROM days,
+         LATERAL generate_series(CAST(d AS TIMESTAMP), CAST(d AS TIMESTAMP) + INTERVAL 23 HOUR,
+                                 INTERVAL 1 HOUR) AS g(Slot_Start))
+, missing AS (
+  SELECT g.Machine, g.Slot_Start, row_number() OVER (PARTITION BY g.Machine ORDER BY g.Slot_Start) AS rn FROM grid g
+  WHERE NOT EXISTS (SELECT 1 FROM occ o WHERE o.Machine = g.Machine AND o.Slot_Start = g.Slot_Start))
+SELECT Machine, min(Slot_Start) AS From_Slot, max(Slot_Start) AS To_Slot, count(*) AS Slots
+FROM missing GROUP BY Machine, date_diff('hour', TIMESTAMP '1970-01-01', Slot_Start) - rn""", "X9 as intervals")
+def _gap_runs(m):
+    return O.telemetry_gap_runs(m.bronze.fact_sensor.select("Machine", "Timestamp"), "Machine", "Timestamp", 60)
+
+
 @register("causal_chain", _LEDGER_CTE + """,
 sd AS (SELECT "Date", bool_or(Shortage) AS Any_Shortage FROM ledger GROUP BY "Date"),
 src AS (

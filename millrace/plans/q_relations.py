@@ -8,7 +8,7 @@ from millrace.operators import joins, quality
 from millrace.operators.operations import energy_daily
 from millrace.plans.oracle import FRAGMENTS, hash_unit
 from millrace.plans.registry import register
-from millrace.schemas import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS
+from millrace.schemas import DOCUMENTED_KEYS, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS
 
 FRAGMENTS["fact_energy"] = """
 SELECT Event_Date AS "Date", Machine_ID AS Machine,
@@ -47,7 +47,11 @@ for _t, _doc in [("fact_sensor", "J4 sensor->factory/line/machine"),
                  ("fact_maintenance", "J4 maintenance->machine/employee"),
                  ("fact_quality", "J4 quality->product/employee"),
                  ("fact_shipments", "J4 shipments->production/customer/product"),
+                 ("fact_energy", "J4 energy->machine"),
                  ("dim_machine", "J4 machine->line/factory"),
+                 ("dim_production_line", "J4 line->factory"),
+                 ("dim_employee", "J4 employee->factory"),
+                 ("dim_warehouse", "J4 warehouse->factory"),
                  ("dim_part", "J4 part->supplier")]:
     _star(_t, _doc)
 
@@ -74,6 +78,11 @@ def _technicians(m):
                               m.bronze.dim_employee, ["Technician"])
 
 
+_DOCUMENTED = [(c, pt, pc) for t, c, pt, pc in DOCUMENTED_KEYS if t == "fact_erp_production"]
+register("star_production_factory", joins.star_join_sql("fact_erp_production", COLUMNS, _DOCUMENTED), "J4 production->factory")(
+    lambda m: joins.star_join("fact_erp_production", _load(m), _DOCUMENTED))
+
+
 @register("machine_failure_membership", """
 SELECT dm.Machine, dm.Factory,
        EXISTS (SELECT 1 FROM fact_maintenance f WHERE f.Machine = dm.Machine) AS Had_Failure

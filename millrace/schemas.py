@@ -118,12 +118,10 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
     ("fact_shipments", "Product", "dim_product", "Product"),
 ]
 
-# Tables whose row count has a fixed upper bound no matter how much telemetry
-# arrives (configuration-sized). Only these are broadcast by hint; everything
-# else is left to the planner's size threshold and AQE's runtime statistics.
-BOUNDED_TABLES: dict[str, int] = {
-    "dim_factory": 1_000,   # one row per plant
-}
+# Joins that the model documents without declaring a key (child table, column, parent table, column).
+DOCUMENTED_KEYS: list[tuple[str, str, str, str]] = [
+    ("fact_erp_production", "__factory", "dim_factory", "Factory"),
+]
 
 # File name -> bronze table routing ("live" files are excluded).
 FILE_ROUTES: dict[str, str] = {

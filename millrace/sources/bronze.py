@@ -19,9 +19,9 @@ from millrace.sources.files import write_partitioned
 PARTITIONED = {"fact_sensor": "event_date"}
 
 
-def write_bronze(source, out: str, tables: list[str] | None = None, files_per_value: int = 1) -> dict[str, str]:
+def write_bronze(source, out: str, tables: list[str] | None = None, files_per_value: int | None = None) -> dict[str, str]:
     """Write ``source.table(name)`` for each bronze table to ``out/<name>``; partitioned tables with
-    at most ``files_per_value`` files a day."""
+    as many files a day as its bytes ask for, or ``files_per_value``."""
     written = {}
     for name in tables or list(SCHEMAS):
         df = source.table(name)

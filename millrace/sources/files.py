@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.quality import conform_by_name
 from millrace.schemas import FILE_ROUTES, FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, normalize_name
+from millrace.session import store
 
 # ---------------------------------------------------------------- helpers
 
@@ -135,16 +137,18 @@ def route_files(spark: SparkSession, folder: str) -> dict[str, str]:
     return out
 
 
-def bulk_load(spark: SparkSession, folder: str, target: str) -> dict[str, int]:
+def bulk_load(spark: SparkSession, folder: str, target: str, at_once: int = 4) -> dict[str, int]:
     """Load every routed CSV into ``target/<table>`` as parquet (S4 + S7).
 
     Each table is a full refresh (overwrite). Lines that do not parse are
     skipped and go, with the reason, to ``target/_quarantine/<table>``; the
-    file is read once. Returns table -> rows loaded.
+    file is read once. ``at_once`` tables are loaded side by side. Returns
+    table -> rows loaded.
     """
-    loaded = {}
-    for path, table in route_files(spark, folder).items():
-        base = target.rstrip("/")
+    base = target.rstrip("/")
+
+    def load(route: tuple[str, str]) -> tuple[str, int]:
+        path, table = route
         staged = f"{base}/_staging/{table}"
         replace_table(csv_scan_flagged(spark, path, table), staged)
         flagged = spark.read.parquet(staged)
@@ -154,8 +158,10 @@ def bulk_load(spark: SparkSession, folder: str, target: str) -> dict[str, int]:
                       f"{base}/_quarantine/{table}")
         fs, p = _fs(spark, staged)
         fs.delete(p, True)
-        loaded[table] = spark.read.parquet(f"{base}/{table}").count()
-    return loaded
+        return table, spark.read.parquet(f"{base}/{table}").count()
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(pool.map(load, route_files(spark, folder).items()))
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -163,27 +169,54 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+FILE_BYTES = 256 << 20  # uncompressed bytes that one task writes into a partition folder
+
+
 def write_chunks(chunks: list[DataFrame], path: str, partition_col: str | None = None,
-                 files_per_value: int = 1) -> None:
+                 files_per_value: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """First chunk overwrites, later chunks append (S11), optionally partitioned."""
     for i, c in enumerate(chunks):
-        write_partitioned(c, path, partition_col, "overwrite" if i == 0 else "append", files_per_value)
+        write_partitioned(c, path, partition_col, "overwrite" if i == 0 else "append", files_per_value, file_bytes)
 
 
-def write_partitioned(df: DataFrame, path: str, partition_col: str | None, mode: str = "overwrite",
-                      files_per_value: int = 1) -> None:
-    """Write with at most ``files_per_value`` files in each value's folder.
+def row_bytes(schema: T.StructType) -> Column:
+    """Bytes of a row's values: text and binary as they are, other types at their fixed width (8 where it varies)."""
+    fixed = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+    width = sum(fixed.get(type(f.dataType), 8) for f in schema if not isinstance(f.dataType, (T.StringType, T.BinaryType)))
+    out = F.lit(width).cast("long")
+    for f in schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return out
 
-    Rows are dealt by (value, salt) first: without that every task writes a
-    file of its own into every folder. Raise ``files_per_value`` with the bytes
-    that one value holds, so that a large value is written by several tasks.
+
+def write_partitioned(df: DataFrame, path: str, partition_col: str | None, mode: str = "overwrite",
+                      files_per_value: int | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Write each value's folder with as many tasks, and so files, as its bytes ask for.
+
+    The bytes of every value are measured first, by one aggregate; a value gets
+    one task per ``file_bytes``, so a date with a third of all rows is written
+    by many tasks and a small one by one. Rows are dealt by (value, salt): without
+    that every task writes a file of its own into every folder.
+    ``files_per_value`` sets the number instead, the same for all values.
     """
     if partition_col is None:
         df.write.mode(mode).parquet(path)
         return
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value))  # of the row, so a retried task deals alike
-    (df.withColumn("_salt", salt).repartition(partition_col, "_salt").drop("_salt")
-     .write.mode(mode).partitionBy(partition_col).parquet(path))
+    hashed = F.xxhash64(*df.columns)  # of the row, so a retried task deals alike
+    if files_per_value is not None:
+        salted = df.withColumn("_salt", F.pmod(hashed, F.lit(files_per_value)))
+        tasks = None
+    else:
+        sizes = df.groupBy(F.col(partition_col).alias("_value")).agg(
+            F.greatest(F.lit(1), F.ceil(F.sum(row_bytes(df.schema)) / F.lit(file_bytes))).cast("long").alias("_files"))
+        sizes = store(sizes, "value-sizes")  # one row a value
+        tasks = sizes.agg(F.sum("_files")).first()[0] or 1
+        salted = df.join(sizes, df[partition_col].eqNullSafe(sizes["_value"])).withColumn(
+            "_salt", F.pmod(hashed, F.col("_files"))).drop("_value", "_files")
+    by = [partition_col, "_salt"]
+    dealt = salted.repartition(*by) if tasks is None else salted.repartition(max(tasks, 1), *by)
+    dealt.drop("_salt").write.mode(mode).partitionBy(partition_col).parquet(path)
 
 
 # ------------------------------------------------------------------ S12

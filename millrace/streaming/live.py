@@ -49,6 +49,7 @@ SMOOTHED = list(R.NOMINAL)
 START = {c: f"Start_{c}" for c in SMOOTHED}
 LABELLED_SCHEMA = T.StructType([*SENSOR_SCHEMA.fields, *(T.StructField(s, T.DoubleType()) for s in START.values())])
 ORDER = ["Timestamp", "Machine"]
+LINES = ".jsonl"  # rule and baseline files of one entry a line; others are one document
 
 
 # ---------------------------------------------------------------------- ST1
@@ -78,7 +79,7 @@ def current_rules(spark: SparkSession, rules_path: str | None) -> tuple[DataFram
     fs, p = _fs(spark, rules_path)
     if not fs.exists(p):
         return R.rules_clear(spark), None
-    return R.read_rules_file(spark, rules_path)
+    return (R.read_rules_lines if rules_path.endswith(LINES) else R.read_rules_file)(spark, rules_path)
 
 
 def current_baselines(spark: SparkSession, path: str | None) -> DataFrame:
@@ -86,7 +87,7 @@ def current_baselines(spark: SparkSession, path: str | None) -> DataFrame:
     if path:
         fs, p = _fs(spark, path)
         if fs.exists(p):
-            return R.read_baselines_file(spark, path)
+            return (R.read_baselines_lines if path.endswith(LINES) else R.read_baselines_file)(spark, path)
     return spark.createDataFrame([], "machine string, sensor string, value double")
 
 

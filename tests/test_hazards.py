@@ -212,3 +212,27 @@ def test_cluster_profile_sizes_partitions():
     small = cluster_conf(50e9, executor_cores=4, executors=10)
     assert int(small["spark.sql.shuffle.partitions"]) == 187                # ~50 GB / 256 MB
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+@pytest.mark.parametrize("step", [1, 15, 60, 480, 1440])
+def test_gap_runs_add_up_to_the_gaps(spark, step):
+    from millrace.operators import operations as O
+    t = dt.datetime(1969, 12, 30, 5, 7)
+    data = [("A", t), ("A", t + dt.timedelta(minutes=1)), ("A", t + dt.timedelta(hours=3)), ("A", t + dt.timedelta(days=3)),
+            ("B", dt.datetime(1970, 1, 1)), ("B", dt.datetime(1970, 1, 1, 23, 59, 59)), ("B", None), ("C", None)]
+    data += [("D", dt.datetime(1969, 12, 30) + dt.timedelta(minutes=i)) for i in range(4 * 24 * 60)]     # no gap
+    df = spark.createDataFrame(data, "Machine string, Timestamp timestamp_ntz")
+    grid = {tuple(r) for r in O.telemetry_gaps(df, "Machine", "Timestamp", step).collect()}
+    runs = O.telemetry_gap_runs(df, "Machine", "Timestamp", step).collect()
+    spread = [(r["Machine"], r["From_Slot"] + dt.timedelta(minutes=step * i)) for r in runs for i in range(r["Slots"])]
+    assert len(spread) == len(set(spread)) and set(spread) == grid
+    assert all(r["To_Slot"] == r["From_Slot"] + dt.timedelta(minutes=step * (r["Slots"] - 1)) for r in runs)
+    ends = {(m, s + dt.timedelta(minutes=step)) for m, s in spread}
+    assert not any((r["Machine"], r["From_Slot"]) in ends for r in runs)                                 # runs are whole
+
+
+def test_a_stray_date_is_one_gap(spark):
+    from millrace.operators import operations as O
+    df = spark.createDataFrame([("A", dt.datetime(2024, 1, 1)), ("B", dt.datetime(9999, 12, 31))], "Machine string, Timestamp timestamp_ntz")
+    runs = O.telemetry_gap_runs(df, "Machine", "Timestamp", 1).collect()
+    assert sorted((r["Machine"], r["Slots"] > 10**9) for r in runs) == [("A", True), ("B", False), ("B", True)]

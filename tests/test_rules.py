@@ -29,6 +29,34 @@ def test_rules_file_semantics(spark, tmp):
     assert rejected.count() == 1
 
 
+def test_rules_lines_over_many_files(spark, tmp):
+    """One entry a line: the last line of the last file wins, a broken line is rejected alone."""
+    os.mkdir(f"{tmp}/rules.jsonl")
+    for i in range(5):
+        entries = [{"machine": f"M-{j}", "sensor": "RPM", "min": i, "max": i + j} for j in range(200)]
+        lines = [json.dumps(e) for e in entries] + [json.dumps({"machine": "M-1", "sensor": "RPM", "min": 50 + i, "max": 60})]
+        lines += ["", "{broken", '"text"', "7", json.dumps({"sensor": "x"}), json.dumps({"machine": "M-2", "min": 1, "max": 2}),
+                  json.dumps({"machine": "M-2", "sensor": "Noise", "min": "low", "max": 2})]
+        write(f"{tmp}/rules.jsonl", f"part-{i}.txt", "\n".join(lines))
+    rules, rejected = R.read_rules_lines(spark, f"{tmp}/rules.jsonl")
+    got = {r["machine"]: (r["min"], r["max"]) for r in rules.collect()}
+    assert got == {**{f"M-{j}": (4.0, 4.0 + j) for j in range(200)}, "M-1": (54.0, 60.0)}
+    assert sorted(r["reason"] for r in rejected.collect()) == ["missing sensor/min/max"] * 10 + ["unreadable line"] * 5
+
+
+def test_no_task_gathers_all_rules(spark, smoke_dir):
+    from millrace.plans.registry import run
+    for name in ("rules_file", "baselines_file"):
+        plan = run(name, spark, smoke_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [" in plan and "Aggregate [max_by" not in plan    # grouped aggregates only
+
+
+def test_baselines_lines(spark, tmp):
+    text = "\n".join([json.dumps({"M-1": {"RPM": 5, "Noise": "x"}}), "", "nonsense", json.dumps({"M-2": {"RPM": "7.5"}, "M-1": {"RPM": 6}})])
+    got = R.read_baselines_lines(spark, write(tmp, "b.jsonl", text))
+    assert rows(got, "machine", "sensor", "value") == [("M-1", "Noise", None), ("M-1", "RPM", 6.0), ("M-2", "RPM", 7.5)]
+
+
 def test_unreadable_and_empty_rules(spark, tmp):
     rules, rejected = R.read_rules_file(spark, write(tmp, "bad.json", "{not json"))
     assert rules.count() == 0 and [r["reason"] for r in rejected.collect()] == ["unreadable file"]

@@ -152,6 +152,19 @@ def test_partitioned_writes_have_few_files(spark, tmp):
     assert spark.read.parquet(f"{tmp}/p").count() == 3000
 
 
+def test_a_large_date_is_written_by_many_tasks_and_small_ones_by_one(spark, tmp):
+    df = spark.range(0, 6000, numPartitions=4).selectExpr(
+        "id", "repeat('x', 100) AS text", "CASE WHEN id % 3 = 0 THEN 'big' WHEN id = 7 THEN NULL ELSE CAST(id % 40 AS STRING) END AS day")
+    S.write_partitioned(df, f"{tmp}/p", "day", file_bytes=20_000)
+    files = {d: len([f for f in os.listdir(f"{tmp}/p/{d}") if f.endswith(".parquet")]) for d in os.listdir(f"{tmp}/p") if "=" in d}
+    assert files["day=big"] >= 9 and len(files) == 42                 # 216,000 bytes
+    assert max(n for d, n in files.items() if d != "day=big") == 1
+    assert spark.read.parquet(f"{tmp}/p").count() == 6000
+    S.write_chunks([df.where("id < 100"), df.where("id >= 100")], f"{tmp}/q", "day")
+    assert spark.read.parquet(f"{tmp}/q").count() == 6000
+    S.write_partitioned(df.limit(0), f"{tmp}/empty", "day")
+
+
 def test_normalize_and_preview(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "`Running Status` int, `Error Code` string")
     assert S.normalize_columns(df).columns == ["RUNNING_STATUS", "ERROR_CODE"]
