@@ -204,6 +204,11 @@ def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuzzy: int) -> Iterator[pa.RecordBatch]:
+    """(key, id, met): one line of every bucket of a slice of text, and the lines that have met another there.
+
+    So a bucket that many lines share costs one row a slice. Lines are known
+    here by the first half of their hash.
+    """
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
         for i, j in common.slices(off):
@@ -211,12 +216,44 @@ def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuz
             _, _, start, end = lines(part, off[i: j + 1] - off[i])
             start, end = start[end - start >= fuzzy], end[end - start >= fuzzy]
             p = common.prefix_hash(part)
-            k = keys(p, common.prefix_hash(part, SECOND_BASE), start, end)
-            one = np.unique(k[:, 0], return_index=True)[1]  # equal lines here enter once
-            start, end, k = start[one], end[one], k[one]
-            for who, bucket in bucket_rows(p, start, end, max_edits):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.view(np.int64)), binary16(k[who])], names=["key", "id"])
+            k = common.span_hash(p, start, end)
+            k, one = np.unique(k, return_index=True)  # equal lines here enter once
+            found = list(bucket_rows(p, start[one], end[one], max_edits))
+            if not found:
+                continue
+            who, bucket = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((who, bucket))
+            who, bucket = who[order], bucket[order]
+            first = np.append(True, bucket[1:] != bucket[:-1])
+            of = who[first][np.cumsum(first) - 1]  # the first line of each row's bucket
+            met = np.unique(np.concatenate([who[who != of], of[who != of]]))
+            keys_ = np.concatenate([bucket[first], k[met]]).view(np.int64)
+            ids = np.concatenate([k[who[first]], k[met]])
+            flags = np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(met), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys_), pa.array(ids.view(np.int64)), pa.array(flags)],
+                                             names=["key", "id", "met"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids that share a bucket with another id, or have met one, from rows sorted by key; repeats may occur.
+
+    Every row of a bucket is held against the bucket's first one, which is all
+    that is carried from batch to batch.
+    """
+    key, of = None, 0
+    for b in batches:
+        keys_, ids, met = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "met"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[met]))], names=["id"])
+        keys_, ids = keys_[~met], ids[~met]
+        if not len(keys_):
+            continue
+        first = np.append(key is None or keys_[0] != key, keys_[1:] != keys_[:-1])
+        at = np.cumsum(first) - 1
+        heads = ids[first]
+        owner = np.where(at >= 0, heads[at] if len(heads) else of, of)
+        other = ids != owner
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([ids[other], owner[other]])))], names=["id"])
+        key, of = keys_[-1], owner[-1]
 
 
 def _bucket_texts(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
@@ -269,10 +306,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
     firsts = shared.write(places.groupBy("k").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")))
     # lines that share a bucket with another line, and their texts, read at their first place
     fuzzy = max(fuzzy_bytes, edit_classes(max_edits)[0][0])
-    members = shared.write(rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy), "key bigint, id binary"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    both = members.join(buckets.select("key"), "key").select("id").distinct()
-    wanted = (firsts.join(both.withColumnRenamed("id", "k"), "k").groupBy(F.col("first.id").alias("id"))
+    members = rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy), "key bigint, id bigint, met boolean")
+    both = members.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting, "id bigint").distinct()
+    digits = F.hex(F.substring("k", 1, 8))  # little-endian
+    half = F.conv(F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))), 16, -10).cast("bigint")
+    wanted = (firsts.withColumn("half", half).join(both.withColumnRenamed("id", "half"), "half").groupBy(F.col("first.id").alias("id"))
               .agg(F.collect_set("first.line").alias("wanted")))
     texts = shared.write(rows.join(wanted, "id").mapInArrow(_pick_lines, "id binary, raw binary").dropDuplicates(["id"]))
     # the same lines, each beside those that share all but a small part with it
