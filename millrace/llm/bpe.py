@@ -23,6 +23,7 @@ other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from typing import Iterator
@@ -39,6 +40,7 @@ LONG_CHARS = 65_536
 LEAF_CHARS = 8_192
 WINDOW = 8
 BATCH_CHARS = 1 << 20
+DECODE_IDS = 1 << 16
 
 MEMO_WORDS = 300_000
 MEMO_CHARS = 64
@@ -58,7 +60,7 @@ class Coder:
         self.whole = Tokenizer.from_str(source)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self._source, self._model = source, None
+        self._source, self._model, self._table = source, None, None
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
@@ -90,8 +92,41 @@ class Coder:
             self._model = Tokenizer.from_str(self._source).model
         return self._model
 
-    def decode_all(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+    @property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(bytes, start, size) of every token for a byte-level decoder; the last entry, empty, is for unknown ids."""
+        if self._table is None and json.loads(self._source)["decoder"]["type"] == "ByteLevel":
+            # the model's characters stand for bytes: visible ones for themselves, the others from 256 on
+            visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            byte = {chr(b): b for b in visible}
+            byte.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))})
+            vocab = self.whole.get_vocab(with_added_tokens=True)
+            tokens = [b""] * (max(vocab.values()) + 2)
+            for t, i in vocab.items():
+                tokens[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
+            size = np.array([len(t) for t in tokens], np.int64)
+            self._table = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
+        return self._table
+
+    def decode_packed(self, packed: list[bytes]) -> pa.Array:
+        """The text of each list of packed ids, as the library decodes it."""
+        if self.table is None:
+            return pa.array(self.whole.decode_batch([unpack(x) for x in packed], skip_special_tokens=False), pa.string())
+        data, start, size = self.table
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        blocks, ends = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(ids), DECODE_IDS):
+            some = np.minimum(ids[i: i + DECODE_IDS].astype(np.int64), len(size) - 1)
+            blocks.append(data[common.ranges(start[some], size[some])])
+            ends.append(ends[-1][-1] + np.cumsum(size[some]))
+        raw = np.concatenate(blocks) if blocks else np.zeros(0, np.uint8)
+        offsets = np.concatenate(ends)[np.cumsum([0, *(len(x) // 4 for x in packed)])]
+        out = pa.Array.from_buffers(pa.large_string(), len(packed), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids that are no encoding of a text
+            out = pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])], pa.large_string())
+        return out.cast(pa.string())
 
     def bare(self, mapped: str) -> list[int]:
         """Tokens of an unsplit piece given in the model's byte characters."""
@@ -223,7 +258,7 @@ def encode(docs: DataFrame, source: Broadcast, id_col: str = "doc_id", text_col:
     def columns(c: Coder, ids: list[bytes]) -> dict[str, pa.Array]:
         out = {"ids": pa.array(ids, pa.binary())}
         if decoded:
-            out["text"] = pa.array(c.decode_all([unpack(x) for x in ids]), pa.string())
+            out["text"] = c.decode_packed(ids)
         return out
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +327,9 @@ def decode(encoded: DataFrame, source: Broadcast) -> DataFrame:
         for b in batches:
             at = 0
             for part in _chunks(b.column("ids").to_pylist(), lambda x: len(x or b"")):
-                texts = c.decode_all([unpack(x) for x in part])
+                texts = c.decode_packed([x or b"" for x in part])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(at, len(part)), b.column("ids").slice(at, len(part)),
-                     pa.array(texts, pa.string())], names=["id", "ids", "text"])
+                    [b.column("id").slice(at, len(part)), b.column("ids").slice(at, len(part)), texts], names=["id", "ids", "text"])
                 at += len(part)
 
     return encoded.mapInArrow(run, f"id {kind.simpleString()}, ids binary, text string")

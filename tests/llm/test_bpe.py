@@ -56,3 +56,15 @@ def test_documents_short_and_long(spark, edge_docs, whole):
 def test_empty_table(no_docs):
     source = bpe.tokenizer(no_docs, PATH)
     assert bpe.encode(no_docs, source, decoded=True).count() == 0
+
+
+def test_packed_decoding_equals_the_library_for_any_ids(whole, monkeypatch):
+    """Random ids too: bytes that are no UTF-8, the special token, ids outside the vocabulary, blocks that end inside a character."""
+    c = bpe.Coder(open(PATH, encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "DECODE_IDS", 7)
+    rnd = random.Random(11)
+    lists = [[rnd.choice([rnd.randrange(256), rnd.randrange(50_257), 50_256]) for _ in range(rnd.randint(0, 30))] for _ in range(400)]
+    lists += [whole.encode(t, add_special_tokens=False).ids for t in ("", "é日本🎉 a", "x" * 500, "<|endoftext|>")]
+    for part in (lists, lists[:1], [], [[]], lists[-4:]):
+        assert c.decode_packed([bpe.pack(x) for x in part]).to_pylist() == whole.decode_batch(part, skip_special_tokens=False)
+    assert c.decode_packed([bpe.pack([64, 4_000_000, 65])]).to_pylist() == [whole.decode([64, 4_000_000, 65], skip_special_tokens=False)]
