@@ -12,9 +12,11 @@ Candidate rows lie in cells of about ``CELL_ROWS`` rows by the hash of their id,
 query rows in blocks of ``QUERY_ROWS``; a task holds one cell and one block at a
 time, whatever the number of rows or equal vectors.
 
-Rows: vectors that are null, empty, or hold a null or non-finite component, and
-rows without an id, take no part, nor do components beyond 2**31 as integers.
-A row is compared with rows of the same number of components. A query's own id
+Rows: vectors that are null or hold a null or non-finite component, and rows
+without an id, take no part. Components of any size are exact; a score beyond 64
+bits counts as the largest or smallest 64-bit value. A row is compared with rows
+of the same number of components (empty vectors with one another: their score is
+0). A query's own id
 is never its result; repeated candidate rows each count; a repeated query row
 counts once. An empty table gives no rows; other columns are not read.
 """
@@ -33,19 +35,18 @@ from millrace.llm import common
 BINS = 1024
 CELL_ROWS = 4096
 QUERY_ROWS = 512
+TOP = 1 << 61  # histograms take scores beyond as this much; the last pass ranks them as they are
 
 
 def integers(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v array<bigint>) of the rows that take part."""
-    x = F.transform(F.col(vec_col).cast("array<double>"), lambda e: F.floor(e * F.lit(float(scale))))
-    finite = F.forall(F.col(vec_col).cast("array<double>"),
-                      lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) * scale < float(1 << 31)))
-    return rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite).select(
-        F.col(id_col).cast("bigint").alias("id"), x.cast("array<bigint>").alias("v"))
+    """(id, v array<double>) of the rows that take part; every component without a fraction."""
+    vec = F.col(vec_col)
+    return rows.where(F.col(id_col).isNotNull() & common.finite(vec)).select(
+        F.col(id_col).cast("bigint").alias("id"), common.integral(vec, scale).alias("v"))
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype("<f8")
 
 
 def packed(df: DataFrame, extra: list[str], rows: int) -> DataFrame:
@@ -88,16 +89,12 @@ def _ints(raw: bytes) -> np.ndarray:
 
 
 def scored(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scores, query ids, candidate ids) of one pair of blocks; int64 throughout."""
+    """(scores, query ids, candidate ids) of one pair of blocks; exact, int64 throughout."""
     row = {c: b.column(c)[i].as_py() for c in ("dim", "id", "m", "c_id", "c_m")}
-    q = np.frombuffer(row["m"], "<i4").reshape(-1, row["dim"])
-    c = np.frombuffer(row["c_m"], "<i4").reshape(-1, row["dim"])
-    top = float(np.abs(q.astype(np.int64)).max()) * float(np.abs(c.astype(np.int64)).max()) * row["dim"]
-    if top < 2.0**52:  # exact in doubles
-        s = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    else:
-        s = q.astype(np.int64) @ c.astype(np.int64).T
-    return s, _ints(row["id"]), _ints(row["c_id"])
+    ids, cands = _ints(row["id"]), _ints(row["c_id"])
+    q = np.frombuffer(row["m"], "<f8").reshape(len(ids), row["dim"])
+    c = np.frombuffer(row["c_m"], "<f8").reshape(len(cands), row["dim"])
+    return common.products(q, c), ids, cands
 
 
 def count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +104,7 @@ def count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, ids, cands = scored(b, i)
             key, lo, width, need = (_ints(b.column(c)[i].as_py())[:, None] for c in ("key", "lo", "width", "need"))
             step = -(-width // BINS)
-            s = s - lo  # places inside the interval; what lies outside sorts last
+            s = np.clip(s, -TOP, TOP) - lo  # places inside the interval; what lies outside sorts last
             away = (s < 0) | (s >= width) | (ids[:, None] == cands[None, :])
             s = np.where(away, np.int64(-1), s // step)
             k = int(need.max())
@@ -126,8 +123,8 @@ def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(b.num_rows):
             s, ids, cands = scored(b, i)
             key, floor, k = (_ints(b.column(c)[i].as_py()) for c in ("key", "lo", "k"))
-            q, c = np.nonzero((s >= floor[:, None]) & (ids[:, None] != cands[None, :]))
-            order = np.lexsort((cands[c], -s[q, c], q))
+            q, c = np.nonzero((np.clip(s, -TOP, TOP) >= floor[:, None]) & (ids[:, None] != cands[None, :]))
+            order = np.lexsort((cands[c], ~s[q, c], q))  # ~ turns the order of all 64-bit integers round
             q, c = q[order], c[order]
             rank = np.arange(len(q)) - np.searchsorted(q, q)
             q, c = q[rank < k[q]], c[rank < k[q]]
@@ -146,7 +143,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     n, norm = everything.agg(
         F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))).first()
     parts = max(1, -(-n // CELL_ROWS))
-    bound = int(norm or 0) + 1  # no score exceeds the largest squared norm
+    bound = int(min(norm or 0.0, float(TOP - 1))) + 1  # no score exceeds the largest squared norm
     cells = F.pmod(F.xxhash64("id"), F.lit(parts))
     cand = shared.write(packed(everything.select("id", "v", F.size("v").alias("dim"), cells.alias("cell"))
                                .repartition(parts, "cell"), [], CELL_ROWS))
