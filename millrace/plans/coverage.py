@@ -67,7 +67,7 @@ COVERAGE: dict[str, str] = {
     # streaming
     "ST1": f"{_ST}:read_ticks", "ST2": f"{_ST}:smooth_batch", "ST3": f"{_ST}:SinkFanout.retention",
     "ST4": f"{_ST}:SinkFanout", "ST5": f"{_ST}:label_batch", "ST6": f"{_ST}:live_kpis",
-    "ST7": f"{_ST}:factory_kpi_stream",
+    "ST7": f"{_ST}:FactoryDays",
     # machine learning
     "M1": f"{_M}:sample_n", "M2": f"{_M}:label", "M3": f"{_M}:fit", "M4": f"{_M}:synthetic_failures",
     "M5": f"{_M}:split", "M6": f"{_M}:fit", "M7": f"{_M}:evaluate", "M8": f"{_M}:load",

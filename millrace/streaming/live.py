@@ -14,9 +14,10 @@ Pipeline (two chained queries, both checkpointed):
    retention and live KPIs published as new versions, optional JDBC replace. A
    failing sink is reported, stops nothing else and catches up later.
 
-Streaming gold (``factory_kpi_stream``) uses an event-time watermark and daily
-windows so its state stays bounded; exact COUNT DISTINCT is not available in
-streaming aggregations, so active machines use ``approx_count_distinct``.
+Streaming gold: ``FactoryDays`` keeps sums per factory, open day and machine, so
+its KPIs are exact and readings that come too late are kept apart;
+``factory_kpi_stream`` is the same as one streaming aggregate with a watermark,
+whose active machines are ``approx_count_distinct``.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from millrace.operators.timeseries import (
     EMA_ALPHA, ema_rounding, ema_smooth, latest_per_key, rolling_retention, tail_n, tail_per_key,
 )
 from millrace.schemas import SCHEMAS
-from millrace.session import ship_package
+from millrace.session import ship_package, store
 from millrace.sources.files import (
     _fs, current_version, insert_batch, jdbc_replace, publish_version, read_published, read_published_before,
 )
@@ -297,6 +298,77 @@ def factory_kpi_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame
                      "Total_Power_Consumed_kW", "Total_Warnings", "Total_Errors"))
 
 
+OPEN_SCHEMA = T.StructType([
+    T.StructField("Factory_ID", T.StringType()), T.StructField("Event_Date", T.DateType()), T.StructField("Machine_ID", T.StringType()),
+    T.StructField("Power", T.DecimalType(38, 2)), T.StructField("Warnings", T.LongType()), T.StructField("Errors", T.LongType())])
+CLOCK_SCHEMA = T.StructType([T.StructField("Newest", T.TimestampType())])
+
+
+class FactoryDays:
+    """``foreachBatch`` handler: exact factory KPIs per day of a feed that never ends.
+
+    What is kept between batches is one row per factory, open day and machine
+    (sums so far), so distinct machines are counted exactly and the state is
+    bounded by the open days. A day closes when the newest reading is ``lateness``
+    past its end. The days that a batch changes are written under the batch's
+    number, and the newest number of a day holds (``read``). Readings of closed
+    days change nothing: they go to ``<out>_late``, row by row, under the number
+    of the batch that brought them. State and clock are published tables with
+    one version a batch; a replayed batch starts from the versions before it.
+    Readings without a time are left out, as in the batch KPIs.
+    """
+
+    def __init__(self, out: str, lateness: str = "1 day"):
+        self.out = out.rstrip("/")
+        self.lateness = lateness
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, version = batch.sparkSession, f"b{batch_id:012d}"
+        if (current_version(spark, f"{self.out}_clock") or "") >= version:
+            return  # a replay of a batch that is done
+        was_open = read_published_before(spark, f"{self.out}_open", version, OPEN_SCHEMA)
+        clock = read_published_before(spark, f"{self.out}_clock", version, CLOCK_SCHEMA)
+        newest = clock.first()["Newest"] if clock is not None else None
+        day = F.to_date("Timestamp")
+
+        def closed(d, at):
+            """Whether a day is over, ``lateness`` included, when the newest reading is of time ``at``."""
+            end = F.date_add(d, 1).cast("timestamp") + F.expr(f"INTERVAL {self.lateness}")
+            return F.coalesce(end <= at, F.lit(False))
+
+        before = F.lit(newest).cast("timestamp")
+        insert_batch(batch.where(closed(day, before)).select(*SENSOR_SCHEMA.fieldNames()), f"{self.out}_late", batch_id)
+        fresh = batch.where(F.col("Timestamp").isNotNull() & ~closed(day, before))
+        part = fresh.groupBy(F.upper("Factory").alias("Factory_ID"), day.alias("Event_Date"), F.upper("Machine").alias("Machine_ID")).agg(
+            F.sum(F.col("Power_Consumption").cast("decimal(10,2)")).cast("decimal(38,2)").alias("Power"),
+            F.sum(F.when(F.col("Running_Status") == "Warning", 1).otherwise(0)).alias("Warnings"),
+            F.sum(F.when(F.nullif("Error_Code", F.lit("None")).isNotNull(), 1).otherwise(0)).alias("Errors"),
+        ).withColumn("_now", F.lit(True))
+        held = part if was_open is None else part.unionByName(was_open.withColumn("_now", F.lit(False)))
+        # stored: the days that this batch changes and the state are both made of it
+        days = store(held.groupBy("Factory_ID", "Event_Date", "Machine_ID").agg(
+            F.sum("Power").cast("decimal(38,2)").alias("Power"), F.sum("Warnings").alias("Warnings"), F.sum("Errors").alias("Errors"),
+            F.bool_or("_now").alias("_now")), "factory-days")
+        kpi = days.groupBy("Factory_ID", "Event_Date").agg(
+            F.count("Machine_ID").alias("Active_Machines"), F.sum("Power").cast("double").alias("Total_Power_Consumed_kW"),
+            F.sum("Warnings").alias("Total_Warnings"), F.sum("Errors").alias("Total_Errors"), F.bool_or("_now").alias("_now"))
+        insert_batch(kpi.where("_now").drop("_now"), self.out, batch_id)
+        latest = fresh.select(F.col("Timestamp").cast("timestamp").alias("t")).unionByName(spark.range(1).select(before.alias("t")))
+        now = latest.agg(F.max("t").alias("Newest")).first()["Newest"]
+        still = days.where(~closed(F.col("Event_Date"), F.lit(now).cast("timestamp"))).drop("_now")
+        publish_version(still, f"{self.out}_open", version)
+        publish_version(spark.createDataFrame([(now,)], CLOCK_SCHEMA), f"{self.out}_clock", version)
+
+    @staticmethod
+    def read(spark: SparkSession, out: str) -> DataFrame:
+        """The KPIs as they are now: of each factory and day the row of the newest batch."""
+        rows = spark.read.parquet(out)
+        values = [c for c in rows.columns if c not in ("Factory_ID", "Event_Date", "batch_id")]
+        newest = F.max_by(F.struct(*values), "batch_id")
+        return rows.groupBy("Factory_ID", "Event_Date").agg(newest.alias("_v")).select(
+            "Factory_ID", "Event_Date", *[F.col("_v")[c].alias(c) for c in values])
+
+
 def energy_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming energy, cost, carbon and peak per machine-day with bounded state."""
     s = stream.withColumn("_ts", F.col("Timestamp").cast("timestamp")).withWatermark("_ts", watermark)
@@ -319,15 +391,16 @@ def start_gold(spark: SparkSession, work: str, checkpoint: str, available_now: b
     work = work.rstrip("/")
     fs, p = _fs(spark, f"{work}/labelled")
     fs.mkdirs(p)
+    def labelled() -> DataFrame:
+        return spark.readStream.schema(LABELLED_SCHEMA).option("recursiveFileLookup", True).parquet(f"{work}/labelled")
+
+    energy = energy_stream(labelled(), watermark).writeStream.outputMode("update").foreachBatch(
+        lambda df, i: insert_batch(df, f"{work}/gold_energy", i))
+    kpi = labelled().writeStream.foreachBatch(FactoryDays(f"{work}/gold_factory_kpi", watermark))
     queries = []
-    for name, build in (("factory_kpi", factory_kpi_stream), ("energy", energy_stream)):
-        stream = (spark.readStream.schema(LABELLED_SCHEMA).option("recursiveFileLookup", True)
-                  .parquet(f"{work}/labelled"))
-        w = (build(stream, watermark).writeStream.outputMode("update")
-             .foreachBatch(lambda df, i, _n=name: insert_batch(df, f"{work}/gold_{_n}", i))
-             .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}"))
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-        queries.append(w.start())
+    for name, w in (("factory_kpi", kpi), ("energy", energy)):
+        w = w.option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}")
+        queries.append((w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)).start())
     return queries
 
 

@@ -282,3 +282,46 @@ def test_factory_kpi_stream_drops_late_days(spark, tmp, bronze):
     assert run() > 0                                                  # counted
     days = {r["Event_Date"] for r in spark.read.parquet(f"{tmp}/kpi_updates").collect()}
     assert days and all((d - first).days >= 10 for d in days)
+
+
+def test_exact_factory_days_equal_the_batch_and_late_rows_are_kept(spark, tmp, bronze, monkeypatch):
+    """Batches of a few days each, replays and a crash between; a batch of old days comes far too late."""
+    fs = bronze.fact_sensor
+    first = fs.select(F.min(F.to_date("Timestamp"))).first()[0]
+    part = fs.withColumn("_d", F.datediff(F.to_date("Timestamp"), F.lit(first))).persist()
+    top = part.agg(F.max("_d")).first()[0]
+    early, handler = part.where("_d < 2 AND RPM % 120 = 0").drop("_d"), live.FactoryDays(f"{tmp}/kpi", "1 day")
+    rest = part.where("NOT (_d < 2 AND RPM % 120 = 0)")
+    step = max(1, top // 4)
+    cuts = [rest.where((F.col("_d") >= lo) & (F.col("_d") < lo + step)).drop("_d") for lo in range(0, top + 1, step)]
+    for i, batch in enumerate(cuts):
+        if i == 1:
+            def lost(*_):
+                raise OSError("lost")
+            for name in ("publish_version", "store"):
+                monkeypatch.setattr(live, name, lost)
+                with pytest.raises(OSError):
+                    handler(batch, i)
+                monkeypatch.undo()
+        handler(batch, i)
+        handler(batch, i)                                             # a replay
+    handler(early, len(cuts))
+    want = gold.factory_kpi(silver.silver_sensor(rest.drop("_d")))
+    got = live.FactoryDays.read(spark, f"{tmp}/kpi")
+    assert rows(got.select(*want.columns)) == rows(want.withColumn("Total_Power_Consumed_kW", F.col("Total_Power_Consumed_kW").cast("double")))
+    late = spark.read.parquet(f"{tmp}/kpi_late")
+    assert early.count() > 0
+    assert rows(late.select("Machine", "Timestamp", "Temperature")) == rows(early.select("Machine", "Timestamp", "Temperature"))
+    days = read_published(spark, f"{tmp}/kpi_open").select(F.min("Event_Date")).first()[0]
+    assert (days - first).days >= top - 1                             # closed days are not held
+
+
+def test_gold_queries_of_the_live_feed(spark, tmp, bronze):
+    _write_ticks(bronze, f"{tmp}/ticks", [(0, 40)])
+    live.start_ingest(spark, f"{tmp}/ticks", f"{tmp}/work", f"{tmp}/ck1", dim_machine=bronze.dim_machine).awaitTermination()
+    for q in live.start_gold(spark, f"{tmp}/work", f"{tmp}/ck2"):
+        q.awaitTermination()
+    want = gold.factory_kpi(silver.silver_sensor(spark.read.parquet(f"{tmp}/work/labelled")))
+    got = live.FactoryDays.read(spark, f"{tmp}/work/gold_factory_kpi")
+    assert rows(got, "Factory_ID", "Event_Date", "Active_Machines", "Total_Warnings", "Total_Errors") == rows(
+        want, "Factory_ID", "Event_Date", "Active_Machines", "Total_Warnings", "Total_Errors")
