@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Shared
 
-PIVOT_ROUNDS = 8
+PIVOT_ROUNDS = 4
 POOR = 2  # pairs per link from which on pivots are given up
 FEW = 4  # pairs per member up to which open buckets are compared in full at once,
-MANY = 8  # and after the first pivots
+MANY = 100  # and after the first pivots
 
 
 def components(nodes: DataFrame, edges: DataFrame, shared: Shared) -> DataFrame:
