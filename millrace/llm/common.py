@@ -7,6 +7,7 @@ to bound the memory of a task (one row is never cut).
 
 from __future__ import annotations
 
+import secrets
 import uuid
 from typing import Iterator
 
@@ -72,6 +73,69 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.u
         return mix((prefix[end] - prefix[start]) * p[start] + (end - start).astype(np.uint64) * MIX_2)
 
 
+# Where equal hashes must mean equal contents, hashes are polynomials over a prime field at a base drawn
+# for the run: contents that collide cannot be written beforehand, unlike modulo 2**64, where every odd
+# base maps some texts of two letters to one value.
+PRIME = (1 << 61) - 1
+_P, _30, _31 = np.uint64(PRIME), np.uint64(30), np.uint64(31)
+_LOW_30, _LOW_31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+BLOCK = 1 << 22  # values added up before sums are reduced
+_FIELD_POWERS: dict[int, np.ndarray] = {}
+
+
+def draw_base() -> int:
+    """A base for ``field_prefix``, unforeseeable; every task of a run needs the same."""
+    return 2 + secrets.randbelow(PRIME - 3)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def field_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it."""
+    ah, al, bh, bl = a >> _31, a & _LOW_31, b >> _31, b & _LOW_31
+    mid = ah * bl + al * bh
+    return _reduce(np.uint64(2) * ah * bh + (mid >> _30) + ((mid & _LOW_30) << _31) + al * bl)
+
+
+def field_powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**n modulo PRIME, by doubling."""
+    have = _FIELD_POWERS.get(base)
+    if have is None or len(have) <= n:
+        size = max(n + 1, 1 << 16)
+        have = np.empty(size, np.uint64)
+        have[0], done = 1, 1
+        while done < size:
+            more = min(done, size - done)
+            have[done: done + more] = field_product(have[:more], np.uint64(pow(base, done, PRIME)))
+            done += more
+        if size <= BLOCK:
+            while len(_FIELD_POWERS) >= 4:  # workers outlive runs, each of which has two bases
+                _FIELD_POWERS.pop(next(iter(_FIELD_POWERS)))
+            _FIELD_POWERS[base] = have
+    return have[: n + 1]
+
+
+def field_prefix(values: np.ndarray, base: int) -> np.ndarray:
+    """Sums of (value + 1) * base**-place modulo PRIME, for bytes (see ``field_hash``)."""
+    inverse = field_powers(len(values), pow(base, -1, PRIME))
+    out = np.zeros(len(values) + 1, np.uint64)
+    for i in range(0, len(values), BLOCK):
+        v = values[i: i + BLOCK].astype(np.uint64) + np.uint64(1)
+        w = inverse[i: i + len(v)]
+        high = _reduce(np.cumsum(v * (w >> _31)))
+        low = _reduce(np.cumsum(v * (w & _LOW_31)))
+        out[i + 1: i + 1 + len(v)] = _reduce((high >> _30) + ((high & _LOW_30) << _31) + low + out[i])
+    return out
+
+
+def field_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Mixed field hash of each span; different spans of L bytes at most agree with a chance of L / 2**61."""
+    return mix(field_product(_reduce(prefix[end] + _P - prefix[start]), field_powers(len(prefix) - 1, base)[start]))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every window of w values (len(x) - w + 1 of them), by doubling."""
     out, have = x, 1

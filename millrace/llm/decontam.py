@@ -41,11 +41,14 @@ HITS = "n_words bigint, n_hit bigint, items array<string>"
 
 
 class Text:
-    """Word hashes of some rows: words of row r are wh[first[r]:first[r + 1]]."""
+    """Word hashes of some rows: words of row r are hash[first[r]:first[r + 1]].
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    Words are compared by hashes over a prime field, at the run's base.
+    """
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, base: int):
         start, end, row = common.words(buf, offsets, common.WORD_TABLE)
-        self.hash = common.span_hash(common.prefix_hash(common.WORD_TABLE[buf]), start, end)
+        self.hash = common.field_hash(common.field_prefix(common.WORD_TABLE[buf], base), start, end, base)
         self.first = np.searchsorted(row, np.arange(len(offsets)))
         self.prefix = common.prefix_hash(self.hash)
 
@@ -72,9 +75,9 @@ class Text:
 class Index:
     """Fingerprints of items: hash -> (item, place), for every length that windows have."""
 
-    def __init__(self, ids: list[str | None], texts: pa.Array, n: int = WINDOW_WORDS):
+    def __init__(self, ids: list[str | None], texts: pa.Array, base: int, n: int = WINDOW_WORDS):
         self.ids = ids
-        t = Text(*common.text_buffer(texts))
+        t = Text(*common.text_buffer(texts), base)
         sizes = np.diff(t.first)
         self.words = [t.hash[t.first[i]: t.first[i + 1]] for i in range(len(ids))]
         self.lengths: dict[int, tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = {}
@@ -153,12 +156,12 @@ def scan(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS, id_col: str =
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        index = Index(ids, pa.array(texts, pa.string()), n)
+        ids, texts, base = shared.value
+        index = Index(ids, pa.array(texts, pa.string()), base, n)
         for b in batches:
             buf, off = common.text_buffer(b.column("text"))
             for i, j in common.slices(off):
-                t = Text(buf[off[i]: off[j]], off[i: j + 1] - off[i])
+                t = Text(buf[off[i]: off[j]], off[i: j + 1] - off[i], base)
                 found = hits(t, index)
                 n_hit = [covered(found[r][0]) if r in found else 0 for r in range(j - i)]
                 names = [sorted({ids[x] for x in found[r][1]} - {None}) if r in found else [] for r in range(j - i)]
@@ -175,12 +178,13 @@ def _bench(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
 
 
 def _broadcast(bench: DataFrame, limit: int) -> Broadcast | None:
-    """The items' ids and texts for every task, unless they are larger than ``limit`` bytes."""
+    """The items' ids and texts for every task and a base for hashes, unless they are larger than ``limit`` bytes."""
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
     if size > limit:
         return None
     got = bench.toArrow()
-    return bench.sparkSession.sparkContext.broadcast((got.column("item").to_pylist(), got.column("text").to_pylist()))
+    return bench.sparkSession.sparkContext.broadcast(
+        (got.column("item").to_pylist(), got.column("text").to_pylist(), common.draw_base()))
 
 
 def _text_key(text: str | Column) -> Column:
@@ -194,9 +198,10 @@ def _runs(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
     """
     lengths = [x[0] for x in _word_counts(bench).select(F.least("n_words", F.lit(n)).alias("m"))
                .where("m > 0").distinct().collect()]  # at most n values
+    base = common.draw_base()
     texts = rows.select("doc_key", "text").dropDuplicates(["doc_key"])
     item_texts = bench.select("item_key", "text").dropDuplicates(["item_key"])
-    pairs = (_prints(texts, "doc_key", lengths).join(_prints(item_texts, "item_key", lengths), ["length", "print"])
+    pairs = (_prints(texts, "doc_key", lengths, base).join(_prints(item_texts, "item_key", lengths, base), ["length", "print"])
              .select("doc_key", "item_key").distinct())
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +209,8 @@ def _runs(rows: DataFrame, bench: DataFrame, n: int) -> DataFrame:
             out = []
             for doc, key, text, item in zip(*(b.column(c).to_pylist() for c in
                                               ("doc_key", "item_key", "text", "item_text"))):
-                found = hits(Text(*common.text_buffer(pa.array([text], pa.string()))),
-                             Index([key], pa.array([item], pa.string()), n))
+                found = hits(Text(*common.text_buffer(pa.array([text], pa.string())), base),
+                             Index([key], pa.array([item], pa.string()), base, n))
                 if found:
                     out.append((doc, key, [{"a": a, "b": e} for a, e in found[0][0]]))
             yield pa.RecordBatch.from_arrays(
@@ -240,8 +245,8 @@ def _word_counts(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = common.text_buffer(b.column("text"))
-            count = np.concatenate([np.diff(Text(buf[off[i]: off[j]], off[i: j + 1] - off[i]).first)
-                                    for i, j in common.slices(off)] or [np.zeros(0, np.int64)])
+            _, _, row = common.words(buf, off, common.WORD_TABLE)
+            count = np.bincount(row, minlength=len(off) - 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(count, pa.int64())],
                                              names=[*keep, "n_words"])
 
@@ -249,7 +254,7 @@ def _word_counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"{kinds}, n_words bigint")
 
 
-def _prints(df: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+def _prints(df: DataFrame, key: str, lengths: list[int], base: int) -> DataFrame:
     """Distinct (key, length, print) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +262,7 @@ def _prints(df: DataFrame, key: str, lengths: list[int]) -> DataFrame:
             keys = b.column(key)
             buf, off = common.text_buffer(b.column("text"))
             for i, j in common.slices(off):
-                t = Text(buf[off[i]: off[j]], off[i: j + 1] - off[i])
+                t = Text(buf[off[i]: off[j]], off[i: j + 1] - off[i], base)
                 for length in lengths:
                     start, least, _ = t.fingerprints(length)
                     row = np.searchsorted(t.first, start, side="right") - 1
@@ -284,13 +289,13 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = shared.value
-        index = Index(ids, pa.array(texts, pa.string()), n)
+        ids, texts, base = shared.value
+        index = Index(ids, pa.array(texts, pa.string()), base, n)
         for b in batches:
             buf, off = common.text_buffer(b.column(place))
             for i, j in common.slices(off):
                 clean = np.ones(j - i, bool)
-                clean[list(hits(Text(buf[off[i]: off[j]], off[i: j + 1] - off[i]), index))] = False
+                clean[list(hits(Text(buf[off[i]: off[j]], off[i: j + 1] - off[i], base), index))] = False
                 yield b.slice(i, j - i).filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)

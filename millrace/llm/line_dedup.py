@@ -14,8 +14,8 @@ are split further: where a segment matches, the rest is split and probed again,
 meet. Lines that still meet are verified with a bit-parallel edit distance
 inside a band of diagonals.
 
-Lines are known by a 128-bit hash; texts are read again only for the lines that
-meet. Similar lines form classes (connected lines); the first line of a class,
+Lines are known by a 128-bit hash, half of it over a prime field at a base drawn
+for the run; texts are read again only for the lines that meet. Similar lines form classes (connected lines); the first line of a class,
 by document id and line number, is kept and all others are removed.
 
 Rows: a null text has no lines; repeated rows of an id are one document; rows
@@ -41,7 +41,6 @@ LEVELS = 6
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-SECOND_BASE = np.uint64(0xD1342543DE82EF95)
 
 
 def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,9 +68,10 @@ def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return row[some], number[some], solid[a[some]], solid[b[some]] + 1
 
 
-def keys(p1: np.ndarray, p2: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(n, 2) 64-bit hashes of the spans under two bases."""
-    return np.stack([common.span_hash(p1, start, end), common.span_hash(p2, start, end, SECOND_BASE)], axis=1)
+def keys(part: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """(n, 2) hashes of the spans: over the prime field, and modulo 2**64."""
+    return np.stack([common.field_hash(common.field_prefix(part, base), start, end, base),
+                     common.span_hash(common.prefix_hash(part), start, end)], axis=1)
 
 
 def binary16(k: np.ndarray) -> pa.Array:
@@ -191,19 +191,19 @@ def banded(a: bytes, b: bytes, most: int) -> int:
     return score
 
 
-def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hash_lines(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
         for i, j in common.slices(off):
             part = buf[off[i]: off[j]]
             row, number, start, end = lines(part, off[i: j + 1] - off[i])
-            k = keys(common.prefix_hash(part), common.prefix_hash(part, SECOND_BASE), start, end)
+            k = keys(part, start, end, base)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").slice(i, j - i).take(pa.array(row)), pa.array(number.astype(np.int32)), binary16(k)],
                 names=["id", "line", "k"])
 
 
-def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuzzy: int) -> Iterator[pa.RecordBatch]:
+def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuzzy: int, base: int) -> Iterator[pa.RecordBatch]:
     """(key, id, met): one line of every bucket of a slice of text, and the lines that have met another there.
 
     So a bucket that many lines share costs one row a slice. Lines are known
@@ -216,7 +216,7 @@ def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuz
             _, _, start, end = lines(part, off[i: j + 1] - off[i])
             start, end = start[end - start >= fuzzy], end[end - start >= fuzzy]
             p = common.prefix_hash(part)
-            k = common.span_hash(p, start, end)
+            k = common.field_hash(common.field_prefix(part, base), start, end, base)
             k, one = np.unique(k, return_index=True)  # equal lines here enter once
             found = list(bucket_rows(p, start[one], end[one], max_edits))
             if not found:
@@ -271,7 +271,7 @@ def _bucket_texts(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) ->
                     [pa.array(bucket.view(np.int64)), ids.take(pa.array(who + i))], names=["key", "id"])
 
 
-def _pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pick_lines(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
     """(id, raw) of the wanted line numbers of each text."""
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
@@ -281,7 +281,7 @@ def _pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, number, start, end = lines(part, off[i: j + 1] - off[i])
             own = {(r, x) for r in range(j - i) for x in wanted[i + r]}
             out = [x for x, place in enumerate(zip(row.tolist(), number.tolist())) if place in own]
-            k = keys(common.prefix_hash(part), common.prefix_hash(part, SECOND_BASE), start[out], end[out])
+            k = keys(part, start[out], end[out], base)
             yield pa.RecordBatch.from_arrays(
                 [binary16(k), pa.array([part[start[x]: end[x]].tobytes() for x in out], pa.binary())], names=["id", "raw"])
 
@@ -299,20 +299,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
          fuzzy_bytes: int = FUZZY_BYTES) -> tuple[DataFrame, DataFrame]:
     """((id, line, first_id, first_line) of every line to remove, (id, lines) of documents with lines)."""
     spark = docs.sparkSession
-    shared = common.Shared(spark, "line-dedup")
+    shared, base = common.Shared(spark, "line-dedup"), common.draw_base()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     kind = rows.schema["id"].dataType.simpleString()
-    places = shared.write(rows.mapInArrow(_hash_lines, f"id {kind}, line int, k binary"))
+    places = shared.write(rows.mapInArrow(lambda b: _hash_lines(b, base), f"id {kind}, line int, k binary"))
     firsts = shared.write(places.groupBy("k").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")))
     # lines that share a bucket with another line, and their texts, read at their first place
     fuzzy = max(fuzzy_bytes, edit_classes(max_edits)[0][0])
-    members = rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy), "key bigint, id bigint, met boolean")
+    members = rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy, base), "key bigint, id bigint, met boolean")
     both = members.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting, "id bigint").distinct()
     digits = F.hex(F.substring("k", 1, 8))  # little-endian
     half = F.conv(F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))), 16, -10).cast("bigint")
     wanted = (firsts.withColumn("half", half).join(both.withColumnRenamed("id", "half"), "half").groupBy(F.col("first.id").alias("id"))
               .agg(F.collect_set("first.line").alias("wanted")))
-    texts = shared.write(rows.join(wanted, "id").mapInArrow(_pick_lines, "id binary, raw binary").dropDuplicates(["id"]))
+    texts = shared.write(rows.join(wanted, "id").mapInArrow(lambda b: _pick_lines(b, base), "id binary, raw binary").dropDuplicates(["id"]))
     # the same lines, each beside those that share all but a small part with it
     fine = shared.write(texts.mapInArrow(lambda b: _bucket_texts(b, max_edits), "key bigint, id binary"))
 

@@ -75,3 +75,14 @@ def test_rows_are_removed_by_their_own_text(spark, tables):
     for limit in (1 << 24, 0):
         kept = decontam.remove(rows, items, broadcast_bytes=limit).collect()
         assert sorted(map(str, kept)) == sorted(map(str, [r for r in rows.collect() if r["text"] != hit]))
+
+
+def test_words_that_collide_modulo_two_to_the_64th(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, f"x {a} y"), (1, f"x {b} y")], "doc_id long, text string")
+    for limit in (1 << 24, 0):
+        got = decontam.scan(docs, items, broadcast_bytes=limit)
+        assert {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got.collect()} == {0: (3, 1, ["1"]), 1: (3, 0, [])}
+        assert [r["doc_id"] for r in decontam.remove(docs, items, broadcast_bytes=limit).collect()] == [1]

@@ -213,6 +213,30 @@ def test_edits_grow_with_the_length_of_the_line(spark):
     assert {r["id"]: r["first_id"] for r in gone.collect()} == {n: sets.find(n) for n in range(len(lines)) if sets.find(n) != n}
 
 
+def test_field_hashes_are_the_polynomials(monkeypatch):
+    rnd = random.Random(7)
+    base, raw = common.draw_base(), np.array([rnd.randrange(256) for _ in range(700)], np.uint8)
+    monkeypatch.setattr(common, "BLOCK", 64)
+    start = np.array([rnd.randrange(700) for _ in range(200)])
+    end = np.array([rnd.randint(s, 700) for s in start])
+    want = [sum((int(raw[t]) + 1) * pow(base, -int(t - s), common.PRIME) for t in range(s, e)) % common.PRIME for s, e in zip(start, end)]
+    got = common.field_hash(common.field_prefix(raw, base), start, end, base)
+    assert (got == common.mix(np.array(want, np.uint64))).all()
+    big = np.full(3, common.PRIME - 1, np.uint64)
+    assert (common.field_product(big, big) == 1).all()
+
+
+def test_lines_that_collide_modulo_two_to_the_64th(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    same = common.span_hash(common.prefix_hash(raw), np.array([0, 2048]), np.array([2048, 4096]))
+    assert same[0] == same[1]
+    docs = {0: a, 1: b, 2: b, 3: b[:-1] + "c", 4: a}
+    gone, _ = line_dedup.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert sorted((r["id"], r["first_id"]) for r in gone.collect()) == [(2, 1), (3, 1), (4, 0)]
+
+
 def test_line_edges(edge_docs, no_docs):
     kept = line_dedup.remove(edge_docs)
     assert kept.columns == edge_docs.columns
