@@ -6,8 +6,12 @@ model c also sees the probabilities of the categories before it. For training
 these are out-of-fold predictions, so a later model learns from probabilities
 like those it meets on new rows.
 
-The labels have one toxicity column. The chain's earlier categories are weak
-labels made from it: a toxic document that holds a word of the category's list.
+The labels have one toxicity column. The chain's earlier categories are kinds of
+toxic documents found in the fitting rows: toxic rows are described by the words
+that separate them from the others, and split where these words occur together
+(two means, started from the main direction of the words). Every toxic row with
+such a word is of one kind. For the out-of-fold probabilities words and kinds are
+found anew without the fold, and numbered like those of all fitting rows.
 
 The chain is fitted in one task on at most ``2 x FIT_PER_CLASS`` labelled
 documents; rows count by their class's share of all labelled rows.
@@ -19,6 +23,7 @@ null ids come back as they are; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -41,22 +46,19 @@ L2 = 0.3
 THRESHOLD = 0.3
 BEGINNING, ENDING = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333)
 
-# Word lists of the weakly labelled categories
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "degradation": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
+KINDS = 2
+KIND_STEPS = 20
 LABELLED = "toxic"
-CHAIN = (*CATEGORIES, LABELLED)
+CHAIN = (*(f"kind_{k + 1}" for k in range(KINDS)), LABELLED)
 
 
-def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every distinct feature of every row."""
+def features(buf: np.ndarray, off: np.ndarray, affixes: tuple = AFFIXES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every distinct feature of every row; without ``affixes`` of its words only."""
     low = common.WORD_TABLE[buf]
     start, end, row = common.words(buf, off, common.WORD_TABLE)
     p = common.prefix_hash(low)
     parts = [(row, common.span_hash(p, start, end))]
-    for n in AFFIXES:
+    for n in affixes:
         long = end - start > n
         a, b, r = start[long], end[long], row[long]
         parts += [(r, common.span_hash(p, a, a + n) ^ BEGINNING), (r, common.span_hash(p, b - n, b) ^ ENDING)]
@@ -66,16 +68,62 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both // BUCKETS, both % BUCKETS
 
 
-def word_bucket(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    whole = common.span_hash(common.prefix_hash(common.WORD_TABLE[raw]), np.array([0]), np.array([len(raw)]))
-    return int(whole[0] % np.uint64(BUCKETS))
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def separation(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """By bucket: how much more frequent it is among the positive rows (standardised difference)."""
+    pos, neg = w * y, w * (1 - y)
+    a = np.bincount(bucket, pos[row], BUCKETS) / max(pos.sum(), 1e-9)
+    b = np.bincount(bucket, neg[row], BUCKETS) / max(neg.sum(), 1e-9)
+    mid = (a + b) / 2
+    strength = (a - b) / np.sqrt(mid * (1 - mid) + 1e-3)
+    strength[np.bincount(bucket, minlength=BUCKETS) < MIN_DOCS] = 0
+    return strength
+
+
+def kinds(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, weight: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Kind of every positive row in ``use`` that has a separating word, -1 for other rows."""
+    out = np.full(len(y), -1)
+    mine = use[row]
+    row, bucket = row[mine], bucket[mine]
+    strength = separation(row, bucket, y, weight * use)
+    keep = np.argsort(-strength, kind="stable")[:KEPT]
+    keep = keep[strength[keep] > 0]
+    number = np.full(BUCKETS, -1)
+    number[keep] = np.arange(len(keep))
+    has = (number[bucket] >= 0) & (y[row] == 1)
+    rows, at = np.unique(row[has], return_inverse=True)
+    if len(rows) < KINDS:
+        return out
+    x = np.zeros((len(rows), len(keep)))
+    x[at, number[bucket[has]]] = strength[bucket[has]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    around = x - x.mean(axis=0)
+    main = np.linalg.eigh(around.T @ around)[1][:, -1]
+    main = main * np.sign(main[np.argmax(np.abs(main))])
+    place = np.argsort(np.argsort(around @ main, kind="stable"), kind="stable")
+    kind = place * KINDS // len(rows)
+    for _ in range(KIND_STEPS):
+        centres = np.stack([x[kind == k].mean(axis=0) if (kind == k).any() else np.zeros(len(keep)) for k in range(KINDS)])
+        new = np.argmax(x @ (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).T, axis=1)
+        if (new == kind).all():
+            break
+        kind = new
+    out[rows] = kind
+    return out
+
+
+def numbered_like(kind: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """``kind`` renumbered to agree with ``other`` on as many rows as possible."""
+    same = np.zeros((KINDS, KINDS))
+    both = (kind >= 0) & (other >= 0)
+    np.add.at(same, (kind[both], other[both]), 1)
+    best = max(itertools.permutations(range(KINDS)), key=lambda p: sum(same[k, p[k]] for k in range(KINDS)))
+    return np.where(kind >= 0, np.array(best)[kind], -1)
+
+
 def fit_linear(row: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.ndarray, weight: np.ndarray,
                use: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(weights by bucket, weights of the earlier categories, bias) from the rows in ``use``.
@@ -86,13 +134,7 @@ def fit_linear(row: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.nda
     mine = use[row]
     row, bucket = row[mine], bucket[mine]
     w = weight * use
-    pos, neg = w * y, w * (1 - y)
-    a = np.bincount(bucket, pos[row], BUCKETS) / max(pos.sum(), 1e-9)
-    b = np.bincount(bucket, neg[row], BUCKETS) / max(neg.sum(), 1e-9)
-    n = np.bincount(bucket, minlength=BUCKETS)
-    mid = (a + b) / 2
-    strength = np.abs(a - b) / np.sqrt(mid * (1 - mid) + 1e-3)
-    strength[n < MIN_DOCS] = 0
+    strength = np.abs(separation(row, bucket, y, w))
     keep = np.argsort(-strength, kind="stable")[:KEPT]
     keep = keep[strength[keep] > 0]
     number = np.full(BUCKETS, -1)
@@ -126,17 +168,23 @@ def linear(model: tuple, row: np.ndarray, bucket: np.ndarray, dense: np.ndarray)
     return _sigmoid(np.bincount(row[used], value[used], len(dense)) + dense @ more + bias)
 
 
-def fit_chain(row: np.ndarray, bucket: np.ndarray, targets: list[np.ndarray], weight: np.ndarray) -> list[tuple]:
+def fit_chain(row: np.ndarray, bucket: np.ndarray, words: tuple[np.ndarray, np.ndarray], y: np.ndarray,
+              weight: np.ndarray) -> list[tuple]:
     """One model per category; earlier categories enter as out-of-fold probabilities."""
     n = len(weight)
     fold = np.arange(n) % FOLDS
+    everything = np.ones(n, bool)
+    kind = kinds(*words, y, weight, everything)
+    in_folds = [numbered_like(kinds(*words, y, weight, fold != f), kind) for f in range(FOLDS)]
     dense, models = np.zeros((n, 0)), []
-    for y in targets:
+    for c in range(len(CHAIN)):
+        def target(of: np.ndarray) -> np.ndarray:
+            return (of == c).astype(float) if c < KINDS else y
         out = np.zeros(n)
         for f in range(FOLDS):
-            part = fit_linear(row, bucket, dense, y, weight, fold != f)
+            part = fit_linear(row, bucket, dense, target(in_folds[f]), weight, fold != f)
             out[fold == f] = linear(part, row, bucket, dense)[fold == f]
-        models.append(fit_linear(row, bucket, dense, y, weight, np.ones(n, bool)))
+        models.append(fit_linear(row, bucket, dense, target(kind), weight, everything))
         dense = np.concatenate([dense, out[:, None]], axis=1)
     return models
 
@@ -153,17 +201,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         got = got.take(pa.array(np.argsort(common.mix(got.column("id").to_numpy().astype(np.uint64)), kind="stable")))
         y = got.column("label").to_numpy().astype(float)
         buf, off = common.text_buffer(got.column("text"))
-        parts = [(r + i, c) for i, j in common.slices(off)
-                 for r, c in [features(buf[off[i]: off[j]], off[i: j + 1] - off[i])]]
-        row, bucket = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        targets = []
-        for word_list in CATEGORIES.values():
-            has = np.zeros(len(y))
-            has[row[np.isin(bucket, [word_bucket(x) for x in word_list])]] = 1
-            targets.append(has * y)
+
+        def of(affixes: tuple) -> tuple[np.ndarray, np.ndarray]:
+            parts = [(r + i, c) for i, j in common.slices(off)
+                     for r, c in [features(buf[off[i]: off[j]], off[i: j + 1] - off[i], affixes)]]
+            return np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts])
+
         have = [max(1, int((y == c).sum())) for c in (0, 1)]
         weight = np.where(y == 1, totals[1] / have[1], totals[0] / have[0])
-        model = fit_chain(row, bucket, [*targets, y], weight)
+        model = fit_chain(*of(AFFIXES), of(()), y, weight)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     ids = sample.withColumn("id", F.xxhash64(F.col("id").cast("string")))

@@ -1,5 +1,7 @@
 """Quality, toxicity and language: held-out accuracy and edge rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,14 +24,44 @@ def test_quality_on_held_out_rows(tables):
     assert quality.keep(docs, model).columns == docs.columns
 
 
-def test_toxicity_on_held_out_rows(tables):
-    docs, labels = tables
+def test_toxicity_on_held_out_rows(spark):
+    large = "/root/testdata/sf0.1"  # 97 toxic documents held out
+    docs, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~common.held_out("doc_id")))
     given = labels.select("doc_id", F.col("toxic").alias("given"))
-    out = toxicity.score(docs, model).join(given, F.col("id") == F.col("doc_id"))
+    out = toxicity.score(docs, model).join(given, F.col("id") == F.col("doc_id")).where(common.held_out("doc_id"))
     flagged = F.avg((F.col("toxic") >= toxicity.THRESHOLD).cast("int"))
-    assert out.where("given = 0").select(flagged).first()[0] < 0.05
-    assert out.where("given = 1").select(flagged).first()[0] > 0.5
+    got = {r["given"]: r[1] for r in out.groupBy("given").agg(flagged).collect()}
+    assert got[0] < 0.05 and got[1] >= 0.9
+
+
+def test_earlier_categories_are_found_in_the_labels(spark):
+    rnd = random.Random(4)
+    neutral = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9))) for _ in range(400)]
+    groups = [[f"{g}{w}" for w in ("orvax", "ilbut", "endro", "asquith", "umper")] for g in ("zq", "xv")]
+    docs, labels, group = [], [], {}
+    for i in range(1500):
+        words = [rnd.choice(neutral) for _ in range(40)]
+        g = rnd.randrange(2) if rnd.random() < 0.15 else None
+        if g is not None:
+            words += rnd.sample(groups[g], rnd.randint(2, 3))
+            group[i] = g
+        rnd.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(g is not None)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels.where(~common.held_out("doc_id"))))
+    got = out.where(common.held_out("id")).collect()
+    assert sum(r["id"] in group for r in got) > 20
+    first = next(r for r in got if r["id"] in group)
+    swap = (first["kind_1"] > first["kind_2"]) != (group[first["id"]] == 0)  # kinds have no given order
+    for r in got:
+        p = (r["kind_2"], r["kind_1"]) if swap else (r["kind_1"], r["kind_2"])
+        if r["id"] in group:
+            assert p[group[r["id"]]] > 0.5 > p[1 - group[r["id"]]] and r["toxic"] > 0.5
+        else:
+            assert max(p) < 0.2 and r["toxic"] < toxicity.THRESHOLD
 
 
 def test_language_on_held_out_rows(tables):
