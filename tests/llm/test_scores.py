@@ -56,12 +56,16 @@ def test_earlier_categories_are_found_in_the_labels(spark):
     assert sum(r["id"] in group for r in got) > 20
     first = next(r for r in got if r["id"] in group)
     swap = (first["kind_1"] > first["kind_2"]) != (group[first["id"]] == 0)  # kinds have no given order
+    hits = {0: [], 1: []}
     for r in got:
         p = (r["kind_2"], r["kind_1"]) if swap else (r["kind_1"], r["kind_2"])
         if r["id"] in group:
-            assert p[group[r["id"]]] > 0.5 > p[1 - group[r["id"]]] and r["toxic"] > 0.5
+            g = group[r["id"]]
+            hits[g].append(p[g] > 0.5)
+            assert p[1 - g] < 0.2 and r["toxic"] > 0.5
         else:
             assert max(p) < 0.2 and r["toxic"] < toxicity.THRESHOLD
+    assert all(sum(h) >= 0.9 * len(h) for h in hits.values())
 
 
 def test_language_on_held_out_rows(tables):
