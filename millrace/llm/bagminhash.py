@@ -143,6 +143,24 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 [c.slice(i, j - i).filter(pa.array(s >= threshold)) for c in (b.column("a"), b.column("b"))], names=["a", "b"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Every shingle occurrence of every text; links share one of the first ``most`` in any order."""
+    for b in batches:
+        buf, off = common.text_buffer(b.column("text"))
+        for i, j in common.slices(off):
+            row, h, c = shingles(buf[off[i]: off[j]], off[i: j + 1] - off[i])
+            owner = np.repeat(row, c)
+            with np.errstate(over="ignore"):
+                el = common.mix(np.repeat(h, c) + common.ranges(np.zeros(len(c), np.int64), c).astype(np.uint64) * common.MIX_1)
+            size = np.bincount(row, c, j - i).astype(np.int64)
+            most = size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1
+            at = pa.array(owner + i)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(at), b.column("comp").take(at), pa.array(el.view(np.int64)),
+                 pa.array(size[owner].astype(np.int32)), pa.array(most[owner].astype(np.int32))],
+                names=["id", "comp", "el", "size", "most"])
+
+
 def least_agreement(threshold: float) -> int:
     """Equal slots that two signatures of a link have, but for fewer cases than the bands miss."""
     return int(SLOTS * threshold - SLACK * (SLOTS * threshold * (1 - threshold)) ** 0.5)
@@ -179,6 +197,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         b = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
         return pairs.join(a, "a").join(b, "b").where(possible(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
 
+    def enough(x: Column, y: Column) -> Column:
+        """As many elements left as a link's overlap takes."""
+        return F.least(x["rest"], y["rest"]) * (1 + threshold) >= (x["size"] + y["size"]) * threshold - 1e-6
+
+    def elements(ids: DataFrame) -> DataFrame:
+        own = known.dropDuplicates(["id"]).join(ids.hint("merge"), "id")
+        return own.mapInArrow(lambda batches: _elements(batches, threshold), f"id {kind}, comp {kind}, el bigint, size int, most int")
+
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -189,7 +215,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # ids grow with the data: joined by a shuffle at every size
         return shared.write(known.join(ids.hint("merge"), "id").dropDuplicates(["id"]))
 
-    lab = linking.link(members, texts_of, verify, shared, likely, sigs, possible)
+    lab = linking.link(members, texts_of, verify, shared, elements, likely, enough)
     # a document with several texts joins its classes: components over (first of copies, id) too
     named = signed.join(copies, "copy").join(lab.select(F.col("id").alias("first"), "comp"), "first", "left").select(
         "id", F.coalesce("comp", "first").alias("comp"))

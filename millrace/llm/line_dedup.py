@@ -11,8 +11,9 @@ segment) of its own, and probes those buckets of the lengths down to max_edits
 less with its substrings at the possible places. The few lines that meet another
 are split further: where a segment matches, the rest is split and probed again,
 ``LEVELS / max_edits`` levels deep, so that lines which only share a half do not
-meet. Lines that still meet are verified with a bit-parallel edit distance
-inside a band of diagonals.
+meet. Of lines that still meet, those are compared that also share one of their
+rarest substrings of ``GRAM`` bytes (``linking``), with a bit-parallel edit
+distance inside a band of diagonals.
 
 Lines are known by a 128-bit hash, half of it over a prime field at a base drawn
 for the run; texts are read again only for the lines that meet. Similar lines form classes (connected lines); the first line of a class,
@@ -38,6 +39,7 @@ from millrace.llm import common, linking
 MAX_EDITS = ((16, 1), (64, 2), (128, 3))  # bytes of the shorter line from which on so many edits are allowed
 FUZZY_BYTES = 16
 LEVELS = 6
+GRAM = 4  # bytes of the substrings by which lines that still meet are told apart
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -256,12 +258,16 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, of = keys_[-1], owner[-1]
 
 
+def _raw(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.Table.from_batches([b]).column("raw").cast(pa.large_binary()).combine_chunks()
+    off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset: raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2] or b"", np.uint8), off
+
+
 def _bucket_texts(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
     """The buckets of single lines (id, raw), several levels deep."""
     for b in batches:
-        raw = pa.Table.from_batches([b]).column("raw").cast(pa.large_binary()).combine_chunks()
-        off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset: raw.offset + len(raw) + 1]
-        buf = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        buf, off = _raw(b)
         ids = b.column("id")
         for i, j in common.slices(off, common.SLICE_BYTES // 4):
             p = common.prefix_hash(buf[off[i]: off[j]])
@@ -286,6 +292,45 @@ def _pick_lines(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.Rec
                 [binary16(k), pa.array([part[start[x]: end[x]].tobytes() for x in out], pa.binary())], names=["id", "raw"])
 
 
+def grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int | tuple) -> tuple[np.ndarray, ...]:
+    """(line index, element, size, most) of the substrings of GRAM bytes of every line, the same ones numbered.
+
+    An edit touches GRAM of them at most, so two lines within k edits share all but
+    GRAM * k of either's, and one of the first GRAM * k + 1 in any order. Lines that have
+    no more of them in all hold one element more, the same for all such lines.
+    """
+    p = common.prefix_hash(raw)
+    length = end - start
+    least, _, edits = (np.array(x) for x in zip(*edit_classes(max_edits)))
+    allowed = edits[np.maximum(np.searchsorted(least, length, side="right") - 1, 0)]
+    n = np.maximum(length - GRAM + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = common.ranges(start, n)
+    h = common.span_hash(p, at, at + GRAM)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))[: len(h)]
+    run = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    with np.errstate(over="ignore"):
+        el = common.mix(h + run.astype(np.uint64) * common.MIX_1)
+    few = np.flatnonzero(n <= GRAM * allowed)
+    owner, el = np.append(owner, few), np.append(el, np.zeros(len(few), np.uint64))
+    size = n + (n <= GRAM * allowed)
+    return owner, el, size[owner], np.minimum(GRAM * allowed + 1, size)[owner]
+
+
+def _grams(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        buf, off = _raw(b)
+        for i, j in common.slices(off, common.SLICE_BYTES // 4):
+            own = off[i: j + 1] - off[i]
+            owner, el, size, most = grams(buf[off[i]: off[j]], own[:-1], own[1:], max_edits)
+            at = pa.array(owner + i)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(at), b.column("comp").take(at), pa.array(el.view(np.int64)),
+                 pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32))], names=["id", "comp", "el", "size", "most"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
     least, _, edits = zip(*edit_classes(max_edits))
     for b in batches:
@@ -322,7 +367,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
         return pairs.join(a, "a").join(b, "b").select("a", "b", "raw_a", "raw_b").mapInArrow(
             lambda x: _verify(x, max_edits), "a binary, b binary")
 
-    lab = linking.link(fine, lambda ids: texts, verify, shared)
+    def elements(ids: DataFrame) -> DataFrame:
+        return texts.join(ids.hint("merge"), "id").mapInArrow(
+            lambda x: _grams(x, max_edits), "id binary, comp binary, el bigint, size int, most int")
+
+    lab = linking.link(fine, lambda ids: texts, verify, shared, elements)
     # classes of several lines: those that occur again, and those linked to others
     classed = firsts.join(lab.withColumnRenamed("id", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     heads = classed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")

@@ -4,11 +4,12 @@ Members of a bucket are candidates for each other. The members of one class
 need not be compared with one another, so links are found in rounds: every
 member is compared with one pivot of its bucket (first the member that shares
 most buckets, then others by hash), verified links are merged into components,
-and buckets whose members are all in one component are done. What is left after
-the rounds is compared in full: in each open bucket, members outside its
-largest component with all members of other components. So no link between two
-members of different classes is missed, and a large group of copies costs a
-few comparisons per member.
+and buckets whose members are all in one component are done. Buckets that the
+rounds leave open are refined by a prefix filter: two members are compared if
+they also share one of the rarest elements of each, so many of them that two
+links must share one. So no link between two members of different classes is
+missed, a large group of copies costs a few comparisons per member, and things
+of one pattern that are no links do not form pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from millrace.llm.common import Shared
 
 PIVOT_ROUNDS = 4
 POOR = 2  # pairs per link from which on pivots are given up
-FEW = 4  # pairs per member up to which open buckets are compared in full at once,
+FEW = 4  # pairs per member up to which open buckets are refined at once,
 MANY = 100  # and after the first pivots
 
 
@@ -63,15 +64,19 @@ def open_buckets(members: DataFrame, shared: Shared) -> DataFrame:
 
 def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
          verify: Callable[[DataFrame, DataFrame], DataFrame], shared: Shared,
+         elements: Callable[[DataFrame], DataFrame],
          likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
-         beside: DataFrame | None = None, likely_pair: Callable[[Column, Column], Column] | None = None,
+         enough: Callable[[Column, Column], Column] | None = None,
          rounds: int = PIVOT_ROUNDS, few: int = FEW) -> DataFrame:
     """(id, comp) of every id that shares a bucket with another.
 
     members: (key, id), repeats allowed. things: ids in open buckets -> what
     verify needs of them, taken once. verify: pairs (a, b) -> those that are
-    links. likely: a cheap filter of pairs that keeps links. beside (id, sig)
-    and likely_pair(sig_a, sig_b) do the same inside the last, full join.
+    links. elements: (id, comp) -> (id, comp, el, size, most), a row for each of
+    the ``size`` elements of a thing, no two alike; of any order of elements, the
+    first ``most`` of two links have one in common. likely: a cheap filter of
+    pairs that keeps links. enough: of two things' (size, rest), where rest
+    elements are left from their first common one on, whether they can be links.
     """
     found = open_buckets(members, shared)
     lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
@@ -90,7 +95,7 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
             break
         last = r >= rounds or pairs <= (few if r == 0 else MANY) * n
         if last:
-            found_pairs = _all_pairs(here, beside, likely_pair)
+            found_pairs = likely(_refined_pairs(here, elements, shared, enough))
         else:
             found_pairs = likely(_pivot_pairs(here, r))
         found_pairs = shared.write(found_pairs)
@@ -118,19 +123,31 @@ def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
 
 
-def _all_pairs(here: DataFrame, beside: DataFrame | None, likely_pair: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """Members outside their bucket's largest component beside all members of other components.
+def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame], DataFrame], shared: Shared,
+                   enough: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Pairs of different components that share a bucket and an element of their prefixes.
 
-    A pair that shares several buckets is taken in the first of them only.
+    Elements are ordered by the number of things that hold them, those that
+    only one component holds before all others, so a prefix is made of what is
+    rare and things that merely follow one pattern do not meet. A pair is taken
+    at its first common element only. Elements of one component take part as a
+    number: they have places in a prefix, but no rows.
     """
-    keys = here.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # a thing's own buckets
-    here = here.join(keys, "id")
-    if beside is not None:
-        here = here.join(beside, "id")
-    x, y = here.where("comp <> top").alias("x"), here.alias("y")
-    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-          & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
-          & (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")))
-    if likely_pair is not None:
-        on = on & likely_pair(F.col("x.sig"), F.col("y.sig"))
-    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    own = shared.write(here.groupBy("id", "comp").agg(F.array_sort(F.collect_set("key")).alias("keys")))  # a thing's own buckets
+    els = shared.write(elements(own.select("id", "comp")))
+    live = (els.groupBy("el").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("lo <> hi").select("el", "n"))
+    listed = els.join(live, "el").groupBy("id", "size", "most").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("n", "el"))), lambda s: s["el"]).alias("live"))  # a thing's own elements
+    skip = F.col("size") - F.size("live")
+    listed = (listed.withColumn("prefix", F.slice("live", 1, F.greatest(F.col("most") - skip, F.lit(0))))
+              .join(own, "id").select("id", "comp", "keys", "size", "prefix", skip.alias("skip"), F.posexplode("prefix").alias("i", "el"))
+              .withColumn("left", F.struct("size", (F.col("size") - F.col("skip") - F.col("i")).alias("rest"))))
+    listed = shared.write(listed.select("id", "comp", "keys", "prefix", "left", "el"))
+    x, y = listed.alias("x"), listed.alias("y")
+    on = (F.col("x.el") == F.col("y.el")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id"))
+    if enough is not None:
+        on = on & enough(F.col("x.left"), F.col("y.left"))
+    on = (on & F.arrays_overlap("x.keys", "y.keys")
+          & (F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.el")))
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
