@@ -23,7 +23,9 @@ and its common prefixes give, for every distance d of a window's start from the
 anchor, the classes of equal last length - d bytes; windows that also agree in
 the d bytes before the anchor are equal, and all but the first are removed.
 Anchors that occur more than ``HOT`` times with different surroundings are
-exchanged as single windows, so no range holds all of them.
+exchanged as single windows. Of equal windows or chunks in a sorted run only the
+first is exchanged; the others are known as repeated there, so a range holds a
+frequent window once a run, not once an occurrence.
 
 Rows: a null text is empty; texts shorter than ``length`` lose nothing; repeated
 rows of an id are one document (equal positions are not earlier than each
@@ -39,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,16 +213,32 @@ def _sorted_run(b: pa.RecordBatch, length: int, ranges: int, id_kind: pa.DataTyp
     entries.sort()
     blocks: dict[int, dict[str, list]] = {}
     last: dict[int, tuple] = {}
+    again: list[tuple] = []  # equal strings of this run but the first: known as repeated without a merge
     for e in entries:
         z = ((e[0] + (1 << 63)) * ranges) >> 64
         block = blocks.setdefault(z, {k: [] for k in BLOCK})
         prev = last.get(z)
         shared = common_prefix(prev[2], e[2]) if prev is not None and prev[:2] == e[:2] else 0
-        if prev is not None and e[1] == CHUNK and prev[:2] == e[:2] and prev[2] == e[2] and prev[4:6] == e[4:6]:
-            continue  # a repeated row
+        if prev is not None and e[1] == CHUNK and prev[:3] == e[:3]:
+            if prev[4:6] != e[4:6]:  # not a repeated row
+                again.append(e[4:])
+            continue
         last[z] = e
         for k, v in zip(BLOCK, (e[0], e[1], shared, e[2][shared:], *e[3:])):
             block[k].append(v)
+    if again:
+        again.sort()
+        spans = [list(again[0])]
+        for i, a, m in again[1:]:
+            if i == spans[-1][0] and a <= spans[-1][1] + spans[-1][2]:
+                spans[-1][2] = max(spans[-1][2], a + m - spans[-1][1])
+            else:
+                spans.append([i, a, m])
+        # below zero: ranges of known spans, dealt by the run's first entry
+        z = -1 - (((entries[0][0] + (1 << 63)) * 31 + len(entries)) % ranges)
+        empty = [b""] * len(spans)
+        blocks[z] = {"h": [0] * len(spans), "kind": [KNOWN] * len(spans), "shared": [0] * len(spans), "rest": empty,
+                     "before": empty, **{k: list(v) for k, v in zip(("id", "start", "n"), zip(*spans))}}
     if blocks:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(blocks), pa.int32()),
@@ -310,7 +329,9 @@ class LoserTree:
 
 
 def _merge(table: pa.Table, length: int, id_kind: pa.DataType) -> pa.Table:
-    """(id, start, n): repeated windows of one range."""
+    """(id, start, n): repeated windows of one range; those of a range below zero are known."""
+    if table.num_rows and table.column("range")[0].as_py() < 0:
+        return pa.table({k: pc.list_flatten(table.column(k)) for k in ("id", "start", "n")})
     blocks = {k: table.column(k).to_pylist() for k in BLOCK}
     lists = [(list(zip(h, kind)), shared, rest) for h, kind, shared, rest in
              zip(blocks["h"], blocks["kind"], blocks["shared"], blocks["rest"])]
