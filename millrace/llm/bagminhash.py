@@ -201,9 +201,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """As many elements left as a link's overlap takes."""
         return F.least(x["rest"], y["rest"]) * (1 + threshold) >= (x["size"] + y["size"]) * threshold - 1e-6
 
-    def elements(ids: DataFrame) -> DataFrame:
-        own = known.dropDuplicates(["id"]).join(ids.hint("merge"), "id")
-        return own.mapInArrow(lambda batches: _elements(batches, threshold), f"id {kind}, comp {kind}, el bigint, size int, most int")
+    def elements(texts: DataFrame, ids: DataFrame) -> DataFrame:
+        return texts.join(ids.hint("merge"), "id").mapInArrow(
+            lambda batches: _elements(batches, threshold), f"id {kind}, comp {kind}, el bigint, size int, most int")
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))

@@ -218,6 +218,14 @@ def start(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer if the table has such a column (in any case of letters)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 class Shared:
     """Tables of one run in the shared checkpoint folder (cut lineage, survive lost executors)."""
 

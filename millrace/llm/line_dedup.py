@@ -367,7 +367,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
         return pairs.join(a, "a").join(b, "b").select("a", "b", "raw_a", "raw_b").mapInArrow(
             lambda x: _verify(x, max_edits), "a binary, b binary")
 
-    def elements(ids: DataFrame) -> DataFrame:
+    def elements(texts: DataFrame, ids: DataFrame) -> DataFrame:
         return texts.join(ids.hint("merge"), "id").mapInArrow(
             lambda x: _grams(x, max_edits), "id binary, comp binary, el bigint, size int, most int")
 
@@ -389,12 +389,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     A document that had lines and keeps none, blank ones aside, is removed.
     """
     gone, counts = find(docs, id_col, text_col, max_edits, fuzzy_bytes)
-    gone = gone.groupBy("id").agg(F.collect_set("line").alias("_gone_lines"))
-    gone = (gone.join(counts, "id").withColumn("_gone_all", F.size("_gone_lines") >= F.col("lines"))
-            .select(F.col("id").alias("_gone_id"), "_gone_lines", "_gone_all"))
+    gone_id, gone_lines, gone_all = (common.unused(docs, c) for c in ("_gone_id", "_gone_lines", "_gone_all"))
+    gone = gone.groupBy("id").agg(F.collect_set("line").alias(gone_lines))
+    gone = (gone.join(counts, "id").withColumn(gone_all, F.size(gone_lines) >= F.col("lines"))
+            .select(F.col("id").alias(gone_id), gone_lines, gone_all))
     kept = F.array_join(F.transform(
         F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                 lambda s: ~F.array_contains("_gone_lines", s["i"])), lambda s: s["x"]), "\n")
-    joined = docs.join(gone, docs[id_col] == gone["_gone_id"], "left").where(~F.coalesce("_gone_all", F.lit(False)))
-    text = F.when(F.col("_gone_id").isNull(), F.col(text_col)).otherwise(kept)
+                 lambda s: ~F.array_contains(gone_lines, s["i"])), lambda s: s["x"]), "\n")
+    joined = docs.join(gone, docs[id_col] == gone[gone_id], "left").where(~F.coalesce(gone_all, F.lit(False)))
+    text = F.when(F.col(gone_id).isNull(), F.col(text_col)).otherwise(kept)
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))

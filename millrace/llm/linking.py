@@ -64,20 +64,21 @@ def open_buckets(members: DataFrame, shared: Shared) -> DataFrame:
 
 def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
          verify: Callable[[DataFrame, DataFrame], DataFrame], shared: Shared,
-         elements: Callable[[DataFrame], DataFrame],
+         elements: Callable[[DataFrame, DataFrame], DataFrame],
          likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
          enough: Callable[[Column, Column], Column] | None = None,
-         rounds: int = PIVOT_ROUNDS, few: int = FEW) -> DataFrame:
+         rounds: int = PIVOT_ROUNDS, few: int | None = None) -> DataFrame:
     """(id, comp) of every id that shares a bucket with another.
 
     members: (key, id), repeats allowed. things: ids in open buckets -> what
     verify needs of them, taken once. verify: pairs (a, b) -> those that are
-    links. elements: (id, comp) -> (id, comp, el, size, most), a row for each of
+    links. elements: what things gave, (id, comp) -> (id, comp, el, size, most), a row for each of
     the ``size`` elements of a thing, no two alike; of any order of elements, the
     first ``most`` of two links have one in common. likely: a cheap filter of
     pairs that keeps links. enough: of two things' (size, rest), where rest
     elements are left from their first common one on, whether they can be links.
     """
+    few = FEW if few is None else few
     found = open_buckets(members, shared)
     lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
     known = things(lab.select("id"))
@@ -95,7 +96,7 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
             break
         last = r >= rounds or pairs <= (few if r == 0 else MANY) * n
         if last:
-            found_pairs = likely(_refined_pairs(here, elements, shared, enough))
+            found_pairs = likely(_refined_pairs(here, elements, known, shared, enough))
         else:
             found_pairs = likely(_pivot_pairs(here, r))
         found_pairs = shared.write(found_pairs)
@@ -123,7 +124,7 @@ def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
 
 
-def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame], DataFrame], shared: Shared,
+def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame, DataFrame], DataFrame], known: DataFrame, shared: Shared,
                    enough: Callable[[Column, Column], Column] | None) -> DataFrame:
     """Pairs of different components that share a bucket and an element of their prefixes.
 
@@ -134,7 +135,7 @@ def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame], DataFrame],
     number: they have places in a prefix, but no rows.
     """
     own = shared.write(here.groupBy("id", "comp").agg(F.array_sort(F.collect_set("key")).alias("keys")))  # a thing's own buckets
-    els = shared.write(elements(own.select("id", "comp")))
+    els = shared.write(elements(known, own.select("id", "comp")))
     live = (els.groupBy("el").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("lo <> hi").select("el", "n"))
     listed = els.join(live, "el").groupBy("id", "size", "most").agg(

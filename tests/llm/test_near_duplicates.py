@@ -88,6 +88,46 @@ def test_signature_filter_loses_no_more_than_the_bands():
         assert filtered <= (1 - similarity**bm.ROWS) ** bm.BANDS
 
 
+@pytest.fixture()
+def refined(monkeypatch):
+    """Numbers of pairs that open buckets give."""
+    seen, real = [], linking._refined_pairs
+
+    def counted(*args):
+        pairs = real(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(linking, "_refined_pairs", counted)
+    monkeypatch.setattr(linking, "FEW", 10**6)  # no pivots before
+    return seen
+
+
+def test_documents_of_one_pattern_form_no_pairs(spark, refined):
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    docs = {}
+    for i in range(150):
+        at = rnd.randrange(250)  # 40 words in a row are its own: similarity about 0.55
+        docs[i] = " ".join(base[:at] + [f"e{i}x{k}" for k in range(40)] + base[at + 40:])
+    docs[200] = docs[7].replace("w299", "other")
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["id"]: r["class_id"] for r in bm.classes(df).collect()} == classes(docs)
+    assert len(refined) == 1 and refined[0] < len(docs)
+
+
+def test_lines_with_a_serial_number_form_few_pairs(spark, refined):
+    rnd = random.Random(6)
+    head, tail = ("".join(rnd.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    docs = {i: f"{head}{rnd.randrange(10**12):012d}{tail}x" for i in range(150)}
+    docs[200] = docs[9].replace("x", "y")
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    gone, _ = line_dedup.find(df)
+    assert [(r["id"], r["first_id"]) for r in gone.collect()] == [(200, 9)]
+    # lines that share four digits of their numbers by chance still meet
+    assert len(refined) == 1 and 0 < refined[0] < len(docs) ** 2 / 40
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     got = {}
     for r in bm.classes(edge_docs).collect():
@@ -158,6 +198,25 @@ def test_banded_distance_and_complete_buckets():
         assert found[0] & found[1], (a, b, k)
 
 
+def test_lines_within_the_edits_share_a_first_gram():
+    rnd = random.Random(8)
+    for _ in range(1500):
+        k = rnd.randint(1, 3)
+        a = bytes(rnd.choice(b"abc") for _ in range(rnd.randint(k + 1, 30)))
+        b = edited(rnd, a, k, b"abc")
+        if len(b) <= k:
+            continue
+        owner, el, size, most = line_dedup.grams(np.frombuffer(a + b, np.uint8), np.array([0, len(a)]),
+                                                 np.array([len(a), len(a) + len(b)]), k)
+        order = np.argsort(common.mix(el ^ np.uint64(rnd.getrandbits(64))), kind="stable")  # any order of elements
+        first = []
+        for x in (0, 1):
+            own = order[owner[order] == x]
+            assert len(own) == len(set(el[own].tolist())) == size[own[0]]
+            first.append(set(el[own[: most[own[0]]]].tolist()))
+        assert first[0] & first[1], (a, b, k)
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_removed_lines_equal_pairwise_comparison(spark, edits):
     rnd = random.Random(edits)
@@ -243,3 +302,8 @@ def test_line_edges(edge_docs, no_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [0, 1, 2, 3, 4, 5, 6, 6, 8, 9, None]))
     assert line_dedup.remove(no_docs).count() == 0
     assert line_dedup.remove(edge_docs.where(F.col("text").isNull())).first()["text"] is None
+    named = edge_docs.withColumn("_gone_lines", F.lit("x")).withColumn("_GONE_ID", F.lit("y")).withColumn("_gone_all", F.lit("z"))
+    again = line_dedup.remove(named)
+    assert again.columns == named.columns
+    assert sorted(map(str, again.drop("_gone_lines", "_GONE_ID", "_gone_all").collect())) == sorted(map(str, kept.collect()))
+    assert {tuple(r) for r in again.select("_gone_lines", "_GONE_ID", "_gone_all").collect()} == {("x", "y", "z")}
