@@ -62,6 +62,11 @@ def open_buckets(members: DataFrame, shared: Shared) -> DataFrame:
     return shared.write(members.join(wide, "key").distinct())
 
 
+def _by_id(members: DataFrame) -> DataFrame:
+    """(id, keys): a thing's own buckets, no more than it has bands or segments; joins by id take one row a thing."""
+    return members.groupBy("id").agg(F.collect_list("key").alias("keys"))
+
+
 def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
          verify: Callable[[DataFrame, DataFrame], DataFrame], shared: Shared,
          elements: Callable[[DataFrame, DataFrame], DataFrame],
@@ -79,13 +84,13 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
     elements are left from their first common one on, whether they can be links.
     """
     few = FEW if few is None else few
-    found = open_buckets(members, shared)
-    lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
+    found = shared.write(_by_id(open_buckets(members, shared)))
+    lab = shared.write(found.select("id", F.col("id").alias("comp")))
     known = things(lab.select("id"))
     r = -1
     while True:
         r += 1
-        here = found.join(lab, "id")
+        here = found.join(lab, "id").select("id", "comp", F.explode("keys").alias("key"))
         sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
         state = sizes.groupBy("key").agg(
             F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("top"),
@@ -107,7 +112,7 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
         if links.count() * POOR < found_pairs.count():
             rounds = r + 1  # pivots have found what they can
         shared.drop(found)
-        found = shared.write(here.select("key", "id"))
+        found = shared.write(_by_id(here))
         shared.drop(here, links)
     return lab
 
@@ -115,8 +120,9 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
 def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
     """Every member of an open bucket beside the bucket's pivot, unless they are in one component."""
     if r == 0:
-        shares = here.groupBy("id").agg(F.sum("n").alias("shares"))
-        here, order = here.join(shares, "id"), F.struct("shares", F.xxhash64("id"))
+        here = (here.groupBy("id", "comp").agg(F.sum("n").alias("shares"), F.collect_list("key").alias("keys"))
+                .select("id", "comp", "shares", F.explode("keys").alias("key")))
+        order = F.struct("shares", F.xxhash64("id"))
     else:
         order = F.struct(F.xxhash64("key", "id", F.lit(r)))
     pivot = here.groupBy("key").agg(F.max_by(F.struct("id", "comp"), order).alias("p"))
