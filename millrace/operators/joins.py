@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import hash_unit
 from millrace.schemas import FOREIGN_KEYS
+from millrace.session import store
+
+FEW_KEYS = {"dim_factory", "dim_production_line"}  # derived tables whose keys each stand in a large share of the facts
 
 
 def foreign_keys_of(table: str) -> list[tuple[str, str, str]]:
@@ -26,11 +29,15 @@ def star_join(table: str, load: Callable[[str], DataFrame], keys: list[tuple[str
     """LEFT-join a table to every parent named by its foreign keys (or by ``keys``).
 
     Parent attributes come out as ``<fk column>__<parent column>``. Duplicate
-    parent keys fan out exactly like the SQL LEFT JOIN would.
+    parent keys fan out exactly like the SQL LEFT JOIN would. Parents of few keys
+    (``FEW_KEYS``) are stored first, so the planner knows their size; without it
+    every row of the table is dealt by a key of a handful of values.
     """
     out = load(table)
     for col, parent, pcol in keys or foreign_keys_of(table):
         p = load(parent)
+        if parent in FEW_KEYS:
+            p = store(p, parent)
         attrs = [c for c in p.columns if c != pcol]
         p = p.select(F.col(pcol).alias(f"_{col}_key"), *[F.col(a).alias(f"{col}__{a}") for a in attrs])
         out = out.join(p, out[col] == p[f"_{col}_key"], "left").drop(f"_{col}_key")

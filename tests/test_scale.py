@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
-from millrace.operators import gold
+from millrace.operators import gold, joins
 from millrace.schemas import SCHEMAS
 
 DAY = dt.date(1999, 1, 5)
@@ -48,3 +48,15 @@ def test_oee_daily_makes_the_rows_of_one_day_in_several_tasks(spark, fixed_plans
         assert out.where(F.col("Date") == DAY).select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# ------------------------------------------------- few keys: factory, factory-day
+
+
+def test_star_join_does_not_deal_the_facts_by_factory(spark, fixed_plans):
+    tables = {"fact_erp_production": production(spark),
+              "dim_factory": spark.createDataFrame([("Plant 0", "a", "x"), ("Plant 0", "b", "y"), ("Plant 9", "c", "z")], SCHEMAS["dim_factory"])}
+    out = joins.star_join("fact_erp_production", tables.get, [("__factory", "dim_factory", "Factory")])
+    assert "SortMergeJoin" not in plan(out) and "Exchange hashpartitioning" not in plan(out)
+    got = rows(out, "Production_Order", "__factory__Type", "__factory__Location")
+    assert got == sorted([(f"O{i}", *t) for i in range(8) for t in ([("a", "x"), ("b", "y")] if i % 3 else [(None, None)])], key=repr)
