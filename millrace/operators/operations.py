@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import half_up, safe_div
+from millrace.session import store
 
 # Tariff and emission factor per kWh.
 COST_PER_KWH = 0.15
@@ -117,13 +118,16 @@ def expected_output(prod: DataFrame, fact_maintenance: DataFrame, dim_machine: D
     """int(planned x yield x uptime), night shift x0.9 truncated again.
 
     Uptime of the order's factory on its start day is looked up directly:
-    production rows join the (small) failed-machine counts per factory-day and
-    machine totals per factory -- no second pass over production.
+    production rows join the failed-machine counts per factory-day and machine
+    totals per factory -- no second pass over production. Both tables are stored
+    first, so the planner knows their size: orders of a few factories are not
+    dealt by factory while the tables are small.
     """
     total = dim_machine.groupBy(F.col("Factory").alias("_tf")).agg(F.count(F.lit(1)).alias("_tot"))
     failed = (failed_machines(fact_maintenance, dim_machine)
               .groupBy(F.col("Factory").alias("_ff"), F.col("Date").alias("_fd"))
               .agg(F.count(F.lit(1)).alias("_failed")))
+    total, failed = store(total, "machine-totals"), store(failed, "failed-machines")
     j = (prod.join(total, prod["__factory"] == total["_tf"], "left")
              .join(failed, (prod["__factory"] == failed["_ff"])
                    & (F.to_date(prod["Start_Time"]) == failed["_fd"]), "left"))
@@ -138,9 +142,11 @@ def expected_output(prod: DataFrame, fact_maintenance: DataFrame, dim_machine: D
 def expected_scrap(prod: DataFrame, employees: DataFrame, failed_days: DataFrame,
                    base_rate: float = 0.03) -> DataFrame:
     """Scrap rate x1.2 for role 'Operator', x1.5 when the factory had a failure
-    that day; scrap = int(produced x rate) (X4)."""
+    that day; scrap = int(produced x rate) (X4). The failed days are stored
+    first, for their size (see ``expected_output``)."""
     ops = employees.select(F.col("Employee").alias("_op"), F.col("Role").alias("Operator_Role"))
     fd = failed_days.select(F.col("Factory").alias("_ff"), F.col("Date").alias("_fd")).distinct()
+    fd = store(fd, "failed-days")
     j = (prod.join(ops, prod["Operator"] == ops["_op"], "left")
              .join(fd, (prod["__factory"] == fd["_ff"]) & (F.to_date(prod["Start_Time"]) == fd["_fd"]), "left"))
     rate = (F.lit(base_rate)

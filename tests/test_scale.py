@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from millrace.operators import gold, joins
+from millrace.operators import operations as O
 from millrace.schemas import SCHEMAS
 
 DAY = dt.date(1999, 1, 5)
@@ -60,3 +61,17 @@ def test_star_join_does_not_deal_the_facts_by_factory(spark, fixed_plans):
     assert "SortMergeJoin" not in plan(out) and "Exchange hashpartitioning" not in plan(out)
     got = rows(out, "Production_Order", "__factory__Type", "__factory__Location")
     assert got == sorted([(f"O{i}", *t) for i in range(8) for t in ([("a", "x"), ("b", "y")] if i % 3 else [(None, None)])], key=repr)
+
+
+def test_expected_output_and_scrap_do_not_deal_the_orders_by_factory(spark, fixed_plans):
+    log = spark.createDataFrame([(DAY, "M0"), (DAY, "M0"), (None, "M1")], "Date date, Machine string")
+    machines = spark.createDataFrame([("M0", "Plant 0"), ("M1", "Plant 0"), ("M2", None)], "Machine string, Factory string")
+    out = O.expected_output(production(spark), log, machines)
+    assert "SortMergeJoin" not in plan(out) and "Exchange hashpartitioning" not in plan(out)
+    got = {r["Production_Order"]: (r["Uptime_Factor"], r["Expected_Output"]) for r in out.collect()}
+    assert got["O2"] == (0.5, 9) and got["O1"] == (1.0, 8) and got["O3"] == (1.0, 25) and len(got) == 8
+    staff = spark.createDataFrame([("e", "Operator")], "Employee string, Role string")
+    scrap = O.expected_scrap(production(spark), staff, O.failed_machines(log, machines))
+    assert "_ff" not in "".join(line for line in plan(scrap).splitlines() if "SortMergeJoin" in line)
+    rates = {r["Production_Order"]: round(r["Scrap_Rate"], 3) for r in scrap.collect()}
+    assert rates["O2"] == 0.054 and rates["O1"] == 0.036 and len(rates) == 8
