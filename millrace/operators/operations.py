@@ -410,8 +410,11 @@ def bom_explosion(produced: DataFrame, bom: DataFrame) -> DataFrame:
     """Part demand = produced units x BOM quantity, summed per part and day.
 
     ``produced``: (Product, Date, Units); ``bom``: (Product, bom map<part, qty>).
+    The joined rows are dealt by part and day before they are summed: a sum on
+    each side of the shuffle would hold the groups of all rows of a join task,
+    beside what the join itself holds, and few of them meet there.
     """
     b = bom.select("Product", F.explode("bom").alias("Part", "Qty_Per_Unit"))
-    j = produced.join(b, "Product", "inner")
-    return (j.groupBy("Part", "Date")
+    j = produced.join(b, "Product", "inner").select("Part", "Date", "Units", "Qty_Per_Unit")
+    return (j.repartition("Part", "Date").groupBy("Part", "Date")
              .agg(F.sum(F.col("Units").cast("long") * F.col("Qty_Per_Unit")).alias("Part_Demand")))

@@ -75,3 +75,16 @@ def test_expected_output_and_scrap_do_not_deal_the_orders_by_factory(spark, fixe
     assert "_ff" not in "".join(line for line in plan(scrap).splitlines() if "SortMergeJoin" in line)
     rates = {r["Production_Order"]: round(r["Scrap_Rate"], 3) for r in scrap.collect()}
     assert rates["O2"] == 0.054 and rates["O1"] == 0.036 and len(rates) == 8
+
+
+# ------------------------------------------------------------ bom_part_demand
+
+
+def test_part_demand_is_summed_after_the_rows_are_dealt(spark, fixed_plans):
+    produced = spark.createDataFrame([("A", DAY, 2), ("B", DAY, 3), ("B", DAY, None), ("C", DAY, 5), (None, DAY, 7)], "Product string, Date date, Units long")
+    bom = spark.createDataFrame([("A", {"x": 2, "y": 1}), ("B", {"x": 10}), (None, {"x": 1})], "Product string, bom map<string,bigint>")
+    out = O.bom_explosion(produced, bom)
+    assert rows(out) == [("x", DAY, 34), ("y", DAY, 2)]
+    lines = plan(out).splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "hashpartitioning(Part" in line)
+    assert not any("HashAggregate" in line for line in lines[dealt:])
