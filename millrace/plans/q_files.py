@@ -21,6 +21,7 @@ from millrace.session import checkpoint_dir
 from millrace.sources import files as S
 
 _COLUMNS = ["Timestamp", "Factory", "Machine", "Temperature", "Vibration", "RPM", "Running Status", "Error Code"]
+_CSV = {"header": True, "compression": "gzip"}  # the sources read it as they read plain text
 
 
 def _folder(m) -> str:
@@ -35,7 +36,7 @@ def _sensor_csv(m, folder: str) -> str:
     named = {"Timestamp": F.col("Timestamp").cast("string"), "Temperature": text,
              "Running Status": F.col("Running_Status"), "Error Code": F.col("Error_Code")}
     path = f"{folder}/fact_sensor.csv"
-    s.select(*[named.get(c, F.col(c)).alias(c) for c in _COLUMNS]).write.option("header", True).csv(path)
+    s.select(*[named.get(c, F.col(c)).alias(c) for c in _COLUMNS]).write.options(**_CSV).csv(path)
     return path
 
 
@@ -79,7 +80,7 @@ def _bulk(m):
     for name, table in FILE_ROUTES.items():
         if table != "fact_sensor":
             df = load(table)
-            df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.option("header", True).csv(f"{folder}/{name}")
+            df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.options(**_CSV).csv(f"{folder}/{name}")
     S.bulk_load(m.spark, folder, f"{folder}/bronze")
     out: DataFrame | None = None
     for table in _ROUTED:

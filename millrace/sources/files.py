@@ -18,7 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,23 +141,20 @@ def bulk_load(spark: SparkSession, folder: str, target: str, at_once: int = 4) -
     """Load every routed CSV into ``target/<table>`` as parquet (S4 + S7).
 
     Each table is a full refresh (overwrite). Lines that do not parse are
-    skipped and go, with the reason, to ``target/_quarantine/<table>``; the
-    file is read once. ``at_once`` tables are loaded side by side. Returns
-    table -> rows loaded.
+    skipped and go, with the reason, to ``target/_quarantine/<table>``. They are
+    counted while the good lines are written, and a file that has some is read a
+    second time for them; nothing is staged. ``at_once`` tables are loaded side
+    by side. Returns table -> rows loaded.
     """
     base = target.rstrip("/")
 
     def load(route: tuple[str, str]) -> tuple[str, int]:
         path, table = route
-        staged = f"{base}/_staging/{table}"
-        replace_table(csv_scan_flagged(spark, path, table), staged)
-        flagged = spark.read.parquet(staged)
-        good = flagged.where("not _bad").drop("_bad", "_reason", "_line")
+        flagged, seen = csv_scan_flagged(spark, path, table), Observation()
+        good = flagged.observe(seen, F.count_if("_bad").alias("bad")).where("not _bad").drop("_bad", "_reason", "_line")
         replace_table(good, f"{base}/{table}")
-        replace_table(flagged.where("_bad").select(F.col("_line").alias("line"), F.col("_reason").alias("reason")),
-                      f"{base}/_quarantine/{table}")
-        fs, p = _fs(spark, staged)
-        fs.delete(p, True)
+        bad = flagged.where("_bad" if seen.get["bad"] else "false")
+        replace_table(bad.select(F.col("_line").alias("line"), F.col("_reason").alias("reason")), f"{base}/_quarantine/{table}")
         return table, spark.read.parquet(f"{base}/{table}").count()
 
     with ThreadPoolExecutor(at_once) as pool:

@@ -1,6 +1,7 @@
 """Plans and layouts that keep the largest task and the bytes written small; the rows stay those of the plain form."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,10 @@ from pyspark.sql import functions as F
 from helpers import rows
 from millrace.operators import gold, joins
 from millrace.operators import operations as O
+from millrace.plans import q_files
+from millrace.plans.registry import medallion
 from millrace.schemas import SCHEMAS
+from millrace.sources import files as S
 
 DAY = dt.date(1999, 1, 5)
 
@@ -88,3 +92,27 @@ def test_part_demand_is_summed_after_the_rows_are_dealt(spark, fixed_plans):
     lines = plan(out).splitlines()
     dealt = next(i for i, line in enumerate(lines) if "hashpartitioning(Part" in line)
     assert not any("HashAggregate" in line for line in lines[dealt:])
+
+
+# --------------------------------------------------------------- csv_bulk_load
+
+
+def test_bulk_load_writes_good_lines_once_and_bad_lines_to_quarantine(spark, tmp):
+    with open(f"{tmp}/dim_supplier.csv", "w") as f:
+        f.write("Supplier,Delivery Time,Quality Score\na,3,1.5\nb,x,2.5\nc,,\n")
+    with open(f"{tmp}/dim_customer.csv", "w") as f:
+        f.write("Customer,Type\nk,retail\n")
+    assert S.bulk_load(spark, tmp, f"{tmp}/out") == {"dim_supplier": 2, "dim_customer": 1}
+    assert rows(spark.read.parquet(f"{tmp}/out/dim_supplier")) == [("a", 3, 1.5), ("c", None, None)]
+    assert rows(spark.read.parquet(f"{tmp}/out/_quarantine/dim_supplier")) == [("b,x,2.5", "bad Delivery_Time")]
+    empty = spark.read.parquet(f"{tmp}/out/_quarantine/dim_customer")
+    assert empty.columns == ["line", "reason"] and empty.count() == 0
+    assert S.list_names(spark, f"{tmp}/out") == ["_quarantine", "dim_customer", "dim_supplier"]
+
+
+def test_the_feed_is_written_packed_and_read_whole(spark, tmp, smoke_dir):
+    m = medallion(spark, smoke_dir)
+    path = q_files._sensor_csv(m, tmp)
+    parts = [n for n in os.listdir(path) if n.startswith("part-")]
+    assert parts and all(n.endswith(".csv.gz") for n in parts)
+    assert S.csv_scan_flagged(spark, path, "fact_sensor").count() == m.bronze.fact_sensor.count()
