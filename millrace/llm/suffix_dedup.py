@@ -8,8 +8,8 @@ of its ``GRAM``-byte strings is the window's anchor: equal windows have equal
 anchors at equal places. Neighbouring windows with one anchor form a run, and
 runs between sparse anchors a chunk. Only runs and chunks whose fingerprint
 occurs twice can hold a repeated window; their fingerprints are counted and the
-rest, most of the text, takes no part. What is equal inside one Arrow batch is
-settled there, and only its first copy goes on.
+rest, most of the text, takes no part. What is equal inside 8 MB of an Arrow batch
+is settled there, and only its first copy goes on.
 
 *Sorting.* Each task sorts the strings of its chunks, and for runs the suffixes
 that start at the anchors, and cuts the sorted run at fixed ranges of the
@@ -117,47 +117,53 @@ def _order(ids: pa.Array) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(id, kind, start, n, d, h): runs (anchor d bytes on) and chunks, equal ones of the batch once; windows known to be repeated."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        buf, off = common.text_buffer(b.column("text"))
-        parts = []
-        for i, j in common.slices(off):
-            own = off[i: j + 1] - off[i]
-            row, start, n, anchor, h, p = anchored(buf[off[i]: off[j]], own, length)
-            e = common.span_hash(p, start, start + n + length - 1)
-            first, windows = chunks(row, start, n, h)
-            c = common.span_hash(p, start[first], start[first] + windows + length - 1)
-            for kind, r, s, m, d, x, y in ((RUN, row, start, n, anchor - start, h, e),
-                                           (CHUNK, row[first], start[first], windows, np.zeros_like(first), c, c)):
-                parts.append((np.full(len(r), kind, np.int8), (r + i).astype(np.int32), (s - own[r]).astype(np.int32),
-                              m.astype(np.int32), d.astype(np.int32), x, y))
-        kind, row, start, n, d, h, e = (np.concatenate([p[k] for p in parts]) for k in range(7))
-        rank = _order(b.column("id"))[row]
-        order = np.lexsort((start, rank, e, h, kind))
-        same = np.zeros(len(order), bool)
-        a, z = order[1:], order[:-1]
-        same[1:] = (kind[a] == kind[z]) & (h[a] == h[z]) & (e[a] == e[z])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        lead = order[head]
-        again = same & ((rank[order] != rank[lead]) | (start[order] != start[lead])) & (kind[order] == RUN)
-        known = order[again]
-        known = known[np.lexsort((start[known], row[known]))]
-        merged = np.ones(len(known), bool)
-        merged[1:] = (row[known[1:]] != row[known[:-1]]) | (start[known[1:]] > start[known[:-1]] + n[known[:-1]])
-        f = np.flatnonzero(merged)
-        total = np.add.reduceat(n[known], f) if len(f) else np.zeros(0, np.int32)
-        keep = order[~same]
-        out_row = np.concatenate([row[keep], row[known[f]]])
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id").take(pa.array(out_row)),
-             pa.array(np.concatenate([kind[keep], np.full(len(f), KNOWN)]).astype(np.int32)),
-             pa.array(np.concatenate([start[keep], start[known[f]]]).astype(np.int32)),
-             pa.array(np.concatenate([n[keep], total]).astype(np.int32)),
-             pa.array(np.concatenate([d[keep], np.zeros(len(f), np.int64)]).astype(np.int32)),
-             pa.array(np.concatenate([h[keep], np.zeros(len(f), np.uint64)]).view(np.int64))],
-            names=["id", "kind", "start", "n", "d", "h"])
+    """(id, kind, start, n, d, h): runs (anchor d bytes on) and chunks, equal ones of a piece once; windows known to be repeated.
+
+    A piece is about RUN_BYTES of a batch's text, so the memory of a task does not follow the length of the rows.
+    """
+    for whole in batches:
+        for first_row, end_row in common.slices(common.text_buffer(whole.column("text"))[1], RUN_BYTES):
+            yield _fingerprints_of(whole.slice(first_row, end_row - first_row), length)
+
+
+def _fingerprints_of(b: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    buf, off = common.text_buffer(b.column("text"))
+    parts = []
+    for i, j in common.slices(off, common.SLICE_BYTES // 4):
+        own = off[i: j + 1] - off[i]
+        row, start, n, anchor, h, p = anchored(buf[off[i]: off[j]], own, length)
+        e = common.span_hash(p, start, start + n + length - 1)
+        first, windows = chunks(row, start, n, h)
+        c = common.span_hash(p, start[first], start[first] + windows + length - 1)
+        for kind, r, s, m, d, x, y in ((RUN, row, start, n, anchor - start, h, e),
+                                       (CHUNK, row[first], start[first], windows, np.zeros_like(first), c, c)):
+            parts.append((np.full(len(r), kind, np.int8), (r + i).astype(np.int32), (s - own[r]).astype(np.int32),
+                          m.astype(np.int32), d.astype(np.int32), x, y))
+    kind, row, start, n, d, h, e = (np.concatenate([p[k] for p in parts]) for k in range(7))
+    rank = _order(b.column("id"))[row]
+    order = np.lexsort((start, rank, e, h, kind))
+    same = np.zeros(len(order), bool)
+    a, z = order[1:], order[:-1]
+    same[1:] = (kind[a] == kind[z]) & (h[a] == h[z]) & (e[a] == e[z])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    lead = order[head]
+    again = same & ((rank[order] != rank[lead]) | (start[order] != start[lead])) & (kind[order] == RUN)
+    known = order[again]
+    known = known[np.lexsort((start[known], row[known]))]
+    merged = np.ones(len(known), bool)
+    merged[1:] = (row[known[1:]] != row[known[:-1]]) | (start[known[1:]] > start[known[:-1]] + n[known[:-1]])
+    f = np.flatnonzero(merged)
+    total = np.add.reduceat(n[known], f) if len(f) else np.zeros(0, np.int32)
+    keep = order[~same]
+    out_row = np.concatenate([row[keep], row[known[f]]])
+    return pa.RecordBatch.from_arrays(
+        [b.column("id").take(pa.array(out_row)),
+         pa.array(np.concatenate([kind[keep], np.full(len(f), KNOWN)]).astype(np.int32)),
+         pa.array(np.concatenate([start[keep], start[known[f]]]).astype(np.int32)),
+         pa.array(np.concatenate([n[keep], total]).astype(np.int32)),
+         pa.array(np.concatenate([d[keep], np.zeros(len(f), np.int64)]).astype(np.int32)),
+         pa.array(np.concatenate([h[keep], np.zeros(len(f), np.uint64)]).view(np.int64))],
+        names=["id", "kind", "start", "n", "d", "h"])
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
