@@ -11,8 +11,9 @@ segment) of its own, and probes those buckets of the lengths down to max_edits
 less with its substrings at the possible places. The few lines that meet another
 are split further: where a segment matches, the rest is split and probed again,
 ``LEVELS / max_edits`` levels deep, so that lines which only share a half do not
-meet. Of lines that still meet, those are compared that also share one of their
-rarest substrings of ``GRAM`` bytes (``linking``), with a bit-parallel edit
+meet. Of lines that still meet, those are compared that share one of their
+rarest substrings of ``GRAM`` bytes (``linking``) and whose sketches of the numbers
+of short substrings are near enough, with a bit-parallel edit
 distance inside a band of diagonals.
 
 Lines are known by a 128-bit hash, half of it over a prime field at a base drawn
@@ -27,11 +28,13 @@ kept by ``remove`` and not read by ``find``.
 from __future__ import annotations
 
 import bisect
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common, linking
@@ -40,6 +43,8 @@ MAX_EDITS = ((16, 1), (64, 2), (128, 3))  # bytes of the shorter line from which
 FUZZY_BYTES = 16
 LEVELS = 6
 GRAM = 4  # bytes of the substrings by which lines that still meet are told apart
+SKETCH_GRAMS = (2, 4)  # bytes of the substrings whose numbers a sketch keeps, odd or even
+SKETCH_WORDS = 8  # of 64 bits, for each
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -289,7 +294,7 @@ def _pick_lines(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.Rec
             out = [x for x, place in enumerate(zip(row.tolist(), number.tolist())) if place in own]
             k = keys(part, start[out], end[out], base)
             yield pa.RecordBatch.from_arrays(
-                [binary16(k), pa.array([part[start[x]: end[x]].tobytes() for x in out], pa.binary())], names=["id", "raw"])
+                [binary16(k), pa.array([part[start[x]: end[x]].tobytes() for x in out], pa.binary())], names=["k", "raw"])
 
 
 def grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int | tuple) -> tuple[np.ndarray, ...]:
@@ -299,6 +304,11 @@ def grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int |
     GRAM * k of either's, and one of the first GRAM * k + 1 in any order. Lines that have
     no more of them in all hold one element more, the same for all such lines.
     """
+    return _placed_grams(raw, start, end, max_edits)[:4]
+
+
+def _placed_grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int | tuple) -> tuple[np.ndarray, ...]:
+    """What ``grams`` gives, and the place of each in its line, -1 if the line holds the substring twice."""
     p = common.prefix_hash(raw)
     length = end - start
     least, _, edits = (np.array(x) for x in zip(*edit_classes(max_edits)))
@@ -310,13 +320,14 @@ def grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int |
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
     new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))[: len(h)]
+    place = np.where(new & np.append(new[1:], True)[: len(h)], (at - np.repeat(start, n))[order], -1)
     run = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     with np.errstate(over="ignore"):
         el = common.mix(h + run.astype(np.uint64) * common.MIX_1)
     few = np.flatnonzero(n <= GRAM * allowed)
-    owner, el = np.append(owner, few), np.append(el, np.zeros(len(few), np.uint64))
+    owner, el, place = np.append(owner, few), np.append(el, np.zeros(len(few), np.uint64)), np.append(place, np.full(len(few), -1))
     size = n + (n <= GRAM * allowed)
-    return owner, el, size[owner], np.minimum(GRAM * allowed + 1, size)[owner]
+    return owner, el, size[owner], np.minimum(GRAM * allowed + 1, size)[owner], place
 
 
 def _grams(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
@@ -324,11 +335,74 @@ def _grams(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterato
         buf, off = _raw(b)
         for i, j in common.slices(off, common.SLICE_BYTES // 4):
             own = off[i: j + 1] - off[i]
-            owner, el, size, most = grams(buf[off[i]: off[j]], own[:-1], own[1:], max_edits)
+            owner, el, size, most, place = _placed_grams(buf[off[i]: off[j]], own[:-1], own[1:], max_edits)
             at = pa.array(owner + i)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").take(at), b.column("comp").take(at), pa.array(el.view(np.int64)),
-                 pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32))], names=["id", "comp", "el", "size", "most"])
+                 pa.array(size.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(place.astype(np.int32), mask=place < 0)],
+                names=["id", "comp", "el", "size", "most", "at"])
+
+
+def sketch(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(lines, words): for every size of SKETCH_GRAMS, one bit a class of substrings, set if their number is odd.
+
+    An edit takes away at most ``size`` of them and brings as many, so lines
+    within k edits differ in at most 2 * size * k bits of a size.
+    """
+    bits = 64 * SKETCH_WORDS
+    out = np.zeros((len(start), len(SKETCH_GRAMS), SKETCH_WORDS), np.uint64)
+    p = common.prefix_hash(raw)
+    for g, size in enumerate(SKETCH_GRAMS):
+        n = np.maximum(end - start - size + 1, 0)
+        at = common.ranges(start, n)
+        place = np.repeat(np.arange(len(n)) * bits, n) + (common.span_hash(p, at, at + size) % np.uint64(bits)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(n) * bits) & 1
+        out[:, g] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(len(n), SKETCH_WORDS)
+    return out.reshape(len(start), len(SKETCH_GRAMS) * SKETCH_WORDS)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = [f"w{i}" for i in range(len(SKETCH_GRAMS) * SKETCH_WORDS)]
+    for b in batches:
+        buf, off = _raw(b)
+        for i, j in common.slices(off, common.SLICE_BYTES // 4):
+            own = off[i: j + 1] - off[i]
+            s = sketch(buf[off[i]: off[j]], own[:-1], own[1:]).view(np.int64)
+            columns = [pa.array(np.diff(own)), *(pa.array(np.ascontiguousarray(c)) for c in s.T)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").slice(i, j - i), pa.StructArray.from_arrays(columns, names=["length", *words])], names=["id", "sketch"])
+
+
+def _edits(short: Column, max_edits: int | tuple) -> Column:
+    """Edits allowed to two lines, from the bytes of the shorter one."""
+    edits = F.lit(0)
+    for least, _, k in edit_classes(max_edits):
+        edits = F.when(short >= least, F.lit(k)).otherwise(edits)
+    return edits
+
+
+def affordable(x: Column, y: Column, max_edits: int | tuple) -> Column:
+    """Whether the edits suffice for the substrings that either of two lines lacks.
+
+    An edit touches at most GRAM substrings of a line, and stands at places of
+    the two lines that are no more than the edits apart. So if what one line
+    holds alone is that far from what the other holds alone, their edits add up.
+    """
+    edits = _edits(F.least(x["size"], y["size"]) + (GRAM - 1), max_edits)
+    far = (x["hi"] + GRAM + edits < y["lo"]) | (y["hi"] + GRAM + edits < x["lo"])
+    return ~F.coalesce(far & (F.ceil(x["lost"] / GRAM) + F.ceil(y["lost"] / GRAM) > edits), F.lit(False))
+
+
+def alike(x: Column, y: Column, max_edits: int | tuple) -> Column:
+    """Whether the sketches of two lines allow them to be within the edits."""
+    edits = _edits(F.least(x["length"], y["length"]), max_edits)
+    apart = F.abs(x["length"] - y["length"])
+    ok = (apart <= max(k for _, _, k in edit_classes(max_edits))) & (apart <= edits)
+    for g, size in enumerate(SKETCH_GRAMS):
+        words = [f"w{i}" for i in range(g * SKETCH_WORDS, (g + 1) * SKETCH_WORDS)]
+        differ = [F.bit_count(x[w].bitwiseXOR(y[w])) for w in words]
+        ok = ok & (functools.reduce(operator.add, differ) <= edits * (2 * size))
+    return ok
 
 
 def _verify(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
@@ -357,23 +431,34 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
     half = F.conv(F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))), 16, -10).cast("bigint")
     wanted = (firsts.withColumn("half", half).join(both.withColumnRenamed("id", "half"), "half").groupBy(F.col("first.id").alias("id"))
               .agg(F.collect_set("first.line").alias("wanted")))
-    texts = shared.write(rows.join(wanted, "id").mapInArrow(lambda b: _pick_lines(b, base), "id binary, raw binary").dropDuplicates(["id"]))
+    texts = shared.write(rows.join(wanted, "id").mapInArrow(lambda b: _pick_lines(b, base), "k binary, raw binary").dropDuplicates(["k"])
+                         .withColumn("id", F.monotonically_increasing_id()))
     # the same lines, each beside those that share all but a small part with it
-    fine = shared.write(texts.mapInArrow(lambda b: _bucket_texts(b, max_edits), "key bigint, id binary"))
+    fine = shared.write(texts.select("id", "raw").mapInArrow(lambda b: _bucket_texts(b, max_edits), "key bigint, id bigint"))
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("raw").alias("raw_a"))
         b = texts.select(F.col("id").alias("b"), F.col("raw").alias("raw_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "raw_a", "raw_b").mapInArrow(
-            lambda x: _verify(x, max_edits), "a binary, b binary")
+            lambda x: _verify(x, max_edits), "a bigint, b bigint")
 
     def elements(texts: DataFrame, ids: DataFrame) -> DataFrame:
-        return texts.join(ids.hint("merge"), "id").mapInArrow(
-            lambda x: _grams(x, max_edits), "id binary, comp binary, el bigint, size int, most int")
+        return texts.join(ids.hint("merge"), "id").select("id", "comp", "raw").mapInArrow(
+            lambda x: _grams(x, max_edits), "id bigint, comp bigint, el bigint, size int, most int, at int")
+
+    def sketches(texts: DataFrame, ids: DataFrame) -> DataFrame:
+        words = ", ".join(f"w{i}: bigint" for i in range(len(SKETCH_GRAMS) * SKETCH_WORDS))
+        return texts.join(ids.select("id").hint("merge"), "id").select("id", "raw").mapInArrow(
+            _sketches, f"id bigint, sketch struct<length: bigint, {words}>")
 
-    lab = linking.link(fine, lambda ids: texts, verify, shared, elements)
+    lab = linking.link(fine, lambda ids: texts, verify, shared, elements, enough=lambda x, y: affordable(x, y, max_edits),
+                       sketches=(sketches, lambda x, y: alike(x, y, max_edits)))
+    shared.drop(fine)
     # classes of several lines: those that occur again, and those linked to others
-    classed = firsts.join(lab.withColumnRenamed("id", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    numbered = texts.select("k", "id").join(lab, "id")
+    names = numbered.where("id = comp").select("comp", F.col("k").alias("name"))
+    lab = numbered.join(names, "comp").select("k", F.col("name").alias("comp"))
+    classed = firsts.join(lab, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     heads = classed.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n").alias("total")).where("total > 1")
     heads = shared.write(classed.select("k", "comp").join(heads, "comp").select("k", "head"))
     removed = (places.join(heads, "k").where((F.col("id") != F.col("head.id")) | (F.col("line") != F.col("head.line")))

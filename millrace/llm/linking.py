@@ -72,6 +72,7 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
          elements: Callable[[DataFrame, DataFrame], DataFrame],
          likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
          enough: Callable[[Column, Column], Column] | None = None,
+         sketches: tuple[Callable[[DataFrame, DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None,
          rounds: int = PIVOT_ROUNDS, few: int | None = None) -> DataFrame:
     """(id, comp) of every id that shares a bucket with another.
 
@@ -79,9 +80,13 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
     verify needs of them, taken once. verify: pairs (a, b) -> those that are
     links. elements: what things gave, (id, comp) -> (id, comp, el, size, most), a row for each of
     the ``size`` elements of a thing, no two alike; of any order of elements, the
-    first ``most`` of two links have one in common. likely: a cheap filter of
-    pairs that keeps links. enough: of two things' (size, rest), where rest
-    elements are left from their first common one on, whether they can be links.
+    first ``most`` of two links have one in common. A column ``at`` may have the place
+    of an element that a thing holds only once. likely: a cheap filter of
+    pairs that keeps links. enough: of two things' (size, rest, lost, lo, hi), where rest
+    elements are left from their first common one on, and of those before it, which the
+    other lacks, ``lost`` have places, from lo to hi, whether they can be links.
+    sketches: what things gave, (id, comp) -> (id, sketch), and a cheap test of two
+    sketches that all links pass, in the place of a common bucket.
     """
     few = FEW if few is None else few
     found = shared.write(_by_id(open_buckets(members, shared)))
@@ -101,7 +106,7 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
             break
         last = r >= rounds or pairs <= (few if r == 0 else MANY) * n
         if last:
-            found_pairs = likely(_refined_pairs(here, elements, known, shared, enough))
+            found_pairs = likely(_refined_pairs(here, elements, known, shared, enough, sketches))
         else:
             found_pairs = likely(_pivot_pairs(here, r))
         found_pairs = shared.write(found_pairs)
@@ -131,8 +136,8 @@ def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
 
 
 def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame, DataFrame], DataFrame], known: DataFrame, shared: Shared,
-                   enough: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """Pairs of different components that share a bucket and an element of their prefixes.
+                   enough: Callable[[Column, Column], Column] | None, sketches: tuple | None = None) -> DataFrame:
+    """Pairs of different components that share a bucket, or pass the test of sketches, and an element of their prefixes.
 
     Elements are ordered by the number of things that hold them, those that
     only one component holds before all others, so a prefix is made of what is
@@ -140,21 +145,39 @@ def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame, DataFrame], D
     at its first common element only. Elements of one component take part as a
     number: they have places in a prefix, but no rows.
     """
-    own = shared.write(here.groupBy("id", "comp").agg(F.array_sort(F.collect_set("key")).alias("keys")))  # a thing's own buckets
-    els = shared.write(elements(known, own.select("id", "comp")))
+    if sketches is None:
+        own = here.groupBy("id", "comp").agg(F.array_sort(F.collect_set("key")).alias("sketch"))  # a thing's own buckets
+        near = F.arrays_overlap
+    else:
+        make, near = sketches
+        own = here.select("id", "comp").distinct()
+    own = shared.write(own)
+    ids = own.select("id", "comp")
+    els = shared.write(elements(known, ids))
+    if sketches is not None:
+        own = ids.join(make(known, ids), "id")
+    if "at" not in els.columns:
+        els = els.withColumn("at", F.lit(None).cast("int"))
     live = (els.groupBy("el").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("lo <> hi").select("el", "n"))
-    listed = els.join(live, "el").groupBy("id", "size", "most").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("n", "el"))), lambda s: s["el"]).alias("live"))  # a thing's own elements
-    skip = F.col("size") - F.size("live")
-    listed = (listed.withColumn("prefix", F.slice("live", 1, F.greatest(F.col("most") - skip, F.lit(0))))
-              .join(own, "id").select("id", "comp", "keys", "size", "prefix", skip.alias("skip"), F.posexplode("prefix").alias("i", "el"))
-              .withColumn("left", F.struct("size", (F.col("size") - F.col("skip") - F.col("i")).alias("rest"))))
-    listed = shared.write(listed.select("id", "comp", "keys", "prefix", "left", "el"))
+    each = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "el", "at")
+    listed = els.join(live, "el", "left").groupBy("id", "size", "most").agg(
+        F.slice(F.sort_array(F.collect_list(each)), 1, F.col("most")).alias("first"))  # a thing's own elements
+    before = F.transform(F.filter(F.slice("first", 1, F.col("i")), lambda e: e["at"].isNotNull()), lambda e: e["at"])
+    listed = (listed.withColumn("prefix", F.transform(F.filter("first", lambda e: e["n"] > 0), lambda e: e["el"]))
+              .join(own, "id").select("id", "comp", "sketch", "size", "prefix", "first", F.posexplode("first").alias("i", "e"))
+              .where("e.n > 0")
+              .withColumn("left", F.struct("size", (F.col("size") - F.col("i")).alias("rest"), F.size(before).alias("lost"),
+                                           F.array_min(before).alias("lo"), F.array_max(before).alias("hi"))))
+    listed = shared.write(listed.select("id", "comp", "sketch", "prefix", "left", F.col("e.el").alias("el")))
+    shared.drop(els)
     x, y = listed.alias("x"), listed.alias("y")
     on = (F.col("x.el") == F.col("y.el")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id"))
+    if sketches is not None:
+        on = on & near(F.col("x.sketch"), F.col("y.sketch"))  # the cheapest test first
     if enough is not None:
         on = on & enough(F.col("x.left"), F.col("y.left"))
-    on = (on & F.arrays_overlap("x.keys", "y.keys")
-          & (F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.el")))
+    if sketches is None:
+        on = on & near(F.col("x.sketch"), F.col("y.sketch"))
+    on = on & (F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.el"))
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))

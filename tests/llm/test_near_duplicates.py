@@ -128,6 +128,62 @@ def test_lines_with_a_serial_number_form_few_pairs(spark, refined):
     assert len(refined) == 1 and 0 < refined[0] < len(docs) ** 2 / 40
 
 
+def test_lines_with_a_short_insertion_form_few_pairs(spark, refined):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    docs = {}
+    for i in range(120):  # two such lines are 8 edits apart, each is 4 from the line without
+        k = rnd.randrange(60)
+        docs[i] = " ".join([*words[:k], words[k] + "".join(rnd.choice("uvwxyz") for _ in range(4)), *words[k + 1:]])
+    docs[200] = docs[3] + "s"
+    sets = Sets()
+    for a in docs:
+        sets.find(a)
+        for b in docs:
+            if a < b and line_dedup.within(docs[a].encode(), docs[b].encode(), 3):
+                sets.join(a, b)
+    gone, _ = line_dedup.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r["id"]: r["first_id"] for r in gone.collect()} == {i: sets.find(i) for i in docs if sets.find(i) != i}
+    assert len(refined) == 1 and refined[0] < len(docs) ** 2 / 8  # insertions in one word or neighbouring ones
+
+
+def test_sketches_and_places_pass_all_links(spark):
+    rnd = random.Random(13)
+    pairs = []
+    for _ in range(400):
+        n, k = rnd.choice([(16, 1), (63, 1), (64, 2), (127, 2), (131, 3), (300, 3)]), rnd.randint(0, 3)
+        a = bytes(rnd.choice(b"abcd") for _ in range(n[0]))
+        b = edited(rnd, a, min(k, n[1]), b"abcd")
+        if len(b) >= 16 and line_dedup.within(a, b, 1 if min(len(a), len(b)) < 64 else 2 if min(len(a), len(b)) < 128 else 3):
+            pairs.append((a, b))
+    assert len(pairs) > 200
+    rows = []
+    for a, b in pairs:
+        raw, off = np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)])
+        sk = line_dedup.sketch(raw, off[:-1], off[1:]).view(np.int64).tolist()
+        owner, el, size, most, place = line_dedup._placed_grams(raw, off[:-1], off[1:], line_dedup.MAX_EDITS)
+        alone, row = [set(el[owner == x].tolist()) for x in (0, 1)], []
+        for x in (0, 1):
+            at = [p for e, p, o in zip(el.tolist(), place.tolist(), owner.tolist()) if o == x and p >= 0 and e not in alone[1 - x]]
+            row += [(len((a, b)[x]), *sk[x]), (int(size[owner == x][0]), len(at), min(at, default=None), max(at, default=None))]
+        rows.append(row)
+    words = ", ".join(f"w{i}: bigint" for i in range(16))
+    kind = ", ".join(f"s{x} struct<length: bigint, {words}>, p{x} struct<size: int, lost: int, lo: int, hi: int>" for x in "ab")
+    df = spark.createDataFrame(rows, kind)
+    ok = line_dedup.alike(df["sa"], df["sb"], line_dedup.MAX_EDITS) & line_dedup.affordable(df["pa"], df["pb"], line_dedup.MAX_EDITS)
+    assert df.where(ok).count() == len(rows)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    shared = common.Shared(spark, "cleanup-test")
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    for _ in range(3):
+        assert shared.write(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()).count() == 700
+    assert tracker.shuffleStatuses().size() <= before + 3  # the counts' own
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     got = {}
     for r in bm.classes(edge_docs).collect():
