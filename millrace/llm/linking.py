@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Shared
@@ -89,18 +89,23 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
     sketches that all links pass, in the place of a common bucket.
     """
     few = FEW if few is None else few
-    found = shared.write(_by_id(open_buckets(members, shared)))
-    lab = shared.write(found.select("id", F.col("id").alias("comp")))
+    found = open_buckets(members, shared)
+    lab = shared.write(found.select("id", F.col("id").alias("comp")).distinct())
     known = things(lab.select("id"))
     r = -1
     while True:
         r += 1
-        here = found.join(lab, "id").select("id", "comp", F.explode("keys").alias("key"))
+        if r == 0:
+            here = found.select("id", F.col("id").alias("comp"), "key")
+        else:
+            here = shared.write(found.join(lab, "id").select("id", "comp", F.explode("keys").alias("key")))
         sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
         state = sizes.groupBy("key").agg(
             F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("top"),
             ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where("pairs > 0")
-        here = shared.write(here.join(state, "key"))
+        here, before = shared.write(here.join(state, "key")), here
+        if r:
+            shared.drop(before)
         pairs, n = here.agg(F.sum(F.col("pairs") / F.col("n")), F.count("*")).first()
         if not n:
             break
@@ -125,8 +130,7 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
 def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
     """Every member of an open bucket beside the bucket's pivot, unless they are in one component."""
     if r == 0:
-        here = (here.groupBy("id", "comp").agg(F.sum("n").alias("shares"), F.collect_list("key").alias("keys"))
-                .select("id", "comp", "shares", F.explode("keys").alias("key")))
+        here = here.select("id", "comp", F.sum("n").over(Window.partitionBy("id")).alias("shares"), "key")  # a thing's own buckets
         order = F.struct("shares", F.xxhash64("id"))
     else:
         order = F.struct(F.xxhash64("key", "id", F.lit(r)))
