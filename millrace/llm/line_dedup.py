@@ -45,6 +45,12 @@ LEVELS = 6
 GRAM = 4  # bytes of the substrings by which lines that still meet are told apart
 SKETCH_GRAMS = (2, 4)  # bytes of the substrings whose numbers a sketch keeps, odd or even
 SKETCH_WORDS = 8  # of 64 bits, for each
+ROWS_A_LINE = 20  # buckets of a line, about
+PART_ROWS = 1 << 18  # buckets that a task holds at a time, about
+PARTS_A_TASK = 8
+PACK_ROWS = 1 << 19  # buckets gathered before they are packed, about
+HASH_BYTES = 1 << 18  # of text hashed at a time, so that the arrays stay in the processor's cache
+KEY_BYTES = 5  # of a bucket that travel, beside its part
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -201,7 +207,7 @@ def banded(a: bytes, b: bytes, most: int) -> int:
 def _hash_lines(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
-        for i, j in common.slices(off):
+        for i, j in common.slices(off, HASH_BYTES):
             part = buf[off[i]: off[j]]
             row, number, start, end = lines(part, off[i: j + 1] - off[i])
             k = keys(part, start, end, base)
@@ -210,57 +216,102 @@ def _hash_lines(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.Rec
                 names=["id", "line", "k"])
 
 
-def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuzzy: int, base: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, met): one line of every bucket of a slice of text, and the lines that have met another there.
+def bucket_parts(lines: int) -> int:
+    """Parts of the space of buckets, a power of two: of some PART_ROWS rows each, whatever the input."""
+    return 1 << max(lines * ROWS_A_LINE // PART_ROWS, 1).bit_length() - 1
 
-    So a bucket that many lines share costs one row a slice. Lines are known
-    here by the first half of their hash.
+
+def _bucket_lines(batches: Iterator[pa.RecordBatch], max_edits: int | tuple, fuzzy: int, base: int,
+                  parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, keys, ids, met): one line of every bucket of some slices of text, and the lines that have met another there.
+
+    So a bucket that many lines share costs one entry there. Buckets travel
+    packed, one row for those of the slices that lie in one part: five bytes of
+    each beyond the part, beside its line, known here by the first half of its
+    hash. Two buckets that agree in those make lines meet that need not.
     """
+    held, rows = [], 0
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
-        for i, j in common.slices(off):
+        for i, j in common.slices(off, HASH_BYTES):
             part = buf[off[i]: off[j]]
             _, _, start, end = lines(part, off[i: j + 1] - off[i])
             start, end = start[end - start >= fuzzy], end[end - start >= fuzzy]
             p = common.prefix_hash(part)
             k = common.field_hash(common.field_prefix(part, base), start, end, base)
             k, one = np.unique(k, return_index=True)  # equal lines here enter once
-            found = list(bucket_rows(p, start[one], end[one], max_edits))
-            if not found:
-                continue
-            who, bucket = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((who, bucket))
-            who, bucket = who[order], bucket[order]
-            first = np.append(True, bucket[1:] != bucket[:-1])
-            of = who[first][np.cumsum(first) - 1]  # the first line of each row's bucket
-            met = np.unique(np.concatenate([who[who != of], of[who != of]]))
-            keys_ = np.concatenate([bucket[first], k[met]]).view(np.int64)
-            ids = np.concatenate([k[who[first]], k[met]])
-            flags = np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(met), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys_), pa.array(ids.view(np.int64)), pa.array(flags)],
-                                             names=["key", "id", "met"])
+            for who, bucket in bucket_rows(p, start[one], end[one], max_edits):
+                held.append((bucket, k[who]))
+                rows += len(who)
+            if rows >= PACK_ROWS:
+                yield _packed(held, parts)
+                held, rows = [], 0
+    if rows:
+        yield _packed(held, parts)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    bucket, k = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(bucket)
+    bucket, k = bucket[order], k[order]
+    first = np.append(True, bucket[1:] != bucket[:-1])
+    of = k[first][np.cumsum(first) - 1]  # the first line of each row's bucket
+    met = np.unique(np.concatenate([k[k != of], of[k != of]]))
+    bucket, ids = bucket[first], k[first]
+    bits = np.uint64(parts.bit_length() - 1)
+    at = np.concatenate([[0], np.searchsorted(bucket, np.arange(1, parts, dtype=np.uint64) << (np.uint64(64) - bits)), [len(bucket)]])
+    keys_ = np.ascontiguousarray(((bucket << bits) >> np.uint64(64 - 8 * KEY_BYTES)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+    some = np.flatnonzero(np.diff(at))
+    at = np.append(at[some], at[-1])
+    own = np.zeros(len(some), np.int64)
+    own[int(ids[0] % np.uint64(len(some)))] = len(met)  # any one row takes them
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some.astype(np.int32)), _blobs(keys_, KEY_BYTES * at), _blobs(ids, 8 * at),
+         _blobs(met, 8 * np.concatenate([[0], np.cumsum(own)]))], names=["part", "keys", "ids", "met"])
+
+
+def _blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
+                                 [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids that share a bucket with another id, or have met one, from rows sorted by key; repeats may occur.
+    """Ids that share a bucket with another id, or have met one, from rows sorted by part; repeats may occur.
 
-    Every row of a bucket is held against the bucket's first one, which is all
-    that is carried from batch to batch.
+    Only the buckets of one part are held at a time.
     """
-    key, of = None, 0
+    now, held = None, []
     for b in batches:
-        keys_, ids, met = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "met"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[met]))], names=["id"])
-        keys_, ids = keys_[~met], ids[~met]
-        if not len(keys_):
-            continue
-        first = np.append(key is None or keys_[0] != key, keys_[1:] != keys_[:-1])
-        at = np.cumsum(first) - 1
-        heads = ids[first]
-        owner = np.where(at >= 0, heads[at] if len(heads) else of, of)
-        other = ids != owner
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([ids[other], owner[other]])))], names=["id"])
-        key, of = keys_[-1], owner[-1]
+        yield _ids(np.frombuffer(b"".join(b.column("met").to_pylist()), np.int64))
+        part = b.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for i, j in zip(edges[:-1], edges[1:]):
+            if i == j:
+                continue
+            if part[i] != now:
+                yield _ids(_shared(held))
+                now, held = part[i], []
+            held += [(x, y) for x, y in zip(b.column("keys").slice(i, j - i).to_pylist(), b.column("ids").slice(i, j - i).to_pylist())]
+    yield _ids(_shared(held))
+
+
+def _ids(ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.unique(ids))], names=["id"])
+
+
+def _shared(held: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The ids of buckets that hold two different ones or more."""
+    raw = np.frombuffer(b"".join(x for x, _ in held), np.uint8).reshape(-1, KEY_BYTES)
+    ids = np.frombuffer(b"".join(y for _, y in held), np.int64)
+    keys_ = np.zeros((len(raw), 8), np.uint8)
+    keys_[:, :KEY_BYTES] = raw
+    keys_ = keys_.view(np.uint64).ravel()
+    order = np.argsort(keys_)
+    keys_, ids = keys_[order], ids[order]
+    first = np.append(True, keys_[1:] != keys_[:-1])[: len(keys_)]
+    owner = ids[first][np.cumsum(first) - 1]
+    other = ids != owner
+    return np.concatenate([ids[other], owner[other]])
 
 
 def _raw(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +338,7 @@ def _pick_lines(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.Rec
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
         wanted = b.column("wanted").to_pylist()
-        for i, j in common.slices(off):
+        for i, j in common.slices(off, HASH_BYTES):
             part = buf[off[i]: off[j]]
             row, number, start, end = lines(part, off[i: j + 1] - off[i])
             own = {(r, x) for r in range(j - i) for x in wanted[i + r]}
@@ -425,14 +476,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
     firsts = shared.write(places.groupBy("k").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")))
     # lines that share a bucket with another line, and their texts, read at their first place
     fuzzy = max(fuzzy_bytes, edit_classes(max_edits)[0][0])
-    members = rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy, base), "key bigint, id bigint, met boolean")
-    both = members.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting, "id bigint").distinct()
+    parts = bucket_parts(places.count())
+    members = rows.mapInArrow(lambda b: _bucket_lines(b, max_edits, fuzzy, base, parts), "part int, keys binary, ids binary, met binary")
+    both = shared.write(members.repartition(max(parts // PARTS_A_TASK, 1), "part").sortWithinPartitions("part")
+                        .mapInArrow(_meeting, "id bigint").distinct())  # written alone, so its shuffle files go before texts are shuffled
     digits = F.hex(F.substring("k", 1, 8))  # little-endian
     half = F.conv(F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))), 16, -10).cast("bigint")
     wanted = (firsts.withColumn("half", half).join(both.withColumnRenamed("id", "half"), "half").groupBy(F.col("first.id").alias("id"))
               .agg(F.collect_set("first.line").alias("wanted")))
-    texts = shared.write(rows.join(wanted, "id").mapInArrow(lambda b: _pick_lines(b, base), "k binary, raw binary").dropDuplicates(["k"])
+    texts = shared.write(rows.join(wanted.hint("shuffle_hash"), "id").mapInArrow(lambda b: _pick_lines(b, base), "k binary, raw binary").dropDuplicates(["k"])
                          .withColumn("id", F.monotonically_increasing_id()))
+    shared.drop(both)
     # the same lines, each beside those that share all but a small part with it
     fine = shared.write(texts.select("id", "raw").mapInArrow(lambda b: _bucket_texts(b, max_edits), "key bigint, id bigint"))
 

@@ -5,7 +5,8 @@ need not be compared with one another, so links are found in rounds: every
 member is compared with one pivot of its bucket (first the member that shares
 most buckets, then others by hash), verified links are merged into components,
 and buckets whose members are all in one component are done. Buckets that the
-rounds leave open are refined by a prefix filter: two members are compared if
+rounds leave open are compared in full if they hold no more than a few pairs a
+member and pairs have a cheap test of sketches, and refined by a prefix filter otherwise: two members are compared if
 they also share one of the rarest elements of each, so many of them that two
 links must share one. So no link between two members of different classes is
 missed, a large group of copies costs a few comparisons per member, and things
@@ -24,6 +25,7 @@ from millrace.llm.common import Shared
 PIVOT_ROUNDS = 4
 POOR = 2  # pairs per link from which on pivots are given up
 FEW = 4  # pairs per member up to which open buckets are refined at once,
+DIRECT = 4  # up to which they are compared in full, given sketches,
 MANY = 100  # and after the first pivots
 
 
@@ -110,7 +112,10 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
         if not n:
             break
         last = r >= rounds or pairs <= (few if r == 0 else MANY) * n
-        if last:
+        if sketches is not None and pairs <= DIRECT * n:
+            last = True  # no more pairs than a few a member: all of them are tested
+            found_pairs = likely(_bucket_pairs(here, known, shared, sketches))
+        elif last:
             found_pairs = likely(_refined_pairs(here, elements, known, shared, enough, sketches))
         else:
             found_pairs = likely(_pivot_pairs(here, r))
@@ -139,6 +144,18 @@ def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
 
 
+def _bucket_pairs(here: DataFrame, known: DataFrame, shared: Shared, sketches: tuple) -> DataFrame:
+    """Pairs of different components that share a bucket and pass the test of sketches."""
+    make, near = sketches
+    own = shared.write(make(known, here.select("id", "comp").distinct()))
+    x, y = here.alias("x"), here.alias("y")
+    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id")))
+             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    a = own.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
+    b = own.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
+    return pairs.join(a, "a").join(b, "b").where(near(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+
+
 def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame, DataFrame], DataFrame], known: DataFrame, shared: Shared,
                    enough: Callable[[Column, Column], Column] | None, sketches: tuple | None = None) -> DataFrame:
     """Pairs of different components that share a bucket, or pass the test of sketches, and an element of their prefixes.

@@ -363,3 +363,33 @@ def test_line_edges(edge_docs, no_docs):
     assert again.columns == named.columns
     assert sorted(map(str, again.drop("_gone_lines", "_GONE_ID", "_gone_all").collect())) == sorted(map(str, kept.collect()))
     assert {tuple(r) for r in again.select("_gone_lines", "_GONE_ID", "_gone_all").collect()} == {("x", "y", "z")}
+
+
+def test_lines_travel_packed_by_parts(spark, monkeypatch):
+    """Buckets cross the shuffle in a few rows and lines meet whatever the number of parts."""
+    rnd = random.Random(31)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(n)).strip() + "." for n in (20, 40, 90, 150, 400) * 30]
+    docs = {i: t for i, t in enumerate(texts)} | {1000 + i: t[:7] + "#" + t[7:] for i, t in enumerate(texts) if i % 3 == 0}
+    rows = list(docs.items())
+    monkeypatch.setattr(line_dedup, "PACK_ROWS", 200)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
+    found = {}
+    for parts in (1, 16):
+        packed = list(line_dedup._bucket_lines(iter([batch]), line_dedup.MAX_EDITS, 16, 12345, parts))
+        assert sum(b.num_rows for b in packed) <= parts * len(packed)
+        ordered = pa.Table.from_batches(packed).sort_by("part").to_batches(max_chunksize=3)
+        found[parts] = set().union(*(b.column("id").to_pylist() for b in line_dedup._meeting(iter(ordered))))
+    assert found[1] == found[16] and len(found[1]) == 100
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 64)
+    gone, _ = line_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["id"], r["first_id"]) for r in gone.collect()} == {(1000 + i, i) for i in range(0, 150, 3)}
+
+
+def test_few_pairs_are_compared_without_elements(spark, monkeypatch):
+    """Where buckets hold few pairs, lines are compared by sketches at once and no substring is counted."""
+    monkeypatch.setattr(linking, "_refined_pairs", lambda *a: pytest.fail("elements of every line"))
+    rnd = random.Random(32)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(200)).strip() + "." for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:90] + "#" + t[90:]) for i, t in enumerate(texts)]
+    gone, _ = line_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["id"], r["first_id"]) for r in gone.collect()} == {(100 + i, i) for i in range(40)}
