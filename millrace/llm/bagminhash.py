@@ -38,6 +38,8 @@ THRESHOLD = 0.8
 BANDS = 50
 ROWS = 6
 SLOTS = BANDS * ROWS
+PIECE_BYTES = 1 << 18  # of text taken at a time,
+PIECE_ROWS = 128  # and rows, for signatures
 SLACK = 5.2  # standard deviations allowed to the signature's estimate
 
 
@@ -106,10 +108,16 @@ def similarity(a: tuple, b: tuple, n_rows: int) -> np.ndarray:
     return both / np.maximum(union, 1)
 
 
+def _pieces(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of a bounded size: a row of any length makes some SLOTS * log(SLOTS) points."""
+    for i, j in common.slices(off, PIECE_BYTES):
+        yield from ((x, min(x + PIECE_ROWS, j)) for x in range(i, j, PIECE_ROWS))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
-        for i, j in common.slices(off):
+        for i, j in _pieces(off):
             part = b.slice(i, j - i)
             found = shingles(buf[off[i]: off[j]], off[i: j + 1] - off[i])
             sig = signatures(*found, j - i)
@@ -136,7 +144,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         (buf_a, off_a), (buf_b, off_b) = (common.text_buffer(b.column(c)) for c in ("text_a", "text_b"))
-        for i, j in common.slices(off_a + off_b):
+        for i, j in common.slices(off_a + off_b, PIECE_BYTES):
             s = similarity(shingles(buf_a[off_a[i]: off_a[j]], off_a[i: j + 1] - off_a[i]),
                            shingles(buf_b[off_b[i]: off_b[j]], off_b[i: j + 1] - off_b[i]), j - i)
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +155,7 @@ def _elements(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
     """Every shingle occurrence of every text; links share one of the first ``most`` in any order."""
     for b in batches:
         buf, off = common.text_buffer(b.column("text"))
-        for i, j in common.slices(off):
+        for i, j in common.slices(off, PIECE_BYTES):
             row, h, c = shingles(buf[off[i]: off[j]], off[i: j + 1] - off[i])
             owner = np.repeat(row, c)
             with np.errstate(over="ignore"):

@@ -393,3 +393,22 @@ def test_few_pairs_are_compared_without_elements(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:90] + "#" + t[90:]) for i, t in enumerate(texts)]
     gone, _ = line_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r["id"], r["first_id"]) for r in gone.collect()} == {(100 + i, i) for i in range(40)}
+
+
+def test_signatures_are_made_in_bounded_pieces(monkeypatch):
+    """Short texts make as many points as long ones, so rows are bounded beside bytes."""
+    sizes, real = [], bm.signatures
+    monkeypatch.setattr(bm, "signatures", lambda row, h, c, n, *a: sizes.append(n) or real(row, h, c, n, *a))
+    texts = [f"word{i} other{i}" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([b""] * 1000), pa.array(texts)], names=["id", "copy", "text"])
+    signed = pa.Table.from_batches(list(bm._sign(iter([batch]))))
+    assert max(sizes) <= bm.PIECE_ROWS and signed.column("id").to_pylist() == list(range(1000))
+
+
+def test_texts_cross_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    counted = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    got = common.Shared(spark, "batches").write(spark.range(0, 5000, 1, 1).mapInArrow(counted, "n long"))
+    assert sum(r["n"] for r in got.collect()) == 5000 and max(r["n"] for r in got.collect()) <= common.BATCH_ROWS
+    assert spark.conf.get(name) == before
