@@ -45,6 +45,8 @@ LEVELS = 6
 GRAM = 4  # bytes of the substrings by which lines that still meet are told apart
 SKETCH_GRAMS = (2, 4)  # bytes of the substrings whose numbers a sketch keeps, odd or even
 SKETCH_WORDS = 8  # of 64 bits, for each
+CELL_BYTES = 8  # of a line, in which differences from another are in one place,
+CELLS = 64  # or more, for no more than so many of a line
 ROWS_A_LINE = 20  # buckets of a line, about
 PART_ROWS = 1 << 18  # buckets that a task holds at a time, about
 PARTS_A_TASK = 8
@@ -465,6 +467,69 @@ def _verify(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterat
             [b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
+def reach(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int]:
+    """The longest beginnings of a that are without and at most ``most`` edits from a beginning of b.
+
+    Per number of edits, the place in a that each diagonal comes to; runs of
+    equal bytes are taken at once.
+    """
+    n, m = len(a), len(b)
+    stops = {}
+
+    def run(i: int, d: int) -> int:
+        """The place in a of the first difference on diagonal d from place i on."""
+        lo, hi = max(0, -d), min(n, m - d)
+        if d not in stops:
+            stops[d] = np.flatnonzero(a[lo:hi] != b[lo + d: hi + d]) + lo
+        k = stops[d].searchsorted(i)
+        return int(stops[d][k]) if k < len(stops[d]) else hi
+
+    none = run(0, 0)
+    at = {0: none}
+    for e in range(1, most + 1):
+        if max(at.values()) >= n:
+            break
+        new = {}
+        for d in range(-e, e + 1):
+            i = max(at.get(d, -2) + 1, at.get(d - 1, -1), at.get(d + 1, -2) + 1)  # replaced, put in, left out
+            i = min(i, n, m - d)
+            if i >= max(0, -d):
+                new[d] = run(i, d)
+        at = new
+    return none, max(at.values())
+
+
+def differences(a: bytes, b: bytes, most: int, linked: bool) -> tuple[int, int, int, int]:
+    """Two ranges of places in a, for b: lines that are within ``most`` edits of each other overlap in both.
+
+    Of two such lines, one cannot leave a for good, by more than ``most`` edits,
+    before the other one leaves it at all, seen from either end. So what lies
+    between both places overlaps; for a line that is linked to a, what lies
+    between its outermost differences overlaps those of the others. Two lines
+    linked to a need not overlap.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    first, gone = reach(x, y, most)
+    last, back = (len(a) - i for i in reach(x[::-1], y[::-1], most))
+    if linked:
+        return (min(first, last), max(first, last)) * 2
+    return min(first, back), gone, back, max(last, gone)
+
+
+def _divide(batches: Iterator[pa.RecordBatch], max_edits: int | tuple) -> Iterator[pa.RecordBatch]:
+    least, _, edits = zip(*edit_classes(max_edits))
+    for b in batches:
+        out = []
+        for p, x in zip(b.column("raw_p").to_pylist(), b.column("raw").to_pylist()):
+            linked = within(p, x, edits[max(bisect.bisect_right(least, min(len(p), len(x))) - 1, 0)])
+            most = max(edits[:max(bisect.bisect_right(least, len(x)), 1)])  # allowed to the line beside any other
+            size = max(CELL_BYTES, -(-len(p) // CELLS))
+            out.append((linked, *(i // size for i in differences(p, x, most, linked))))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 5, [pa.bool_()] + [pa.int32()] * 4)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("pivot"), *columns],
+                                         names=["id", "pivot", "linked", "lo", "hi", "low", "high"])
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int | tuple = MAX_EDITS,
          fuzzy_bytes: int = FUZZY_BYTES) -> tuple[DataFrame, DataFrame]:
     """((id, line, first_id, first_line) of every line to remove, (id, lines) of documents with lines)."""
@@ -505,8 +570,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ed
         return texts.join(ids.select("id").hint("merge"), "id").select("id", "raw").mapInArrow(
             _sketches, f"id bigint, sketch struct<length: bigint, {words}>")
 
+    def divide(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        pivots = texts.select(F.col("id").alias("pivot"), F.col("raw").alias("raw_p"))
+        return pairs.join(texts.select("id", "raw"), "id").join(pivots, "pivot").select("id", "pivot", "raw", "raw_p").mapInArrow(
+            lambda x: _divide(x, max_edits), "id bigint, pivot bigint, linked boolean, lo int, hi int, low int, high int")
+
     lab = linking.link(fine, lambda ids: texts, verify, shared, elements, enough=lambda x, y: affordable(x, y, max_edits),
-                       sketches=(sketches, lambda x, y: alike(x, y, max_edits)))
+                       sketches=(sketches, lambda x, y: alike(x, y, max_edits)), divide=divide)
     shared.drop(fine)
     # classes of several lines: those that occur again, and those linked to others
     numbered = texts.select("k", "id").join(lab, "id")

@@ -5,8 +5,10 @@ need not be compared with one another, so links are found in rounds: every
 member is compared with one pivot of its bucket (first the member that shares
 most buckets, then others by hash), verified links are merged into components,
 and buckets whose members are all in one component are done. Buckets that the
-rounds leave open are compared in full if they hold no more than a few pairs a
-member and pairs have a cheap test of sketches, and refined by a prefix filter otherwise: two members are compared if
+rounds leave open are compared at once if they hold no more than a few pairs a
+member and pairs have a cheap test of sketches: small ones in full, the members of
+larger ones with a pivot first and then with those that differ from it in the
+same places. Others are refined by a prefix filter: two members are compared if
 they also share one of the rarest elements of each, so many of them that two
 links must share one. So no link between two members of different classes is
 missed, a large group of copies costs a few comparisons per member, and things
@@ -15,6 +17,8 @@ of one pattern that are no links do not form pairs.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +29,9 @@ from millrace.llm.common import Shared
 PIVOT_ROUNDS = 4
 POOR = 2  # pairs per link from which on pivots are given up
 FEW = 4  # pairs per member up to which open buckets are refined at once,
-DIRECT = 4  # up to which they are compared in full, given sketches,
+DIRECT = 4  # up to which they are compared at once, given sketches,
 MANY = 100  # and after the first pivots
+SMALL = 4  # members up to which a bucket is compared in full, where it could be divided
 
 
 def components(nodes: DataFrame, edges: DataFrame, shared: Shared) -> DataFrame:
@@ -75,7 +80,7 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
          likely: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
          enough: Callable[[Column, Column], Column] | None = None,
          sketches: tuple[Callable[[DataFrame, DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None,
-         rounds: int = PIVOT_ROUNDS, few: int | None = None) -> DataFrame:
+         divide: Callable[[DataFrame, DataFrame], DataFrame] | None = None, rounds: int = PIVOT_ROUNDS, few: int | None = None) -> DataFrame:
     """(id, comp) of every id that shares a bucket with another.
 
     members: (key, id), repeats allowed. things: ids in open buckets -> what
@@ -88,7 +93,10 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
     elements are left from their first common one on, and of those before it, which the
     other lacks, ``lost`` have places, from lo to hi, whether they can be links.
     sketches: what things gave, (id, comp) -> (id, sketch), and a cheap test of two
-    sketches that all links pass, in the place of a common bucket.
+    sketches that all links pass, in the place of a common bucket. divide, with sketches:
+    pairs (id, pivot), what things gave -> (id, pivot, linked, lo, hi, low, high), a row for each,
+    of which links of two that are not both linked to the pivot have numbers in common, both of
+    lo to hi and of low to high.
     """
     few = FEW if few is None else few
     found = open_buckets(members, shared)
@@ -113,8 +121,8 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
             break
         last = r >= rounds or pairs <= (few if r == 0 else MANY) * n
         if sketches is not None and pairs <= DIRECT * n:
-            last = True  # no more pairs than a few a member: all of them are tested
-            found_pairs = likely(_bucket_pairs(here, known, shared, sketches))
+            last = True  # no more pairs than a few a member
+            found_pairs = likely(_bucket_pairs(here, known, shared, sketches, divide))
         elif last:
             found_pairs = likely(_refined_pairs(here, elements, known, shared, enough, sketches))
         else:
@@ -132,30 +140,68 @@ def link(members: DataFrame, things: Callable[[DataFrame], DataFrame],
     return lab
 
 
-def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
-    """Every member of an open bucket beside the bucket's pivot, unless they are in one component."""
+def _pivots(here: DataFrame, r: int) -> DataFrame:
+    """The members of open buckets, beside each the bucket's pivot."""
     if r == 0:
-        here = here.select("id", "comp", F.sum("n").over(Window.partitionBy("id")).alias("shares"), "key")  # a thing's own buckets
+        here = here.withColumn("shares", F.sum("n").over(Window.partitionBy("id")))  # a thing's own buckets
         order = F.struct("shares", F.xxhash64("id"))
     else:
         order = F.struct(F.xxhash64("key", "id", F.lit(r)))
     pivot = here.groupBy("key").agg(F.max_by(F.struct("id", "comp"), order).alias("p"))
-    return (here.join(pivot, "key").where(F.col("comp") != F.col("p.comp"))
+    return here.join(pivot, "key")
+
+
+def _pivot_pairs(here: DataFrame, r: int) -> DataFrame:
+    """Every member of an open bucket beside the bucket's pivot, unless they are in one component."""
+    return (_pivots(here.select("id", "comp", "n", "key"), r).where(F.col("comp") != F.col("p.comp"))
             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
 
 
-def _bucket_pairs(here: DataFrame, known: DataFrame, shared: Shared, sketches: tuple) -> DataFrame:
-    """Pairs of different components that share a bucket and pass the test of sketches."""
+def _bucket_pairs(here: DataFrame, known: DataFrame, shared: Shared, sketches: tuple,
+                  divide: Callable[[DataFrame, DataFrame], DataFrame] | None) -> DataFrame:
+    """Pairs of different components that share a bucket and pass the test of sketches.
+
+    Where buckets can be divided, only members of a small bucket, or of a part of
+    a larger one, form pairs.
+    """
     make, near = sketches
     own = shared.write(make(known, here.select("id", "comp").distinct()))
-    x, y = here.alias("x"), here.alias("y")
+    small = here if divide is None else here.where(F.col("n") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
     pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id")))
-             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    if divide is not None:
+        pairs = pairs.unionByName(_divided_pairs(here.where(F.col("n") > SMALL), known, shared, divide))
+    pairs = pairs.distinct()
     a = own.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
     b = own.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
     return pairs.join(a, "a").join(b, "b").where(near(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
 
 
+def _divided_pairs(here: DataFrame, known: DataFrame, shared: Shared,
+                   divide: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Members of buckets beside their pivot, and beside those that differ from it in the same places.
+
+    A part with more than a few members is cut by the second range too. Two
+    things meet in the first numbers that they have in common only, and not
+    if they are both linked to the pivot.
+    """
+    beside = shared.write(_pivots(here.select("id", "comp", "n", "key"), 0).where(F.col("id") != F.col("p.id"))
+                          .select("id", "comp", F.col("p.id").alias("pivot"), F.col("p.comp").alias("of")).distinct())
+    ranges = divide(beside.select("id", "pivot"), known).join(beside.drop("of"), ["id", "pivot"])
+    ranges = shared.write(ranges.withColumn("part", F.explode(F.sequence("lo", "hi"))))
+    wide = ranges.groupBy("pivot", "part").agg(F.count("*").alias("n")).where(F.col("n") > SMALL)
+    cut = F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.sequence("low", "high"))
+    parts = shared.write(ranges.join(wide, ["pivot", "part"], "left").withColumn("cut", F.explode(cut)).drop("n"))
+    x, y = parts.alias("x"), parts.alias("y")
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("pivot", "part", "cut")]
+    on += [F.col("x.comp") != F.col("y.comp"), F.col("x.id") < F.col("y.id"), ~(F.col("x.linked") & F.col("y.linked")),
+           F.col("x.part") == F.greatest("x.lo", "y.lo"), F.greatest("x.low", "y.low") <= F.least("x.high", "y.high"),
+           (F.col("x.cut") < 0) | (F.col("x.cut") == F.greatest("x.low", "y.low"))]
+    met = x.join(y, functools.reduce(operator.and_, on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return met.unionByName(beside.where("comp <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+
+
 def _refined_pairs(here: DataFrame, elements: Callable[[DataFrame, DataFrame], DataFrame], known: DataFrame, shared: Shared,
                    enough: Callable[[Column, Column], Column] | None, sketches: tuple | None = None) -> DataFrame:
     """Pairs of different components that share a bucket, or pass the test of sketches, and an element of their prefixes.

@@ -395,6 +395,64 @@ def test_few_pairs_are_compared_without_elements(spark, monkeypatch):
     assert {(r["id"], r["first_id"]) for r in gone.collect()} == {(100 + i, i) for i in range(40)}
 
 
+@pytest.mark.parametrize("base", [True, False])
+def test_large_buckets_do_not_pair_all_their_lines(spark, monkeypatch, base):
+    """Lines of one family that differ in different words are no candidates, and no link between them is lost."""
+    monkeypatch.setattr(linking, "DIRECT", 10**6)
+    monkeypatch.setattr(line_dedup, "alike", lambda x, y, max_edits: F.lit(True))  # all candidates are verified
+    seen, real = [], linking._bucket_pairs
+
+    def counted(*args):
+        pairs = real(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(linking, "_bucket_pairs", counted)
+    rnd = random.Random(33)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    docs = {0: " ".join(words)} if base else {}
+    for i in range(1, 151):
+        own = list(words)
+        for k in rnd.sample(range(60), 1 + i % 2):
+            own[k] = "".join(rnd.choice("uvwxyz") for _ in range(7))
+        docs[i] = " ".join(own)
+    for i in range(1, 151, 5):
+        docs[200 + i] = edited(rnd, docs[i].encode(), rnd.randint(1, 3), b"abcdefgh").decode()
+        if base:
+            docs[400 + i] = edited(rnd, " ".join(words).encode(), rnd.randint(1, 3), b"abcdefgh").decode()
+    sets = Sets()
+    for a in docs:
+        sets.find(a)
+        for b in docs:
+            if a < b and line_dedup.within(docs[a].encode(), docs[b].encode(), 3):
+                sets.join(a, b)
+    gone, _ = line_dedup.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    want = {i: sets.find(i) for i in docs if sets.find(i) != i}
+    assert len(want) >= 30 and {r["id"]: r["first_id"] for r in gone.collect()} == want
+    assert len(seen) == 1 and seen[0] < len(docs) ** 2 / 10  # half the square before
+
+
+def test_linked_lines_differ_from_a_third_in_the_same_places():
+    rnd = random.Random(34)
+    met = apart = 0
+    for n in range(12000):
+        letters = (b"ab", b"abcd")[n % 2]
+        pivot, k = bytes(rnd.choice(letters) for _ in range(rnd.randint(5, 40))), rnd.randint(1, 3)
+        a = edited(rnd, pivot, rnd.randint(0, 8), letters)
+        b = edited(rnd, a if n % 5 else pivot, rnd.randint(0, 3 if n % 5 else 8), letters)
+        near = [line_dedup.within(pivot, x, k) for x in (a, b)]
+        x, y = (line_dedup.differences(pivot, z, k, linked) for z, linked in zip((a, b), near))
+        assert x[0] <= x[1] and x[2] <= x[3]
+        both = all(max(x[i], y[i]) <= min(x[i + 1], y[i + 1]) for i in (0, 2))
+        if not all(near):
+            if line_dedup.within(a, b, k):
+                met += 1
+                assert both
+            else:
+                apart += not both
+    assert met > 1000 and apart > 100
+
+
 def test_signatures_are_made_in_bounded_pieces(monkeypatch):
     """Short texts make as many points as long ones, so rows are bounded beside bytes."""
     sizes, real = [], bm.signatures
