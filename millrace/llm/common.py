@@ -236,13 +236,13 @@ class Shared:
         self.root = f"{start(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: list[str] | None = None, batch: int = BATCH_ROWS) -> DataFrame:
         path = f"{self.root}/t{self.n}"
         self.n += 1
         before, records = self.spark.conf.get(CLEANUP, "false"), self.spark.conf.get(ARROW_RECORDS)
         self.spark.conf.set(CLEANUP, "true")  # the shuffle files of this write go when it ends
-        if not 0 < int(records) <= BATCH_ROWS:
-            self.spark.conf.set(ARROW_RECORDS, str(BATCH_ROWS))  # texts cross to Python in pieces of some megabytes
+        if not 0 < int(records) <= batch:
+            self.spark.conf.set(ARROW_RECORDS, str(batch))  # texts cross to Python in pieces of some megabytes
         try:
             w = df.write.option("compression", "zstd")
             (w.partitionBy(*partition_by) if partition_by else w).parquet(path)

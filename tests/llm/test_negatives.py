@@ -53,6 +53,85 @@ def test_equals_a_full_sort(spark, monkeypatch, vectors, cell_rows, anchor_rows)
     assert other == brute(vectors, 20, 2, 50, 90)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_several_teams_and_cells_give_the_rows_of_one(spark, monkeypatch, vectors, k):
+    monkeypatch.setattr(negatives, "CELL_ROWS", 16)
+    monkeypatch.setattr(negatives, "ANCHOR_ROWS", 3)
+    monkeypatch.setattr(negatives, "TEAM_BYTES", 1000)
+    monkeypatch.setattr(negatives, "CELL_PRODUCTS", 1)
+    made, plain = [], negatives.layout
+    monkeypatch.setattr(negatives, "layout", lambda *x: made.append(plain(*x)) or made[-1])
+    df = spark.createDataFrame(vectors, SCHEMA)
+    assert sorted(tuple(r) for r in negatives.mine(df, F.col("vec_id") % 20 == 0, k=k).collect()) == brute(vectors, 20, k)
+    assert min(made[0]) > 1
+
+
+def test_anchors_are_not_broadcast(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 4)], i % 3) for i in range(600)]
+    monkeypatch.setattr(negatives, "CELL_ROWS", 8)  # an anchor's copies grew with the number of blocks, in one broadcast
+    plans, plain = [], common.Shared.write
+
+    def write(self, df, *args, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(self, df, *args, **more)
+
+    monkeypatch.setattr(common.Shared, "write", write)
+    out = negatives.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("MapInArrow" in p for p in plans) > 2
+    assert not any("BroadcastExchange" in p for p in plans)
+    assert sorted(tuple(x) for x in out.collect()) == brute(rows)
+
+
+def test_copies_of_anchors_stay_below_the_rows():
+    for rows in (10**4, 10**6, 10**8):
+        anchors = rows // 100
+        teams, cells = negatives.layout(anchors, anchors * 1232, rows, rows * 64, rows // 4096)
+        assert cells * anchors <= teams * rows and teams <= 1 + anchors * 1232 // negatives.TEAM_BYTES
+        assert cells >= min(rows // 4096, 50 * teams) // 2 or rows == 10**4
+    assert negatives.layout(0, 0, 0, 0, 0) == (1, 1)
+
+
+@pytest.mark.parametrize("size", [3, 50, 1e5, 1e12, 1e200])
+def test_blocks_of_a_task_give_the_best_of_all(size):
+    r = np.random.default_rng(11)
+    n, dim, k = 700, 3, 3
+    m = np.floor(r.normal(0, size, (n, dim)))
+    m[::7], m[1::9], m[5] = m[0], np.floor(r.normal(0, 3, dim)), 0
+    ids, labels = r.integers(0, 500, n), r.integers(0, 4, n)
+    at = np.unique(ids, return_index=True)[1][::5]
+    s = common.products(m[at], m)
+
+    def block(x, **more):
+        ints = {"id": ids[x], "label": labels[x], **more}
+        return {"n": len(x), "m": negatives._narrow(m[x]), **{c: np.asarray(v).astype("<i8").tobytes() for c, v in ints.items()}}
+
+    def best(i, fits):
+        j = np.flatnonzero(fits)
+        return j[np.lexsort((ids[j], ~s[i][j]))][:k]
+
+    def found(anchors):
+        for i in range(0, n, 256):
+            x = np.arange(i, min(i + 256, n))
+            anchors.meet(len(x), ids[x], labels[x], m[x])
+        return sorted(tuple(x) for b in anchors.found() for x in zip(*(c.to_pylist() for c in b.columns)))
+
+    positives = [best(i, (labels == labels[x]) & (ids != ids[x])) for i, x in enumerate(at)]
+    want = [(ids[x], s[i, j], ids[j]) for i, x in enumerate(at) for j in positives[i]]
+    assert found(negatives._Positives(dim, [block(at[:9]), block(at[9:])], k)) == sorted(want)
+    want = []
+    for i, x in enumerate(at):
+        scores = {int(p) for p in s[i, positives[i]]}
+        rows = set()
+        for p in scores:
+            rows.update(best(i, (labels != labels[x]) & (ids != ids[x]) & [negatives.inside(int(c), p, 80, 100) for c in s[i]]).tolist())
+        want += [(ids[x], s[i, j], ids[j]) for j in rows]
+    blocks = [block(at[a:b], at=[len(p) for p in positives[a:b]], scores=np.concatenate([s[i, positives[i]] for i in range(a, b)]))
+              for a, b in ((0, 9), (9, len(at)))]
+    assert found(negatives._Negatives(dim, blocks, k, 80, 100)) == sorted(want)
+
+
 def test_repeated_rows_and_an_empty_table(spark):
     rows = [(100, [1.0], 1), (100, [1.0], 1), (1, [1.0], 1), (1, [1.0], 1), (2, [0.9], 2), (2, [0.9], 2)]
     df = spark.createDataFrame(rows, SCHEMA)
